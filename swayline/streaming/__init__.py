@@ -1,0 +1 @@
+"""Nothing lives here: the analyses are batch only, no stream is part of them."""
