@@ -13,10 +13,9 @@ def moments(frame, keys, value, weight=None):
     combine on the map side, so a hot key sends one partial row per task.
     """
     if weight is None:
-        stats = frame.groupBy(*keys).agg(
+        return frame.groupBy(*keys).agg(
             F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
         )
-        return stats
     known = frame.where(F.col(value).isNotNull())
     means = known.groupBy(*keys).agg(
         F.sum(weight).alias("n"), (F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean")
@@ -36,4 +35,5 @@ def moments(frame, keys, value, weight=None):
 
 def _sd(weight, value, mean, n):
     square = F.sum(F.col(weight) * (F.col(value) - mean) * (F.col(value) - mean))
-    return F.sqrt(F.when(n > 1, square / (n - 1)))
+    spread = F.when(F.min(value) == F.max(value), 0.0).otherwise(square / (n - 1))
+    return F.sqrt(F.when(n > 1, spread))
