@@ -16,24 +16,20 @@ def moments(frame, keys, value, weight=None):
         return frame.groupBy(*keys).agg(
             F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
         )
-    known = frame.where(F.col(value).isNotNull())
+    known = frame.where(F.col(value).isNotNull()).select(*keys, value, F.col(weight).alias("__w"))
     means = known.groupBy(*keys).agg(
-        F.sum(weight).alias("n"), (F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean")
+        F.sum("__w").alias("n"), (F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("mean")
     )
     if not keys:
         row = means.first()
-        return known.agg(
-            F.lit(row["n"]).alias("n"), F.lit(row["mean"]).alias("mean"),
-            _sd(weight, value, F.lit(row["mean"]), F.lit(row["n"])).alias("sd"),
-        )
-    joined = attach(known.select(*keys, value, weight), means, keys)
-    return joined.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("mean").alias("mean"),
-        _sd(weight, value, F.col("mean"), F.max("n")).alias("sd"),
+        n, mean = F.lit(row["n"]).cast("long"), F.lit(row["mean"]).cast("double")
+        return known.agg(n.alias("n"), mean.alias("mean"), _sd(value, mean, n).alias("sd"))
+    return attach(known, means, keys).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("mean").alias("mean"), _sd(value, F.col("mean"), F.max("n")).alias("sd")
     )
 
 
-def _sd(weight, value, mean, n):
-    square = F.sum(F.col(weight) * (F.col(value) - mean) * (F.col(value) - mean))
+def _sd(value, mean, n):
+    square = F.sum(F.col("__w") * (F.col(value) - mean) * (F.col(value) - mean))
     spread = F.when(F.min(value) == F.max(value), 0.0).otherwise(square / (n - 1))
     return F.sqrt(F.when(n > 1, spread))
