@@ -24,17 +24,20 @@ def _null_safe(left, right, keys, extra=(), how="left"):
     return left.join(right, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def attach(frame, stats, keys, rows="n"):
+def attach(frame, stats, keys, rows="n", size=None):
     """Left-join per-key ``stats`` onto ``frame`` without moving a hot key into one task.
 
-    ``stats`` is written first, so its size is known: up to ``BROADCAST_ROWS`` rows are
+    ``stats`` is written first, so its size is known (a caller who has counted it already
+    passes ``size``): up to ``BROADCAST_ROWS`` rows are
     broadcast and ``frame`` is not shuffled. Beyond that both sides are shuffled, and
     the rows of hot keys (found from the ``rows`` column of ``stats``) are spread over
     ``SALTS`` sub-keys. ``frame`` must be a file scan plus row-wise steps, so that the
     salt of a row is the same when a task is repeated.
     """
-    stats = materialise(stats, "stats")
-    if stats.count() <= BROADCAST_ROWS:
+    if size is None or size > BROADCAST_ROWS:
+        stats = materialise(stats, "stats")
+        size = stats.count()
+    if size <= BROADCAST_ROWS:
         return _null_safe(frame, F.broadcast(stats), keys)
     total = stats.agg(F.sum(rows)).first()[0] or 0
     hot = stats.where(F.col(rows) > max(total * HOT_SHARE, HOT_ROWS)).select(
