@@ -64,7 +64,7 @@ class Form:
 
 
 def prepare(cells, form, weight="n_known", wins="wins"):
-    """Complete cases as (fit, entity, place, m, x, n, wins), scaled; plus the scales and group names.
+    """Complete cases as (fit, entity, place, m, x, n, wins), scaled; plus group names, scales and sizes.
 
     x is only divided by its spread, as shifting it would change what the independent
     intercepts and slopes mean; m is a plain covariate and is centred too.
@@ -79,26 +79,29 @@ def prepare(cells, form, weight="n_known", wins="wins"):
         rows.groupBy("fit", "entity", "group_name", "m", "x").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins")),
         "design",
     )
-    groups = [r[0] for r in rows.select("group_name").distinct().orderBy("group_name").collect()]
-    s = rows.agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("x1"),
-        F.sum(F.col("n") * F.col("x") * F.col("x")).alias("x2"),
+    parts = rows.groupBy("fit", "group_name").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("x2"),
         F.sum(F.col("n") * F.col("m")).alias("m1"), F.min("m").alias("mlo"), F.max("m").alias("mhi"),
-        F.sum("wins").alias("wins"), F.countDistinct("fit").alias("fits"),
-    ).first()
-    if not s["n"]:
+        F.sum("wins").alias("wins"),
+    ).collect()  # one row per fit and group
+    if not parts:
         raise ValueError("no complete rows to fit")
-    x_scale = math.sqrt(s["x2"] / s["n"]) or 1.0
-    m_mean = s["m1"] / s["n"]
-    m_scale = (s["mhi"] - s["mlo"]) / 4 or 1.0
+    groups = sorted({r["group_name"] for r in parts})
+    total = {c: sum(r[c] for r in parts) for c in ("n", "x2", "m1", "wins")}
+    x_scale = math.sqrt(total["x2"] / total["n"]) or 1.0
+    m_mean = total["m1"] / total["n"]
+    m_scale = (max(r["mhi"] for r in parts) - min(r["mlo"] for r in parts)) / 4 or 1.0
     place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("group_name")) - 1
     scaled = rows.select(
         "fit", "entity", place.cast("int").alias("place"), ((F.col("m") - m_mean) / m_scale).alias("m"),
         (F.col("x") / x_scale).alias("x"), "n", "wins",
     )
     scales = {"x": x_scale, "m": m_scale, "m_mean": m_mean}
-    rate = min(max(s["wins"] / s["n"], 1e-6), 1 - 1e-6)
-    return scaled, groups, scales, math.log(rate / (1 - rate)), s["fits"]
+    rate = min(max(total["wins"] / total["n"], 1e-6), 1 - 1e-6)
+    sizes = np.zeros(1 + max(r["fit"] for r in parts))
+    for r in parts:
+        sizes[r["fit"]] += r["n"]
+    return scaled, groups, scales, math.log(rate / (1 - rate)), sizes
 
 
 def start_state(rows):
@@ -120,24 +123,19 @@ def expand(rows, state, size):
     joined = attach(
         rows.select(*keys, "x", F.col("n").alias("trials"), "wins"), state.select(*keys, "m", "a", "b", "n"), keys, size=size
     )
-    eta = F.col("a") + F.col("b") * F.col("x")
-    p = 1 / (1 + F.exp(-eta))
-    base = joined.withColumns({"__eta": eta, "__p": p}).withColumn("__w", F.col("__p") * (1 - F.col("__p")))
-    n, eta, p, w, x = F.col("trials"), F.col("__eta"), F.col("__p"), F.col("__w"), F.col("x")
+    powers = {0: "", 1: " * x", 2: " * x * x", 3: " * x * x * x", 4: " * x * x * x * x"}
     by_order = [
-        F.col("wins") * eta - n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))),
-        F.col("wins") - n * p, -n * w, -n * w * (1 - 2 * p), -n * w * (1 - 6 * w),
+        "wins * eta - trials * (greatest(eta, 0D) + log1p(exp(-abs(eta))))",
+        "(wins - trials * p)", "-trials * w", "-trials * w * (1 - 2 * p)", "-trials * w * (1 - 6 * w)",
     ]
-    sums = []
-    for digits in SUMS:
-        term = by_order[int(digits[0]) + int(digits[1])]
-        for _ in range(int(digits[1])):
-            term = term * x
-        sums.append(F.sum(term).alias(f"s{digits}"))
-    pairs = base.groupBy(*keys).agg(
-        F.max("m").alias("m"), F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), *sums
+    sums = [
+        F.expr(f"sum({by_order[int(d[0]) + int(d[1])]}{powers[int(d[1])]}) AS s{d}") for d in SUMS
+    ]
+    base = joined.selectExpr("*", "a + b * x AS eta").selectExpr("*", "1 / (1 + exp(-eta)) AS p")
+    pairs = base.selectExpr("*", "p * (1 - p) AS w").groupBy(*keys).agg(
+        *[F.expr(f"max({c}) AS {c}") for c in ("m", "n", "a", "b")], *sums
     )
-    flat = F.array("n", "a", "b", *[f"s{d}" for d in SUMS])
+    flat = F.expr("array(n, a, b, " + ", ".join(f"s{d}" for d in SUMS) + ")")
     packed = pairs.groupBy("fit", "entity").agg(
         F.max("m").alias("m"), F.collect_list(F.struct("place", flat.alias("sums"))).alias("pairs")
     )
@@ -224,7 +222,8 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
     ``MixedFit.spreads['theta']``).
     """
     spark = cells.sparkSession
-    rows, groups, scales, level, fits = prepare(cells, form, weight, wins)
+    rows, groups, scales, level, sizes = prepare(cells, form, weight, wins)
+    fits = len(sizes)
     layout = form.layout(len(groups))
     P = len(layout.names)
     theta = np.zeros((fits, P))
@@ -255,7 +254,7 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
             points = trial[:, None, :] + offsets[None]
             wide = None if group_modes is None else np.repeat(group_modes, K, axis=1)
             values, modes = _laplace(packed, points, wide, layout, order)
-            worse = np.zeros(fits, bool) if previous is None else values[:, 0] < previous - 1e-7 * np.abs(previous) * 1e-3
+            worse = np.zeros(fits, bool) if previous is None else values[:, 0] < previous - 1e-10 * np.abs(previous)
             if worse.any():  # halve the step of the fits that got worse, keep the others' step
                 step = np.where(worse[:, None], step / 2, step)
                 trial = theta + step
@@ -268,7 +267,7 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
             previous = values[:, 0]
             derivatives = [_differences(values[f], P) for f in range(fits)]
             step = np.array([_newton_step(g, h, 0.7) for g, h in derivatives])
-            if order == 2 or np.max(np.abs(step)) < tolerance or inner >= 3:
+            if order == 2 or np.max(np.abs(step)) < tolerance or inner >= 2:
                 break
             trial = theta + step
         theta = theta + step if np.max(np.abs(step)) > 0 else theta
@@ -280,11 +279,11 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
     emitted = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
     state = materialise(emitted, "modes")
     return _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes,
-                   rows, converged, expansions, fits)
+                   packed, converged, expansions, sizes)
 
 
-def _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes, rows,
-            converged, expansions, fits):
+def _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes, packed,
+            converged, expansions, sizes):
     """Result tables on the original scale of the predictors."""
     names = layout.names
     fixed_names = [n for n in names if not n.startswith("sd_")]
@@ -300,8 +299,8 @@ def _report(spark, form, layout, groups, scales, theta, values, derivatives, sta
         ("sd_intercept", "entity", "(Intercept)", 1.0), ("sd_slope", "entity", form.x, 1 / scales["x"]),
         ("sd_nested", "entity:group", "(Intercept)", 1.0), ("sd_group", "group", "(Intercept)", 1.0),
     ]
-    sizes = {r["fit"]: r for r in rows.groupBy("fit").agg(F.sum("n").alias("n")).collect()}
-    entities = {r["fit"]: r["k"] for r in state.groupBy("fit").agg(F.countDistinct("entity").alias("k")).collect()}
+    fits = len(sizes)
+    entities = {r["fit"]: r["count"] for r in packed.groupBy("fit").count().collect()}
     coefficient_rows, spread_rows, stat_rows = [], [], []
     fixed, spreads = {}, {"theta": theta}
     p = len(fixed_names)
@@ -321,7 +320,7 @@ def _report(spark, form, layout, groups, scales, theta, values, derivatives, sta
                 spreads[(f, factor, term)] = sds[name] * scale
         loglik = float(values[f][0])
         k = p + len(sds)
-        n = sizes[f]["n"]
+        n = sizes[f]
         stat_rows.append((f, int(n), int(entities[f]), len(groups), loglik, 2 * k - 2 * loglik,
                           k * math.log(n) - 2 * loglik, bool(min(sds.values()) < SINGULAR) if sds else False,
                           bool(converged), expansions))

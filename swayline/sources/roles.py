@@ -5,6 +5,7 @@ observation of a supplier (the entity) playing for its region (the group), and t
 line's quantity is the metric. See FIXTURES.md.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -61,26 +62,26 @@ def contests(spark, sf_dir, group="region"):
 
     Points of a side are its summed quantity. A lone side meets an unnamed opponent with
     no points; an order without lines has NULL points. Odd orders swap home and away.
-    The sides of an order are at most as many as there are groups, so the sorted array
-    below stays short whatever the number of lines in an order.
+    The lines are summed per side first (combined on the map side), so the window sees at
+    most one row per order and group, whatever the number of lines in an order.
     """
+    strongest = W.partitionBy("game").orderBy(F.desc("points"), F.desc("group_name"))
     sides = (
         observations(spark, sf_dir, group=group)
         .groupBy("game", "group_name")
         .agg(F.sum("metric").alias("points"))
-        .groupBy("game")
-        .agg(F.sort_array(F.collect_list(F.struct("points", "group_name")), asc=False).alias("sides"))
         .select(
-            "game",
-            F.get("sides", F.lit(0)).alias("first"),
-            F.get("sides", F.lit(1)).alias("second"),
+            "game", F.col("group_name").alias("team1"), F.col("points").alias("points1"),
+            F.lead("group_name").over(strongest).alias("team2"),
+            F.coalesce(F.lead("points").over(strongest), F.lit(0.0)).alias("points2"),
+            F.row_number().over(strongest).alias("place"),
         )
+        .where("place = 1")
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey"), F.to_date("o_orderdate").alias("date"), "o_orderpriority"
     )
     odd = F.pmod(F.col("o_orderkey"), F.lit(2)) == 1
-    first_points, second_points = F.col("first.points"), F.coalesce("second.points", F.col("first.points") * 0)
     return (
         orders.join(sides, F.col("o_orderkey") == F.col("game"), "left")
         .select(
@@ -89,10 +90,10 @@ def contests(spark, sf_dir, group="region"):
             F.year("date").alias("season"),
             F.month("date").cast("string").alias("round_number"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "Finals").otherwise("Regular").alias("round_type"),
-            F.when(odd, F.col("second.group_name")).otherwise(F.col("first.group_name")).alias("home_team"),
-            F.when(odd, F.col("first.group_name")).otherwise(F.col("second.group_name")).alias("away_team"),
-            F.when(odd, second_points).otherwise(first_points).alias("home_points"),
-            F.when(odd, first_points).otherwise(second_points).alias("away_points"),
+            F.when(odd, F.col("team2")).otherwise(F.col("team1")).alias("home_team"),
+            F.when(odd, F.col("team1")).otherwise(F.col("team2")).alias("away_team"),
+            F.when(odd, F.col("points2")).otherwise(F.col("points1")).alias("home_points"),
+            F.when(odd, F.col("points1")).otherwise(F.col("points2")).alias("away_points"),
         )
     )
 
