@@ -85,33 +85,46 @@ def interaction_terms(fits):
         F.sum("rss").alias("rss"), (F.sum("n") - F.sum("n_params")).alias("df_residual"),
         F.min(usable).alias("reference_entity"), F.min_by(line, usable).alias("ref"),
     )
-    groups = groups.select(
-        "group_name", "df_residual", "reference_entity", "ref",
-        F.when(F.col("df_residual") > 0, F.col("rss") / F.when(F.col("df_residual") > 0, F.col("df_residual"))).alias("s2"),
-    )
-    joined = fits.drop("rss", "n_params").join(groups, "group_name")
-    is_ref = F.col("entity") == F.col("reference_entity")
-    inv = F.try_divide(F.lit(1.0), "sxx")
-    inv_ref = F.try_divide(F.lit(1.0), "ref.sxx")
-    level = F.try_divide(F.lit(1.0), "n") + F.coalesce(F.col("avgx") * F.col("avgx") * inv, F.lit(0.0))
-    level_ref = F.try_divide(F.lit(1.0), "ref.n") + F.col("ref.avgx") * F.col("ref.avgx") * inv_ref
+    s2 = F.when(F.col("df_residual") > 0, F.try_divide(F.col("rss"), F.col("df_residual").cast("double")))
+    joined = fits.drop("rss", "n_params").join(groups.withColumn("s2", s2), "group_name")
+
+    def variances(prefix):
+        inv = F.try_divide(F.lit(1.0), f"{prefix}sxx")
+        at_zero = F.coalesce(F.col(f"{prefix}avgx") * F.col(f"{prefix}avgx") * inv, F.lit(0.0))
+        return F.col("s2") * inv, F.col("s2") * (F.try_divide(F.lit(1.0), f"{prefix}n") + at_zero)
+
+    own, ref = variances(""), variances("ref.")
+    return contrast_terms(joined.select(
+        "group_name", "entity", "reference_entity", "df_residual", "slope", "intercept",
+        own[0].alias("var_slope"), own[1].alias("var_intercept"),
+        F.col("ref.slope").alias("ref_slope"), F.col("ref.intercept").alias("ref_intercept"),
+        ref[0].alias("ref_var_slope"), ref[1].alias("ref_var_intercept"),
+    ))
+
 
+def contrast_terms(lines):
+    """Treatment-coded coefficients from one line per entity and its group's reference line."""
     def term(kind, label, estimate, variance):
         return F.struct(
             F.lit(kind).alias("term_kind"), label.alias("term"), estimate.alias("estimate"),
-            F.sqrt(F.col("s2") * variance).alias("std_error"),
+            F.sqrt(variance).alias("std_error"),
         )
 
+    slope, level = F.col("slope"), F.col("intercept")
     own = F.array(
-        term("intercept", F.lit("(Intercept)"), F.col("ref.intercept"), level_ref),
-        term("metric", F.lit("metric"), F.col("ref.slope"), inv_ref),
+        term("intercept", F.lit("(Intercept)"), level, F.col("var_intercept")),
+        term("metric", F.lit("metric"), slope, F.col("var_slope")),
     )
     others = F.array(
-        term("entity", F.concat(F.lit("entity"), "entity"), F.col("intercept") - F.col("ref.intercept"), level + level_ref),
-        term("interaction", F.concat(F.lit("metric:entity"), "entity"), F.col("slope") - F.col("ref.slope"), inv + inv_ref),
+        term("entity", F.concat(F.lit("entity"), "entity"), level - F.col("ref_intercept"),
+             F.col("var_intercept") + F.col("ref_var_intercept")),
+        term("interaction", F.concat(F.lit("metric:entity"), "entity"), slope - F.col("ref_slope"),
+             F.col("var_slope") + F.col("ref_var_slope")),
     )
-    terms = joined.where(is_ref.isNotNull()).select(
-        "group_name", "entity", "reference_entity", "df_residual", F.inline(F.when(is_ref, own).otherwise(others))
+    kept = [c for c in ("df_residual", "separated") if c in lines.columns]
+    terms = lines.where(F.col("reference_entity").isNotNull()).select(
+        "group_name", "entity", "reference_entity", *kept,
+        F.inline(F.when(F.col("entity") == F.col("reference_entity"), own).otherwise(others)),
     )
     return _with_tests(terms)
 

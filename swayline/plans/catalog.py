@@ -1,5 +1,5 @@
 """All named queries."""
 
-from swayline.plans import descriptive
+from swayline.plans import descriptive, models
 
-QUERIES = {**descriptive.QUERIES}
+QUERIES = {**descriptive.QUERIES, **models.QUERIES}
