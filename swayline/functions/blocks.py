@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-WIDTH = 8  # n, a, b, score, score * x, information, information * x, information * x * x
+# n, a, b, score (1, x), observed information (1, x, x * x), expected information (1, x, x * x)
+WIDTH = 11
+OBSERVED, EXPECTED = 5, 8
 
 
 def _unpack(batch):
@@ -26,17 +28,22 @@ def _unpack(batch):
 class Blocks:
     """Inverse 2x2 blocks and their coupling with the groups, for one batch."""
 
-    def __init__(self, batch, groups):
+    def __init__(self, batch, groups, kind=OBSERVED):
         self.group, self.sums, self.owner, total = _unpack(batch)
-        h00, h01, h11 = total[:, 5], total[:, 6], total[:, 7]
+        h00, h01, h11 = total[:, kind], total[:, kind + 1], total[:, kind + 2]
         det = np.maximum(h00 * h11 - h01**2, 1e-300)
         self.inverse = np.stack([np.stack([h11, -h01], 1), np.stack([-h01, h00], 1)], 1) / det[:, None, None]
         self.score = total[:, 3:5]
         self.coupling = np.zeros((batch.num_rows, 2, groups))
-        self.coupling[self.owner, 0, self.group] = self.sums[:, 5]
-        self.coupling[self.owner, 1, self.group] = self.sums[:, 6]
+        self.coupling[self.owner, 0, self.group] = self.sums[:, kind]
+        self.coupling[self.owner, 1, self.group] = self.sums[:, kind + 1]
         self.pull = np.einsum("eij,ejg->eig", self.inverse, self.coupling)
         self.own_step = np.einsum("eij,ej->ei", self.inverse, self.score)
+        self.direct = np.bincount(self.group, self.sums[:, kind], groups)
+
+    def system(self):
+        """Group system with the entities eliminated."""
+        return np.diag(self.direct) - np.einsum("eig,eih->gh", self.coupling, self.pull)
 
 
 def eliminator(groups):
@@ -44,13 +51,14 @@ def eliminator(groups):
 
     def run(batches):
         system, right = np.zeros((groups, groups)), np.zeros(groups)
+        expected = np.zeros((groups, groups))
         together, decrement = np.zeros((groups, groups)), 0.0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             blocks = Blocks(batch, groups)
-            system += np.diag(np.bincount(blocks.group, blocks.sums[:, 5], groups))
-            system -= np.einsum("eig,eih->gh", blocks.coupling, blocks.pull)
+            system += blocks.system()
+            expected += Blocks(batch, groups, EXPECTED).system()
             right += np.bincount(blocks.group, blocks.sums[:, 3], groups)
             right -= np.einsum("eig,ei->g", blocks.pull, blocks.score)
             present = (blocks.coupling[:, 0, :] > 0).astype(float)
@@ -58,6 +66,7 @@ def eliminator(groups):
             decrement += float(np.sum(blocks.own_step * blocks.score))
         yield pa.RecordBatch.from_pydict({
             "system": pa.array([system.ravel().tolist()]), "right": pa.array([right.tolist()]),
+            "expected": pa.array([expected.ravel().tolist()]),
             "together": pa.array([together.ravel().tolist()]), "decrement": pa.array([decrement]),
         })
 
@@ -92,7 +101,7 @@ def reporter(inverse_system, reference_pull, group_level):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            blocks = Blocks(batch, groups)
+            blocks = Blocks(batch, groups, EXPECTED)
             first = np.searchsorted(blocks.owner, np.arange(batch.num_rows))
             pull = blocks.pull[:, 1, :]
             through = pull @ inverse_system
@@ -114,7 +123,7 @@ def pull_of(batch_row, groups):
         "entity": pa.array([batch_row["entity"]]), "places": pa.array([batch_row["places"]], pa.list_(pa.int32())),
         "sums": pa.array([batch_row["sums"]], pa.list_(pa.float64())),
     })
-    return Blocks(batch, groups).pull[0, 1, :]
+    return Blocks(batch, groups, EXPECTED).pull[0, 1, :]
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

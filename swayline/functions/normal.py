@@ -1,8 +1,9 @@
-"""Normal distribution as Column expressions, so they stay inside generated code."""
+"""Normal distribution as SQL text, so it stays inside generated code.
 
-import math
+Every function takes and returns SQL text; arguments should be plain column names, as they are repeated.
+"""
 
-from pyspark.sql import functions as F
+import math
 
 # Hart's rational approximation of the normal tail (West 2005, double precision).
 UPPER = [
@@ -17,31 +18,31 @@ SPLIT = 7.07106781186547
 
 
 def _polynomial(z, coefficients):
-    total = F.lit(coefficients[0])
+    text = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        total = total * z + F.lit(c)
-    return total
+        text = f"({text} * {z} + {c!r}D)"
+    return text
 
 
 def density(x):
-    return F.exp(x * x * F.lit(-0.5)) * F.lit(1 / math.sqrt(2 * math.pi))
+    return f"(exp({x} * {x} * -0.5D) * {1 / math.sqrt(2 * math.pi)!r}D)"
 
 
 def upper_tail(z):
     """P(Z > z) for z >= 0."""
-    near = F.exp(z * z * F.lit(-0.5)) * _polynomial(z, UPPER) / _polynomial(z, LOWER)
-    tail = z + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        tail = z + F.lit(k) / tail
-    return F.when(z < SPLIT, near).otherwise(density(z) / tail)
+    near = f"exp({z} * {z} * -0.5D) * {_polynomial(z, UPPER)} / {_polynomial(z, LOWER)}"
+    tail = f"({z} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        tail = f"({z} + {k}D / {tail})"
+    return f"(CASE WHEN {z} < {SPLIT}D THEN {near} ELSE {density(z)} / {tail} END)"
 
 
 def cumulative(x):
     """P(Z <= x)."""
-    tail = upper_tail(F.abs(x))
-    return F.when(x > 0, F.lit(1.0) - tail).otherwise(tail)
+    tail = upper_tail(f"abs({x})")
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
 def two_sided(statistic):
     """Two-sided p-value of a z statistic."""
-    return upper_tail(F.abs(statistic)) * 2
+    return f"(2 * {upper_tail(f'abs({statistic})')})"

@@ -326,7 +326,7 @@ def _report(spark, form, layout, groups, scales, theta, values, derivatives, sta
                           bool(converged), expansions))
     coefficients = spark.createDataFrame(coefficient_rows, "fit int, term string, estimate double, std_error double")
     coefficients = coefficients.withColumn("statistic", F.try_divide("estimate", "std_error")).withColumn(
-        "p_value", two_sided(F.col("statistic")))
+        "p_value", F.expr(two_sided("statistic")))
     components = spark.createDataFrame(spread_rows, "fit int, factor string, term string, sd double, variance double")
     stats = spark.createDataFrame(
         stat_rows, "fit int, n_obs long, n_entities long, n_groups int, log_lik double, aic double, bic double, "

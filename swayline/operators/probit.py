@@ -47,22 +47,20 @@ def _scaled(rows, keys):
 
 
 def _score_sums(rows, state, keys, size):
-    """Per key: score and Fisher information of a + b * x at the state's a and b."""
-    joined = attach(rows, state, keys, size=size)
-    eta = F.col("a") + F.col("b") * F.col("x")
-    tail = F.greatest(normal.upper_tail(F.abs(F.col("__eta"))), F.lit(1e-300))
-    base = joined.withColumn("__eta", eta).withColumn("__tail", tail)
-    tail = F.col("__tail")
-    p = F.when(F.col("__eta") > 0, 1 - tail).otherwise(tail)
-    base = base.withColumn("__p", p).withColumn("__d", normal.density(F.col("__eta")) / (tail * (1 - tail)))
-    score = F.col("__d") * (F.col("wins") - F.col("trials") * F.col("__p"))
-    info = F.col("trials") * F.col("__d") * normal.density(F.col("__eta"))
-    x = F.col("x")
-    return base.withColumns({"__s": score, "__i": info}).groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"),
-        F.sum("__s").alias("s0"), F.sum(F.col("__s") * x).alias("s1"),
-        F.sum("__i").alias("i0"), F.sum(F.col("__i") * x).alias("i1"), F.sum(F.col("__i") * x * x).alias("i2"),
-    )
+    """Per key: score, observed and expected information of a + b * x at the state's a and b.
+
+    The observed information drives the steps, the expected one gives the variances.
+    """
+    base = attach(rows, state, keys, size=size).selectExpr("*", "a + b * x AS eta").selectExpr("*", "abs(eta) AS far")
+    base = base.selectExpr("*", f"greatest({normal.upper_tail('far')}, 1e-300D) AS tail", f"{normal.density('eta')} AS d")
+    base = base.selectExpr("*", "d / (CASE WHEN eta > 0 THEN 1 - tail ELSE tail END) AS won",
+                           "d / (CASE WHEN eta > 0 THEN tail ELSE 1 - tail END) AS lost")
+    base = base.selectExpr(
+        "*", "wins * won - (trials - wins) * lost AS s",
+        "wins * won * (won + eta) + (trials - wins) * lost * (lost - eta) AS o", "trials * won * lost AS i")
+    sums = [f"sum({v}{power}) AS {v}{k}" for v in "soi" for k, power in enumerate(("", " * x", " * x * x"))
+            if not (v == "s" and k == 2)]
+    return base.groupBy(*keys).agg(*[F.expr(t) for t in ["max(n) AS n", "max(a) AS a", "max(b) AS b", *sums]])
 
 
 def _start(rows, keys):
@@ -78,15 +76,14 @@ def entity_probits(cells, weight="n_known", wins="wins"):
     state = _start(rows, keys)
     size = state.count()
     for _ in range(MAX_STEPS):
-        det = F.col("i0") * F.col("i2") - F.col("i1") * F.col("i1")
-        da = F.try_divide(F.col("i2") * F.col("s0") - F.col("i1") * F.col("s1"), det)
-        db = F.try_divide(F.col("i0") * F.col("s1") - F.col("i1") * F.col("s0"), det)
-        bounded = [F.greatest(F.least(d, F.lit(1.5)), F.lit(-1.5)) for d in (da, db)]
-        stepped = _score_sums(rows, state, keys, size).select(
-            *keys, (F.col("a") + bounded[0]).alias("a"), (F.col("b") + bounded[1]).alias("b"), "n",
-            F.greatest(F.abs(da), F.abs(db)).alias("step"),
-            F.try_divide(F.col("i2"), det).alias("vaa"), F.try_divide(F.col("i0"), det).alias("vbb"),
-            F.try_divide(-F.col("i1"), det).alias("vab"),
+        stepped = _score_sums(rows, state, keys, size).selectExpr(
+            "*", "o0 * o2 - o1 * o1 AS det", "i0 * i2 - i1 * i1 AS idet"
+        ).selectExpr(
+            "*", "try_divide(o2 * s0 - o1 * s1, det) AS da", "try_divide(o0 * s1 - o1 * s0, det) AS db"
+        ).selectExpr(
+            *keys, "a + greatest(least(da, 1.5D), -1.5D) AS a", "b + greatest(least(db, 1.5D), -1.5D) AS b", "n",
+            "greatest(abs(da), abs(db)) AS step", "try_divide(i2, idet) AS vaa", "try_divide(i0, idet) AS vbb",
+            "try_divide(-i1, idet) AS vab",
         )
         lines = materialise(stepped, "lines")
         state = lines.select(*keys, "a", "b", "n")
@@ -115,7 +112,7 @@ def probit_interaction(cells, weight="n_known", wins="wins"):
 
 
 def _with_z(terms):
-    return terms.withColumn("p_value", normal.two_sided(F.col("statistic")))
+    return terms.withColumn("p_value", F.expr(normal.two_sided("statistic")))
 
 
 def probit_global(cells, weight="n_known", wins="wins"):
@@ -144,19 +141,19 @@ def probit_global(cells, weight="n_known", wins="wins"):
     size = state.count()
     gamma = np.zeros(G)
     tasks = max(1, min(spark.sparkContext.defaultParallelism, size // 16))
-    flat = F.array(*[F.col(c).cast("double") for c in ("n", "a", "b", "s0", "s1", "i0", "i1", "i2")])
+    flat = F.array(*[F.col(c).cast("double") for c in ("n", "a", "b", "s0", "s1", "o0", "o1", "o2", "i0", "i1", "i2")])
     for _ in range(MAX_STEPS):
         sums = _score_sums(rows, state, keys, size).select("entity", "place", flat.alias("sums"))
         packed = sums.groupBy("entity").agg(F.collect_list(F.struct("place", "sums")).alias("pairs")).select(
             "entity", F.col("pairs.place").alias("places"), F.flatten("pairs.sums").alias("sums"))
         packed = materialise(packed.repartition(tasks, "entity"), "pairs")
         parts = packed.mapInArrow(
-            eliminator(G), "system array<double>, right array<double>, together array<double>, decrement double"
+            eliminator(G), "system array<double>, right array<double>, expected array<double>, "
+            "together array<double>, decrement double"
         ).collect()
         system = sum(np.reshape(r["system"], (G, G)) for r in parts)
         right = sum(np.array(r["right"]) for r in parts)
-        inverse = np.linalg.pinv(system, rcond=1e-10, hermitian=True)
-        step = inverse @ right
+        step = np.linalg.pinv(system, rcond=1e-10, hermitian=True) @ right
         decrement = sum(r["decrement"] for r in parts) + right @ step
         if decrement < TOLERANCE:
             break
@@ -164,6 +161,8 @@ def probit_global(cells, weight="n_known", wins="wins"):
         gamma = gamma + step
         state = packed.mapInArrow(stepper(step, 1.5), "entity string, place int, a double, b double, n double")
     together = sum(np.reshape(r["together"], (G, G)) for r in parts) > 0
+    expected = sum(np.reshape(r["expected"], (G, G)) for r in parts)
+    inverse = np.linalg.pinv(expected, rcond=1e-10, hermitian=True)
     return _global_terms(packed, stats, groups, gamma, inverse, together)
 
 

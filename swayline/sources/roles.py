@@ -21,8 +21,16 @@ REGION_NAMES = {"AMERICA": "AMERICAS", "ASIA": "ASIA PACIFIC", "MIDDLE EAST": "G
 SHARED_REGION_NAMES = ["AFRICA", "EUROPE"]
 
 
+_schemas = {}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the sample tables; its schema is read from the file once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = f"{sf_dir}/{name}.parquet"
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def supplier_groups(spark, sf_dir):
