@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 SUMS = ["00", "10", "01", "20", "11", "02", "30", "21", "12", "03", "40", "31", "22", "13", "04"]
 WIDTH = len(SUMS) + 3  # n, a, b come first
 BLOCK = 300_000
+NEAR_A, NEAR_B = 0.7, 0.5
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,15 @@ class Batch:
         self.fixed_b = self._get("x", zero)
         self.c = [self.sums[:, 3 + i][:, None] for i in range(len(SUMS))]
         self.a0, self.b0 = self.sums[:, 1][:, None], self.sums[:, 2][:, None]
+        self.high = 1.0
         self._solve()
+        if order > 2:
+            # far from the centre the fourth-order sums can bend upwards; the second-order ones cannot
+            far = (np.abs(self.a - self.a0) > NEAR_A) | (np.abs(self.b - self.b0) > NEAR_B)
+            if far.any():
+                far = np.logical_or.reduceat(far, np.searchsorted(rows, np.arange(self.count)), axis=0)
+                self.high = 1.0 - far[rows]
+                self._solve()
 
     def _get(self, name, zero):
         at = self.layout.at(name)
@@ -91,18 +100,19 @@ class Batch:
     def _slopes(self, a, b):
         """Derivatives of the pair's log-likelihood at (a, b): first and second."""
         c, A, B = self.c, a - self.a0, b - self.b0
+        up = self.high
         ga = c[1] + c[3] * A + c[4] * B
         gb = c[2] + c[4] * A + c[5] * B
         haa, hab, hbb = c[3] + 0 * A, c[4] + 0 * A, c[5] + 0 * A
         if self.order > 2:
             AA, AB, BB = A * A, A * B, B * B
-            ga = ga + (c[6] * AA + 2 * c[7] * AB + c[8] * BB) / 2 + (
+            ga = ga + up * (c[6] * AA + 2 * c[7] * AB + c[8] * BB) / 2 + up * (
                 c[10] * AA * A + 3 * c[11] * AA * B + 3 * c[12] * A * BB + c[13] * BB * B) / 6
-            gb = gb + (c[7] * AA + 2 * c[8] * AB + c[9] * BB) / 2 + (
+            gb = gb + up * (c[7] * AA + 2 * c[8] * AB + c[9] * BB) / 2 + up * (
                 c[11] * AA * A + 3 * c[12] * AA * B + 3 * c[13] * A * BB + c[14] * BB * B) / 6
-            haa = haa + c[6] * A + c[7] * B + (c[10] * AA + 2 * c[11] * AB + c[12] * BB) / 2
-            hab = hab + c[7] * A + c[8] * B + (c[11] * AA + 2 * c[12] * AB + c[13] * BB) / 2
-            hbb = hbb + c[8] * A + c[9] * B + (c[12] * AA + 2 * c[13] * AB + c[14] * BB) / 2
+            haa = haa + up * (c[6] * A + c[7] * B + (c[10] * AA + 2 * c[11] * AB + c[12] * BB) / 2)
+            hab = hab + up * (c[7] * A + c[8] * B + (c[11] * AA + 2 * c[12] * AB + c[13] * BB) / 2)
+            hbb = hbb + up * (c[8] * A + c[9] * B + (c[12] * AA + 2 * c[13] * AB + c[14] * BB) / 2)
             haa = np.minimum(haa, 0.1 * c[3])  # keep the curvature negative far from the centre
             hbb = np.minimum(hbb, 0.1 * c[5])
         return ga, gb, haa, hab, hbb
@@ -111,8 +121,8 @@ class Batch:
         c, A, B = self.c, a - self.a0, b - self.b0
         value = c[0] + c[1] * A + c[2] * B + (c[3] * A * A + 2 * c[4] * A * B + c[5] * B * B) / 2
         if self.order > 2:
-            value = value + (c[6] * A**3 + 3 * c[7] * A * A * B + 3 * c[8] * A * B * B + c[9] * B**3) / 6
-            value = value + (c[10] * A**4 + 4 * c[11] * A**3 * B + 6 * c[12] * A * A * B * B
+            value = value + self.high * (c[6] * A**3 + 3 * c[7] * A * A * B + 3 * c[8] * A * B * B + c[9] * B**3) / 6
+            value = value + self.high * (c[10] * A**4 + 4 * c[11] * A**3 * B + 6 * c[12] * A * A * B * B
                              + 4 * c[13] * A * B**3 + c[14] * B**4) / 24
         return value
 

@@ -214,6 +214,52 @@ def _newton_step(gradient, hessian, limit):
     return step * min(1.0, limit / max(np.max(np.abs(step)), 1e-300))
 
 
+class Climb:
+    """Newton ascent of several fits on one expansion; a fit whose value drops retries a shorter step."""
+
+    def __init__(self, theta, P):
+        self.start, self.theta, self.P = theta.copy(), theta.copy(), P
+        self.step = np.zeros_like(theta)
+        self.value = np.full(len(theta), -np.inf)
+        self.derivatives = [None] * len(theta)
+        self.fresh = np.zeros(len(theta), bool)
+
+    def trial(self):
+        return self.theta + self.step
+
+    def update(self, values):
+        """Takes the values at the trial points; returns which fits accepted them."""
+        trial = self.trial()
+        self.fresh = values[:, 0] >= self.value - 1e-10 * np.abs(values[:, 0])
+        for f in range(len(trial)):
+            if not self.fresh[f]:
+                self.step[f] /= 4
+                continue
+            self.theta[f], self.value[f] = trial[f], values[f, 0]
+            self.derivatives[f] = _differences(values[f], self.P)
+            self.step[f] = _newton_step(*self.derivatives[f], 0.7)
+        return self.fresh
+
+    def back_up(self, best):
+        """Fits that a re-expansion shows to be worse than before go half way back instead."""
+        for f in range(len(self.theta)):
+            if self.value[f] < best.value[f] - 1e-8 * abs(best.value[f]):
+                self.step[f] = (best.theta[f] - self.theta[f]) / 2
+            else:
+                best.theta[f], best.value[f] = self.theta[f].copy(), self.value[f]
+
+    def end(self):
+        """Last accepted points plus their untried step."""
+        return self.theta + self.step
+
+
+class Best:
+    """Best parameters so far by exact value (taken right after an expansion)."""
+
+    def __init__(self, theta):
+        self.theta, self.value = theta.copy(), np.full(len(theta), -np.inf)
+
+
 def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=1e-5):
     """Fits the model ``form`` and returns its result tables.
 
@@ -234,48 +280,37 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
         theta[:] = start
     state = materialise(start_state(rows), "state")
     size = state.count()
-    if start is None:
-        state = state.withColumn("a", F.lit(level))
+    state = state.withColumn("a", F.lit(level))
     group_modes = np.zeros((fits, 1, len(groups))) if form.group_random else None
     offsets = _stencil(P)
     K = len(offsets)
-    converged, expansions = False, 0
-    packed, order = None, 2
-    while expansions < MAX_EXPANSIONS:
+    packed, order, expansions = None, 2, 0
+    best = Best(theta)
+    while True:
         if packed is not None:
-            emitted = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
-            state = emitted
-        order = 2 if expansions < (2 if start is None else 1) else 4
+            state = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
+        order = 2 if expansions < 2 else 4
         packed = expand(rows, state, size)
         expansions += 1
-        before = theta.copy()
-        previous, trial, step = None, theta, None
-        for inner in range(6):
-            points = trial[:, None, :] + offsets[None]
+        climb = Climb(theta, P)
+        for inner in range(1 if order == 2 else 4):
+            points = climb.trial()[:, None, :] + offsets[None]
             wide = None if group_modes is None else np.repeat(group_modes, K, axis=1)
             values, modes = _laplace(packed, points, wide, layout, order)
-            worse = np.zeros(fits, bool) if previous is None else values[:, 0] < previous - 1e-10 * np.abs(previous)
-            if worse.any():  # halve the step of the fits that got worse, keep the others' step
-                step = np.where(worse[:, None], step / 2, step)
-                trial = theta + step
-                if inner < 5:
-                    continue
-                trial = np.where(worse[:, None], theta, trial)
-            theta = trial
+            accepted = climb.update(values)
             if modes is not None:
-                group_modes = modes[:, :1]
-            previous = values[:, 0]
-            derivatives = [_differences(values[f], P) for f in range(fits)]
-            step = np.array([_newton_step(g, h, 0.7) for g, h in derivatives])
-            if order == 2 or np.max(np.abs(step)) < tolerance or inner >= 2:
+                group_modes = np.where(accepted[:, None, None], modes[:, :1], group_modes)
+            if order == 4 and inner == 0:
+                climb.back_up(best)
+            if np.max(np.abs(climb.step)) < tolerance:
                 break
-            trial = theta + step
-        theta = theta + step if np.max(np.abs(step)) > 0 else theta
+        theta = climb.end()
         theta[:, spread_at] = np.abs(theta[:, spread_at])
-        moved = np.max(np.abs(theta - before))
-        if order == 4 and moved < 10 * tolerance:
-            converged = True
+        moved = np.max(np.abs(theta - climb.start), axis=1)
+        converged = (moved < 10 * tolerance) & (order == 4)
+        if converged.all() or expansions == MAX_EXPANSIONS:
             break
+    values, derivatives = climb.value, climb.derivatives
     emitted = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
     state = materialise(emitted, "modes")
     return _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes,
@@ -318,12 +353,12 @@ def _report(spark, form, layout, groups, scales, theta, values, derivatives, sta
             if name in sds:
                 spread_rows.append((f, factor, term, sds[name] * scale, (sds[name] * scale) ** 2))
                 spreads[(f, factor, term)] = sds[name] * scale
-        loglik = float(values[f][0])
+        loglik = float(values[f])
         k = p + len(sds)
         n = sizes[f]
         stat_rows.append((f, int(n), int(entities[f]), len(groups), loglik, 2 * k - 2 * loglik,
                           k * math.log(n) - 2 * loglik, bool(min(sds.values()) < SINGULAR) if sds else False,
-                          bool(converged), expansions))
+                          bool(converged[f]), expansions))
     coefficients = spark.createDataFrame(coefficient_rows, "fit int, term string, estimate double, std_error double")
     coefficients = coefficients.withColumn("statistic", F.try_divide("estimate", "std_error")).withColumn(
         "p_value", F.expr(two_sided("statistic")))
