@@ -19,6 +19,7 @@ SUMS = ["00", "10", "01", "20", "11", "02", "30", "21", "12", "03", "40", "31",
 WIDTH = len(SUMS) + 3  # n, a, b come first
 BLOCK = 300_000
 NEAR_A, NEAR_B = 0.7, 0.5
+LONGEST = 1.5
 
 
 @dataclass(frozen=True)
@@ -77,9 +78,13 @@ class Batch:
         self.fixed_b = self._get("x", zero)
         self.c = [self.sums[:, 3 + i][:, None] for i in range(len(SUMS))]
         self.a0, self.b0 = self.sums[:, 1][:, None], self.sums[:, 2][:, None]
-        self.high = 1.0
-        self._solve()
+        shape = self.points.shape[:2]
+        self.u0, self.u1, self.w = np.zeros(shape), np.zeros(shape), np.zeros((len(rows), shape[1]))
+        self.high = 0.0
+        self._solve()  # second order alone is concave: a safe start for the fourth-order solve
         if order > 2:
+            self.high = 1.0
+            self._solve()
             # far from the centre the fourth-order sums can bend upwards; the second-order ones cannot
             far = (np.abs(self.a - self.a0) > NEAR_A) | (np.abs(self.b - self.b0) > NEAR_B)
             if far.any():
@@ -127,9 +132,6 @@ class Batch:
         return value
 
     def _solve(self):
-        shape = self.points.shape[:2]
-        self.u0, self.u1 = np.zeros(shape), np.zeros(shape)
-        self.w = np.zeros((len(self.owner), shape[1]))
         for _ in range(60):
             a, b = self._place()
             self._curvature(a, b)
@@ -159,6 +161,11 @@ class Batch:
         self.h11 = 1 + _add(-s1 * s1 * hbb - self.h1w**2 / self.hww, rows, self.count)
         self.det = np.maximum(self.h00 * self.h11 - self.h01**2, 1e-12)
 
+    def reach(self):
+        """Per entity: how far the first point's modes lie from the centre of the sums."""
+        far = np.maximum(np.abs(self.a - self.a0), 2 * np.abs(self.b - self.b0))[:, 0]
+        return np.maximum.reduceat(far, np.searchsorted(self.owner, np.arange(self.count)))
+
     def value(self):
         """Laplace value per entity (E, K); the group block is added by the caller."""
         inner = self._value(self.a, self.b) - self.w**2 / 2 - np.log(self.hww) / 2
@@ -194,7 +201,7 @@ def evaluator(points, group_modes, layout, order):
     G = layout.groups
 
     def run(batches):
-        values, seen = np.zeros((fits, K)), np.zeros(fits, bool)
+        values, seen, reach = np.zeros((fits, K)), np.zeros(fits, bool), np.zeros(fits)
         gradients, hessians = {}, {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -206,6 +213,8 @@ def evaluator(points, group_modes, layout, order):
                 modes = None if group_modes is None else group_modes[:, part]
                 solved = Batch(unpacked, points[:, part], modes, layout, order)
                 per_entity = solved.value()
+                if start == 0:
+                    np.maximum.at(reach, solved.fit, solved.reach())
                 for fit in np.unique(solved.fit):
                     seen[fit] = True
                     values[fit, part] += per_entity[solved.fit == fit].sum(axis=0)
@@ -217,6 +226,7 @@ def evaluator(points, group_modes, layout, order):
         yield pa.RecordBatch.from_pydict({
             "fit": pa.array(used, pa.int32()),
             "value": pa.array([values[f].tolist() for f in used], pa.list_(pa.float64())),
+            "reach": pa.array(reach[used]),
             "gradient": pa.array([gradients[f].ravel().tolist() if f in gradients else [] for f in used],
                                  pa.list_(pa.float64())),
             "hessian": pa.array([hessians[f].ravel().tolist() if f in hessians else [] for f in used],
@@ -237,13 +247,15 @@ def mode_emitter(points, group_modes, layout, order):
             solved = Batch(unpacked, points, group_modes, layout, order)
             rows = solved.owner
             take = pa.array(rows)
+            # a long way to the modes is gone in several expansions, as single long steps can overshoot
+            share = np.minimum(1, LONGEST / np.maximum(solved.reach(), 1e-300))[rows]
             yield pa.RecordBatch.from_pydict({
                 "fit": batch.column("fit").take(take),
                 "entity": batch.column("entity").take(take),
                 "place": pa.array(solved.group, pa.int32()),
                 "m": batch.column("m").take(take),
-                "a": pa.array(solved.a[:, 0]),
-                "b": pa.array(solved.b[:, 0]),
+                "a": pa.array(solved.a0[:, 0] + share * (solved.a - solved.a0)[:, 0]),
+                "b": pa.array(solved.b0[:, 0] + share * (solved.b - solved.b0)[:, 0]),
                 "n": pa.array(solved.sums[:, 0]),
                 "intercept_mode": pa.array((solved.s0 * solved.u0)[rows, 0]),
                 "slope_mode": pa.array((solved.s1 * solved.u1)[rows, 0]),

@@ -25,8 +25,8 @@ from swayline.skew import attach
 SINGULAR = 1e-4
 STATE = "fit int, entity string, place int, m double, a double, b double, n double, " \
         "intercept_mode double, slope_mode double, nested_mode double"
-VALUES = "fit int, value array<double>, gradient array<double>, hessian array<double>"
-MAX_EXPANSIONS = 25
+VALUES = "fit int, value array<double>, reach double, gradient array<double>, hessian array<double>"
+MAX_EXPANSIONS = 40
 
 
 @dataclass
@@ -151,22 +151,23 @@ def _evaluate(packed, points, modes, layout, order):
     fits, K, _ = points.shape
     G = layout.groups
     parts = packed.mapInArrow(evaluator(points, modes, layout, order), VALUES).collect()
-    values = np.zeros((fits, K))
+    values, reach = np.zeros((fits, K)), np.zeros(fits)
     gradient, hessian = np.zeros((fits, K, G)), np.zeros((fits, K, G, G))
     for row in parts:
         values[row["fit"]] += row["value"]
+        reach[row["fit"]] = max(reach[row["fit"]], row["reach"])
         if modes is not None:
             gradient[row["fit"]] += np.reshape(row["gradient"], (K, G))
             hessian[row["fit"]] += np.reshape(row["hessian"], (K, G, G))
-    return values, gradient, hessian
+    return values, reach, gradient, hessian
 
 
 def _laplace(packed, points, modes, layout, order):
-    """Laplace log-likelihood (F, K) and, for models with group intercepts, their modes (F, K, G)."""
+    """Laplace log-likelihood (F, K), the modes' distance from the centre (F,), and group modes (F, K, G)."""
     if layout.at("sd_group") is None:
-        return _evaluate(packed, points, None, layout, order)[0], None
+        return *_evaluate(packed, points, None, layout, order)[:2], None
     for _ in range(6):
-        values, gradient, hessian = _evaluate(packed, points, modes, layout, order)
+        values, reach, gradient, hessian = _evaluate(packed, points, modes, layout, order)
         gradient = gradient - modes
         hessian = hessian + np.eye(layout.groups)
         step = np.linalg.solve(hessian, gradient[..., None])[..., 0]
@@ -176,7 +177,7 @@ def _laplace(packed, points, modes, layout, order):
         modes = modes + np.clip(step, -2, 2)
         if done:
             break
-    return values, modes
+    return values, reach, modes
 
 
 def _stencil(P, h=2e-3):
@@ -240,9 +241,9 @@ class Climb:
             self.step[f] = _newton_step(*self.derivatives[f], 0.7)
         return self.fresh
 
-    def back_up(self, best):
+    def back_up(self, best, exact):
         """Fits that a re-expansion shows to be worse than before go half way back instead."""
-        for f in range(len(self.theta)):
+        for f in np.flatnonzero(exact):
             if self.value[f] < best.value[f] - 1e-8 * abs(best.value[f]):
                 self.step[f] = (best.theta[f] - self.theta[f]) / 2
             else:
@@ -296,18 +297,19 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
         for inner in range(1 if order == 2 else 4):
             points = climb.trial()[:, None, :] + offsets[None]
             wide = None if group_modes is None else np.repeat(group_modes, K, axis=1)
-            values, modes = _laplace(packed, points, wide, layout, order)
+            values, reach, modes = _laplace(packed, points, wide, layout, order)
+            near = reach if inner == 0 else near
             accepted = climb.update(values)
             if modes is not None:
                 group_modes = np.where(accepted[:, None, None], modes[:, :1], group_modes)
             if order == 4 and inner == 0:
-                climb.back_up(best)
+                climb.back_up(best, near < 0.3)
             if np.max(np.abs(climb.step)) < tolerance:
                 break
         theta = climb.end()
         theta[:, spread_at] = np.abs(theta[:, spread_at])
         moved = np.max(np.abs(theta - climb.start), axis=1)
-        converged = (moved < 10 * tolerance) & (order == 4)
+        converged = (moved < 10 * tolerance) & (near < 1e-3) & (order == 4)
         if converged.all() or expansions == MAX_EXPANSIONS:
             break
     values, derivatives = climb.value, climb.derivatives

@@ -62,10 +62,17 @@ def laplace(beta, sds, X, Z, owner, y):
     scale = np.array([sds[o] for o in owner])
     ZL = Z * scale
     u = np.zeros(Z.shape[1])
-    for _ in range(100):
+
+    def inner(u):
+        eta = X @ beta + ZL @ u
+        return np.sum(y * eta - np.logaddexp(0, eta)) - u @ u / 2
+
+    for _ in range(200):
         p = 1 / (1 + np.exp(-(X @ beta + ZL @ u)))
         A = np.eye(len(u)) + ZL.T @ (ZL * (p * (1 - p))[:, None])
         step = np.linalg.solve(A, ZL.T @ (y - p) - u)
+        while inner(u + step) < inner(u) - 1e-12:
+            step = step / 2
         u = u + step
         if np.max(np.abs(step)) < 1e-12:
             break

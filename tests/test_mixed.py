@@ -73,6 +73,30 @@ def test_matches_dense_laplace(spark, name):
         assert np.allclose([got[("group", g, "(Intercept)")] for g in groups], want, atol=1e-4)
 
 
+def test_hard_data_matches_dense_laplace(spark):
+    """Large spreads, few rows per entity, entities that always or never win, an uncentred predictor."""
+    rows = dense.simulate(61, groups=3, entities=12, rows=7, sd_slope=1.5, sd_intercept=2.0, group_effects=False)
+    rows = [(e, g, x + 3.0, m, 1.0 if e.endswith("003") else 0.0 if e.endswith("004") else y) for e, g, x, m, y in rows]
+    form = FORMS["both"]
+    fit = mixed.fit_mixed(cells_of(spark, rows), form)
+    stats = fit.fit_stats.first()
+    assert stats["converged"]
+    groups, entities = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
+    X, Z, owner = dense.design(rows, form, groups, entities)
+    y = np.array([r[4] for r in rows])
+    beta = np.array([fit.fixed[(0, t)] for t in ("(Intercept)", "x", "m")])
+    sds = {"i": fit.spreads[(0, "entity", "(Intercept)")], "s": fit.spreads[(0, "entity", "x")]}
+    assert dense.laplace(beta, sds, X, Z, owner, y)[0] == pytest.approx(stats["log_lik"], abs=1e-4)
+    h = 1e-4
+    for i in range(3):
+        step = np.eye(3)[i] * h
+        assert abs(dense.laplace(beta + step, sds, X, Z, owner, y)[0]
+                   - dense.laplace(beta - step, sds, X, Z, owner, y)[0]) / (2 * h) < 2e-2
+    for k in sds:
+        up, down = {**sds, k: sds[k] + h}, {**sds, k: abs(sds[k] - h)}
+        assert abs(dense.laplace(beta, up, X, Z, owner, y)[0] - dense.laplace(beta, down, X, Z, owner, y)[0]) / (2 * h) < 2e-2
+
+
 def test_recovers_planted_values(spark):
     rows = dense.simulate(11, groups=5, entities=40, rows=100)
     fit = mixed.fit_mixed(cells_of(spark, rows), FORMS["slope"])
