@@ -7,12 +7,17 @@ from swayline.scratch import materialise
 from swayline.skew import attach
 
 
-def entity_summary(frame):
+def entity_summary(frame, rename=None):
     """(entity, mean, median, max, min of the metric, n_contests); best mean first.
 
     The rows are merged once into (entity, value) counts; all five statistics come from those.
+    ``rename`` maps raw entity names to final ones; it is applied to the merged counts, so its
+    string work is done once per name and value instead of once per row.
     """
-    cells = materialise(value_cells(frame, ["entity"], "metric"), "cells")
+    cells = value_cells(frame, ["entity"], "metric")
+    if rename is not None:
+        cells = value_cells(rename(cells), ["entity"], "metric", "n")
+    cells = materialise(cells, "cells")
     base = cells.groupBy("entity").agg(
         (F.sum(F.col("metric") * F.col("n")) / F.sum("n")).alias("mean_metric"),
         F.max("metric").alias("max_metric"),

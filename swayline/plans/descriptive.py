@@ -42,16 +42,18 @@ def join_contests(spark, sf_dir):
     return joined.select("date", "season", "game", "round_type", "winner", "entity", "group_name", "metric")
 
 
-def normalised(spark, sf_dir):
-    return clean.normalise_names(roles.messy_names(spark, sf_dir), "entity", roles.MESSY_ALIASES)
+def named_summary(spark, sf_dir):
+    """Five-statistic summary on normalised names."""
+    return summary.entity_summary(
+        roles.messy_names(spark, sf_dir), lambda df: clean.normalise_names(df, "entity", roles.MESSY_ALIASES))
 
 
 def entity_summary(spark, sf_dir):
-    return rounded(summary.entity_summary(normalised(spark, sf_dir)))
+    return rounded(named_summary(spark, sf_dir))
 
 
 def name_audit(spark, sf_dir):
-    return rounded(clean.name_audit(summary.entity_summary(normalised(spark, sf_dir))))
+    return rounded(clean.name_audit(named_summary(spark, sf_dir)))
 
 
 def name_collisions(spark, sf_dir):
@@ -107,7 +109,7 @@ def metric_by_outcome(spark, sf_dir):
 
 
 def ols_summary(spark, sf_dir):
-    fit = linear.ols_summary(summary.entity_summary(normalised(spark, sf_dir)), "n_contests", "mean_metric")
+    fit = linear.ols_summary(named_summary(spark, sf_dir), "n_contests", "mean_metric")
     return rounded(fit)
 
 
@@ -126,7 +128,7 @@ def ols_top(spark, sf_dir):
 
 
 def plot_scatter_labels(spark, sf_dir):
-    return rounded(plotdata.scatter_labels(summary.entity_summary(normalised(spark, sf_dir)), 50, 27, 25, 60))
+    return rounded(plotdata.scatter_labels(named_summary(spark, sf_dir), 50, 27, 25, 60))
 
 
 def plot_mean_sd(spark, sf_dir):
@@ -139,7 +141,7 @@ def plot_density(spark, sf_dir):
 
 
 def plot_mean_density(spark, sf_dir):
-    means = summary.entity_summary(normalised(spark, sf_dir)).select("mean_metric")
+    means = named_summary(spark, sf_dir).select("mean_metric")
     means = materialise(means, "means")
     overall = means.agg(F.avg("mean_metric")).first()[0]
     return rounded(plotdata.density(means, "mean_metric").withColumn("overall_mean", F.lit(overall)))

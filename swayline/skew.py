@@ -31,14 +31,15 @@ def attach(frame, stats, keys, rows="n", size=None):
     passes ``size``): up to ``BROADCAST_ROWS`` rows are
     broadcast and ``frame`` is not shuffled. Beyond that both sides are shuffled, and
     the rows of hot keys (found from the ``rows`` column of ``stats``) are spread over
-    ``SALTS`` sub-keys. ``frame`` must be a file scan plus row-wise steps, so that the
-    salt of a row is the same when a task is repeated.
+    ``SALTS`` sub-keys. There ``frame`` is written first as well, as the salt counts rows of
+    a scan: that way a repeated task gives its rows the same salts.
     """
     if size is None or size > BROADCAST_ROWS:
         stats = materialise(stats, "stats")
         size = stats.count()
     if size <= BROADCAST_ROWS:
         return _null_safe(frame, F.broadcast(stats), keys)
+    frame = materialise(frame, "frame")
     total = stats.agg(F.sum(rows)).first()[0] or 0
     hot = stats.where(F.col(rows) > max(total * HOT_SHARE, HOT_ROWS)).select(
         *keys, F.lit(True).alias("__hot")

@@ -10,4 +10,6 @@ from swayline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "swayline-tests")
+    session = local_session(4, "swayline-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session
