@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from swayline.functions.student import t_p_value
+from swayline.scratch import materialise
 
 
 def _with_tests(terms):
@@ -77,8 +78,10 @@ def interaction_terms(fits):
     The model is saturated by entity, so each contrast is a difference of two lines; the
     residual variance is pooled over the group. The reference is the group's first entity
     (by name) whose metric varies. Groups are reduced by an aggregate and joined back, so a
-    group with very many entities is never gathered in one task.
+    group with very many entities is never gathered in one task. The lines are written first,
+    as both sides of that join need them and the rows behind them should be read once.
     """
+    fits = materialise(fits, "fits")
     usable = F.when(F.col("slope").isNotNull(), F.col("entity"))
     line = F.struct("slope", "intercept", "avgx", "sxx", "n")
     groups = fits.groupBy("group_name").agg(

@@ -62,6 +62,15 @@ def attach(frame, stats, keys, rows="n", size=None):
     return joined.drop("__salt", "__r__salt", "__hot")
 
 
+def join_lookup(frame, lookup, condition, size):
+    """Left join of a lookup table with ``size`` rows: broadcast up to ``BROADCAST_ROWS``.
+
+    Spark overestimates a lookup that is itself a join, and would shuffle ``frame`` for it.
+    A larger lookup is joined by a shuffle, in which adaptive execution splits hot keys.
+    """
+    return frame.join(F.broadcast(lookup) if size <= BROADCAST_ROWS else lookup, condition, "left")
+
+
 def hot_keys(frame, key):
     """Values of ``key`` that are hot in ``frame``; at most ``1 / HOT_SHARE`` of them."""
     counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

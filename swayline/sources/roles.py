@@ -8,6 +8,8 @@ line's quantity is the metric. See FIXTURES.md.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from swayline.skew import join_lookup
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -34,7 +36,7 @@ def table(spark, sf_dir, name):
 
 
 def supplier_groups(spark, sf_dir):
-    """supplier key -> entity, group. Catalyst broadcasts it while its files are small."""
+    """supplier key -> entity, group."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region")
@@ -45,6 +47,12 @@ def supplier_groups(spark, sf_dir):
     )
 
 
+def with_supplier(lines, spark, sf_dir):
+    """Adds entity and group of the line's supplier; the supplier count comes from file footers."""
+    size = table(spark, sf_dir, "supplier").count()
+    return join_lookup(lines, supplier_groups(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"), size)
+
+
 def observations(spark, sf_dir, with_role=False, group="region"):
     """One row per line: game, entity, group_name, metric (and role_code).
 
@@ -54,7 +62,7 @@ def observations(spark, sf_dir, with_role=False, group="region"):
         F.col("l_orderkey").alias("game"), "l_suppkey", "l_partkey", "l_linestatus",
         F.col("l_quantity").alias("metric"),
     )
-    joined = lines.join(supplier_groups(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    joined = with_supplier(lines, spark, sf_dir)
     if group == "status":
         joined = joined.withColumn("group_name", F.col("l_linestatus"))
     columns = ["game", "entity", "group_name", "metric"]
@@ -113,8 +121,8 @@ def raw_observations(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09:30:00.000+0000"))
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .join(supplier_groups(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        with_supplier(lines, spark, sf_dir)
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         .select(
             text.alias("utcStartTime"),
