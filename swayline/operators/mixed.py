@@ -121,7 +121,8 @@ def expand(rows, state, size):
     """
     keys = ["fit", "entity", "place"]
     joined = attach(
-        rows.select(*keys, "x", F.col("n").alias("trials"), "wins"), state.select(*keys, "m", "a", "b", "n"), keys, size=size
+        rows.select(*keys, "x", F.col("n").alias("trials"), "wins"), state.select(*keys, "m", "a", "b", "n"), keys,
+        size=size, scanned=True,
     )
     powers = {0: "", 1: " * x", 2: " * x * x", 3: " * x * x * x", 4: " * x * x * x * x"}
     by_order = [

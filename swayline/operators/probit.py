@@ -51,7 +51,7 @@ def _score_sums(rows, state, keys, size):
 
     The observed information drives the steps, the expected one gives the variances.
     """
-    base = attach(rows, state, keys, size=size).selectExpr("*", "a + b * x AS eta").selectExpr("*", "abs(eta) AS far")
+    base = attach(rows, state, keys, size=size, scanned=True).selectExpr("*", "a + b * x AS eta").selectExpr("*", "abs(eta) AS far")
     base = base.selectExpr("*", f"greatest({normal.upper_tail('far')}, 1e-300D) AS tail", f"{normal.density('eta')} AS d")
     base = base.selectExpr("*", "d / (CASE WHEN eta > 0 THEN 1 - tail ELSE tail END) AS won",
                            "d / (CASE WHEN eta > 0 THEN tail ELSE 1 - tail END) AS lost")

@@ -28,7 +28,7 @@ def cell_quantiles(cells, keys, value, probs):
     largest = sizes.agg(F.max("n_cells")).first()[0] or 0
     if largest <= DIRECT_CELLS:
         return _direct(cells, keys, value, probs)
-    marked = attach(cells, sizes, keys, rows="n_cells")
+    marked = attach(cells, sizes, keys, rows="n_cells", scanned=True)
     small = _direct(marked.where(F.col("n_cells") <= DIRECT_CELLS), keys, value, probs)
     wide = materialise(marked.where(F.col("n_cells") > DIRECT_CELLS), "wide").drop("n_cells", "n_total")
     return small.unionByName(_by_ranges(wide, keys, value, probs))
@@ -55,7 +55,7 @@ def _by_ranges(cells, keys, value, probs):
     targets = materialise(targets, "ranks")
     label = [*keys, "prob", "side", "rank"]
     while targets.where("lo < hi").limit(1).count():
-        inside = attach(cells, targets, keys, rows="n_total").where(
+        inside = attach(cells, targets, keys, rows="n_total", scanned=True).where(
             (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))
         )
         share = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))

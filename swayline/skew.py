@@ -24,22 +24,23 @@ def _null_safe(left, right, keys, extra=(), how="left"):
     return left.join(right, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def attach(frame, stats, keys, rows="n", size=None):
+def attach(frame, stats, keys, rows="n", size=None, scanned=False):
     """Left-join per-key ``stats`` onto ``frame`` without moving a hot key into one task.
 
     ``stats`` is written first, so its size is known (a caller who has counted it already
     passes ``size``): up to ``BROADCAST_ROWS`` rows are
     broadcast and ``frame`` is not shuffled. Beyond that both sides are shuffled, and
     the rows of hot keys (found from the ``rows`` column of ``stats``) are spread over
-    ``SALTS`` sub-keys. There ``frame`` is written first as well, as the salt counts rows of
-    a scan: that way a repeated task gives its rows the same salts.
+    ``SALTS`` sub-keys. There ``frame`` is written first as well, unless it is ``scanned`` from
+    files already: the salt counts rows of a scan, so a repeated task gives its rows the same salts.
     """
     if size is None or size > BROADCAST_ROWS:
         stats = materialise(stats, "stats")
         size = stats.count()
     if size <= BROADCAST_ROWS:
         return _null_safe(frame, F.broadcast(stats), keys)
-    frame = materialise(frame, "frame")
+    if not scanned:
+        frame = materialise(frame, "frame")
     total = stats.agg(F.sum(rows)).first()[0] or 0
     hot = stats.where(F.col(rows) > max(total * HOT_SHARE, HOT_ROWS)).select(
         *keys, F.lit(True).alias("__hot")
