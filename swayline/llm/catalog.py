@@ -1,11 +1,20 @@
 """The dealt queries, one per operator, and their SQL where SQL can express them."""
 
+from swayline.llm import license_scan
+from swayline.llm.chat_format import op2_chat_format
+from swayline.llm.fingerprint import op9_fingerprint
+from swayline.llm.license_scan import op10_license_scan
 from swayline.llm.substring_dedup import op1_substring_dedup
 from swayline.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_license_scan": op10_license_scan,
 }
 
-SQL = {}
+SQL = {
+    "op10_license_scan": license_scan.SQL,
+}
