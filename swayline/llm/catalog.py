@@ -2,8 +2,13 @@
 
 from swayline.llm import license_scan
 from swayline.llm.chat_format import op2_chat_format
+from swayline.llm.decontaminate import op5_decontaminate
 from swayline.llm.fingerprint import op9_fingerprint
+from swayline.llm.language_id import op4_language_id
 from swayline.llm.license_scan import op10_license_scan
+from swayline.llm.lm_score import op7_lm_score
+from swayline.llm.minhash import op8_minhash
+from swayline.llm.packing import op6_packing
 from swayline.llm.substring_dedup import op1_substring_dedup
 from swayline.llm.suffix_dedup import op3_suffix_dedup
 
@@ -11,6 +16,11 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
+    "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_license_scan": op10_license_scan,
 }
