@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swayline.llm.common import chunks, fold, utf8
 
@@ -45,21 +46,26 @@ class Direction:
         self.bias = np.zeros(3 * hidden, np.float32)
         self.hidden = hidden
 
-    def forward(self, text, keep=False):
-        """States after each step (steps, rows, hidden); ``text`` is (steps, rows)."""
+    def forward(self, text, keep=False, active=None):
+        """States after each step (steps, rows, hidden); ``text`` is (steps, rows).
+
+        Of rows sorted by length, ``active`` tells how many take part in a step; the others stand still.
+        """
         n = self.hidden
         table = self.inp + self.bias
-        state = np.zeros((text.shape[1], n), np.float32)
-        states, inner = np.empty((*text.shape, n), np.float32), []
+        state = whole = np.zeros((text.shape[1], n), np.float32)
+        states, inner = np.zeros((*text.shape, n), np.float32), []
         for t in range(len(text)):
-            x = table[text[t]]
+            k = text.shape[1] if active is None else active[t]
+            state = whole[:k]
+            x = table[text[t, :k]]
             gates = _sigmoid(x[:, : 2 * n] + state @ self.rec)
             reset, update = gates[:, :n], gates[:, n:]
             fresh = np.tanh(x[:, 2 * n :] + (reset * state) @ self.cand)
             if keep:
                 inner.append((state, reset, update, fresh))
-            state = state + update * (fresh - state)
-            states[t] = state
+            states[t, :k] = state + update * (fresh - state)
+            whole = np.concatenate((states[t, :k], whole[k:])) if k < len(whole) else states[t]
         return (states, inner) if keep else states
 
     def backward(self, text, inner, grad):
@@ -98,9 +104,11 @@ class Network:
         p = np.exp(logits)
         return p / p.sum(-1, keepdims=True)
 
-    def probabilities(self, text):
+    def probabilities(self, text, active=None):
         """Language probabilities of each position of (steps, rows) bytes."""
-        return self._softmax(np.concatenate((self.ahead.forward(text), self.back.forward(text[::-1])[::-1]), 2))
+        ahead = self.ahead.forward(text, active=active)
+        back = self.back.forward(text[::-1], active=None if active is None else active[::-1])
+        return self._softmax(np.concatenate((ahead, back[::-1]), 2))
 
     def gradients(self, text, target):
         """(loss, gradients by parameter) of full segments; ``target`` is the label number of each row."""
@@ -172,9 +180,9 @@ def document_probabilities(net, data, starts, ends):
                 if not len(part):
                     continue
                 steps = int(length[part].max())
-                at = begin[part] + np.minimum(np.arange(steps)[:, None], length[part] - 1)  # the last byte fills up
-                p = net.probabilities(data[at])
-                p *= (np.arange(steps)[:, None] < length[part])[:, :, None]
+                inside = np.arange(steps)[:, None] < length[part]
+                at = begin[part] + np.minimum(np.arange(steps)[:, None], length[part] - 1)
+                p = net.probabilities(data[at], inside.sum(1).tolist()) * inside[:, :, None]
                 np.add.at(total, doc[part], p.sum(0))
     return total / np.maximum(ends - starts, 1)[:, None]
 
@@ -210,8 +218,8 @@ def predict(docs, net, text_col="text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     rows = docs.select(*others)
-    ddl = rows.schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(scan, ddl)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(scan, schema)
 
 
 def op4_language_id(spark, sf_dir):

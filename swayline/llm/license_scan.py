@@ -89,6 +89,11 @@ def bigrams(words):
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, lambda w: F.concat(w, F.lit(" ")))))
 
 
+def bound(value, use):
+    """``use(value)`` with the value computed once, however often it is used and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def units(text):
     """(kind, number, text) of the units of a text."""
     of = lambda kind, array: F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x.alias("unit")))
@@ -106,21 +111,22 @@ def license_matches(docs, threshold=THRESHOLD, templates=None, id_col="doc_id",
     ])
     least, most = min(map(len, templates.values())) * low, max(map(len, templates.values())) * high
     rows = docs.select(F.col(id_col).alias("id"), F.explode(units(F.coalesce(F.col(text_col), F.lit("")))).alias("u"))
-    rows = rows.select("id", "u.kind", "u.number", F.split(normalised(F.col("u.unit")), " ").alias("words"))
+
+    def best(pairs):
+        n = F.size(pairs)
+        near = F.filter(known, lambda t: (n >= t["n"] * low - 1e-9) & (n <= t["n"] * high + 1e-9))
+        scored = F.transform(
+            near,
+            lambda t: F.struct((-2.0 * F.size(F.array_intersect(pairs, t["pairs"])) / (n + t["n"])).alias("minus"), t["license"].alias("license")),
+        )
+        # the highest score, then the first id
+        return F.when(n.between(least, most), F.array_min(F.filter(scored, lambda s: s["minus"] <= -threshold)))
+
     # words are one more than bigrams, so a unit with too few words is out before they are made
-    rows = rows.where((F.size("words") >= least) & (F.get("words", F.lit(0)) != ""))
-    rows = rows.withColumn("pairs", bigrams(F.col("words"))).withColumn("n", F.size("pairs")).where(F.col("n").between(least, most))
-    near = F.filter(known, lambda t: (F.col("n") >= t["n"] * low - 1e-9) & (F.col("n") <= t["n"] * high + 1e-9))
-    scored = F.transform(
-        near,
-        lambda t: F.struct((2.0 * F.size(F.array_intersect("pairs", t["pairs"])) / (F.col("n") + t["n"])).alias("score"), t["license"].alias("license")),
-    )
-    scored = F.filter(scored, lambda s: s["score"] >= threshold)
-    # the highest score, then the first id: scores are negated to sort both ways at once
-    best = F.array_min(F.transform(scored, lambda s: F.struct((-s["score"]).alias("minus"), s["license"].alias("license"))))
-    return rows.withColumn("best", best).where("best is not null").select(
-        "id", "kind", "number", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"),
-    )
+    enough = lambda words: (F.size(words) >= least) & (F.get(words, F.lit(0)) != "")
+    found = bound(F.split(normalised(F.col("u.unit")), " "), lambda words: F.when(enough(words), bound(bigrams(words), best)))
+    rows = rows.select("id", "u.kind", "u.number", found.alias("best")).where("best is not null")
+    return rows.select("id", "kind", "number", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
 def license_scan(docs, threshold=THRESHOLD, templates=None, id_col="doc_id", text_col="text"):
