@@ -212,8 +212,12 @@ def pack_documents(docs, path, max_len=MAX_LEN, id_col="doc_id", text_col="text"
     return ranked.mapInArrow(place, ddl)
 
 
-def op6_packing(spark, sf_dir):
+def default_tokenizer():
     import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    return pack_documents(docs, default_tokenizer()).withColumnRenamed("id", "doc_id")

@@ -276,14 +276,17 @@ def repeat_rows(docs, shape, payloads, listed, schema, ddl):
     return sent.groupBy("place").applyInArrow(bucket, ddl)
 
 
-def with_id(docs, id_col, text_col):
-    """(id, text) of the rows that have an id."""
-    return docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-    )
+def with_id(docs, id_col, text_col, carry=()):
+    """(id, text) of the rows that have an id, and the columns ``carry`` in ``rest``."""
+    return docs.where(F.col(id_col).isNotNull()).select(*_columns(id_col, text_col, carry))
 
 
-def with_missing(docs, out, work, ddl, id_col, text_col):
+def _columns(id_col, text_col, carry):
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    return [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest]
+
+
+def with_missing(docs, out, work, schema, id_col, text_col, carry=()):
     """``out`` and the rows without an id, with nothing cut."""
     none = np.zeros(0, np.int64)
 
@@ -291,11 +294,14 @@ def with_missing(docs, out, work, ddl, id_col, text_col):
         for batch in batches:
             data, first, last = utf8(batch.column(0))
             rows = [work(data[a:b].tobytes(), none, none) for a, b in zip(first.tolist(), last.tolist())]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=ddl)
-
-    lost = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")).mapInArrow(whole, _ddl(ddl))
-    return out.unionByName(lost.withColumn("id", F.lit(None).cast("long")))
+            table = pa.Table.from_pylist(rows, schema=schema) if rows else schema.empty_table()
+            for i, name in enumerate(batch.schema.names[1:]):
+                table = table.add_column(i, name, batch.column(i + 1))
+            yield from table.combine_chunks().to_batches()
+
+    lost = docs.where(F.col(id_col).isNull()).select(*_columns(id_col, text_col, carry)).select("text", "id", *(["rest"] if carry else []))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in lost.schema if f.name != "text"]
+    return out.unionByName(lost.mapInArrow(whole, ", ".join([*kept, _ddl(schema)])))
 
 
 def _ddl(schema):

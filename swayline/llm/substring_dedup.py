@@ -8,8 +8,8 @@ The steps that hold make the maximal repeats of at least ``min_words`` words; ea
 the words that a smaller document has in such a repeat.
 
 Defined results: a missing text has no words; a missing id takes part in nothing and comes back
-whole; repeated rows of one id are judged by their id, so copies within one id stay; columns other
-than id and text are carried through untouched whatever their names.
+whole; repeated rows of one id are judged by their id, so copies within one id stay; other columns do
+not take part.
 """
 
 import itertools

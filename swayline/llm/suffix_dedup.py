@@ -11,7 +11,7 @@ A group reaches as far as the bucket sees: a longer repeat comes as a chain of o
 the spans of a document join them again.
 
 Defined results: a missing text is empty; a missing id takes part in nothing and comes back whole;
-repeats within one id stay; other columns are carried through whatever their names. Text that is cut
+repeats within one id stay; other columns come through in ``rest`` if asked for, whatever their names. Text that is cut
 inside a character is decoded with replacement characters for the text column; digests use the bytes.
 """
 
@@ -173,11 +173,11 @@ def _kept(text, start, end):
     return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(start), "kept": kept.decode(errors="replace"), "kept_sha256": sha256(kept)}
 
 
-def suffix_dedup(docs, min_bytes=50, gram=24, id_col="doc_id", text_col="text"):
-    """Rows of ``docs`` as (id, n_bytes, n_removed, n_spans, kept, kept_sha256, carried columns in ``rest``)."""
+def suffix_dedup(docs, min_bytes=50, gram=24, id_col="doc_id", text_col="text", carry=()):
+    """Rows of ``docs`` as (id, n_bytes, n_removed, n_spans, kept, kept_sha256), with the columns ``carry`` in ``rest``."""
     shape = seeds.Shape(False, min_bytes, gram)
-    spans, blocks, _ = seeds.repeat_spans(seeds.with_id(docs, id_col, text_col), shape, _surroundings, cover)
-    return seeds.with_missing(docs, seeds.cut(blocks, spans, _kept, RESULT), _kept, RESULT, id_col, text_col)
+    spans, blocks, _ = seeds.repeat_spans(seeds.with_id(docs, id_col, text_col, carry), shape, _surroundings, cover)
+    return seeds.with_missing(docs, seeds.cut(blocks, spans, _kept, RESULT), _kept, RESULT, id_col, text_col, carry)
 
 
 GROUP = pa.schema([("group_key", pa.binary()), ("length", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
