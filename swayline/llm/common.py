@@ -1,5 +1,6 @@
 """Helpers that the training-data operators share."""
 
+import gc
 import hashlib
 
 import numpy as np
@@ -20,8 +21,11 @@ def written(df, label):
     Spark drops shuffle files when the driver collects the garbage that refers to them, which it
     seldom does by itself; without the hint several steps' shuffles add up on the executors' disks.
     """
+    jvm = df.sparkSession.sparkContext._jvm
     out = materialise(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df  # the last reference, where the caller keeps none
+    gc.collect()
+    jvm.System.gc()
     return out
 
 
