@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from swayline.llm import rolling
@@ -202,7 +203,9 @@ def _send(ids, texts, marks, hot, shape, n_blocks, payloads, local):
     offset = np.cumsum(size) - size
     for bucket, rows in split_by(np.where(same, n_blocks, (key % np.uint64(n_blocks)).astype(np.int64)), n_blocks + 1):
         if bucket < n_blocks:
-            yield "seed", bucket, pack(key[rows], doc[rows], start[rows].astype(np.int32), n[rows].astype(np.int16), size[rows].astype(np.int32), take(body, offset[rows], size[rows]))
+            rows = rows[np.argsort(doc[rows], kind="stable")]
+            parts = [narrow(key[rows]), np.frombuffer(pack_ids(doc[rows]), np.uint8), start[rows].astype(np.int32), n[rows].astype(np.uint16)]
+            yield "seed", bucket, pack(*parts, squeezed(take(body, offset[rows], size[rows])))
 
 
 def take(body, offset, size):
@@ -240,11 +243,29 @@ def _gathered(docs, shape, payloads, local=True):
 
 
 def _entries(kinds, bodies, shape):
-    types = (np.uint64, np.int64, np.int32, np.int16, np.int32, BODY[shape.words])
-    parts = [unpack(b, *types) for k, b in zip(kinds, bodies) if k == "seed"]
+    """(keys, documents, first windows, numbers of windows, sizes, bodies) of a bucket."""
+    parts = []
+    for body in (b for k, b in zip(kinds, bodies) if k == "seed"):
+        six, ids, start, n, text = unpack(body, np.uint8, np.uint8, np.int32, np.uint16, np.uint8)
+        n = n.astype(np.int64)
+        size = n if shape.words else n + shape.window - 1
+        parts.append((widen(six), unpack_ids(ids.tobytes()), start, n, size, restored(text, BODY[shape.words])))
     return [np.concatenate(x) for x in zip(*parts)]
 
 
+def squeezed(body):
+    """Bytes of an array, compressed where that helps (texts; not hashes)."""
+    if body.dtype != np.uint8:
+        return body.view(np.uint8)
+    return np.frombuffer(zstandard.ZstdCompressor(level=3).compress(body.tobytes()), np.uint8)
+
+
+def restored(body, kind):
+    if kind != np.uint8:
+        return np.frombuffer(body.tobytes(), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body.tobytes()), np.uint8)
+
+
 def repeat_spans(docs, shape, payloads, judge):
     """Rows (kind, place, body) with the spans of symbols that repeat a smaller document's, by block.
 
