@@ -38,7 +38,7 @@ BANDS, ROWS = 40, 5
 #: Nodes of a block of a large bucket.
 BLOCK = 1000
 #: Pairs across two components that a pass compares, at first; each pass has 16 times as many.
-FIRST_PAIRS = 16
+FIRST_PAIRS = 256
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -224,23 +224,21 @@ def near_duplicates(docs, threshold=THRESHOLD, k=SHINGLE, bands=BANDS, rows=ROWS
     shared = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     pairs = shared.groupBy("node").agg(F.max(F.struct("n", F.col("leader").alias("a"))).alias("best")).select(F.col("best.a").alias("a"), F.col("node").alias("b"))
     needed = buckets.select("node").distinct().join(members, "node").select(F.col("id").alias("n_id"), "node")
+    pairs = written(pairs, "pairs")
     texts = both.join(needed, F.col("id") == F.col("n_id")).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
-    links = written(_verified(pairs, texts, k, percent), "links")
-    tested = written(pairs, "tested")
-    most = FIRST_PAIRS
+    roots = components(_verified(pairs, texts, k, percent))
+    tested, most = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST_PAIRS
     while True:
-        roots = components(links)
         found = written(_candidates(buckets.select("key", "node"), roots, sketched, bands * rows, threshold, most), "pairs")
-        fresh = found.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        fresh = written(fresh, "fresh")
-        if fresh.isEmpty():
-            if found.where("more").isEmpty():
-                break
-        else:
-            links = written(links.unionByName(_verified(fresh, texts, k, percent)), "links")
-            tested = written(tested.unionByName(fresh), "tested")
-        most *= 16
+        state = found.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
+        if not state.n:
+            break
+        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        roots = components(_verified(fresh, texts, k, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if not state.more:  # every pair across components has been compared
+            break
+        tested, most = written(tested.unionByName(fresh), "tested"), most * 16
     grouped = members.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     found = grouped.select("node", "root").join(least, "root").select(F.col("node").alias("g_node"), "component_id")
