@@ -43,19 +43,16 @@ SENT_DDL = "kind string, place int, origin int, body binary"
 def tokens(texts):
     """(hash of each token, document of each token) of a batch, every document closed by its end."""
     data, starts, ends = utf8(texts)
-    hashes, docs = [np.full(len(starts), END)], [np.arange(len(starts))]
+    hashes, docs = [], []
     for i, j in chunks(starts, ends, CHUNK):
         lo, hi = int(starts[i]), int(ends[j - 1])
         part = LOWER[data[lo:hi]]
         first, last, doc = word_bounds(part, starts[i:j] - lo, ends[i:j] - lo)
         hashes.append(np.maximum(rolling.span_hashes(rolling.prefix(part), first, last) & HASH, np.uint64(3)))
-        docs.append(doc + i)
-    docs = np.concatenate(docs)
-    # ends were put first: a stable sort by document, ends after words
-    last = np.zeros(len(docs), np.int8)
-    last[: len(starts)] = 1
-    order = np.lexsort((last, docs))
-    return np.concatenate(hashes)[order], docs[order]
+        docs.append((doc + i).astype(np.int32))
+    docs = np.concatenate([*docs, np.arange(len(starts), dtype=np.int32)])
+    order = np.argsort(docs, kind="stable")  # the ends come last, so after the words of their documents
+    return np.concatenate([*hashes, np.full(len(starts), END)])[order], docs[order]
 
 
 def counts_body(values):
@@ -82,19 +79,24 @@ class Pairs:
         context = np.concatenate(([START], token[:-1])) if len(token) else token
         context = np.where(np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool), START, context)
         self.doc, learned = doc, trained[doc]
-        self.words, self.word_of = np.unique(token, return_inverse=True)
-        contexts, context_of = np.unique(context, return_inverse=True)
-        code = context_of.astype(np.int64) * len(self.words) + self.word_of
+        self.words, word_of = np.unique(token, return_inverse=True)
+        self.word_of = word_of.astype(np.int32)
+        del token, word_of
+        contexts, code = np.unique(context, return_inverse=True)
+        del context
+        code = code * len(self.words) + self.word_of
         order = np.argsort(code, kind="stable")
-        sorted_ = code[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(code) else np.zeros(0, np.int64)
-        self.pair_of = np.empty(len(code), np.int64)
-        self.pair_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
-        self.context, self.token = contexts[sorted_[first] // max(1, len(self.words))], sorted_[first] % max(1, len(self.words))
-        self.count = np.bincount(self.pair_of, weights=learned, minlength=len(first)).astype(np.int64)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        self.pair_of = np.empty(len(code), np.int32)
+        self.pair_of[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(code))))
+        code = code[first]
+        self.context, self.token = contexts[code // max(1, len(self.words))], (code % max(1, len(self.words))).astype(np.int32)
+        del order, code
+        self.count = np.bincount(self.pair_of, weights=learned, minlength=len(first)).astype(np.int32)
         self.word_count = np.bincount(self.word_of, weights=learned, minlength=len(self.words)).astype(np.int64)
         spread = np.isin(self.context, frequent)
-        self.shard = (np.where(spread, rolling.mix(self.words[self.token]), rolling.mix(self.context)) % np.uint64(n)).astype(np.int64)
+        self.shard = (np.where(spread, rolling.mix(self.words[self.token]), rolling.mix(self.context)) % np.uint64(n)).astype(np.int32)
         self.word_shard = (rolling.mix(self.words) % np.uint64(n)).astype(np.int64)
 
     def sent(self, block, n):
@@ -206,8 +208,10 @@ def _mapped(*arrays):
 def _scores(texts, trained, frequent, n, rows, totals):
     """(tokens, known tokens, base score, score) of each text of a block."""
     block = Pairs(texts, trained, frequent, n)
-    total = np.zeros(len(block.count), np.int64)
-    of_context = np.zeros((4, len(block.count)), np.int64)
+    total = np.zeros(len(block.count), np.int32)
+    heads = np.concatenate(([True], block.context[1:] != block.context[:-1])) if len(total) else np.zeros(0, bool)
+    contexts, context_of = block.context[heads], (np.cumsum(heads) - 1).astype(np.int32)
+    of_context = np.zeros((4, len(contexts)), np.int64)
     word_count, word_types = np.zeros((2, len(block.words)), np.int64)
     shards, word_shards = dict(split_by(block.shard, n)), dict(split_by(block.word_shard, n))
     for kind, shard, body in rows:
@@ -215,37 +219,38 @@ def _scores(texts, trained, frequent, n, rows, totals):
             at = shards[shard]
             parts = unpack(body, *COUNTS * 5)
             total[at] = read_counts(*parts[:3])
-            context = block.context[at]
-            size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))), len(at)))
+            own = context_of[at]
+            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
             for i in range(4):
-                of_context[i, at] = np.repeat(read_counts(*parts[3 + 3 * i : 6 + 3 * i]), size)
+                of_context[i, own] = read_counts(*parts[3 + 3 * i : 6 + 3 * i])
         else:
             at = word_shards[shard]
             parts = unpack(body, *COUNTS * 2)
             word_count[at], word_types[at] = read_counts(*parts[:3]), read_counts(*parts[3:])
-    hot = np.flatnonzero(np.isin(block.context, totals["hot"][0]))
+    del shards, word_shards, block.shard, block.count
+    hot = np.flatnonzero(np.isin(contexts, totals["hot"][0]))
     if len(hot):
-        where = np.searchsorted(totals["hot"][0], block.context[hot])
+        where = np.searchsorted(totals["hot"][0], contexts[hot])
         of_context[:, hot] = totals["hot"][1][:, where]
     d, e = totals["pair_discounts"], totals["word_discounts"]
     types, more = totals["types"], totals["vocabulary"] + 1
     single = (np.maximum(word_types - e[np.minimum(word_types, 3)], 0) / types + totals["word_rest"] / types / more) if types else np.full(len(block.words), 1 / more)
     lower = single[block.token]
     seen = of_context[0]
-    rest = d[1] * of_context[1] + d[2] * of_context[2] + d[3] * of_context[3]
-    safe = np.maximum(seen, 1)
-    chance = np.where(seen > 0, (np.maximum(total - d[np.minimum(total, 3)], 0) + rest * lower) / safe, lower)
+    rest = np.where(seen > 0, d[1] * of_context[1] + d[2] * of_context[2] + d[3] * of_context[3], 1.0)
+    safe = np.maximum(seen, 1)  # a context that was never seen leaves all to the lower order
+    chance = (np.maximum(total - d[np.minimum(total, 3)], 0) + rest[context_of] * lower) / safe[context_of]
     # the slice of the model: hashes in order, log-probabilities beside
     hashes = rolling.mix(block.context + rolling.mix(block.words[block.token]))
     order = np.argsort(hashes, kind="stable")
     keys, values, words, bases, known = _mapped(
-        hashes[order], np.log10(chance[order]), block.words,
+        hashes[order], np.log10(chance)[order], block.words,
         np.log10((word_count + 0.5) / (totals["tokens"] + 0.5 * (totals["vocabulary"] + 1))), (word_count > 0).astype(np.int64),
     )
-    token, doc = block.words[block.word_of], block.doc
-    found = np.searchsorted(keys, hashes[block.pair_of])
-    word = np.searchsorted(words, token)
-    size = len(texts)
+    del order, chance, lower, total
+    doc, size = block.doc, len(texts)
+    found = np.searchsorted(keys, hashes)[block.pair_of]
+    word = np.searchsorted(words, block.words)[block.word_of]
     return (
         np.bincount(doc, minlength=size), np.bincount(doc, weights=known[word], minlength=size).astype(np.int64),
         np.bincount(doc, weights=bases[word], minlength=size), np.bincount(doc, weights=values[found], minlength=size),
