@@ -37,15 +37,16 @@ def bootstrap_slopes(cells, fit, form, replicates=200, seed=123, levels=(0.025,
     """Mean, standard error and percentile interval of each entity's total slope, with the estimate.
 
     All replicates are fitted side by side in the same passes. An entity's summary sees one value
-    per replicate.
+    per replicate whose refit converged; ``n_boot`` tells how many those are.
     """
     samples = materialise(simulate(cells, fit, form, replicates, seed), "replicates")
-    refits = fit_mixed(samples, form, start=fit.spreads["theta"][0])
-    slopes = entity_effects(refits, form).select("entity", F.col("total_slope").alias("slope"))
+    refits = fit_mixed(samples, form, start=fit.spreads["theta"][0], partial=True)
+    good = refits.fit_stats.where("converged").select("fit")  # at most one row for each replicate
+    slopes = entity_effects(refits, form).join(good, "fit", "left_semi").select("entity", F.col("total_slope").alias("slope"))
     summary = slopes.groupBy("entity").agg(
         F.avg("slope").alias("mean_boot"), F.stddev_samp("slope").alias("se_boot"),
         F.percentile("slope", F.lit(levels[0])).alias("ci_lower"),
-        F.percentile("slope", F.lit(levels[1])).alias("ci_upper"),
+        F.percentile("slope", F.lit(levels[1])).alias("ci_upper"), F.count("slope").alias("n_boot"),
     )
     original = entity_effects(fit, form).select("entity", "total_slope")
     return summary.join(original, "entity", "left").orderBy(F.desc_nulls_last("total_slope"), "entity")

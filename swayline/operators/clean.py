@@ -30,7 +30,7 @@ def with_winner(contests):
 
 def clean_observations(raw):
     """Pick and rename the feed's columns; date and season come first and replace the timestamp."""
-    df = clean_names(raw)
+    df = nan_to_null(clean_names(raw))
     picked = df.select("utc_start_time", *[F.col(old).alias(new) for old, new in OBSERVATION_COLUMNS.items()])
     dated = picked.withColumn("date", date_part(F.col("utc_start_time")))
     return dated.withColumn("season", F.year("date")).drop("utc_start_time").select(

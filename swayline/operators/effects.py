@@ -68,6 +68,11 @@ def predict_grid(effects, fit, form, group, grid, m=0.0):
     """Win probability of every entity of one group along ``grid`` values of the predictor."""
     fixed = {t: v for (f, t), v in fit.fixed.items() if f == 0}
     level = fixed.get(f"group_name{group}", 0.0) + fixed.get(form.m, 0.0) * m
+    return predict_lines(effects, group, grid, level)
+
+
+def predict_lines(effects, group, grid, level=0.0):
+    """The same for any table of lines; ``level`` is added to their intercepts."""
     points = effects.where(F.col("group_name") == group).withColumn(
         "x", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     eta = F.col("total_intercept") + F.lit(level) + F.col("total_slope") * F.col("x")

@@ -26,7 +26,10 @@ SINGULAR = 1e-4
 STATE = "fit int, entity string, place int, m double, a double, b double, n double, " \
         "intercept_mode double, slope_mode double, nested_mode double"
 VALUES = "fit int, value array<double>, reach double, gradient array<double>, hessian array<double>"
-MAX_EXPANSIONS = 40
+#: Passes after which fits count as not converged.
+MAX_EXPANSIONS = 200
+#: (entity, group) pairs that a task packs, where there are more than a task for each core.
+PAIRS_PER_TASK = 50_000
 
 
 @dataclass
@@ -79,6 +82,10 @@ def prepare(cells, form, weight="n_known", wins="wins"):
         rows.groupBy("fit", "entity", "group_name", "m", "x").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins")),
         "design",
     )
+    if form.m:  # the sums per pair take one value of m for an entity
+        varying = rows.groupBy("fit", "entity").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo < hi")
+        if not varying.isEmpty():
+            raise ValueError(f"{form.m} must be constant within an entity")
     parts = rows.groupBy("fit", "group_name").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("x2"),
         F.sum(F.col("n") * F.col("m")).alias("m1"), F.min("m").alias("mlo"), F.max("m").alias("mhi"),
@@ -143,7 +150,7 @@ def expand(rows, state, size):
     packed = packed.select(
         "fit", "entity", "m", F.col("pairs.place").alias("places"), F.flatten("pairs.sums").alias("sums")
     )
-    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, size // 16))
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, size // 16), size // PAIRS_PER_TASK)
     return materialise(packed.repartition(tasks, "fit", "entity"), "pairs")
 
 
@@ -262,9 +269,11 @@ class Best:
         self.theta, self.value = theta.copy(), np.full(len(theta), -np.inf)
 
 
-def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=1e-5):
+def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=1e-5, partial=False):
     """Fits the model ``form`` and returns its result tables.
 
+    A fit that has not converged raises, unless ``partial`` is set: then ``fit_stats`` tells which have.
+
     ``cells`` with a ``fit`` column (0..F-1) hold F data sets that are fitted side by side in the
     same passes. ``start`` is a parameter vector of an earlier fit of the same form (see
     ``MixedFit.spreads['theta']``).
@@ -313,6 +322,8 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
         converged = (moved < 10 * tolerance) & (near < 1e-3) & (order == 4)
         if converged.all() or expansions == MAX_EXPANSIONS:
             break
+    if not partial and not converged.all():
+        raise RuntimeError(f"{(~converged).sum()} of {fits} fits have not converged in {expansions} passes")
     values, derivatives = climb.value, climb.derivatives
     emitted = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
     state = materialise(emitted, "modes")

@@ -11,7 +11,10 @@ from swayline.scratch import materialise
 from swayline.skew import attach
 
 TOLERANCE = 1e-9
-MAX_STEPS = 40
+#: Newton steps after which a fit counts as not converged: a line is NULL then, the whole-data model an error.
+MAX_STEPS = 200
+#: (entity, group) pairs that a task packs, where there are more than a task for each core.
+PAIRS_PER_TASK = 50_000
 
 
 def _cells(cells, keys, weight, wins):
@@ -81,8 +84,10 @@ def entity_probits(cells, weight="n_known", wins="wins"):
         ).selectExpr(
             "*", "try_divide(o2 * s0 - o1 * s1, det) AS da", "try_divide(o0 * s1 - o1 * s0, det) AS db"
         ).selectExpr(
-            *keys, "a + greatest(least(da, 1.5D), -1.5D) AS a", "b + greatest(least(db, 1.5D), -1.5D) AS b", "n",
-            "greatest(abs(da), abs(db)) AS step", "try_divide(i2, idet) AS vaa", "try_divide(i0, idet) AS vbb",
+            # least and greatest skip NULL: a step that cannot be computed must stay NULL
+            *keys, "a + CASE WHEN da IS NOT NULL THEN greatest(least(da, 1.5D), -1.5D) END AS a",
+            "b + CASE WHEN db IS NOT NULL THEN greatest(least(db, 1.5D), -1.5D) END AS b", "n",
+            "CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN greatest(abs(da), abs(db)) END AS step", "try_divide(i2, idet) AS vaa", "try_divide(i0, idet) AS vbb",
             "try_divide(-i1, idet) AS vab",
         )
         lines = materialise(stepped, "lines")
@@ -90,6 +95,8 @@ def entity_probits(cells, weight="n_known", wins="wins"):
         if (lines.agg(F.max("step")).first()[0] or 0.0) < TOLERANCE:
             break
     shift = F.col("mean") / F.col("sd")
+    done = F.col("step") < TOLERANCE
+    lines = lines.withColumns({c: F.when(done, F.col(c)) for c in ("a", "b", "vaa", "vbb", "vab")})
     joined = attach(stats.drop("n"), lines.drop("step").withColumnRenamed("n", "trials"), keys, rows="trials")
     return joined.select(
         *keys, (F.col("b") / F.col("sd")).alias("slope"), (F.col("a") - shift * F.col("b")).alias("intercept"),
@@ -140,7 +147,7 @@ def probit_global(cells, weight="n_known", wins="wins"):
     state = _start(rows, keys)
     size = state.count()
     gamma = np.zeros(G)
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, size // 16))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, size // 16), size // PAIRS_PER_TASK)
     flat = F.array(*[F.col(c).cast("double") for c in ("n", "a", "b", "s0", "s1", "o0", "o1", "o2", "i0", "i1", "i2")])
     for _ in range(MAX_STEPS):
         sums = _score_sums(rows, state, keys, size).select("entity", "place", flat.alias("sums"))
@@ -160,6 +167,8 @@ def probit_global(cells, weight="n_known", wins="wins"):
         step = np.clip(step, -1.5, 1.5)
         gamma = gamma + step
         state = packed.mapInArrow(stepper(step, 1.5), "entity string, place int, a double, b double, n double")
+    else:
+        raise RuntimeError(f"the whole-data probit has not converged in {MAX_STEPS} steps")
     together = sum(np.reshape(r["together"], (G, G)) for r in parts) > 0
     expected = sum(np.reshape(r["expected"], (G, G)) for r in parts)
     inverse = np.linalg.pinv(expected, rcond=1e-10, hermitian=True)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from swayline.operators import clean, features, frame, linear, plotdata, ranking, summary
+from swayline.operators import clean, effects, features, frame, linear, plotdata, ranking, summary
 from swayline.plans import inputs
 from swayline.scratch import materialise
 from swayline.sources import roles
@@ -156,7 +156,7 @@ def recent_entities(spark, sf_dir):
 
 def plot_group_density(spark, sf_dir):
     entities = materialise(recent_entities(spark, sf_dir), "entities")
-    return rounded(plotdata.density(entities, "metric_mean_z", ["group_name"], points=128))
+    return rounded(plotdata.density(entities, "metric_mean_z", ["group_name"]))
 
 
 def line_slopes(spark, sf_dir):
@@ -176,7 +176,59 @@ def plot_slope_hist(spark, sf_dir):
     return rounded(plotdata.histogram(slopes, "total_slope"))
 
 
+def line_effects(spark, sf_dir):
+    """Slope, intercept and their sum of every eligible entity's own line."""
+    fits = linear.entity_fits(inputs.outcome_frame(spark, sf_dir), inputs.MIN_ROWS).where("slope is not null")
+    lines = fits.select("group_name", "entity", F.col("slope").alias("total_slope"), F.col("intercept").alias("total_intercept"))
+    return materialise(lines.withColumn("total_effect", F.col("total_slope") + F.col("total_intercept")), "lines")
+
+
+def line_ranking(spark, sf_dir):
+    """The ten largest slopes."""
+    return rounded(effects.slope_ranking(line_effects(spark, sf_dir), n=10))
+
+
+def line_top3_slopes(spark, sf_dir):
+    """Three largest slopes per group, ties kept."""
+    return rounded(effects.top_slopes(line_effects(spark, sf_dir), 3))
+
+
+def line_top3_effects(spark, sf_dir):
+    """First three per group by total effect."""
+    return rounded(effects.top_effects(line_effects(spark, sf_dir), 3))
+
+
+def line_group_relative(spark, sf_dir):
+    """Baselines relative to the group's mean, and the effect inside the group."""
+    return rounded(effects.group_relative(line_effects(spark, sf_dir).drop("total_effect")))
+
+
+def line_group_table(spark, sf_dir):
+    """One group's entities, largest effect inside the group first."""
+    relative = effects.group_relative(line_effects(spark, sf_dir).drop("total_effect"))
+    return rounded(effects.group_table(relative, "ASIA").select("entity", "group_name", "intercept_std", "total_slope", "total_effect"))
+
+
+def line_top3_subset(spark, sf_dir):
+    """Entities that carry the top-3 flag."""
+    flagged = ranking.flag_first_k(line_effects(spark, sf_dir), "group_name", "total_slope", 3)
+    return rounded(flagged.where("top3").select("group_name", "entity", "total_slope"))
+
+
+def line_predict_grid(spark, sf_dir):
+    """Logistic curve along the metric for every line of one group."""
+    return rounded(effects.predict_lines(line_effects(spark, sf_dir), "ASIA", [0, 10, 25, 40, 50]))
+
+
+def appearance_join(spark, sf_dir):
+    """Running number joined back by date and entity: two appearances on a date meet each other."""
+    rows = materialise(inputs.outcome_frame(spark, sf_dir).select("date", "game", "entity", "group_name", "metric"), "frame")
+    return frame.join_appearances(rows, frame.appearance_number(rows))
+
+
 QUERIES = {f.__name__: f for f in (
+    line_ranking, line_top3_slopes, line_top3_effects, line_group_relative, line_group_table, line_top3_subset,
+    line_predict_grid, appearance_join,
     contest_winner, clean_observations, recode_groups, group_names, join_contests, entity_summary, name_audit,
     name_collisions, null_audit, appearance_number, primary_role, model_frame, centred_frame, entity_means_ranked,
     entity_checks, recent_frame_rowz, recent_frame_entityz, entity_groups, metric_by_outcome, ols_summary,

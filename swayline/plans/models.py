@@ -33,15 +33,16 @@ def full_window(spark, sf_dir, group="region", min_rows=inputs.MIN_ROWS):
 def model_table(fit):
     """Fixed effects, spreads and fit statistics in one long table."""
     stats = fit.fit_stats.selectExpr(
-        "stack(4, 'log_lik', log_lik, 'aic', aic, 'bic', bic, 'is_singular', cast(is_singular AS double)) "
+        "stack(5, 'log_lik', log_lik, 'aic', aic, 'bic', bic, 'is_singular', cast(is_singular AS double), "
+        "'converged', cast(converged AS double)) "
         "AS (term, estimate)")
+    missing = [f"cast(NULL AS double) AS {c}" for c in ("std_error", "statistic", "p_value")]
     parts = [
-        fit.coefficients.selectExpr("'fixed' AS part", "term", "estimate", "std_error", "p_value"),
+        fit.coefficients.selectExpr("'fixed' AS part", "term", "estimate", "std_error", "statistic", "p_value"),
         fit.variance_components.selectExpr(
             "'spread' AS part", "concat(factor, ' ', term) AS term", "sd AS estimate",
-            "cast(NULL AS double) AS std_error", "cast(NULL AS double) AS p_value"),
-        stats.selectExpr("'fit' AS part", "term", "estimate", "cast(NULL AS double) AS std_error",
-                         "cast(NULL AS double) AS p_value"),
+            *missing),
+        stats.selectExpr("'fit' AS part", "term", "estimate", *missing),
     ]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
 

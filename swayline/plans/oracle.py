@@ -149,7 +149,36 @@ def _r(name, expression=None):
     return f"round({expression or name}, 6) + 0.0 AS {name}"
 
 
+LINES = FITS.format(**BY_GROUP) + """,
+lines AS (SELECT group_name, entity, slope AS total_slope, intercept AS total_intercept, slope + intercept AS total_effect FROM fits),
+placed_lines AS (
+  SELECT *, rank() OVER (PARTITION BY group_name ORDER BY total_slope DESC) AS slope_rank,
+         row_number() OVER (PARTITION BY group_name ORDER BY total_slope DESC, entity) AS slope_place,
+         row_number() OVER (PARTITION BY group_name ORDER BY total_effect DESC, entity) AS effect_place FROM lines),
+relative AS (
+  SELECT group_name, entity, total_slope, total_intercept, mean_level AS group_mean_intercept,
+         total_intercept - mean_level AS intercept_std, total_slope + total_intercept - mean_level AS total_effect
+  FROM lines JOIN (SELECT group_name, avg(total_intercept) AS mean_level FROM lines GROUP BY group_name) USING (group_name))"""
+LINE_COLUMNS = f"group_name, entity, {_r('total_slope')}, {_r('total_intercept')}, {_r('total_effect')}"
+
+
 SQL = {
+    "line_ranking": f"WITH {LINES} SELECT {LINE_COLUMNS} FROM lines ORDER BY lines.total_slope DESC, entity LIMIT 10",
+    "line_top3_slopes": f"WITH {LINES} SELECT {LINE_COLUMNS} FROM placed_lines WHERE slope_rank <= 3",
+    "line_top3_effects": f"WITH {LINES} SELECT {LINE_COLUMNS} FROM placed_lines WHERE effect_place <= 3",
+    "line_group_relative": f"""WITH {LINES} SELECT {LINE_COLUMNS}, {_r('group_mean_intercept')}, {_r('intercept_std')}
+        FROM relative""",
+    "line_group_table": f"""WITH {LINES} SELECT entity, group_name, {_r('intercept_std')}, {_r('total_slope')},
+        {_r('total_effect')} FROM relative WHERE group_name = 'ASIA'""",
+    "line_top3_subset": f"""WITH {LINES} SELECT group_name, entity, {_r('total_slope')} FROM lines
+        WHERE entity IN (SELECT entity FROM placed_lines WHERE slope_place <= 3)""",
+    "line_predict_grid": f"""WITH {LINES} SELECT entity, group_name, x::DOUBLE AS x,
+        round(1 / (1 + exp(-(total_intercept + total_slope * x))), 6) + 0.0 AS probability
+        FROM lines, (VALUES (0.0), (10.0), (25.0), (40.0), (50.0)) AS grid(x) WHERE group_name = 'ASIA'""",
+    "appearance_join": f"""WITH {FRAME}, counters AS (SELECT date, entity, CAST(row_number() OVER
+        (PARTITION BY entity ORDER BY date, game, group_name, metric) AS INTEGER) AS appearance FROM frame)
+        SELECT f.date, f.game, f.entity, f.group_name, f.metric, c.appearance
+        FROM frame f LEFT JOIN counters c ON f.date = c.date AND f.entity = c.entity""",
     "contest_winner": f"WITH {CONTESTS} SELECT * FROM won",
     "clean_observations": f"WITH {CLEANED} SELECT * FROM cleaned WHERE rating_points IS NOT NULL",
     "recode_groups": f"""WITH {CONTESTS},
@@ -272,7 +301,7 @@ SQL = {
     "plot_group_density": f"""WITH {RECENT_ENTITY}, src AS (
         SELECT DISTINCT recent.entity, group_name AS g, metric_mean_z AS v
         FROM recent JOIN scaled ON recent.entity = scaled.entity)
-        {DENSITY.format(key='g', points=128)}
+        {DENSITY.format(key='g', points=512)}
         SELECT k AS group_name, point, {_r('x')}, {_r('density')} FROM curve""",
     "plot_top3_flags": f"""WITH {RECENT_ENTITY}, slopes AS (
         SELECT entity, regr_slope(outcome, metric) AS total_slope FROM rows GROUP BY entity),

@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from swayline.scratch import materialise
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 HOT_SHARE = 1 / 1000
 HOT_ROWS = 1_000_000
 SALTS = 256
 
 
+def small(df, size):
+    """Whether ``size`` rows of ``df`` may be broadcast: by number and by estimated bytes (8 for a number, 48 for a text)."""
+    width = sum(48 if f.dataType.typeName() in ("string", "binary", "array", "struct", "map") else 8 for f in df.schema.fields)
+    return size <= BROADCAST_ROWS and size * width <= BROADCAST_BYTES
+
+
 def _null_safe(left, right, keys, extra=(), how="left"):
     """Equi-join in which a missing key matches a missing key; key columns of ``left`` stay."""
     right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -34,17 +41,17 @@ def attach(frame, stats, keys, rows="n", size=None, scanned=False):
     ``SALTS`` sub-keys. There ``frame`` is written first as well, unless it is ``scanned`` from
     files already: the salt counts rows of a scan, so a repeated task gives its rows the same salts.
     """
-    if size is None or size > BROADCAST_ROWS:
+    if size is None or not small(stats, size):
         stats = materialise(stats, "stats")
         size = stats.count()
-    if size <= BROADCAST_ROWS:
+    if small(stats, size):
         return _null_safe(frame, F.broadcast(stats), keys)
     if not scanned:
         frame = materialise(frame, "frame")
-    total = stats.agg(F.sum(rows)).first()[0] or 0
-    hot = stats.where(F.col(rows) > max(total * HOT_SHARE, HOT_ROWS)).select(
-        *keys, F.lit(True).alias("__hot")
-    )
+    # stats may have several rows of a key, each with the key's number of rows
+    sizes = stats.groupBy(*keys).agg(F.max(rows).alias("__rows"))
+    total = sizes.agg(F.sum("__rows")).first()[0] or 0
+    hot = sizes.where(F.col("__rows") > max(total * HOT_SHARE, HOT_ROWS)).select(*keys, F.lit(True).alias("__hot"))
     salted = _null_safe(frame, F.broadcast(hot), keys).withColumn(
         "__salt",
         F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)),
@@ -69,7 +76,7 @@ def join_lookup(frame, lookup, condition, size):
     Spark overestimates a lookup that is itself a join, and would shuffle ``frame`` for it.
     A larger lookup is joined by a shuffle, in which adaptive execution splits hot keys.
     """
-    return frame.join(F.broadcast(lookup) if size <= BROADCAST_ROWS else lookup, condition, "left")
+    return frame.join(F.broadcast(lookup) if small(lookup, size) else lookup, condition, "left")
 
 
 def hot_keys(frame, key):
@@ -91,7 +98,9 @@ def running_number(frame, key, order, name):
     if not hot:
         return frame.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
     step = order[0]
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
+    if None in hot:  # rows without a key are one partition of their own
+        is_hot = is_hot | F.col(key).isNull()
     cells = frame.where(is_hot).groupBy(key, step).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(key).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     offsets = cells.select(
@@ -102,7 +111,7 @@ def running_number(frame, key, order, name):
         "__local", F.row_number().over(W.partitionBy(key, "__part").orderBy(*order))
     )
     joined = numbered.join(
-        offsets, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__cell")), "left"
+        offsets, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__cell")) & is_hot, "left"
     )
     total = (F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))).cast("int")
     return joined.withColumn(name, total).select(*frame.columns, name)
