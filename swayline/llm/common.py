@@ -20,10 +20,12 @@ def written(df, label):
 
     Spark drops shuffle files when the driver collects the garbage that refers to them, which it
     seldom does by itself; without the hint several steps' shuffles add up on the executors' disks.
+    The last job is still referred to, so a small one comes between.
     """
     jvm = df.sparkSession.sparkContext._jvm
     out = materialise(df, label)
     del df  # the last reference, where the caller keeps none
+    out.isEmpty()
     gc.collect()
     jvm.System.gc()
     return out
