@@ -143,7 +143,21 @@ def tree_nodes(keys, docs, n, sizes, body, offset, one, shape):
 
 
 def cover(keys, docs, starts, n, sizes, body, shape):
-    """Spans of bytes that a smaller document has too, from the maximal repeat groups of a bucket."""
+    """Spans of bytes that a smaller document has too; a bucket is judged in parts of whole seeds, to bound memory."""
+    order = np.argsort(keys, kind="stable")
+    offset = np.cumsum(sizes) - sizes
+    last = np.flatnonzero(np.append(keys[order][1:] != keys[order][:-1], True))
+    part = np.cumsum(n[order])[last] // SORT_ROWS
+    ends = last[np.append(part[1:] != part[:-1], True)] + 1
+    spans = []
+    for a, b in zip([0, *ends[:-1]], ends):
+        rows = order[a:b]
+        spans.append(_cover(keys[rows], docs[rows], starts[rows], n[rows], sizes[rows], seeds.take(body, offset[rows], sizes[rows]), shape))
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
+def _cover(keys, docs, starts, n, sizes, body, shape):
+    """Spans of one part, from its maximal repeat groups."""
     offset, kind, one = groups(keys, docs, starts, n, sizes, body, shape)
     which, j, length, smallest, _ = tree_nodes(keys, docs, n, sizes, body, offset, one, shape)
     # within its own surroundings all but the smallest document's entries are covered whole
