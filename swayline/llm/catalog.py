@@ -1,6 +1,6 @@
 """The dealt queries, one per operator, and their SQL where SQL can express them."""
 
-from swayline.llm import license_scan
+from swayline.llm import license_scan, sql
 from swayline.llm.chat_format import op2_chat_format
 from swayline.llm.decontaminate import op5_decontaminate
 from swayline.llm.fingerprint import op9_fingerprint
@@ -26,5 +26,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": sql.SUBSTRING,
+    "op2_chat_format": sql.CHAT,
+    "op3_suffix_dedup": sql.SUFFIX,
+    "op8_minhash": sql.MINHASH,
     "op10_license_scan": license_scan.SQL,
 }

@@ -164,11 +164,11 @@ pairs AS (
   FROM units WHERE words[1] <> ''),
 exploded AS (SELECT u, unnest(pairs) AS pair FROM pairs),
 known_pairs AS (SELECT license, unnest(pairs) AS pair FROM known),
-both AS (SELECT u, license, count(*) AS n FROM exploded JOIN known_pairs USING (pair) GROUP BY ALL),
+common AS (SELECT u, license, count(*) AS n FROM exploded JOIN known_pairs USING (pair) GROUP BY ALL),
 scored AS (
   SELECT p.doc_id, b.u, b.license, 2.0::DOUBLE * b.n / (len(p.pairs) + len(k.pairs)) AS score
-  FROM both b JOIN pairs p USING (u) JOIN known k USING (license) WHERE 2.0::DOUBLE * b.n / (len(p.pairs) + len(k.pairs)) >= {THRESHOLD}),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, license) AS at FROM scored) WHERE at = 1),
+  FROM common b JOIN pairs p USING (u) JOIN known k USING (license) WHERE 2.0::DOUBLE * b.n / (len(p.pairs) + len(k.pairs)) >= {THRESHOLD}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, license) AS place FROM scored) WHERE place = 1),
 docs AS (
   SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(score) AS score,
          arg_min(license, (-score, license)) AS license FROM best GROUP BY doc_id)
