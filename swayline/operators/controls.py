@@ -4,6 +4,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from swayline.scratch import materialise
+
+MAX_STEPS = 50
+
 
 def logit_controls(frame, predictors=("metric", "final", "appearance")):
     """Coefficients of outcome ~ predictors; equal rows are merged and weighted first."""
@@ -11,10 +15,13 @@ def logit_controls(frame, predictors=("metric", "final", "appearance")):
     known = frame.select("outcome", *predictors).dropna()
     merged = known.groupBy(*predictors).agg(
         F.count(F.lit(1)).cast("double").alias("weight"), F.avg("outcome").alias("label"))
+    merged = materialise(merged, "merged")  # every pass of the fit reads it
     vectors = VectorAssembler(inputCols=predictors, outputCol="features").transform(merged)
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-10).fit(vectors)
+        family="binomial", link="logit", weightCol="weight", maxIter=MAX_STEPS, tol=1e-10).fit(vectors)
     summary = model.summary
+    if summary.numIterations >= MAX_STEPS:
+        raise RuntimeError(f"the logit has not converged in {MAX_STEPS} steps")
     names = ["(Intercept)", *predictors]
     estimates = [model.intercept, *model.coefficients.tolist()]
     # the fit lists the intercept last
