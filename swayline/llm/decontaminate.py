@@ -3,8 +3,8 @@
 Texts become words (ASCII lower case; runs of ASCII letters, digits and all non-ASCII bytes). The CGK
 embedding walks over a window: at step ``j`` it writes the word under its pointer and moves on if bit
 ``j`` of that word's random bits is set. Two windows with few edits meet again after an edit, so their
-walks agree in most steps: edit distance becomes Hamming distance. A repetition samples half of the
-steps; equal samples of a document window and an item window are a candidate. All word positions of a
+walks agree in most steps: edit distance becomes Hamming distance. A repetition samples three
+quarters of the steps; equal samples of a document window and an item window are a candidate. All word positions of a
 document are window starts, and so are those of an item. The length of a walk follows the size of the
 item (``WALKS``); the number of repetitions is the least that reaches the target recall when a share
 ``edit_rate`` of the words is edited.
@@ -65,16 +65,22 @@ def embed(words, steps, repetition):
     """Sampled steps of the walk from every position, as one 64-bit key each."""
     rng = np.random.default_rng([steps, repetition])
     kept = np.zeros(steps, bool)
-    kept[rng.choice(steps, max(1, steps // 2), replace=False)] = True
+    kept[rng.choice(steps, max(1, steps * 3 // 4), replace=False)] = True
     # past the end the walk reads an empty word
     padded = np.concatenate((words, np.zeros(steps + 1, np.uint64)))
     bits = rolling.mix(padded + np.uint64(int(rng.integers(1, 1 << 62))))
-    at = np.arange(len(words))
     keys = np.full(len(words), steps, np.uint64)
+    at = np.arange(len(words))
+    read = np.empty(len(words), np.uint64)
     for j in range(steps):
         if kept[j]:
-            keys = keys * rolling.BASE + padded[at]
-        at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+            np.take(padded, at, out=read, mode="clip")
+            keys *= rolling.BASE
+            keys += read
+        np.take(bits, at, out=read, mode="clip")
+        read >>= np.uint64(j)
+        read &= np.uint64(1)
+        at += read.view(np.int64)
     return rolling.mix(keys)
 
 

@@ -28,9 +28,10 @@ from swayline.llm.common import written
 MAX_LEN = 2048
 END = 0
 #: Distinct words a Python worker remembers.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Single spaces that stand next to other white space, or end the text after it, are not word bounds.
 UNSAFE = re.compile(r"\s \s|\s \Z|  ")
+PLAIN = re.compile(r" \S(.*\S)?\Z", re.DOTALL)
 SALTS = 64
 
 
@@ -48,10 +49,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: one character each
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
 
     def _ids(self, texts):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, new):
+        """Adds words; those that begin and end with ink are encoded as one text and parted by their bytes."""
+        plain = [w for w in new if PLAIN.match(w)]
+        rest = [w for w in new if not PLAIN.match(w)]
+        self.words.update(zip(rest, self._ids(rest)))
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum(self.size[ids])
+            cuts = np.cumsum([len(w.encode()) for w in part])
+            at = np.searchsorted(ends, cuts) + 1
+            body = ids.tobytes()
+            self.words.update(zip(part, [body[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist())]))
+
     def encode(self, texts):
         if len(self.words) > CACHE:
             self.words.clear()
@@ -65,8 +84,7 @@ class Encoder:
                 odd[len(parts)] = text or ""
                 parts.append(())
         new -= self.words.keys()
-        new = list(new)
-        self.words.update(zip(new, self._ids(new)))
+        self._learn(new)
         whole = dict(zip(odd, self._ids(list(odd.values()))))
         get = self.words.__getitem__
         return [whole[i] if i in odd else b"".join(map(get, p)) for i, p in enumerate(parts)]
