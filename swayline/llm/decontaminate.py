@@ -52,10 +52,10 @@ def words_in(data, starts, ends):
 def repetitions(least_words, steps, recall=RECALL, edit_rate=EDIT_RATE):
     """Least number of samples that find an edited item with the target recall.
 
-    A walk goes over half as many words as it has steps, and the windows of an item that do not
-    overlap are independent tries.
+    A walk goes over half as many words as it has steps, up to five eighths at the usual spread, and
+    the windows of an item that do not overlap are independent tries.
     """
-    words = max(1, steps // 2)
+    words = max(1, steps * 5 // 8)
     found = (1 - edit_rate) ** words
     tries = max(1.0, least_words / words)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found) / tries))
