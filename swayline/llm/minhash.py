@@ -38,7 +38,7 @@ BANDS, ROWS = 40, 5
 #: Nodes of a block of a large bucket.
 BLOCK = 1000
 #: Pairs across two components that a pass compares, at first; each pass has 16 times as many.
-FIRST_PAIRS = 256
+FIRST_PAIRS = 4
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -161,10 +161,15 @@ def _verified(pairs, texts, k, percent):
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(scan, "a long, b long")
 
 
-def _across(nodes, roots, signs, least, most):
-    """Pairs across components that agree in at least ``least`` coordinates, the best ``most`` for two components."""
+def _across(nodes, roots, signs, sizes, bands, blocks, key, least, threshold, most):
+    """Pairs across components that agree in at least ``least`` coordinates, the best ``most`` for two components.
+
+    A pair comes from the first of the bands that it shares only; sets whose sizes alone rule the
+    threshold out are not paired. ``blocks`` are given where two blocks meet: then a pair has one of each.
+    """
     order = np.lexsort((nodes, roots))
-    nodes, roots, signs = nodes[order], roots[order], signs[order]
+    blocks = None if blocks is None else blocks[order]
+    nodes, roots, signs, sizes, bands = nodes[order], roots[order], signs[order], sizes[order], bands[order]
     out, more = [], False
     ends = np.flatnonzero(np.append(roots[1:] != roots[:-1], True)) + 1
     begin = 0
@@ -172,11 +177,18 @@ def _across(nodes, roots, signs, least, most):
         for lo in range(begin, end, 64):
             rows = slice(lo, min(lo + 64, end))
             same = (signs[rows, None, :] == signs[None, end:, :]).sum(2, dtype=np.int32)
-            i, j = np.nonzero(same >= least)
+            near = np.minimum(sizes[rows, None], sizes[None, end:]) >= threshold * np.maximum(sizes[rows, None], sizes[None, end:]) - 1e-9
+            if blocks is not None:
+                near &= blocks[rows, None] != blocks[None, end:]
+            i, j = np.nonzero((same >= least) & near)
             if len(i):
-                out.append((i + lo, j + end, same[i, j]))
+                same = same[i, j]
+                i, j = i + lo, j + end
+                first = np.argmax(bands[i] == bands[j], 1)
+                mine = bands[i, first] == key
+                out.append((i[mine], j[mine], same[mine]))
         begin = end
-    if not out:
+    if not sum(len(x[0]) for x in out):
         return [], False
     i, j, same = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((j, i, -same, roots[j], roots[i]))
@@ -198,14 +210,18 @@ def _candidates(buckets, roots, sketched, bins, threshold, most):
     rows = rooted.join(mixed, F.col("key") == F.col("m_key")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a row goes to the block pairs (own, x) and (x, own) with the smaller number first
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "node", "root")
-    sign = sketched.where("sign is not null").groupBy("node").agg(F.first("sign").alias("sign")).withColumnRenamed("node", "s_node")
-    rows = rows.join(sign, F.col("node") == F.col("s_node")).select("key", "p", "q", "node", "root", "sign")
+    rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.col("own").alias("block"), "node", "root")
+    own = F.struct("n_shingles", "bands", "sign")
+    sign = sketched.where("sign is not null").groupBy("node").agg(F.min(own).alias("own")).withColumnRenamed("node", "s_node")
+    rows = rows.join(sign, F.col("node") == F.col("s_node")).select("key", "p", "q", "block", "node", "root", "own.*")
 
     def compare(table):
-        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(node), -1)
-        pairs, more = _across(node, root, signs, least, most)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
+        blocks = table.column("block").to_numpy() if p != q else None
+        pairs, more = _across(node, root, signs, size, bands, blocks, key, least, threshold, most)
         return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64()), "more": pa.array([more] * len(pairs), pa.bool_())})
 
     return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long, more boolean")
