@@ -28,9 +28,10 @@ from swayline.llm.common import written
 MAX_LEN = 2048
 END = 0
 #: Distinct words a Python worker remembers.
-CACHE = 1_000_000
-#: Single spaces that stand next to other white space, or end the text after it, are not word bounds.
-UNSAFE = re.compile(r"\s \s|\s \Z|  ")
+CACHE = 2_000_000
+#: White space before a space: such a space may not be a word bound.
+UNSAFE = re.compile("[^\\S\x00-\x1b !-\x7f] ")
+SPACES = tuple(f"{c} " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
 PLAIN = re.compile(r" \S(.*\S)?\Z", re.DOTALL)
 SALTS = 64
 
@@ -74,20 +75,23 @@ class Encoder:
     def encode(self, texts):
         if len(self.words) > CACHE:
             self.words.clear()
-        parts, new, odd = [], set(), {}
-        for text in texts:
-            if text and not UNSAFE.search(text):
-                first, *rest = text.split(" ")
-                parts.append([first, *(f" {w}" for w in rest)] if first else [f" {w}" for w in rest])
-                new.update(parts[-1])
+        out, new, odd = [None] * len(texts), {}, []
+        for i, text in enumerate(texts):
+            if not text or "\0" in text or any(s in text for s in SPACES) or (not text.isascii() and UNSAFE.search(text)):
+                odd.append(i)
+                continue
+            parts = text.replace(" ", "\0 ").split("\0")
+            known = list(map(self.words.get, parts))
+            if None in known:
+                new[i] = parts
             else:
-                odd[len(parts)] = text or ""
-                parts.append(())
-        new -= self.words.keys()
-        self._learn(new)
-        whole = dict(zip(odd, self._ids(list(odd.values()))))
-        get = self.words.__getitem__
-        return [whole[i] if i in odd else b"".join(map(get, p)) for i, p in enumerate(parts)]
+                out[i] = b"".join(known)
+        self._learn({w for parts in new.values() for w in parts} - self.words.keys())
+        for i, parts in new.items():
+            out[i] = b"".join(map(self.words.__getitem__, parts))
+        for i, body in zip(odd, self._ids([texts[i] or "" for i in odd])):
+            out[i] = body
+        return out
 
 
 _encoders = {}
