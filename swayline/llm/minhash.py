@@ -37,8 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 5
 #: Nodes of a block of a large bucket.
 BLOCK = 1000
-#: Pairs across two components that a pass compares, at first; each pass has 16 times as many.
-FIRST_PAIRS = 4
+#: Pairs across two components that a pass compares, at first; each pass has 64 times as many.
+FIRST_PAIRS = 16
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -254,7 +254,7 @@ def near_duplicates(docs, threshold=THRESHOLD, k=SHINGLE, bands=BANDS, rows=ROWS
         roots = components(_verified(fresh, texts, k, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if not state.more:  # every pair across components has been compared
             break
-        tested, most = written(tested.unionByName(fresh), "tested"), most * 16
+        tested, most = written(tested.unionByName(fresh), "tested"), most * 64
     grouped = members.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     found = grouped.select("node", "root").join(least, "root").select(F.col("node").alias("g_node"), "component_id")
