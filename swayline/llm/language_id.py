@@ -9,6 +9,10 @@ smallest hash of their id, so the sample is the same wherever it is drawn. Whole
 Defined results: a missing text, or one without a letter, is ``und`` with score 0.0; rows without a
 label are not learned from; a missing id is predicted like any other; repeated rows get equal results;
 with no labelled row at all every text is ``und``; other columns do not take part.
+
+The network only tells the learned languages from each other. Whether a text is of any of them tells
+``Familiar``: its cost in bits a byte under the best of the languages' byte trigram models. Bytes that no
+model expects cost eight bits, however many languages there are.
 """
 
 import re
@@ -19,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swayline.llm.common import chunks, fold, utf8
+from swayline.llm.common import LOWER, chunks, fold, utf8
 
 #: Bounds and sizes of the training: documents of a language, segments of a document, segment length.
 PER_LANGUAGE, SEGMENTS, LENGTH = 600, 4, 64
@@ -27,6 +31,10 @@ HIDDEN, STEPS, BATCH, RATE = 10, 350, 96, 0.02
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 19
+#: Byte trigrams: classes of bytes, weight of the even spread, steps of a stored cost in a bit.
+CLASSES, EVEN, FINE = 128, 12.8, 16
+#: Lengths in bytes that have a level of their own; held-out rows that a level needs; the share of them it keeps for certain.
+LENGTHS, LEAST_HELD, KEEPS = (1, 16, 32, 64, 256, 1024), 50, 0.999
 
 
 def _sigmoid(x):
@@ -187,6 +195,98 @@ def document_probabilities(net, data, starts, ends):
     return total / np.maximum(ends - starts, 1)[:, None]
 
 
+class Familiar:
+    """Costs of texts under byte trigram models, and the level by text length up to which a text is familiar.
+
+    The level of a length lies two thirds of the way from what the first so many bytes of held-out
+    labelled texts cost at most (``KEEPS`` of them) to the eight bits of random bytes. With fewer than
+    ``LEAST_HELD`` texts to learn from or to hold against there is no level, and every text is familiar.
+    """
+
+    def __init__(self, rows, held):
+        texts = [np.frombuffer(t.encode(), np.uint8) for t, _ in rows]
+        counts = np.bincount(LOWER[np.concatenate(texts)], minlength=256) if texts else np.zeros(256, int)
+        often = np.argsort(-counts, kind="stable")[: CLASSES - 1]
+        self.classes = np.zeros(256, np.uint32)
+        self.classes[often] = np.arange(1, CLASSES)
+        self.classes = self.classes[LOWER]
+        self.tables, self.levels = [], None
+        for label in sorted({k for _, k in rows}):
+            seen = np.zeros(CLASSES**3)
+            for text, (_, k) in zip(texts, rows):
+                if k == label:
+                    codes, n = np.unique(self._codes(text, np.zeros(1, int)), return_counts=True)
+                    seen[codes] += n
+            context = seen.reshape(-1, CLASSES).sum(1)
+            even = np.full(CLASSES, EVEN / 256)
+            even[0] *= 257 - CLASSES  # the rare bytes share a class
+            share = (seen.reshape(-1, CLASSES) + even) / (context + EVEN)[:, None]
+            share[:, 0] /= 257 - CLASSES
+            self.tables.append(np.minimum(np.rint(-FINE * np.log2(share)), 255).astype(np.uint8).ravel())
+        parts = [t.encode() for t, _ in held]
+        if min(len(rows), len(parts)) >= LEAST_HELD:
+            self.levels = []
+            for length in LENGTHS:
+                cut = [b[: max(length, 8)] for b in parts if len(b) >= length]
+                if len(cut) >= LEAST_HELD:
+                    most = np.quantile(self._of(cut), KEEPS)
+                    self.levels.append(min(most + (8 - most) * 2 / 3, 8.0))
+                else:  # too few that long: as for the next shorter length
+                    self.levels += self.levels[-1:] or [8.0]
+
+    def _codes(self, data, starts):
+        """Class trigrams that end at each byte; a text begins after two spaces."""
+        c = self.classes[data]
+        before = [np.concatenate((np.full(k, self.classes[32], np.uint32), c))[: len(c)] for k in (1, 2)]
+        first = starts[starts < len(c)]
+        before[0][first] = before[1][first] = self.classes[32]
+        before[1][first[first + 1 < len(c)] + 1] = self.classes[32]
+        return (before[1] * np.uint32(CLASSES) + before[0]) * np.uint32(CLASSES) + c
+
+    def _of(self, parts):
+        size = np.array([len(b) for b in parts])
+        ends = np.cumsum(size)
+        return self.costs(np.frombuffer(b"".join(parts), np.uint8), ends - size, ends)
+
+    def costs(self, data, starts, ends):
+        """Bits a byte of each document, under the model of the language that has the fewest."""
+        out = np.zeros((len(self.tables), len(starts)))
+        for i, j in chunks(starts, ends, CHUNK):
+            for lo in range(int(starts[i]), int(ends[j - 1]), CHUNK):  # a long document in several pieces
+                hi = min(lo + CHUNK, int(ends[j - 1]))
+                a, b = np.clip(starts[i:j], lo, hi) - lo, np.clip(ends[i:j], lo, hi) - lo
+                codes = self._codes(data[lo:hi], a)
+                for table, total in zip(self.tables, out):
+                    sums = np.concatenate((np.zeros(1), np.cumsum(table[codes], dtype=np.int64)))
+                    total[i:j] += sums[b] - sums[a]
+        return out.min(0, initial=np.inf) / FINE / np.maximum(ends - starts, 1)
+
+    def known(self, data, starts, ends):
+        """Which documents are familiar."""
+        if self.levels is None:
+            return np.ones(len(starts), bool)
+        level = np.array(self.levels)[np.maximum(np.searchsorted(LENGTHS, ends - starts, "right") - 1, 0)]
+        return self.costs(data, starts, ends) <= level
+
+
+def familiar(docs, held, **columns):
+    """``Familiar`` learned from labelled ``docs`` and held against labelled ``held``; both samples are bounded."""
+    learned, against = ([(r.text, r.label) for r in training_rows(d, **columns).collect()] for d in (docs, held))
+    return Familiar(learned, against)
+
+
+def with_familiar(docs, model, text_col="text"):
+    """``docs`` with a column ``familiar``; a missing text is not."""
+    at = docs.columns.index(text_col)
+
+    def scan(batches):
+        for batch in batches:
+            known = model.known(*utf8(batch.column(at))) & np.array(batch.column(at).is_valid())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known)], [*batch.schema.names, "familiar"])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("familiar", T.BooleanType())]))
+
+
 def training_rows(docs, id_col="doc_id", text_col="text", label_col="lang", per_language=PER_LANGUAGE):
     """At most ``per_language`` labelled rows of each language, by hash of the id."""
     known = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))

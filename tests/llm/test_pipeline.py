@@ -112,3 +112,31 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "one letter": "1234 5678 90 !!! --- " * 10 + "a",
+    "repeated": "a" * 300,
+}
+
+
+def test_foreign_and_junk_go_and_short_clean_texts_stay(spark):
+    import random
+
+    rng = random.Random(4)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = list(FOREIGN.values()) + ["".join(chr(rng.randint(a, b)) for _ in range(n)) + "a" for a, b in ((97, 122), (33, 126), (0, 255)) for n in (40, 400, 4000)]
+    clean = ["The onou ou in.", "And ha on orre.", "La é le de de.", "Einü ßbe der erä.", "De esmi asie de.", "Se rr osci asarmi."]
+    bad = spark.createDataFrame([(100000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(200000 + i, t, None) for i, t in enumerate(clean)], "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.identify_language(spark, given.unionAll(bad).unionAll(good), None).collect()}
+    assert not [junk[i][:20] for i in range(len(junk)) if 100000 + i in left]
+    assert all(200000 + i in left for i in range(len(clean)))
+    known = {r.doc_id for r in given.where("text rlike '[a-z]'").collect()}
+    assert len(known - left) <= 0.002 * len(known)
