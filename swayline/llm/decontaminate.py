@@ -1,13 +1,14 @@
 """Benchmark decontamination: random-walk embedding, bit sampling, exact edit verification.
 
-Texts become words (ASCII lower case; runs of ASCII letters, digits and all non-ASCII bytes). The CGK
-embedding walks over a window: at step ``j`` it writes the word under its pointer and moves on if bit
-``j`` of that word's random bits is set. Two windows with few edits meet again after an edit, so their
-walks agree in most steps: edit distance becomes Hamming distance. A repetition samples three
-quarters of the steps; equal samples of a document window and an item window are a candidate. All word positions of a
-document are window starts, and so are those of an item. The length of a walk follows the size of the
-item (``WALKS``); the number of repetitions is the least that reaches the target recall when a share
-``edit_rate`` of the words is edited.
+Texts become words (ASCII lower case; runs of ASCII letters, digits and all non-ASCII bytes), joined by
+a space. The CGK embedding walks over the characters of a window: at step ``j`` it writes the character
+under its pointer and moves on if bit ``j`` of that character's random bits is set. Two windows with few
+edits meet again after an edit, so their walks agree in most steps: edit distance becomes Hamming
+distance. A repetition samples three quarters of the steps; equal samples of a document window and an
+item window are a candidate. All word starts of a document are window starts, and so are those of an
+item. The length of a walk follows the size of the item (``WALKS``); the number of repetitions follows the
+target recall when a share ``edit_rate`` of the characters is edited, which is the share that the
+verification allows. Longer items need equal samples at two to five of their word starts (``HITS``).
 
 Candidates are verified in the task that found them: the item is aligned with the document around the
 candidate, and the exact edit distance in characters (of the words joined by a space) must be at most
@@ -28,8 +29,13 @@ from swayline.llm import rolling
 from swayline.llm.common import LOWER, chunks, utf8
 
 #: (least words of an item, steps of the walk)
-WALKS = ((12, 16), (6, 8), (3, 4), (1, 1))
-RECALL, EDIT_RATE, MAX_EDIT = 0.95, 0.1, 0.2
+WALKS = ((24, 20), (12, 20), (6, 12), (3, 8), (1, 1))
+#: (least words of an item, word starts of it that must hit); characters of a piece that is compared at first.
+HITS, PIECE = ((48, 5), (36, 4), (24, 3), (12, 2), (1, 1)), 64
+RECALL, MAX_EDIT = 0.95, 0.2
+EDIT_RATE = MAX_EDIT
+#: Characters of a word and the space after it, about.
+WORD_SIZE = 5
 #: Benchmark text that one pass over the documents compares.
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
@@ -49,38 +55,50 @@ def words_in(data, starts, ends):
     return low, first, last, np.searchsorted(starts, first, "right") - 1
 
 
+def joined(low, first, last):
+    """(bytes of the words, each with a space after it, start of each word in them)."""
+    size = last - first + 1
+    ends = np.cumsum(size)
+    text, inside = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8), np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    inside[ends - 1] = False
+    text[inside] = low[WORD[low]]
+    return text, ends - size
+
+
+def hits_needed(n_words):
+    return next((hits for least, hits in HITS if n_words >= least), 1)
+
+
 def repetitions(least_words, steps, recall=RECALL, edit_rate=EDIT_RATE):
     """Least number of samples that find an edited item with the target recall.
 
-    A walk goes over half as many words as it has steps, up to five eighths at the usual spread, and
-    the windows of an item that do not overlap are independent tries.
+    A walk goes over half as many characters as it has steps, up to five eighths at the usual spread,
+    and the windows of an item that do not overlap are independent tries. Where several hits are needed,
+    one more time so many samples are taken.
     """
-    words = max(1, steps * 5 // 8)
-    found = (1 - edit_rate) ** words
-    tries = max(1.0, least_words / words)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found) / tries))
+    size = max(1, steps * 5 // 8)
+    found = (1 - edit_rate) ** size
+    tries = max(1.0, least_words * WORD_SIZE / size)
+    base = math.ceil(math.log(1 - recall) / math.log(1 - found) / tries)
+    return 1 if base <= 1 else base * (1 + hits_needed(least_words))
 
 
-def embed(words, steps, repetition):
-    """Sampled steps of the walk from every position, as one 64-bit key each."""
+def embed(text, starts, steps, repetition):
+    """Sampled steps of the walk from every start, as one 64-bit key each."""
     rng = np.random.default_rng([steps, repetition])
     kept = np.zeros(steps, bool)
     kept[rng.choice(steps, max(1, steps * 3 // 4), replace=False)] = True
-    # past the end the walk reads an empty word
-    padded = np.concatenate((words, np.zeros(steps + 1, np.uint64)))
-    bits = rolling.mix(padded + np.uint64(int(rng.integers(1, 1 << 62))))
-    keys = np.full(len(words), steps, np.uint64)
-    at = np.arange(len(words))
-    read = np.empty(len(words), np.uint64)
+    moves = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
+    # past the end the walk reads nothing
+    padded = np.concatenate((text, np.zeros(steps + 1, np.uint8)))
+    keys = np.full(len(starts), steps, np.uint64)
+    at = starts.astype(np.int64)
     for j in range(steps):
+        read = padded[at]
         if kept[j]:
-            np.take(padded, at, out=read, mode="clip")
             keys *= rolling.BASE
             keys += read
-        np.take(bits, at, out=read, mode="clip")
-        read >>= np.uint64(j)
-        read &= np.uint64(1)
-        at += read.view(np.int64)
+        at += moves[j][read]
     return rolling.mix(keys)
 
 
@@ -113,43 +131,89 @@ class Items:
     """Keys and words of a block of benchmark items."""
 
     def __init__(self, ids, texts, recall, edit_rate):
-        self.ids, self.words = ids, []
-        lengths, arrays = [], []
+        self.ids, self.words, self.patterns = ids, [], []
+        arrays = []
         for text in texts:
             data = np.frombuffer(text.encode(), np.uint8)
             low, first, last, _ = words_in(data, np.zeros(1, np.int64), np.array([len(data)]))
             body = low.tobytes()
             self.words.append([body[a:b] for a, b in zip(first.tolist(), last.tolist())])
-            arrays.append(rolling.span_hashes(rolling.prefix(low), first, last))
-            lengths.append(len(first))
+            self.patterns.append(b" ".join(self.words[-1]))
+            arrays.append(joined(low, first, last))
+        self.size = np.array([len(p) for p in self.patterns], np.int64)
+        self.least = np.array([hits_needed(len(w)) for w in self.words], np.int64)
         self.passes = []
         upper = 1 << 60
         for least, steps in WALKS:
-            mine = [i for i, n in enumerate(lengths) if least <= n < upper]
+            mine = [i for i, w in enumerate(self.words) if least <= len(w) < upper]
             upper = least
             for r in range(repetitions(least, steps, recall, edit_rate)) if mine else ():
-                keys = [embed(arrays[i], steps, r) for i in mine]
-                item = np.repeat(mine, [len(k) for k in keys])
-                word = np.concatenate([np.arange(len(k)) for k in keys])
-                keys = np.concatenate(keys)
+                keys = np.concatenate([embed(*arrays[i], steps, r) for i in mine])
+                item = np.repeat(mine, [len(arrays[i][1]) for i in mine])
+                place = np.concatenate([arrays[i][1] for i in mine])
                 order = np.argsort(keys, kind="stable")
                 seen = np.zeros(1 << 20, bool)
                 seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-                self.passes.append((steps, r, keys[order], item[order], word[order], seen))
+                self.passes.append((steps, r, keys[order], item[order], place[order], seen))
 
-    def candidates(self, words):
-        """(document word, item, item word) of equal samples."""
+    def candidates(self, text, starts):
+        """(document word, item, place in the item) of equal samples."""
         out = [(np.zeros(0, np.int64),) * 3]
-        for steps, r, keys, item, word, seen in self.passes:
-            mine = embed(words, steps, r)
+        known = None
+        for steps, r, keys, item, place, seen in sorted(self.passes, key=lambda p: p[:2]):
+            if known != (steps, r):  # items of several sizes share a walk
+                known, mine = (steps, r), embed(text, starts, steps, r)
             at = np.flatnonzero(seen[(mine >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, mine[at], "left"), np.searchsorted(keys, mine[at], "right")
             size = hi - lo
             j = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            out.append((np.repeat(at, size), item[j], word[j]))
+            out.append((np.repeat(at, size), item[j], place[j]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def plausible(items, text, low, high, item, bounds, slack):
+    """Which candidates have a piece of the item with no more edits than its share; no true place is lost.
+
+    If an item has at most ``slack`` edits, one of its pieces has at most its share of them. ``low`` and
+    ``high`` bound where the item may start; all candidates step through a piece's region side by side.
+    """
+    out = np.zeros(len(item), bool)
+    for n in np.unique(-(-items.size[item] // PIECE)).tolist():
+        mine = np.flatnonzero(-(-items.size[item] // PIECE) == n)
+        for p in range(n):
+            for some in np.array_split(mine, -(-len(mine) // 8192)):
+                some = some[~out[some]]
+                if not len(some):
+                    continue
+                used, row = np.unique(item[some], return_inverse=True)
+                cuts = [(items.size[used] * q // n) for q in (p, p + 1)]
+                table = np.zeros((len(used), 256), np.uint64)
+                for u, (k, x, y) in enumerate(zip(used.tolist(), *(c.tolist() for c in cuts))):
+                    for bit, c in enumerate(items.patterns[k][x:y]):
+                        table[u, c] |= np.uint64(1 << bit)
+                table = table.ravel()
+                size = (cuts[1] - cuts[0])[row]
+                a = np.maximum(low[some] + cuts[0][row], bounds[0][some])
+                b = np.minimum(high[some] + cuts[1][row], bounds[1][some])
+                most = slack[some] * size // items.size[item[some]]
+                top, one, row = (size - 1).astype(np.uint64), np.uint64(1), row * 256
+                plus, minus = np.full(len(some), ~np.uint64(0)), np.zeros(len(some), np.uint64)
+                score, best = size.copy(), size.copy()
+                for t in range(int((b - a).max(initial=0))):
+                    at = a + t
+                    eq = table[row + np.where(at < b, text[np.minimum(at, len(text) - 1)], 0)]
+                    vertical = eq | minus
+                    horizontal = (((eq & plus) + plus) ^ plus) | eq
+                    up, down = minus | ~(horizontal | plus), plus & horizontal
+                    score += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+                    np.minimum(best, score, out=best)
+                    up <<= one
+                    down <<= one
+                    plus, minus = down | ~(vertical | up), up & vertical
+                out[some] = best <= most
+    return out
+
+
 def _leaks(items, data, starts, ends, max_edit):
     """(document, item, distance, first word, last word) of every place where an item stands."""
     for i, j in chunks(starts, ends, CHUNK):
@@ -157,31 +221,49 @@ def _leaks(items, data, starts, ends, max_edit):
         low, first, last, doc = words_in(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo)
         if not len(first):
             continue
-        at, item, word = items.candidates(rolling.span_hashes(rolling.prefix(low), first, last))
-        if not len(at):
+        text, at_char = joined(low, first, last)
+        word, item, place = items.candidates(text, at_char)
+        if not len(word):
             continue
-        begin = np.searchsorted(doc, np.arange(j - i), "left")
-        count = np.bincount(doc, minlength=j - i)
-        places = np.unique(np.stack([doc[at], item, at - word], 1), axis=0)
-        body = low.tobytes()
-        reach = None  # where the last verified place of this document and item ends
-        for d, k, origin in places.tolist():
-            words = items.words[k]
-            pattern = b" ".join(words)
-            most = int(max_edit * len(pattern))
-            slack = most // 2 + 1
-            a = max(origin - slack, int(begin[d]))
-            b = min(origin + len(words) + slack, int(begin[d] + count[d]))
-            if b <= a or (reach and reach[:2] == (d, k) and origin <= reach[2]):
+        begin = np.searchsorted(doc, np.arange(j - i + 1), "left")
+        bounds = np.append(at_char, len(text))[begin]
+        slack = (max_edit * items.size).astype(np.int64)  # edits shift the item's start by so much at most
+        wide = np.maximum(slack, 8)
+        part = (at_char[word] - place) // wide[item]
+        order = np.lexsort((place, part, item, word_doc := doc[word]))
+        hits = np.stack([word_doc, item, part, place], 1)[order]
+        fresh = np.append(True, (hits[1:] != hits[:-1]).any(1))
+        hits = hits[fresh]
+        head = np.flatnonzero(np.append(True, (hits[1:, :3] != hits[:-1, :3]).any(1)))
+        count = np.diff(np.append(head, len(hits)))
+        d, k, part = hits[head, :3].T
+        beside = np.append((d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (part[1:] == part[:-1] + 1), False)
+        count = count + np.where(beside, np.roll(count, -1), 0) + np.where(np.roll(beside, 1), np.roll(count, 1), 0)
+        enough = count >= items.least[k]
+        d, k, part = d[enough], k[enough], part[enough]
+        if not len(d):
+            continue
+        a = np.maximum(part * wide[k] - slack[k], bounds[d])
+        b = np.minimum((part + 1) * wide[k] + items.size[k] + slack[k], bounds[d + 1] - 1)  # without the last space
+        body = text.tobytes()
+        ok = plausible(items, text, part * wide[k] - slack[k], (part + 1) * wide[k] + slack[k], k, (bounds[d], bounds[d + 1] - 1), slack[k])
+        past = None  # the last verified place: document, item, end, row; the least distance of those that overlap counts
+        for d, k, a, b, most in np.stack([d, k, a, b, slack[k]], 1)[ok].tolist():
+            pattern, region = items.patterns[k], body[a:b]
+            found = region.find(pattern)
+            distance, end = (0, found + len(pattern)) if found >= 0 else edit_distance(pattern, region)
+            if distance > most:
+                continue
+            end += a
+            same = past and past[:2] == (d, k) and abs(end - past[2]) < (len(pattern) + 1) // 2
+            if same and distance >= past[3][2]:
                 continue
-            region = [body[x:y] for x, y in zip(first[a:b].tolist(), last[a:b].tolist())]
-            text = b" ".join(region)
-            found = text.find(pattern)
-            distance, end = (0, found + len(pattern)) if found >= 0 else edit_distance(pattern, text)
-            if distance <= most:
-                stop = a + text[:end].count(b" ")
-                reach = (d, k, origin + slack)
-                yield i + d, k, distance, max(int(stop - len(words) + 1 - begin[d]), 0), int(stop - begin[d])
+            if past and not same:
+                yield past[3]
+            stop = int(np.searchsorted(at_char, end - 1, "right")) - 1
+            past = d, k, end, (i + d, k, distance, max(int(stop - len(items.words[k]) + 1 - begin[d]), 0), int(stop - begin[d]))
+        if past:
+            yield past[3]
 
 
 LEAK = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])

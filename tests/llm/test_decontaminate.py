@@ -80,3 +80,34 @@ def test_odd_input(spark):
 def test_repetitions_follow_the_target():
     assert repetitions(12, 16, 0.95, 0.0001) == 1
     assert repetitions(12, 16, 0.95, 0.1) < repetitions(12, 16, 0.999, 0.1) < repetitions(12, 16, 0.999, 0.3)
+
+
+def mistyped(text, rng, every):
+    """One letter of a word changed, put in or left out, in one of ``every`` words."""
+    words = text.split()
+    for k in range(len(words)):
+        if rng.random() < 1 / every:
+            w, at, c = words[k], rng.randrange(len(words[k])), rng.choice("abcdefghijklmnopqrstuvwxyz")
+            words[k] = rng.choice([w[:at] + c + w[at + 1 :], w[:at] + c + w[at:], w[:at] + w[at + 1 :]])
+    return " ".join(w for w in words if w)
+
+
+def test_letters_edited_up_to_the_bound(spark):
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    norm = lambda t: b" ".join(decontaminate_words(t)).decode()
+    rng = random.Random(9)
+    for n in (12, 16, 24):
+        items = [(i, " ".join(norm(t).split()[:n])) for i, t in enumerate(given)]
+        for every in (5, 3, 1):
+            docs = [(i, "zq " * 20 + mistyped(t, rng, every) + " zq" * 20, None, None, None) for i, t in items]
+            want = {i for (i, t), d in zip(items, docs) if edit_distance(t.encode(), d[1].encode())[0] <= int(0.2 * len(t.encode()))}
+            got = {(r.id, r.item) for r in find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+            assert sum((i, i) in got for i in want) >= 0.9 * len(want), (n, every)
+
+
+def decontaminate_words(text):
+    import numpy as np
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    low, first, last, _ = decontaminate.words_in(data, np.zeros(1, np.int64), np.array([len(data)]))
+    return [low[a:b].tobytes() for a, b in zip(first, last)]
