@@ -1,7 +1,8 @@
 """The dealt queries, one per operator, and their SQL where SQL can express them."""
 
-from swayline.llm import license_scan, sql
+from swayline.llm import conversation_repair, license_scan, sql
 from swayline.llm.chat_format import op2_chat_format
+from swayline.llm.conversation_repair import op13_conversation_repair
 from swayline.llm.decontaminate import op5_decontaminate
 from swayline.llm.fingerprint import op9_fingerprint
 from swayline.llm.language_id import op4_language_id
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_license_scan": op10_license_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL = {
@@ -31,4 +33,5 @@ SQL = {
     "op3_suffix_dedup": sql.SUFFIX,
     "op8_minhash": sql.MINHASH,
     "op10_license_scan": license_scan.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
