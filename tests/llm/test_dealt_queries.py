@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_minhash": "doc_id n_shingles component_id kept",
     "op9_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op10_license_scan": "doc_id license score",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_vector_dedup": "vec_id n_links component_id kept",
+    "op13_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
@@ -43,7 +46,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert difference(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
