@@ -7,10 +7,10 @@ first keeps one of any two disjoint bigrams of its prefix, and the other word ha
 Dynamic programming over the prefix picks the two disjoint bigrams that fewest words hold, the *pivots*.
 
 Positions limit what a pivot meets: the edit lies on one side of a bigram that it leaves alone, so either
-everything up to its end or everything from its start on is equal in both words, and lengths differ by at
-most one. Pivots are joined with prefixes on that equal part and the length; pairs are verified by their edit
-distance inside the join. A pair is a word and one of its near words, of which a word of length m has at
-most (2 m + 1) times the letters' number, so results stay in proportion to the words.
+everything up to its end or everything from its start on is equal in both words, lengths differ by at most
+one, and of the rest the first or the last half is equal. Pivots are joined with prefixes on a hash of these
+parts and the length; pairs are verified by their edit distance inside the join. A word of m letters has at
+most (2 m + 1) near words for each letter there is, so results stay in proportion to the words.
 
 Words are counted by a map-side combined aggregate over whole texts. There are at most 90 letters (26 lower
 and 64 from U+00C0 on), so at most 8,100 bigrams whose counts go to the tasks. Joins are sort-merge joins
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from swayline.llm import rolling
 from swayline.llm.common import written
 
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
@@ -79,11 +80,46 @@ def pivots_of(grams, held, place):
     return third, prefix, np.stack([where[np.arange(len(cost)), second - 2], second], 1)
 
 
-PIVOTED = "word string, n long, third long, prefix array<int>, pivots array<int>"
+def key_rows(letters, held, place, probing):
+    """(row, key) of words of one length, given as rows of letters: what they are looked up by, or look up if ``probing``.
 
-
-def pivoted(words, held, place):
-    """``words`` with the place of their third bigram, and the positions of prefix and pivots (from 0)."""
+    A key hashes a bigram's position, the part that is equal with it (up to its end if the edit lies behind,
+    else from its start on), the length of the word looked up, and one end of the rest: an edit in the rest
+    leaves its first or its last half alone, less one letter as lengths may differ by one.
+    """
+    m, length = letters.shape
+    sums = np.zeros((m, length + 1), np.uint64)
+    for i in range(length):
+        sums[:, i + 1] = sums[:, i] * rolling.BASE + letters[:, i].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(length, rolling.BASE))), dtype=np.uint64)
+
+    def span(rows, a, b):
+        return sums[rows, b] - sums[rows, a] * powers[b - a]
+
+    _, prefix, pivots = pivots_of(letters[:, :-1] << 8 | letters[:, 1:], held, place)
+    if probing:
+        wanted = np.zeros_like(prefix)
+        np.put_along_axis(wanted, pivots, True, axis=1)
+    else:
+        wanted = prefix
+    out = []
+    for at in np.flatnonzero(wanted.any(0)).tolist():
+        rows = np.flatnonzero(wanted[:, at])
+        for other in (length - 1, length, length + 1) if probing else (length,):
+            # behind the bigram, then before it: bounds of the rest and of the equal part, distance that names the bigram
+            for side, (lo, hi, a, b, rest, name) in enumerate(((at + 2, length, 0, at + 2, other - at - 2, at), (0, at, at, length, other - length + at, length - at))):
+                if rest < 0:
+                    continue
+                half = max(0, (rest - 1) // 2)
+                equal = rolling.mix(span(rows, a, b) + np.uint64(((name * 64 + other) * 2 + side) * 2))
+                out.append((rows, rolling.mix(equal + span(rows, lo, lo + half))))
+                if half:
+                    out.append((rows, rolling.mix(equal + np.uint64(1) + span(rows, hi - half, hi))))
+    return (np.concatenate(x) for x in zip(*out))
+
+
+def keyed(words, held, place, probing):
+    """(key, word, info): info holds the word's count and, in its low 16 bits, the place of its third bigram."""
 
     def scan(batches):
         for batch in batches:
@@ -91,48 +127,39 @@ def pivoted(words, held, place):
             texts = word.to_pylist()
             letters = np.frombuffer("".join(texts).encode("latin-1"), np.uint8).astype(np.int64)
             size = np.fromiter(map(len, texts), np.int64, len(texts))
-            start = np.cumsum(size) - size
-            third, pivots, prefix = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2), np.int32), [None] * len(texts)
+            start, count = np.cumsum(size) - size, batch.column(1).to_numpy()
             for length in np.unique(size).tolist():
                 mine = np.flatnonzero(size == length)
-                table = letters[start[mine, None] + np.arange(length)]
-                third[mine], inside, pivots[mine] = pivots_of(table[:, :-1] << 8 | table[:, 1:], held, place)
-                for i, row in zip(mine.tolist(), inside):
-                    prefix[i] = np.flatnonzero(row).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [word, batch.column(1), pa.array(third), pa.array(prefix, pa.list_(pa.int32())), pa.array(pivots.tolist(), pa.list_(pa.int32()))],
-                ["word", "n", "third", "prefix", "pivots"],
-            )
+                for some in np.array_split(mine, -(-len(mine) // 2048)):
+                    table = letters[start[some, None] + np.arange(length)]
+                    third = pivots_of(table[:, :-1] << 8 | table[:, 1:], held, place)[0]
+                    rows, keys = key_rows(table, held, place, probing)
+                    info = (count[some] << 16 | third)[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), word.take(pa.array(some[rows])), pa.array(info)], ["key", "word", "info"])
 
-    return words.select("word", "n").mapInArrow(scan, PIVOTED)
+    return words.select("word", "n").mapInArrow(scan, "key long, word string, info long")
 
 
 def near_pairs(words):
     """(a, b, a_n, b_n): words one edit apart, each pair once with a < b in code-point order."""
     if words.isEmpty():
         return words.select(F.col("word").alias("a"), F.col("word").alias("b"), F.col("n").alias("a_n"), F.col("n").alias("b_n"))
-    marked = written(pivoted(words, *gram_order(words)), "pivots")
-
-    def parts(position):
-        """What is equal if the edit is behind the bigram at ``position``, and if it is before."""
-        length = F.char_length("word")
-        behind = F.concat(F.lit("<"), F.substring("word", F.lit(1), F.col(position) + 2))
-        return F.explode(F.array(behind, F.concat(F.lit(">"), F.substring("word", F.col(position) + 1, length))))
-
-    length = F.char_length("word")
-    index = marked.select("word", "n", "third", F.explode("prefix").alias("at")).select("word", "n", "third", length.alias("length"), parts("at").alias("part"))
-    probes = marked.select("word", "n", "third", F.explode("pivots").alias("at")).select("word", "n", "third", length.alias("own"), parts("at").alias("part"))
-    probes = probes.withColumn("length", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
-    probes = probes.select([F.col(c).alias(f"p_{c}") for c in probes.columns])
-    same = (F.col("p_part") == F.col("part")) & (F.col("p_length") == F.col("length"))
-    near = (F.col("p_third") <= F.col("third")) & (F.col("p_word") != F.col("word")) & (F.levenshtein("p_word", "word", 1) == 1)
-    found = probes.join(index, same & near)
+    order = gram_order(words)
+    index = keyed(words, *order, probing=False)
+    probes = keyed(words, *order, probing=True).toDF("p_key", "p_word", "p_info")
+
+    def third(info):
+        return F.col(info).bitwiseAND(F.lit(0xFFFF))
+
+    near = (third("p_info") <= third("info")) & (F.col("p_word") != F.col("word")) & (F.levenshtein("p_word", "word", 1) == 1)
+    found = probes.join(index, (F.col("p_key") == F.col("key")) & near)
     first = F.col("p_word") < F.col("word")
+    n, p_n = F.shiftright("info", 16), F.shiftright("p_info", 16)
     pairs = found.select(
         F.least("p_word", "word").alias("a"), F.greatest("p_word", "word").alias("b"),
-        F.when(first, F.col("p_n")).otherwise(F.col("n")).alias("a_n"), F.when(first, F.col("n")).otherwise(F.col("p_n")).alias("b_n"),
+        F.when(first, p_n).otherwise(n).alias("a_n"), F.when(first, n).otherwise(p_n).alias("b_n"),
     )
-    return pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    return pairs.groupBy("a", "b").agg(F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
 
 
 def roots_of(forms):
@@ -149,7 +176,8 @@ def roots_of(forms):
 def variants(words, ratio=RATIO):
     """One row per (word, n): word, form, root, n, n_near, form_n."""
     pairs = near_pairs(words)
-    sides = pairs.select("a", "a_n", "b", "b_n").unionAll(pairs.select("b", "b_n", "a", "a_n")).toDF("w", "w_n", "other", "other_n")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
+                                           F.struct(F.col("b").alias("w"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))).alias("side")).select("side.*")
     best = sides.groupBy("w").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word"))).alias("best"))
     told = words.join(best, F.col("word") == F.col("w"), "left")
     takes = -F.col("best.less") >= ratio * F.col("n")
