@@ -9,6 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Trials that one uniform decides: few enough that the chance of no success never vanishes.
+TRIALS = 64
+
 
 def uniform(*key):
     """Uniform in (0, 1) from a hash of the key."""
@@ -21,13 +24,43 @@ def standard_normal(*key):
     return radius * F.cos(uniform(*key, F.lit("angle")) * F.lit(2 * math.pi))
 
 
+def hashed_uniform(key, part):
+    """Uniforms in (0, 1) from 64-bit keys and the number of a part."""
+    h = key.astype(np.uint64) + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def inverted(trials, p, u):
+    """Binomial quantiles at ``u`` for at most ``TRIALS`` trials, all side by side."""
+    rare = np.minimum(p, 1 - p)
+    ratio = rare / (1 - rare)
+    mass = (1 - rare) ** trials
+    left, count = u - mass, np.zeros(len(u), np.int64)
+    open_ = np.flatnonzero(left > 0)
+    k = 0
+    while len(open_) and k < TRIALS:
+        k += 1
+        n = trials[open_]
+        mass[open_] *= np.maximum(n - k + 1, 0) / k * ratio[open_]
+        count[open_] += k <= n
+        left[open_] -= mass[open_]
+        open_ = open_[(left[open_] > 0) & (k < n)]
+    return np.where(p > 0.5, trials - count, count)
+
+
 @F.pandas_udf(DoubleType())
 def binomial(trials: pd.Series, p: pd.Series, key: pd.Series) -> pd.Series:
-    """Binomial draws; each row has its own counter-based generator, seeded by its key."""
-    out = np.empty(len(trials))
-    for i, (n, q, k) in enumerate(zip(trials.to_numpy(), p.to_numpy(), key.to_numpy())):
-        out[i] = np.random.Generator(np.random.Philox(key=int(k) & (2**63 - 1))).binomial(int(n), q)
-    return pd.Series(out)
+    """Binomial draws by inversion of uniforms hashed from the key, one for each ``TRIALS`` trials."""
+    n, q, k = trials.to_numpy().astype(np.int64), p.to_numpy(), key.to_numpy()
+    parts = -(-n // TRIALS)
+    row = np.repeat(np.arange(len(n)), parts)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(TRIALS, n[row] - part * TRIALS)
+    drawn = inverted(size, q[row], hashed_uniform(k[row].view(np.uint64), part))
+    return pd.Series(np.bincount(row, drawn, len(n)))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ Everything here works on those sums, one Arrow batch of entities at a time.
 A parameter point is a vector laid out by ``Layout``; ``points`` has shape (fits, K, P).
 """
 
+import math
 import sys
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from swayline.functions.jets import Jet, of_two
+
 # order of the sums per pair; the digits are the powers of a and b
 SUMS = ["00", "10", "01", "20", "11", "02", "30", "21", "12", "03", "40", "31", "22", "13", "04"]
 WIDTH = len(SUMS) + 3  # n, a, b come first
@@ -35,6 +38,10 @@ class Layout:
     def group_columns(self):
         return [self.at(f"group{g}") for g in range(self.groups)]
 
+    def by_entity(self):
+        """Whether entities share nothing but parameters, so that each one's derivatives stand alone."""
+        return self.at("sd_group") is None and self.at("sd_nested") is None
+
 
 def _unpack(batch):
     fit = batch.column("fit").to_numpy(zero_copy_only=False)
@@ -81,16 +88,23 @@ class Batch:
         shape = self.points.shape[:2]
         self.u0, self.u1, self.w = np.zeros(shape), np.zeros(shape), np.zeros((len(rows), shape[1]))
         self.high = 0.0
-        self._solve()  # second order alone is concave: a safe start for the fourth-order solve
+        self.settled = self._solve()  # second order alone is concave: a safe start for the fourth-order solve
         if order > 2:
+            start = self.u0, self.u1, self.w
             self.high = 1.0
-            self._solve()
-            # far from the centre the fourth-order sums can bend upwards; the second-order ones cannot
+            settled = self._solve()
+            # far from the centre the fourth-order sums can bend upwards or throw the steps back and forth;
+            # there the second-order ones are taken, which do neither
+            firsts = np.searchsorted(rows, np.arange(self.count))
             far = (np.abs(self.a - self.a0) > NEAR_A) | (np.abs(self.b - self.b0) > NEAR_B)
+            far = np.logical_or.reduceat(far, firsts, axis=0) | ~settled
             if far.any():
-                far = np.logical_or.reduceat(far, np.searchsorted(rows, np.arange(self.count)), axis=0)
+                self.u0, self.u1 = (np.where(far, s, u) for s, u in zip(start, (self.u0, self.u1)))
+                self.w = np.where(far[rows], start[2], self.w)
                 self.high = 1.0 - far[rows]
-                self._solve()
+                self.settled = self._solve()
+            else:
+                self.settled = settled
 
     def _get(self, name, zero):
         at = self.layout.at(name)
@@ -148,6 +162,8 @@ class Batch:
                 break
         self.a, self.b = self._place()
         self._curvature(self.a, self.b)
+        last = np.maximum.reduceat(np.abs(dw), np.searchsorted(self.owner, np.arange(self.count)), axis=0)
+        return np.maximum(np.maximum(np.abs(d0), np.abs(d1)), last) < 1e-7
 
     def _curvature(self, a, b):
         """Negative Hessian in (u0, u1) after the pair intercepts w are eliminated."""
@@ -162,9 +178,10 @@ class Batch:
         self.det = np.maximum(self.h00 * self.h11 - self.h01**2, 1e-12)
 
     def reach(self):
-        """Per entity: how far the first point's modes lie from the centre of the sums."""
+        """Per entity: how far the first point's modes lie from the centre of the sums; infinite where they are not found."""
         far = np.maximum(np.abs(self.a - self.a0), 2 * np.abs(self.b - self.b0))[:, 0]
-        return np.maximum.reduceat(far, np.searchsorted(self.owner, np.arange(self.count)))
+        far = np.maximum.reduceat(far, np.searchsorted(self.owner, np.arange(self.count)))
+        return np.where(self.settled[:, 0], far, np.inf)
 
     def value(self):
         """Laplace value per entity (E, K); the group block is added by the caller."""
@@ -195,43 +212,141 @@ class Batch:
         return gradient, hessian
 
 
+    def derivatives(self):
+        """Per entity, at the first point: value (E,), gradient (E, P) and Hessian (E, P, P) in the parameters.
+
+        An entity's value depends on a few numbers only: the level of each of its pairs, the slope and the
+        spreads. The modes are followed by two Newton steps on jets in these (one makes the modes' first
+        derivatives exact, two their second ones); the chain rule brings the result to the parameters.
+        """
+        P = self.points.shape[2]
+        out = np.zeros(self.count), np.zeros((self.count, P)), np.zeros((self.count, P, P))
+        sizes = np.bincount(self.owner, minlength=self.count)
+        starts = np.cumsum(sizes) - sizes
+        for pairs in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == pairs)
+            for part, made in zip(out, self._derived(mine, starts[mine, None] + np.arange(pairs))):
+                part[mine] = made
+        return out
+
+    def _derived(self, mine, at):
+        """The same for entities with equally many pairs; ``at`` (E, pairs) are the pairs' rows."""
+        E, pairs = at.shape
+        spreads = [name for name in ("sd_intercept", "sd_slope") if self.layout.at(name) is not None]
+        d = pairs + 1 + len(spreads)
+        A, B = (self.a - self.a0)[at, 0], (self.b - self.b0)[at, 0]
+        high = np.broadcast_to(self.high, self.a.shape)[at, 0]
+        table = {}
+        for i in range(5):
+            for j in range(5 - i):  # derivative (i, j) of the expansion at (A, B)
+                total = 0 * A
+                for k in range(5 - i - j):
+                    for m in range(5 - i - j - k):
+                        c = self.sums[at, 3 + SUMS.index(f"{i + k}{j + m}")]
+                        if i + k + j + m > 2:
+                            c = c * high if self.order > 2 else 0 * c
+                        total = total + c * A**k * B**m / (math.factorial(k) * math.factorial(m))
+                table[i, j] = total
+        level = Jet.constant(A - (self.s0 * self.u0)[mine], d)  # less the entity's own part: added as a jet below
+        level.g[:, np.arange(pairs), np.arange(pairs)] = 1.0
+        slope = Jet.variable(B - (self.s1 * self.u1)[mine], pairs, d)
+        spread = [Jet.variable(s[mine, 0], pairs + 1 + spreads.index(n), d) if n in spreads else Jet.constant(np.zeros(E), d)
+                  for n, s in (("sd_intercept", self.s0), ("sd_slope", self.s1))]
+        u = [Jet.constant(x[mine, 0], d) for x in (self.u0, self.u1)]
+
+        def placed():
+            return level + (spread[0] * u[0]).spread(), slope + (spread[1] * u[1]).spread()
+
+        def curvature(a, b):
+            h00, h01, h11 = (of_two(table, i, 2 - i, a, b).sum(1) for i in (2, 1, 0))
+            h00, h01, h11 = 1 - spread[0] * spread[0] * h00, -(spread[0] * spread[1] * h01), 1 - spread[1] * spread[1] * h11
+            return h00, h01, h11, h00 * h11 - h01 * h01
+
+        for _ in range(2):
+            a, b = placed()
+            r0 = spread[0] * of_two(table, 1, 0, a, b).sum(1) - u[0]
+            r1 = spread[1] * of_two(table, 0, 1, a, b).sum(1) - u[1]
+            h00, h01, h11, det = curvature(a, b)
+            scale = det.reciprocal()
+            u = [u[0] + (h11 * r0 - h01 * r1) * scale, u[1] + (h00 * r1 - h01 * r0) * scale]
+        a, b = placed()
+        value = of_two(table, 0, 0, a, b).sum(1) - 0.5 * (u[0] * u[0] + u[1] * u[1]) - 0.5 * curvature(a, b)[3].log()
+        # the numbers' derivatives in the parameters
+        chain = np.zeros((E, d, self.points.shape[2]))
+        chain[:, :pairs, self.layout.at("intercept")] = 1.0
+        if self.layout.at("m") is not None:
+            chain[:, :pairs, self.layout.at("m")] = self.m[mine, None]
+        for g, column in enumerate(self.layout.group_columns()):
+            if column is not None:
+                chain[:, :pairs, column] = self.group[at] == g
+        chain[:, pairs, self.layout.at("x")] = 1.0
+        for i, name in enumerate(spreads):
+            chain[:, pairs + 1 + i, self.layout.at(name)] = 1.0
+        gradient = np.einsum("edp,ed->ep", chain, value.g)
+        return value.v, gradient, np.swapaxes(chain, 1, 2) @ value.h @ chain
+
+
+def _sent(fits, sums, reach):
+    """One row per position of each fit's sums, and the reach at position -1."""
+    used = np.flatnonzero(np.isfinite(sums[:, 0]))
+    size = sums.shape[1]
+    return pa.RecordBatch.from_pydict({
+        "fit": pa.array(np.repeat(fits[used], size + 1), pa.int32()),
+        "place": pa.array(np.tile(np.arange(-1, size), len(used)), pa.int32()),
+        "value": pa.array(np.concatenate((reach[used, None], sums[used]), axis=1).ravel()),
+    })
+
+
+def deriver(theta, layout, order):
+    """mapInArrow function: per task and fit, the value, gradient and Hessian at ``theta`` (fits, P)."""
+    fits, P = theta.shape
+
+    def run(batches):
+        sums, reach = np.full((fits, 1 + P + P * P), np.nan), np.zeros(fits)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            solved = Batch(_unpack(batch), theta[:, None, :], None, layout, order)
+            value, gradient, hessian = solved.derivatives()
+            each = np.concatenate((value[:, None], gradient, hessian.reshape(len(value), -1)), axis=1)
+            by_fit = np.argsort(solved.fit, kind="stable")
+            used, first = np.unique(solved.fit[by_fit], return_index=True)
+            sums[used] = np.nan_to_num(sums[used]) + np.add.reduceat(each[by_fit], first, axis=0)
+            np.maximum.at(reach, solved.fit, solved.reach())
+        yield _sent(np.arange(fits), sums, reach)
+
+    return run
+
+
 def evaluator(points, group_modes, layout, order):
-    """mapInArrow function: per task and fit, the summed values (and group blocks) at K points."""
+    """mapInArrow function: per task and fit, the values at K points and, with group modes, their group blocks."""
     fits, K, _ = points.shape
     G = layout.groups
+    size = K if group_modes is None else K * (1 + G + G * G)
 
     def run(batches):
-        values, seen, reach = np.zeros((fits, K)), np.zeros(fits, bool), np.zeros(fits)
-        gradients, hessians = {}, {}
+        sums, reach = np.full((fits, size), np.nan), np.zeros(fits)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             unpacked = _unpack(batch)
+            used = np.unique(unpacked[0])
+            sums[used] = np.nan_to_num(sums[used])
             block = max(1, BLOCK // max(1, len(unpacked[2]) * (1 if group_modes is None else G)))
             for start in range(0, K, block):
-                part = slice(start, start + block)
+                part = slice(start, min(start + block, K))
                 modes = None if group_modes is None else group_modes[:, part]
                 solved = Batch(unpacked, points[:, part], modes, layout, order)
                 per_entity = solved.value()
                 if start == 0:
                     np.maximum.at(reach, solved.fit, solved.reach())
-                for fit in np.unique(solved.fit):
-                    seen[fit] = True
-                    values[fit, part] += per_entity[solved.fit == fit].sum(axis=0)
+                for fit in used:
+                    sums[fit, part] += per_entity[solved.fit == fit].sum(axis=0)
                     if group_modes is not None:
                         g, h = solved.group_block(fit)
-                        gradients.setdefault(fit, np.zeros((K, G)))[part] += g
-                        hessians.setdefault(fit, np.zeros((K, G, G)))[part] += h
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({
-            "fit": pa.array(used, pa.int32()),
-            "value": pa.array([values[f].tolist() for f in used], pa.list_(pa.float64())),
-            "reach": pa.array(reach[used]),
-            "gradient": pa.array([gradients[f].ravel().tolist() if f in gradients else [] for f in used],
-                                 pa.list_(pa.float64())),
-            "hessian": pa.array([hessians[f].ravel().tolist() if f in hessians else [] for f in used],
-                                pa.list_(pa.float64())),
-        })
+                        sums[fit, K + start * G : K + part.stop * G] += g.ravel()
+                        sums[fit, K + K * G + start * G * G : K + K * G + part.stop * G * G] += h.ravel()
+        yield _sent(np.arange(fits), sums, reach)
 
     return run
 
@@ -248,7 +363,9 @@ def mode_emitter(points, group_modes, layout, order):
             rows = solved.owner
             take = pa.array(rows)
             # a long way to the modes is gone in several expansions, as single long steps can overshoot
-            share = np.minimum(1, LONGEST / np.maximum(solved.reach(), 1e-300))[rows]
+            way = np.maximum(np.abs(solved.a - solved.a0), 2 * np.abs(solved.b - solved.b0))[:, 0]
+            way = np.maximum.reduceat(way, np.searchsorted(rows, np.arange(solved.count)))
+            share = np.minimum(1, LONGEST / np.maximum(way, 1e-300))[rows]
             yield pa.RecordBatch.from_pydict({
                 "fit": batch.column("fit").take(take),
                 "entity": batch.column("entity").take(take),

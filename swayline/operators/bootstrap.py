@@ -1,46 +1,47 @@
 """Parametric bootstrap of the entities' total slopes."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from swayline.functions.draws import binomial, standard_normal
 from swayline.operators.effects import entity_effects
 from swayline.operators.mixed import fit_mixed
-from swayline.scratch import materialise
 
 
-def simulate(cells, fit, form, replicates, seed):
-    """``replicates`` copies of the cells with outcomes drawn anew, random effects included.
+def drawer(theta, seed):
+    """Function of (rows, layout, numbers) that draws the outcomes of replicates anew, random effects included.
 
-    A replicate's effect of an entity and its wins in a cell are drawn from hashes of their keys,
-    so a repeated task draws the same values.
+    ``theta`` are the parameters of the model that is simulated. A replicate's effect of an entity and its
+    wins in a cell are drawn from hashes of their keys, so a repeated task or pass draws the same values.
     """
-    fixed = {t: v for (f, t), v in fit.fixed.items() if f == 0}
-    groups = [F.lit(x) for t, v in fixed.items() if t.startswith("group_name") for x in (t[len("group_name"):], v)]
-    group = F.coalesce(F.try_element_at(F.create_map(*groups), F.col("group_name")), F.lit(0.0)) if groups else F.lit(0.0)
-    slope_sd = fit.spreads.get((0, "entity", form.x), 0.0)
-    level_sd = fit.spreads.get((0, "entity", "(Intercept)"), 0.0)
-    m = F.col(form.m) if form.m else F.lit(0.0)
-    base = cells.groupBy("entity", "group_name", F.col(form.x).alias(form.x), m.alias("__m")).agg(
-        F.sum("n_known").alias("n_known")).where("n_known > 0")
-    copies = base.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    tag = F.lit(seed)
-    slope = F.lit(fixed[form.x]) + F.lit(slope_sd) * standard_normal(tag, F.lit("slope"), F.col("fit"), F.col("entity"))
-    level = F.lit(fixed["(Intercept)"]) + group + F.lit(fixed.get(form.m, 0.0)) * F.col("__m") + F.lit(
-        level_sd) * standard_normal(tag, F.lit("level"), F.col("fit"), F.col("entity"))
-    p = 1 / (1 + F.exp(-(level + slope * F.col(form.x))))
-    key = F.xxhash64(tag, "fit", "entity", "group_name", form.x)
-    drawn = copies.withColumn("wins", binomial(F.col("n_known"), p, key))
-    return drawn.withColumnRenamed("__m", form.m) if form.m else drawn.drop("__m")
-
-
-def bootstrap_slopes(cells, fit, form, replicates=200, seed=123, levels=(0.025, 0.975)):
+
+    def draw(rows, layout, numbers):
+        def value(name):
+            at = layout.at(name)
+            return F.lit(0.0 if at is None else float(theta[at]))
+
+        tag, group = F.lit(seed), F.get(F.array(*[value(f"group{g}") for g in range(layout.groups)]), F.col("place"))
+        copies = rows.drop("fit", "wins").withColumn("fit", F.explode(F.lit(numbers)))
+        slope = value("x") + value("sd_slope") * standard_normal(tag, F.lit("slope"), F.col("fit"), F.col("entity"))
+        level = value("intercept") + group + value("m") * F.col("m") + value("sd_intercept") * standard_normal(
+            tag, F.lit("level"), F.col("fit"), F.col("entity"))
+        p = 1 / (1 + F.exp(-(level + slope * F.col("x"))))
+        return copies.withColumn("wins", binomial(F.col("n"), p, F.xxhash64(tag, "fit", "entity", "place", "x")))
+
+    return draw
+
+
+def bootstrap_slopes(cells, fit, form, replicates=1000, seed=123, levels=(0.025, 0.975)):
     """Mean, standard error and percentile interval of each entity's total slope, with the estimate.
 
-    All replicates are fitted side by side in the same passes. An entity's summary sees one value
-    per replicate whose refit converged; ``n_boot`` tells how many those are.
+    ``fit`` is the fit of ``form`` to ``cells``. All replicates are fitted side by side in the same passes;
+    those that have converged leave them. An entity's summary sees one value per replicate whose refit
+    converged; ``n_boot`` tells how many those are.
     """
-    samples = materialise(simulate(cells, fit, form, replicates, seed), "replicates")
-    refits = fit_mixed(samples, form, start=fit.spreads["theta"][0], partial=True)
+    if form.group_random or form.nested:
+        raise ValueError("replicates are drawn for entity terms only")
+    theta = np.asarray(fit.spreads["theta"][0])
+    refits = fit_mixed(cells, form, start=theta, partial=True, draw=(replicates, drawer(theta, seed)))
     good = refits.fit_stats.where("converged").select("fit")  # at most one row for each replicate
     slopes = entity_effects(refits, form).join(good, "fit", "left_semi").select("entity", F.col("total_slope").alias("slope"))
     summary = slopes.groupBy("entity").agg(

@@ -16,14 +16,13 @@ def entity_effects(fit, form):
     wide = fit.random_effects.where(F.col("factor") == "entity").groupBy("fit", F.col("level").alias("entity")).agg(
         mode("(Intercept)").alias("intercept"), mode(form.x).alias("slope"))
 
-    def fixed(term):
-        values = F.create_map(*[F.lit(v) for f, t in fit.fixed for v in (f, fit.fixed[(f, t)]) if t == term])
-        return F.try_element_at(values, F.col("fit"))
-
-    totals = wide.withColumns({
-        "total_slope": F.col("slope") + fixed(form.x),
-        "total_intercept": F.col("intercept") + fixed("(Intercept)"),
-    })
+    fixed = fit.coefficients.where(F.col("term").isin(form.x, "(Intercept)")).groupBy(F.col("fit").alias("__fit")).agg(
+        F.max(F.when(F.col("term") == form.x, F.col("estimate"))).alias("__x"),
+        F.max(F.when(F.col("term") == "(Intercept)", F.col("estimate"))).alias("__level"))
+    totals = wide.join(F.broadcast(fixed), F.col("fit") == F.col("__fit")).withColumns({  # one short row per fit
+        "total_slope": F.col("slope") + F.col("__x"),
+        "total_intercept": F.col("intercept") + F.col("__level"),
+    }).drop("__fit", "__x", "__level")
     return totals.withColumn("total_effect", F.col("total_intercept") + F.col("total_slope"))
 
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swayline.functions.laplace import SUMS, Layout, evaluator, mode_emitter
+from swayline.functions.laplace import SUMS, Layout, deriver, evaluator, mode_emitter
 from swayline.functions.normal import two_sided
 from swayline.scratch import materialise
 from swayline.skew import attach
@@ -25,7 +25,9 @@ from swayline.skew import attach
 SINGULAR = 1e-4
 STATE = "fit int, entity string, place int, m double, a double, b double, n double, " \
         "intercept_mode double, slope_mode double, nested_mode double"
-VALUES = "fit int, value array<double>, reach double, gradient array<double>, hessian array<double>"
+VALUES = "fit int, place int, value double"
+#: Newton decrement (twice the log-likelihood still to be gained) and distance of the modes from the centre at convergence.
+DECREMENT, NEAR = 1e-8, 1e-3
 #: Passes after which fits count as not converged.
 MAX_EXPANSIONS = 200
 #: (entity, group) pairs that a task packs, where there are more than a task for each core.
@@ -111,12 +113,21 @@ def prepare(cells, form, weight="n_known", wins="wins"):
     return scaled, groups, scales, math.log(rate / (1 - rate)), sizes
 
 
-def start_state(rows):
-    """One row per (fit, entity, group) with its covariate, size and a centre at zero."""
+def start_state(rows, theta, layout, fits):
+    """One row per (fit, entity, group) with its covariate, size and the fixed part of ``theta`` as the centre."""
     zero = F.lit(0.0)
+
+    def value(name):
+        at = layout.at(name)
+        return F.lit(0.0 if at is None else float(theta[at]))
+
+    offsets = F.array(*[value(f"group{g}") for g in range(layout.groups)])
     pairs = rows.groupBy("fit", "entity", "place").agg(F.max("m").alias("m"), F.sum("n").alias("n"))
+    if fits is not None:
+        pairs = pairs.withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(fits - 1))))
     return pairs.select(
-        "fit", "entity", "place", "m", zero.alias("a"), zero.alias("b"), "n",
+        "fit", "entity", "place", "m", (value("intercept") + value("m") * F.col("m") + F.get(offsets, F.col("place"))).alias("a"),
+        value("x").alias("b"), "n",
         zero.alias("intercept_mode"), zero.alias("slope_mode"), zero.alias("nested_mode"),
     )
 
@@ -154,38 +165,53 @@ def expand(rows, state, size):
     return materialise(packed.repartition(tasks, "fit", "entity"), "pairs")
 
 
-def _evaluate(packed, points, modes, layout, order):
-    """Values (F, K) at the points; with group modes also their gradients and Hessians."""
-    fits, K, _ = points.shape
-    G = layout.groups
-    parts = packed.mapInArrow(evaluator(points, modes, layout, order), VALUES).collect()
-    values, reach = np.zeros((fits, K)), np.zeros(fits)
-    gradient, hessian = np.zeros((fits, K, G)), np.zeros((fits, K, G, G))
-    for row in parts:
-        values[row["fit"]] += row["value"]
-        reach[row["fit"]] = max(reach[row["fit"]], row["reach"])
-        if modes is not None:
-            gradient[row["fit"]] += np.reshape(row["gradient"], (K, G))
-            hessian[row["fit"]] += np.reshape(row["hessian"], (K, G, G))
-    return values, reach, gradient, hessian
+def _summed(packed, function, fits, size):
+    """Sums (F, size) and largest reach (F,) over all tasks, added up in Spark by (fit, place)."""
+    parts = packed.mapInArrow(function, VALUES).groupBy("fit", "place").agg(F.sum("value").alias("sum"), F.max("value").alias("most"))
+    table = parts.toArrow()
+    fit, place, total, most = (table.column(c).to_numpy() for c in ("fit", "place", "sum", "most"))
+    sums, reach = np.zeros((fits, size)), np.full(fits, np.nan)
+    inside = place >= 0
+    sums[fit[inside], place[inside]] = total[inside]
+    reach[fit[~inside]] = most[~inside]
+    return sums, reach
 
 
 def _laplace(packed, points, modes, layout, order):
     """Laplace log-likelihood (F, K), the modes' distance from the centre (F,), and group modes (F, K, G)."""
-    if layout.at("sd_group") is None:
-        return *_evaluate(packed, points, None, layout, order)[:2], None
-    for _ in range(6):
-        values, reach, gradient, hessian = _evaluate(packed, points, modes, layout, order)
-        gradient = gradient - modes
-        hessian = hessian + np.eye(layout.groups)
+    fits, K, _ = points.shape
+    G = layout.groups
+    if modes is None:
+        return *_summed(packed, evaluator(points, None, layout, order), fits, K), None
+    for _ in range(20):
+        sums, reach = _summed(packed, evaluator(points, modes, layout, order), fits, K * (1 + G + G * G))
+        values, gradient = sums[:, :K], sums[:, K : K + K * G].reshape(fits, K, G) - modes
+        hessian = sums[:, K + K * G :].reshape(fits, K, G, G) + np.eye(G)
         step = np.linalg.solve(hessian, gradient[..., None])[..., 0]
         done = np.max(np.abs(step)) < 1e-6
         values = values - (modes**2).sum(axis=2) / 2 + (gradient * step).sum(axis=2) / 2
         values = values - np.linalg.slogdet(hessian)[1] / 2
         modes = modes + np.clip(step, -2, 2)
         if done:
-            break
-    return values, reach, modes
+            return values, reach, modes
+    return values, np.full(fits, np.inf), modes  # group modes not found: no fit counts as converged
+
+
+def _derive(packed, theta, modes, layout, order):
+    """Value (F,), gradient (F, P) and Hessian (F, P, P) at ``theta``, reach (F,), group modes (F, 1, G) or None.
+
+    Where entities share parameters only, derivatives are exact. With group modes, which tie all entities
+    together, they are central differences; such models have no parameter per group, so their points are few.
+    """
+    fits, P = theta.shape
+    if layout.by_entity():
+        sums, reach = _summed(packed, deriver(theta, layout, order), fits, 1 + P + P * P)
+        return sums[:, 0], sums[:, 1 : 1 + P], sums[:, 1 + P :].reshape(fits, P, P), reach, None
+    points = theta[:, None, :] + _stencil(P)[None]
+    wide = None if modes is None else np.repeat(modes, points.shape[1], axis=1)
+    values, reach, modes = _laplace(packed, points, wide, layout, order)
+    made = [_differences(v, P) for v in values]
+    return values[:, 0], np.array([g for g, _ in made]), np.array([h for _, h in made]), reach, None if modes is None else modes[:, :1]
 
 
 def _stencil(P, h=2e-3):
@@ -226,41 +252,41 @@ def _newton_step(gradient, hessian, limit):
 class Climb:
     """Newton ascent of several fits on one expansion; a fit whose value drops retries a shorter step."""
 
-    def __init__(self, theta, P):
-        self.start, self.theta, self.P = theta.copy(), theta.copy(), P
+    def __init__(self, theta, spread_at):
+        self.theta, self.spread_at = theta.copy(), spread_at
         self.step = np.zeros_like(theta)
         self.value = np.full(len(theta), -np.inf)
-        self.derivatives = [None] * len(theta)
-        self.fresh = np.zeros(len(theta), bool)
+        self.gradient, self.hessian = np.zeros_like(theta), np.zeros((*theta.shape, theta.shape[1]))
+        self.decrement = np.full(len(theta), np.inf)
 
     def trial(self):
-        return self.theta + self.step
+        """Accepted points plus their untried step; a spread's sign does not matter, so it stays positive."""
+        out = self.theta + self.step
+        out[:, self.spread_at] = np.abs(out[:, self.spread_at])
+        return out
 
-    def update(self, values):
-        """Takes the values at the trial points; returns which fits accepted them."""
+    def update(self, values, gradients, hessians, active):
+        """Takes what was found at the trial points; returns which fits accepted them."""
         trial = self.trial()
-        self.fresh = values[:, 0] >= self.value - 1e-10 * np.abs(values[:, 0])
-        for f in range(len(trial)):
-            if not self.fresh[f]:
+        fresh = active & (values >= self.value - 1e-10 * np.abs(values))
+        for f in np.flatnonzero(active):
+            if not fresh[f]:
                 self.step[f] /= 4
                 continue
-            self.theta[f], self.value[f] = trial[f], values[f, 0]
-            self.derivatives[f] = _differences(values[f], self.P)
-            self.step[f] = _newton_step(*self.derivatives[f], 0.7)
-        return self.fresh
+            self.theta[f], self.value[f], self.gradient[f], self.hessian[f] = trial[f], values[f], gradients[f], hessians[f]
+            self.step[f] = _newton_step(gradients[f], hessians[f], 0.7)
+            self.decrement[f] = abs(gradients[f] @ self.step[f])
+        return fresh
 
     def back_up(self, best, exact):
         """Fits that a re-expansion shows to be worse than before go half way back instead."""
         for f in np.flatnonzero(exact):
             if self.value[f] < best.value[f] - 1e-8 * abs(best.value[f]):
                 self.step[f] = (best.theta[f] - self.theta[f]) / 2
+                self.decrement[f] = np.inf
             else:
                 best.theta[f], best.value[f] = self.theta[f].copy(), self.value[f]
 
-    def end(self):
-        """Last accepted points plus their untried step."""
-        return self.theta + self.step
-
 
 class Best:
     """Best parameters so far by exact value (taken right after an expansion)."""
@@ -269,17 +295,23 @@ class Best:
         self.theta, self.value = theta.copy(), np.full(len(theta), -np.inf)
 
 
-def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=1e-5, partial=False):
+def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, partial=False, draw=None):
     """Fits the model ``form`` and returns its result tables.
 
-    A fit that has not converged raises, unless ``partial`` is set: then ``fit_stats`` tells which have.
+    A fit has converged when its Newton decrement vanishes at the centre of its sums; it then leaves the
+    passes. One that has not raises, unless ``partial`` is set: then ``fit_stats`` tells which have.
 
     ``cells`` with a ``fit`` column (0..F-1) hold F data sets that are fitted side by side in the
     same passes. ``start`` is a parameter vector of an earlier fit of the same form (see
-    ``MixedFit.spreads['theta']``).
+    ``MixedFit.spreads['theta']``). ``draw`` = (F, function) makes F data sets of one: the function maps
+    (rows, layout, numbers of the data sets) to rows with ``fit`` and new ``wins``, in each pass anew, so that
+    no table of all of them is written; it must be repeatable.
     """
     spark = cells.sparkSession
     rows, groups, scales, level, sizes = prepare(cells, form, weight, wins)
+    if draw:
+        sizes = np.repeat(sizes, draw[0])
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "entity", "place", "x")
     fits = len(sizes)
     layout = form.layout(len(groups))
     P = len(layout.names)
@@ -289,50 +321,62 @@ def fit_mixed(cells, form, weight="n_known", wins="wins", start=None, tolerance=
     theta[:, spread_at] = 0.4
     if start is not None:
         theta[:] = start
-    state = materialise(start_state(rows), "state")
+    state = materialise(start_state(rows, theta[0], layout, draw and fits), "state")
     size = state.count()
-    state = state.withColumn("a", F.lit(level))
     group_modes = np.zeros((fits, 1, len(groups))) if form.group_random else None
-    offsets = _stencil(P)
-    K = len(offsets)
-    packed, order, expansions = None, 2, 0
+    packed, expansions, ended = None, 0, []
     best = Best(theta)
+    active, converged = sizes > 0, np.zeros(fits, bool)
+    value, hessian = np.zeros(fits), np.zeros((fits, P, P))
+
+    def modes_of(which):
+        """Rows of the modes of some fits, from the sums at hand."""
+        return _of(packed, which, fits).mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
+
     while True:
         if packed is not None:
-            state = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
-        order = 2 if expansions < 2 else 4
-        packed = expand(rows, state, size)
+            state = modes_of(active)
+        order = 2 if expansions < 2 and start is None else 4
+        mine = draw[1](rows, layout, np.flatnonzero(active).tolist()) if draw else _of(rows, active, fits)
+        packed = expand(mine, state, int(size * active.sum() // fits))
         expansions += 1
-        climb = Climb(theta, P)
+        climb = Climb(theta, spread_at)
         for inner in range(1 if order == 2 else 4):
-            points = climb.trial()[:, None, :] + offsets[None]
-            wide = None if group_modes is None else np.repeat(group_modes, K, axis=1)
-            values, reach, modes = _laplace(packed, points, wide, layout, order)
-            near = reach if inner == 0 else near
-            accepted = climb.update(values)
+            values, gradients, hessians, reach, modes = _derive(packed, climb.trial(), group_modes, layout, order)
+            accepted = climb.update(values, gradients, hessians, active)
             if modes is not None:
-                group_modes = np.where(accepted[:, None, None], modes[:, :1], group_modes)
-            if order == 4 and inner == 0:
-                climb.back_up(best, near < 0.3)
-            if np.max(np.abs(climb.step)) < tolerance:
+                group_modes = np.where(accepted[:, None, None], modes, group_modes)
+            if inner == 0 and order == 4:
+                # the sums are exact at their centre, where these points' modes are
+                climb.back_up(best, active & (reach < 0.3))
+                done = active & accepted & (reach < NEAR) & (climb.decrement < DECREMENT)
+                value[done], hessian[done], theta[done] = climb.value[done], climb.hessian[done], climb.theta[done]
+                if done.any():
+                    ended.append(modes_of(done))
+                converged, active = converged | done, active & ~done
+            if (climb.decrement[active] < DECREMENT).all():
                 break
-        theta = climb.end()
-        theta[:, spread_at] = np.abs(theta[:, spread_at])
-        moved = np.max(np.abs(theta - climb.start), axis=1)
-        converged = (moved < 10 * tolerance) & (near < 1e-3) & (order == 4)
-        if converged.all() or expansions == MAX_EXPANSIONS:
+        theta[active] = climb.trial()[active]
+        if not active.any() or expansions == MAX_EXPANSIONS:
             break
-    if not partial and not converged.all():
-        raise RuntimeError(f"{(~converged).sum()} of {fits} fits have not converged in {expansions} passes")
-    values, derivatives = climb.value, climb.derivatives
-    emitted = packed.mapInArrow(mode_emitter(theta[:, None, :], group_modes, layout, order), STATE)
-    state = materialise(emitted, "modes")
-    return _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes,
-                   packed, converged, expansions, sizes)
+    if not partial and active.any():
+        raise RuntimeError(f"{active.sum()} of {fits} fits have not converged in {expansions} passes")
+    if active.any():
+        value[active], hessian[active] = climb.value[active], climb.hessian[active]
+        ended.append(modes_of(active))
+    state = ended[0]
+    for more in ended[1:]:
+        state = state.unionAll(more)
+    state = materialise(state, "modes")
+    return _report(spark, form, layout, groups, scales, theta, value, hessian, state, group_modes, converged, expansions, sizes)
+
+
+def _of(rows, which, fits):
+    """Rows of the marked fits; there are at most as many numbers as fits."""
+    return rows if which.all() else rows.where(F.col("fit").isin(np.flatnonzero(which).tolist()))
 
 
-def _report(spark, form, layout, groups, scales, theta, values, derivatives, state, group_modes, packed,
-            converged, expansions, sizes):
+def _report(spark, form, layout, groups, scales, theta, values, hessians, state, group_modes, converged, expansions, sizes):
     """Result tables on the original scale of the predictors."""
     names = layout.names
     fixed_names = [n for n in names if not n.startswith("sd_")]
@@ -349,12 +393,12 @@ def _report(spark, form, layout, groups, scales, theta, values, derivatives, sta
         ("sd_nested", "entity:group", "(Intercept)", 1.0), ("sd_group", "group", "(Intercept)", 1.0),
     ]
     fits = len(sizes)
-    entities = {r["fit"]: r["count"] for r in packed.groupBy("fit").count().collect()}
+    entities = {r["fit"]: r["n"] for r in state.groupBy("fit").agg(F.countDistinct("entity").alias("n")).collect()}
     coefficient_rows, spread_rows, stat_rows = [], [], []
     fixed, spreads = {}, {"theta": theta}
     p = len(fixed_names)
     for f in range(fits):
-        hessian = derivatives[f][1]
+        hessian = hessians[f]
         sds = {n: float(theta[f, layout.at(n)]) for n, *_ in sd_terms if layout.at(n) is not None}
         free = list(range(p)) + [layout.at(n) for n in sds if sds[n] >= SINGULAR]
         covariance = np.linalg.pinv(-hessian[np.ix_(free, free)])[:p, :p]

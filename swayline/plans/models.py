@@ -205,7 +205,7 @@ def plot_model_top3(spark, sf_dir):
     return rounded(plotdata.top3_points(entities, slopes.select("entity", "total_slope")), 4)
 
 
-def boot_slopes(spark, sf_dir, replicates=20):
+def boot_slopes(spark, sf_dir, replicates=1000):
     recent, fit, _ = sensitivity_effects(spark, sf_dir)
     return rounded(bootstrap.bootstrap_slopes(recent, fit, SENSITIVITY, replicates), 4)
 

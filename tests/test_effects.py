@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from swayline.functions import draws
 from swayline.functions.draws import standard_normal, uniform
 from swayline.operators import bootstrap, effects, mixed
 
@@ -57,12 +59,61 @@ def test_bootstrap_repeats_and_covers(spark):
     rows = dense.simulate(51, groups=2, entities=8, rows=80)
     cells = cells_of(spark, rows).cache()
     fit = mixed.fit_mixed(cells, FORMS["slope"])
-    draws = bootstrap.simulate(cells, fit, FORMS["slope"], 3, seed=7)
-    again = bootstrap.simulate(cells.repartition(5), fit, FORMS["slope"], 3, seed=7)
-    assert sorted(map(str, draws.collect())) == sorted(map(str, again.collect()))
-    assert draws.where("wins < 0 or wins > n_known").count() == 0
+    rows, groups, *_ = mixed.prepare(cells, FORMS["slope"])
+    draw, layout = bootstrap.drawer(fit.spreads["theta"][0], 7), FORMS["slope"].layout(len(groups))
+    first, again = draw(rows, layout, [0, 1, 2]), draw(rows.repartition(5), layout, [0, 2])
+    assert first.count() == 3 * rows.count() and first.where("wins < 0 or wins > n").isEmpty()
+    assert sorted(map(str, first.where("fit <> 1").collect())) == sorted(map(str, again.collect()))
     boot = bootstrap.bootstrap_slopes(cells, fit, FORMS["slope"], replicates=12, seed=7).collect()
     assert len(boot) == 16
     fixed = fit.fixed[(0, "x")]
     assert sum(r["mean_boot"] for r in boot) / 16 == pytest.approx(fixed, abs=0.25)
     assert all(r["ci_lower"] <= r["mean_boot"] <= r["ci_upper"] and r["se_boot"] > 0 for r in boot)
+
+
+def test_bootstrap_equals_an_independent_simulation(spark):
+    """Means and intervals of the slopes against refits of data that numpy drew."""
+    rows = dense.simulate(52, groups=2, entities=3, rows=60, sd_slope=0.6)
+    cells = cells_of(spark, rows).cache()
+    form = FORMS["slope"]
+    fit = mixed.fit_mixed(cells, form)
+    boot = {r["entity"]: r for r in bootstrap.bootstrap_slopes(cells, fit, form, replicates=400, seed=3).collect()}
+    assert {r["n_boot"] for r in boot.values()} == {400}
+    rng, drawn = np.random.default_rng(8), []
+    sd = fit.spreads[(0, "entity", "x")]
+    for replicate in range(400):
+        own = {e: rng.normal(0, sd) for e in {r[0] for r in rows}}
+        for e, g, x, m, _ in rows:
+            eta = fit.fixed[(0, "(Intercept)")] + fit.fixed.get((0, f"group_name{g}"), 0.0) + fit.fixed[(0, "m")] * m + (fit.fixed[(0, "x")] + own[e]) * x
+            drawn.append((e, g, x, m, float(rng.random() < 1 / (1 + math.exp(-eta))), replicate))
+    frame = spark.createDataFrame(drawn, "entity string, group_name string, x double, m double, outcome double, fit int")
+    refits = mixed.fit_mixed(frame.groupBy("fit", "entity", "group_name", "x", "m").agg(F.count("outcome").alias("n_known"), F.sum("outcome").alias("wins")), form, partial=True)
+    slopes = {}
+    for r in effects.entity_effects(refits, form).collect():
+        slopes.setdefault(r["entity"], []).append(r["total_slope"])
+    for e, values in slopes.items():
+        error = np.std(values) / len(values) ** 0.5
+        assert abs(np.mean(values) - boot[e]["mean_boot"]) < 6 * error
+        assert abs(np.std(values) - boot[e]["se_boot"]) < 0.2 * np.std(values)
+        for side, share in (("ci_lower", 0.025), ("ci_upper", 0.975)):
+            assert abs(np.quantile(values, share) - boot[e][side]) < 0.6 * np.std(values)
+
+
+def test_binomial_inversion():
+    rng = np.random.default_rng(1)
+    trials, p = rng.integers(0, draws.TRIALS + 1, 4000), rng.random(4000)
+    u = rng.random(4000)
+    for n, q, x, got in zip(trials.tolist(), p, u, draws.inverted(trials, p, u).tolist()):
+        rare = min(q, 1 - q)
+        below, k = (1 - rare) ** n, 0
+        while below < x and k < n:
+            k += 1
+            below += math.comb(n, k) * rare**k * (1 - rare) ** (n - k)
+        assert got == (n - k if q > 0.5 else k)
+    assert draws.inverted(np.array([5, 5, 0]), np.array([0.0, 1.0, 0.5]), np.array([0.5, 0.5, 0.5])).tolist() == [0, 5, 0]
+
+
+def test_binomial_of_many_trials(spark):
+    r = spark.range(4000).select(draws.binomial(F.lit(1000.0), F.lit(0.3), F.xxhash64("id")).alias("k")).agg(
+        F.avg("k").alias("m"), F.stddev("k").alias("s"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+    assert r.m == pytest.approx(300, abs=1) and r.s == pytest.approx(math.sqrt(210), rel=0.06) and r.lo > 230 and r.hi < 370

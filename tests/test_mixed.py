@@ -138,3 +138,42 @@ def test_shuffled_join_gives_the_same_fit(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     salted = mixed.fit_mixed(cells_of(spark, rows), FORMS["both"])
     assert salted.fixed[(0, "x")] == pytest.approx(plain.fixed[(0, "x")], abs=1e-9)
+
+
+@pytest.mark.parametrize("name,movers", [("slope", 0.0), ("slope", 0.5), ("both", 0.5), ("level", 0.0)])
+def test_analytic_derivatives(spark, name, movers):
+    """Gradient and Hessian of the sums against differences of the values that the same sums give."""
+    form = {**FORMS, "level": mixed.Form(x="x", m=None, entity_slope=False)}[name]
+    cells = cells_of(spark, dense.simulate(71, groups=3, entities=5, rows=30, sd_intercept=0.5, movers=movers))
+    rows, groups, _, level, _ = mixed.prepare(cells, form)
+    layout = form.layout(len(groups))
+    P = len(layout.names)
+    theta = np.linspace(-0.3, 0.5, P)
+    state = mixed.start_state(rows, theta, layout, None)
+    packed = mixed.expand(rows, state, state.count())
+    for order in (2, 4):
+        value, gradient, hessian, reach, _ = mixed._derive(packed, theta[None], None, layout, order)
+        points = theta + mixed._stencil(P, 1e-3)
+        values, far, _ = mixed._laplace(packed, points[None], None, layout, order)
+        g, h = mixed._differences(values[0], P, 1e-3)
+        assert value[0] == pytest.approx(values[0, 0], abs=1e-9) and reach[0] == far[0]
+        assert np.allclose(gradient[0], g, atol=2e-4) and np.allclose(hessian[0], h, atol=2e-3)
+
+
+def test_converged_fits_leave_the_passes(spark):
+    """Fits of very unequal difficulty: each ends at its own optimum, and the decrement says so."""
+    easy, hard = dense.simulate(81, entities=6), dense.simulate(82, entities=6, sd_slope=2.5)
+    both = cells_of(spark, easy).withColumn("fit", F.lit(0)).unionByName(cells_of(spark, hard).withColumn("fit", F.lit(1)))
+    joint = mixed.fit_mixed(both, FORMS["slope"])
+    assert {r["converged"] for r in joint.fit_stats.collect()} == {True}
+    assert joint.random_effects.groupBy("fit").count().where("count = 24").count() == 2
+    single = mixed.fit_mixed(cells_of(spark, hard), FORMS["slope"])
+    assert joint.spreads[(1, "entity", "x")] == pytest.approx(single.spreads[(0, "entity", "x")], abs=1e-5)
+
+
+def test_unfound_modes_are_not_converged(spark, monkeypatch):
+    monkeypatch.setattr(mixed, "MAX_EXPANSIONS", 2)
+    cells = cells_of(spark, dense.simulate(83, entities=6, sd_slope=2.5))
+    with pytest.raises(RuntimeError):
+        mixed.fit_mixed(cells, FORMS["slope"])
+    assert not mixed.fit_mixed(cells, FORMS["slope"], partial=True).fit_stats.first()["converged"]
