@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from swayline.functions.student import t_p_value
+from swayline.functions.student import with_f_p_value, with_t_p_value
 from swayline.scratch import materialise
 
 
@@ -10,6 +10,20 @@ def _with_tests(terms):
     return terms.withColumn("statistic", F.try_divide("estimate", "std_error"))
 
 
+def with_fit_tests(terms):
+    """Adds adjusted R2, the F statistic against the constant model and its p-value, and the terms' p-values.
+
+    Needs r_squared, df_model (slopes and contrasts), df_residual and the t statistics.
+    """
+    left = 1 - F.col("r_squared")
+    below = F.col("df_residual").cast("double")
+    tested = terms.withColumns({
+        "adj_r_squared": F.when(below > 0, 1 - left * (F.col("df_model") + below) / below),
+        "f_statistic": F.try_divide(F.col("r_squared") / F.when(F.col("df_model") > 0, F.col("df_model")), F.try_divide(left, below)),
+    })
+    return with_t_p_value(with_f_p_value(tested)).drop("df_model")
+
+
 def ols_summary(df, x, y):
     """Simple regression y ~ x: one row per term, with the fit's statistics on each row."""
     s = df.agg(
@@ -34,14 +48,9 @@ def ols_summary(df, x, y):
     long = s.select(
         F.inline(terms),
         "n", "df_residual", F.sqrt("sigma2").alias("sigma"),
-        F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")).alias("r_squared"),
+        F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")).alias("r_squared"), F.lit(1).alias("df_model"),
     )
-    return _with_tests(long)
-
-
-def with_p_values(terms):
-    """Adds two-sided p-values of the t statistics."""
-    return terms.withColumn("p_value", F.nanvl(t_p_value("statistic", F.col("df_residual").cast("double")), F.lit(None)))
+    return with_fit_tests(_with_tests(long))
 
 
 def entity_fits(frame, min_rows=1):
@@ -63,7 +72,7 @@ def entity_fits(frame, min_rows=1):
     )
     sloped = F.col("sxx") > 0
     return fits.where((F.col("n_rows") >= min_rows) & (F.col("n") > 0)).select(
-        "group_name", "entity", "n", "avgx", "sxx",
+        "group_name", "entity", "n", "avgx", "sxx", "syy", "avgy",
         F.when(sloped, F.col("slope")).alias("slope"),
         F.when(sloped, F.col("line_intercept")).otherwise(F.col("avgy")).alias("intercept"),
         F.when(sloped, F.col("syy") - F.col("sxy") * F.col("sxy") / F.when(sloped, F.col("sxx")))
@@ -85,11 +94,15 @@ def interaction_terms(fits):
     usable = F.when(F.col("slope").isNotNull(), F.col("entity"))
     line = F.struct("slope", "intercept", "avgx", "sxx", "n")
     groups = fits.groupBy("group_name").agg(
-        F.sum("rss").alias("rss"), (F.sum("n") - F.sum("n_params")).alias("df_residual"),
+        F.sum("rss").alias("rss"), (F.sum("n") - F.sum("n_params")).alias("df_residual"), (F.sum("n_params") - 1).alias("df_model"),
+        # squares about the group's mean: inside the entities, and between them
+        (F.sum("syy") + F.sum(F.col("n") * F.col("avgy") * F.col("avgy"))
+         - F.sum(F.col("n") * F.col("avgy")) * F.sum(F.col("n") * F.col("avgy")) / F.sum("n")).alias("tss"),
         F.min(usable).alias("reference_entity"), F.min_by(line, usable).alias("ref"),
     )
     s2 = F.when(F.col("df_residual") > 0, F.try_divide(F.col("rss"), F.col("df_residual").cast("double")))
-    joined = fits.drop("rss", "n_params").join(groups.withColumn("s2", s2), "group_name")
+    groups = groups.withColumn("s2", s2).withColumn("r_squared", 1 - F.try_divide("rss", F.when(F.col("tss") > 0, F.col("tss"))))
+    joined = fits.drop("rss", "n_params").join(groups, "group_name")
 
     def variances(prefix):
         inv = F.try_divide(F.lit(1.0), f"{prefix}sxx")
@@ -97,12 +110,12 @@ def interaction_terms(fits):
         return F.col("s2") * inv, F.col("s2") * (F.try_divide(F.lit(1.0), f"{prefix}n") + at_zero)
 
     own, ref = variances(""), variances("ref.")
-    return contrast_terms(joined.select(
-        "group_name", "entity", "reference_entity", "df_residual", "slope", "intercept",
+    return with_fit_tests(contrast_terms(joined.select(
+        "group_name", "entity", "reference_entity", "df_residual", "r_squared", "df_model", "slope", "intercept",
         own[0].alias("var_slope"), own[1].alias("var_intercept"),
         F.col("ref.slope").alias("ref_slope"), F.col("ref.intercept").alias("ref_intercept"),
         ref[0].alias("ref_var_slope"), ref[1].alias("ref_var_intercept"),
-    ))
+    )))
 
 
 def contrast_terms(lines):
@@ -124,7 +137,7 @@ def contrast_terms(lines):
         term("interaction", F.concat(F.lit("metric:entity"), "entity"), slope - F.col("ref_slope"),
              F.col("var_slope") + F.col("ref_var_slope")),
     )
-    kept = [c for c in ("df_residual", "separated") if c in lines.columns]
+    kept = [c for c in ("df_residual", "r_squared", "df_model", "separated") if c in lines.columns]
     terms = lines.where(F.col("reference_entity").isNotNull()).select(
         "group_name", "entity", "reference_entity", *kept,
         F.inline(F.when(F.col("entity") == F.col("reference_entity"), own).otherwise(others)),

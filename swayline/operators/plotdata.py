@@ -39,7 +39,8 @@ def density(frame, value, keys=(), weight=None, points=512):
 
     Bandwidth: 0.9 * min(sd, IQR / 1.34) * n ** -0.2. Rows are first spread over the two
     nearest grid points (linear binning), so the kernel sum runs over at most ``points`` bins
-    per key, whatever the number of rows.
+    per key, whatever the number of rows. A key whose values do not vary has no density: it
+    keeps one row, at that value, with a NULL density.
     """
     keys = list(keys)
     if not keys:
@@ -55,7 +56,10 @@ def density(frame, value, keys=(), weight=None, points=512):
     shape = shape.select(
         *keys, "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
         (F.coalesce(narrow, F.col("sd")) * 0.9 * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"),
-    ).where("step > 0 and bandwidth > 0")
+    )
+    flat = shape.where("not coalesce(step > 0 and bandwidth > 0, false)").select(
+        *keys, F.lit(0).alias("point"), F.col("lo").cast("double").alias("x"), F.lit(None).cast("double").alias("density"))
+    shape = shape.where("step > 0 and bandwidth > 0")
     joined = attach(cells.withColumnRenamed("n", "weight"), shape, keys).where(F.col("n").isNotNull())
     place = (F.col(value) - F.col("lo")) / F.col("step")
     bins = (
@@ -74,7 +78,7 @@ def density(frame, value, keys=(), weight=None, points=512):
     heights = F.col("__left") * kernel(F.col("point") - F.col("__bin")) + F.col("__right") * kernel(
         F.col("point") - F.col("__bin") - 1
     )
-    return (
+    curves = (
         bins.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(*keys, "point", "n", "lo", "step", "bandwidth")
         .agg(F.sum(heights).alias("__sum"))
@@ -83,6 +87,7 @@ def density(frame, value, keys=(), weight=None, points=512):
             (F.col("__sum") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"),
         )
     )
+    return curves.unionByName(flat)
 
 
 def histogram(df, column):

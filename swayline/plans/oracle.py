@@ -90,11 +90,13 @@ fits AS (
   SELECT {group} AS group_name, entity, regr_count(outcome, metric) AS n, regr_avgx(outcome, metric) AS avgx,
          regr_sxx(outcome, metric) AS sxx, regr_slope(outcome, metric) AS slope,
          regr_intercept(outcome, metric) AS intercept,
-         regr_syy(outcome, metric) - regr_sxy(outcome, metric) * regr_sxy(outcome, metric) / regr_sxx(outcome, metric) AS rss
+         regr_syy(outcome, metric) - regr_sxy(outcome, metric) * regr_sxy(outcome, metric) / regr_sxx(outcome, metric) AS rss,
+         sum(outcome) FILTER (metric IS NOT NULL) AS total, sum(outcome * outcome) FILTER (metric IS NOT NULL) AS squares
   FROM frame {where} GROUP BY {group}, entity HAVING count(*) >= {min_rows} AND regr_sxx(outcome, metric) > 0)"""
 
 TERMS = FITS + """,
-first AS (SELECT group_name, min(entity) AS reference_entity, sum(rss) AS rss, CAST(sum(n) - 2 * count(*) AS BIGINT) AS df_residual
+first AS (SELECT group_name, min(entity) AS reference_entity, sum(rss) AS rss, CAST(sum(n) - 2 * count(*) AS BIGINT) AS df_residual,
+                 2 * count(*) - 1 AS df_model, 1 - sum(rss) / (sum(squares) - sum(total) * sum(total) / sum(n)) AS r_squared
           FROM fits GROUP BY group_name),
 ref AS (SELECT first.*, first.rss / df_residual AS s2, slope AS r_slope, intercept AS r_intercept,
                1.0 / sxx AS r_inv, 1.0 / n + avgx * avgx / sxx AS r_level
@@ -112,7 +114,26 @@ terms AS (
          sqrt(s2 * (level + r_level)) FROM both_sides WHERE entity <> reference_entity
   UNION ALL
   SELECT group_name, entity, reference_entity, df_residual, 'interaction', 'metric:entity' || entity, slope - r_slope,
-         sqrt(s2 * (inv + r_inv)) FROM both_sides WHERE entity <> reference_entity)"""
+         sqrt(s2 * (inv + r_inv)) FROM both_sides WHERE entity <> reference_entity),
+tested AS (
+  SELECT terms.*, r_squared, 1 - (1 - r_squared) * (df_model + terms.df_residual) / terms.df_residual AS adj_r_squared,
+         r_squared / df_model / ((1 - r_squared) / terms.df_residual) AS f_statistic, df_model
+  FROM terms JOIN first ON first.group_name = terms.group_name)"""
+
+
+def _f_tail(f, above, below):
+    """P(F > f) by Simpson's rule on the density at the square of the variable, which is smooth at zero.
+
+    Beyond ten times the variable's unit nothing is left at the degrees of freedom that occur here.
+    """
+    top, steps = f"least(sqrt({f}), 10.0)", 1000
+    log_density = (f"lgamma(({above} + {below}) / 2.0) - lgamma({above} / 2.0) - lgamma({below} / 2.0) + {above} / 2.0 * ln({above} / {below}::DOUBLE) "
+                   f"+ ({above} - 1) * ln(u) - ({above} + {below}) / 2.0 * ln(1 + {above} * u * u / {below})")
+    at_zero = f"CASE WHEN {above} = 1 THEN 2 * exp(lgamma((1 + {below}) / 2.0) - lgamma(0.5) - lgamma({below} / 2.0) - 0.5 * ln({below}::DOUBLE)) ELSE 0 END"
+    inner = log_density.replace("(u)", f"({top} * i / {steps})").replace("u * u", f"power({top} * i / {steps}, 2)")
+    return (f"greatest(0.0, 1 - {top} / {3 * steps} * ({at_zero} + list_sum(list_transform(range(1, {steps + 1}), "
+            f"lambda i: (CASE WHEN i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * exp({inner})))))")
+
 
 BY_GROUP = dict(group="group_name", where="", min_rows=MIN_ROWS)
 TRIAL_ONLY = dict(
@@ -120,7 +141,10 @@ TRIAL_ONLY = dict(
 )
 TERM_COLUMNS = (
     "group_name, entity, reference_entity, df_residual, term_kind, term, round(estimate, 6) + 0.0 AS estimate, "
-    "round(std_error, 6) + 0.0 AS std_error, round(estimate / std_error, 6) + 0.0 AS statistic"
+    "round(std_error, 6) + 0.0 AS std_error, round(estimate / std_error, 6) + 0.0 AS statistic, "
+    "round(r_squared, 6) + 0.0 AS r_squared, round(adj_r_squared, 6) + 0.0 AS adj_r_squared, round(f_statistic, 6) + 0.0 AS f_statistic, "
+    f"round({_f_tail('f_statistic', 'df_model', 'df_residual')}, 6) + 0.0 AS f_p_value, "
+    f"round({_f_tail('(estimate * estimate / std_error / std_error)', '1', 'df_residual')}, 6) + 0.0 AS p_value"
 )
 
 DENSITY = """,
@@ -142,7 +166,8 @@ curve AS (
          sum(left_mass * exp(-0.5 * pow((point - bin) * step / bandwidth, 2))
              + right_mass * exp(-0.5 * pow((point - bin - 1) * step / bandwidth, 2)))
            / (n * bandwidth * sqrt(2 * pi())) AS density
-  FROM bins, range(0, {points}) AS grid(point) GROUP BY k, n, lo, step, bandwidth, point)"""
+  FROM bins, range(0, {points}) AS grid(point) GROUP BY k, n, lo, step, bandwidth, point
+  UNION ALL SELECT k, 0, lo, NULL FROM shape WHERE NOT coalesce(step > 0 AND bandwidth > 0, false))"""
 
 
 def _r(name, expression=None):
@@ -274,9 +299,12 @@ SQL = {
         t AS (SELECT '(Intercept)' AS term, a AS estimate, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS std_error, * FROM f
               UNION ALL SELECT 'n_contests', b, sqrt(s2 / sxx), * FROM f)
         SELECT term, {_r('estimate')}, {_r('std_error')}, CAST(n AS BIGINT) AS n, df_residual, {_r('sigma', 'sqrt(s2)')},
-               {_r('r_squared', 'r2')}, round(t.estimate / t.std_error, 6) + 0.0 AS statistic FROM t""",
-    "ols_trial": f"WITH {TERMS.format(**TRIAL_ONLY)} SELECT {TERM_COLUMNS} FROM terms",
-    "ols_interaction": f"WITH {TERMS.format(**BY_GROUP)} SELECT {TERM_COLUMNS} FROM terms",
+               {_r('r_squared', 'r2')}, round(t.estimate / t.std_error, 6) + 0.0 AS statistic,
+               {_r('adj_r_squared', '1 - (1 - r2) * (n - 1) / (n - 2)')}, {_r('f_statistic', 'r2 / ((1 - r2) / (n - 2))')},
+               {_r('f_p_value', _f_tail('(r2 / ((1 - r2) / (n - 2)))', '1', 'df_residual'))},
+               {_r('p_value', _f_tail('(t.estimate * t.estimate / t.std_error / t.std_error)', '1', 'df_residual'))} FROM t""",
+    "ols_trial": f"WITH {TERMS.format(**TRIAL_ONLY)} SELECT {TERM_COLUMNS} FROM tested",
+    "ols_interaction": f"WITH {TERMS.format(**BY_GROUP)} SELECT {TERM_COLUMNS} FROM tested",
     "ols_top": f"""WITH {TERMS.format(**BY_GROUP)}, t AS (SELECT *, rank() OVER
         (PARTITION BY group_name ORDER BY estimate DESC) AS place FROM terms WHERE term_kind = 'interaction')
         SELECT group_name, entity, term, {_r('estimate')}, {_r('std_error')},

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from swayline.functions.student import two_sided_p
+from swayline.functions.student import with_f_p_value, with_t_p_value
 from swayline.operators import controls, features, linear, moments, plotdata, quantiles, ranking
 
 
@@ -135,19 +135,57 @@ def test_simple_regression(spark):
     x = rng.normal(size=40)
     y = 2 + 3 * x + rng.normal(size=40)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = {r["term"]: r for r in linear.with_p_values(linear.ols_summary(df, "x", "y")).collect()}
+    got = {r["term"]: r for r in linear.ols_summary(df, "x", "y").collect()}
     slope, intercept = np.polyfit(x, y, 1)
     assert got["x"]["estimate"] == pytest.approx(slope) and got["(Intercept)"]["estimate"] == pytest.approx(intercept)
     assert got["x"]["r_squared"] == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2)
     assert got["x"]["p_value"] < 1e-10
 
 
-def test_student_p_values():
+def test_student_p_values(spark):
     # fixed values: published two-sided critical points of the t distribution
-    table = [(12.706204736, 1, 0.05), (2.228138852, 10, 0.05), (2.750, 30, 0.01000), (1.959963985, 1e9, 0.05), (0.0, 5, 1.0)]
-    for t, df, p in table:
-        assert two_sided_p([t], [df])[0] == pytest.approx(p, rel=2e-4)
-    assert np.isnan(two_sided_p([np.nan], [5])[0])
+    table = [(12.706204736, 1.0, 0.05), (2.228138852, 10.0, 0.05), (2.750, 30.0, 0.01000), (1.959963985, 1e9, 0.05), (0.0, 5.0, 1.0),
+             (float("nan"), 5.0, None), (None, 5.0, None), (2.0, 0.0, None), (1e200, 7.0, 0.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(table)], "i int, statistic double, df_residual double, want double")
+    for r in with_t_p_value(df).collect():
+        if r.want is None:
+            assert r.p_value is None
+        else:
+            assert r.p_value == pytest.approx(r.want, rel=2e-4)
+
+
+def integral(f, above, below, steps=200_000):
+    """P(F > f) by the midpoint rule on the density at the square of the variable."""
+    u = (np.arange(steps) + 0.5) * math.sqrt(f) / steps
+    log = math.lgamma((above + below) / 2) - math.lgamma(above / 2) - math.lgamma(below / 2) + above / 2 * math.log(above / below)
+    log = log + (above - 1) * np.log(u) - (above + below) / 2 * np.log1p(above * u * u / below)
+    return 1 - 2 * np.exp(log).sum() * math.sqrt(f) / steps
+
+
+def test_f_p_values(spark):
+    cases = [(f, m, n) for f in (0.01, 0.7, 1.0, 2.5, 9.0) for m, n in ((1, 1), (1, 40), (3, 17), (25, 60), (53, 12000), (400, 3))]
+    df = spark.createDataFrame([(float(f), m, n) for f, m, n in cases] + [(None, 1, 1), (2.0, 0, 5), (0.0, 2, 5)], "f_statistic double, df_model long, df_residual long")
+    for r in with_f_p_value(df).collect():
+        if r.f_statistic is None or r.df_model == 0:
+            assert r.f_p_value is None
+        else:
+            want = integral(r.f_statistic, r.df_model, r.df_residual) if r.f_statistic else 1.0
+            assert r.f_p_value == pytest.approx(want, abs=1e-8)
+
+
+def test_fit_tests_match_least_squares(spark):
+    df = sample(spark)
+    got = linear.ols_interaction(df, 30).where("group_name = 'g0' and term = 'metric'").first()
+    rows = [r for r in df.collect() if r["group_name"] == "g0"]
+    names = sorted({r["entity"] for r in rows})
+    x, y = np.array([r["metric"] for r in rows]), np.array([r["outcome"] for r in rows])
+    D = np.array([[float(r["entity"] == n) for n in names[1:]] for r in rows])
+    X = np.column_stack([np.ones(len(x)), x, D, D * x[:, None]])
+    rss = np.sum((y - X @ np.linalg.lstsq(X, y, rcond=None)[0]) ** 2)
+    tss, k, left = np.sum((y - y.mean()) ** 2), X.shape[1] - 1, len(y) - X.shape[1]
+    f = (tss - rss) / k / (rss / left)
+    assert got.r_squared == pytest.approx(1 - rss / tss) and got.adj_r_squared == pytest.approx(1 - rss / left / (tss / (len(y) - 1)))
+    assert got.f_statistic == pytest.approx(f) and got.f_p_value == pytest.approx(integral(f, k, left), abs=1e-7)
 
 
 def test_ties_and_first_k(spark):
@@ -210,3 +248,10 @@ def test_logit_controls(spark):
     for i, t in enumerate(["(Intercept)", "metric", "final"]):
         assert got[t]["estimate"] == pytest.approx(b[i], abs=1e-5)
         assert got[t]["std_error"] == pytest.approx(math.sqrt(cov[i, i]), rel=1e-3)
+
+
+def test_density_keeps_keys_without_spread(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 3.0), ("b", 3.0), ("c", 5.0)], "k string, v double")
+    out = plotdata.density(df, "v", ["k"], points=16).collect()
+    assert sorted((r.k, r.point, r.x, r.density) for r in out if r.k != "a") == [("b", 0, 3.0, None), ("c", 0, 5.0, None)]
+    assert sum(r.k == "a" for r in out) == 16
