@@ -13,9 +13,10 @@ Equal sets are one node of the graph (with the smallest document as its member);
 
 1. every node is compared with the leader it shares most bands with; links make components;
 2. in buckets that still hold several components, pairs across components whose sketches do not rule
-   the threshold out (five standard errors) are compared, best first, until none is left. Large
-   buckets are dealt as pairs of blocks. A pair inside one component is never compared: it cannot
-   change the result.
+   the threshold out (five standard errors) are compared where the bucket is, best first; a pair whose
+   components a link has joined by then is not compared, as it cannot change the result. Large buckets
+   are dealt as pairs of blocks. A task returns a spanning forest of the components that it has joined,
+   so fewer rows than it has nodes, however many pairs are linked.
 
 At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8**5)**40, about 1e-7.
 
@@ -26,10 +27,11 @@ columns do not take part.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from swayline.llm import rolling
-from swayline.llm.common import LOWER, chunks, utf8, word_bounds, written
+from swayline.llm.common import LOWER, chunks, narrow, utf8, widen, word_bounds, written
 from swayline.llm.components import components
 
 SHINGLE = 5
@@ -37,8 +39,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 5
 #: Nodes of a block of a large bucket.
 BLOCK = 1000
-#: Pairs across two components that a pass compares, at first; each pass has 64 times as many.
-FIRST_PAIRS = 16
+#: Candidate pairs that are compared at first before what they join is left out; each step has twice as many.
+FIRST_PAIRS = 256
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -100,10 +102,9 @@ def _sketched(ids, texts, k, bands, rows):
     node = np.zeros(n, np.uint64)
     np.add.at(node, docs, rolling.mix(hashes))
     node = rolling.mix(node + size.astype(np.uint64)).view(np.int64)
-    _, first = np.unique(node, return_index=True)
-    alone = np.zeros(n, bool)  # one document of each set of the batch has the sketch
-    alone[first] = True
-    alone &= size > 0
+    named = np.flatnonzero((size > 0) & ids.is_valid().to_numpy(zero_copy_only=False))
+    alone = np.zeros(n, bool)  # one document with an id of each set of the batch has the sketch
+    alone[named[np.unique(node[named], return_index=True)[1]]] = True
     number = np.cumsum(alone) - 1
     mine = alone[docs]
     sketch = np.zeros((0, bands * rows), np.uint64)
@@ -161,16 +162,13 @@ def _verified(pairs, texts, k, percent):
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(scan, "a long, b long")
 
 
-def _across(nodes, roots, signs, sizes, bands, blocks, key, least, threshold, most):
-    """Pairs across components that agree in at least ``least`` coordinates, the best ``most`` for two components.
+def _across(nodes, roots, signs, sizes, bands, blocks, key, least, threshold):
+    """Pairs (i, j) across components that agree in at least ``least`` coordinates, the best first; the rows are sorted by root.
 
     A pair comes from the first of the bands that it shares only; sets whose sizes alone rule the
     threshold out are not paired. ``blocks`` are given where two blocks meet: then a pair has one of each.
     """
-    order = np.lexsort((nodes, roots))
-    blocks = None if blocks is None else blocks[order]
-    nodes, roots, signs, sizes, bands = nodes[order], roots[order], signs[order], sizes[order], bands[order]
-    out, more = [], False
+    out = [(np.zeros(0, np.int64),) * 3]
     ends = np.flatnonzero(np.append(roots[1:] != roots[:-1], True)) + 1
     begin = 0
     for end in ends[:-1]:
@@ -188,43 +186,92 @@ def _across(nodes, roots, signs, sizes, bands, blocks, key, least, threshold, mo
                 mine = bands[i, first] == key
                 out.append((i[mine], j[mine], same[mine]))
         begin = end
-    if not sum(len(x[0]) for x in out):
-        return [], False
     i, j, same = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((j, i, -same, roots[j], roots[i]))
-    i, j, same = i[order], j[order], same[order]
-    new = np.concatenate(([True], (roots[i[1:]] != roots[i[:-1]]) | (roots[j[1:]] != roots[j[:-1]])))
-    first = np.flatnonzero(new)
-    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-    take = rank < most
-    return [(int(nodes[x]), int(nodes[y])) for x, y in zip(i[take], j[take])], bool((~take).any())
-
-
-def _candidates(buckets, roots, sketched, bins, threshold, most):
-    """(a, b, more) across components of one bucket; ``more``: pairs of the same two components were left for later."""
+    order = np.lexsort((nodes[j], nodes[i], -same))
+    return i[order], j[order]
+
+
+def _reaching(sets, ends, i, j, percent):
+    """Which of the pairs of full sets reach the threshold; ``sets`` holds all sets' hashes, ``ends`` where each one ends."""
+    out, size = np.zeros(len(i), bool), np.diff(ends, prepend=0)
+    total = np.cumsum(size[i] + size[j])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
+        keys = []
+        for side in (i[lo:hi], j[lo:hi]):
+            n = size[side]
+            pair = np.repeat(np.arange(len(side), dtype=np.uint64), n)
+            at = np.arange(n.sum()) + np.repeat(ends[side] - np.cumsum(n), n)
+            keys.append(rolling.mix(sets[at] + pair * np.uint64(0xC2B2AE3D27D4EB4F)))
+        both = np.isin(*keys)
+        both = np.bincount(np.repeat(np.arange(hi - lo), size[i[lo:hi]])[both], minlength=hi - lo)
+        out[lo:hi] = 100 * both >= percent * (size[i[lo:hi]] + size[j[lo:hi]] - both)
+        lo = hi
+    return out
+
+
+def _joined(group, sets, ends, i, j, percent):
+    """Smallest group that each group is joined with by links among the pairs (i, j), which are in the order of their use."""
+    root, at, step = np.arange(int(group.max(initial=-1)) + 1), 0, FIRST_PAIRS
+    while at < len(i):
+        a, b = i[at : at + step], j[at : at + step]
+        at, step = at + step, 2 * step
+        apart = root[group[a]] != root[group[b]]
+        a, b = a[apart], b[apart]
+        linked = _reaching(sets, ends, a, b, percent)
+        a, b = group[a[linked]], group[b[linked]]
+        while (apart := root[a] != root[b]).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root != root[root]).any():
+                root = root[root]
+    return root
+
+
+def _cross_links(buckets, roots, sketched, texts, k, bins, threshold, percent):
+    """(a, b): roots of components that links inside one bucket join."""
     # five standard errors below the threshold
     least = int(np.floor(bins * (threshold - 5 * np.sqrt(threshold * (1 - threshold) / bins))))
     rooted = buckets.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     mixed = mixed.select(F.col("key").alias("m_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, F.col("key") == F.col("m_key")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = written(rooted.join(mixed, F.col("key") == F.col("m_key")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "mixed")
+    own = F.struct("n_shingles", "bands", "sign")
+    sign = sketched.where("sign is not null").groupBy("node").agg(F.min(own).alias("own")).withColumnRenamed("node", "s_node")
+    needed = rows.select(F.col("node").alias("needed")).distinct()
+    sets = texts.join(needed, F.col("node") == F.col("needed")).select("node", "text")
+
+    def shingled(batches):
+        for batch in batches:
+            docs, hashes = shingle_sets(batch.column(1), k)
+            cut = np.searchsorted(docs, np.arange(batch.num_rows + 1))
+            packed = [narrow(np.sort(hashes[a:b] >> np.uint64(16))).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["t_node", "shingles"])
+
+    sets = sets.mapInArrow(shingled, "t_node long, shingles binary").join(sign, F.col("t_node") == F.col("s_node"))
+    sets = written(sets.select("t_node", "own", "shingles"), "sets")
     # a row goes to the block pairs (own, x) and (x, own) with the smaller number first
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.col("own").alias("block"), "node", "root")
-    own = F.struct("n_shingles", "bands", "sign")
-    sign = sketched.where("sign is not null").groupBy("node").agg(F.min(own).alias("own")).withColumnRenamed("node", "s_node")
-    rows = rows.join(sign, F.col("node") == F.col("s_node")).select("key", "p", "q", "block", "node", "root", "own.*")
+    rows = rows.join(sets, F.col("node") == F.col("t_node")).select("key", "p", "q", "block", "node", "root", "own.*", "shingles")
 
     def compare(table):
+        table = table.take(pc.sort_indices(table, [("root", "ascending"), ("node", "ascending")])).combine_chunks()
         node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
         blocks = table.column("block").to_numpy() if p != q else None
-        pairs, more = _across(node, root, signs, size, bands, blocks, key, least, threshold, most)
-        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64()), "more": pa.array([more] * len(pairs), pa.bool_())})
+        i, j = _across(node, root, signs, size, bands, blocks, key, least, threshold)
+        names, group = np.unique(root, return_inverse=True)
+        own = table.column("shingles").to_pylist() if len(i) else []
+        ends = np.cumsum([len(x) // 6 for x in own])
+        joined = _joined(group, widen(np.frombuffer(b"".join(own), np.uint8)), ends, i, j, percent)
+        moved = np.flatnonzero(joined != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[joined[moved]], pa.int64())})
 
-    return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long, more boolean")
+    return rows.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs, threshold=THRESHOLD, k=SHINGLE, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text"):
@@ -244,17 +291,9 @@ def near_duplicates(docs, threshold=THRESHOLD, k=SHINGLE, bands=BANDS, rows=ROWS
     texts = both.join(needed, F.col("id") == F.col("n_id")).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
     roots = components(_verified(pairs, texts, k, percent))
-    tested, most = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), FIRST_PAIRS
-    while True:
-        found = written(_candidates(buckets.select("key", "node"), roots, sketched, bands * rows, threshold, most), "pairs")
-        state = found.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
-        if not state.n:
-            break
-        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        roots = components(_verified(fresh, texts, k, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if not state.more:  # every pair across components has been compared
-            break
-        tested, most = written(tested.unionByName(fresh), "tested"), most * 64
+    across = written(_cross_links(buckets.select("key", "node"), roots, sketched, texts, k, bands * rows, threshold, percent), "across")
+    if not across.isEmpty():
+        roots = components(across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = members.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     found = grouped.select("node", "root").join(least, "root").select(F.col("node").alias("g_node"), "component_id")

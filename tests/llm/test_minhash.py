@@ -97,3 +97,36 @@ def test_components(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_row_without_id_before_its_twin(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "changed"])
+    rows = [(None, " ".join(words), None, None, None), (1, " ".join(words), None, None, None), (2, near, None, None, None)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        got = near_duplicates(spark.createDataFrame(order, SCHEMA).coalesce(1), k=4).collect()
+        assert {(r.id, r.component_id, r.kept) for r in got} == {(None, None, True), (1, 1, True), (2, 1, False)}
+
+
+def test_clashing_columns_and_long_text(spark):
+    long = " ".join(f"t{i}" for i in range(300_000))
+    rows = [(3, long, None, None, None), (4, long + " end", None, None, None), (5, "a b c d e", None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS id", "2 AS node", "3 AS bands", "'x' AS root", "4 AS n_shingles", "5 AS sign")
+    assert {(r.id, r.component_id) for r in near_duplicates(frame, k=4).collect()} == {(3, 3), (4, 3), (5, 5)}
+
+
+def test_linked_group_returns_a_forest():
+    """Joined groups equal the components of all links, in whatever steps the pairs come."""
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 1 << 48, 40, dtype=np.uint64))
+    own = [np.sort(rng.choice(base, rng.integers(30, 41), replace=False)) for _ in range(50)]
+    ends = np.cumsum([len(x) for x in own])
+    i, j = np.triu_indices(50, 1)
+    links = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if 100 * len(np.intersect1d(own[a], own[b])) >= 80 * len(np.union1d(own[a], own[b]))}
+    assert 20 < len(links) < len(i)
+    assert (minhash._reaching(np.concatenate(own), ends, i, j, 80) == [p in links for p in zip(i.tolist(), j.tolist())]).all()
+    root = list(range(50))
+    for _ in range(50):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert minhash._joined(np.arange(50), np.concatenate(own), ends, i, j, 80).tolist() == root
