@@ -14,6 +14,7 @@ are packed like any other rows; an empty table gives no sequence; other columns
 """
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -27,70 +28,66 @@ from swayline.llm.common import written
 
 MAX_LEN = 2048
 END = 0
-#: Distinct words a Python worker remembers.
-CACHE = 2_000_000
-#: White space before a space: such a space may not be a word bound.
-UNSAFE = re.compile("[^\\S\x00-\x1b !-\x7f] ")
-SPACES = tuple(f"{c} " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
-PLAIN = re.compile(r" \S(.*\S)?\Z", re.DOTALL)
-SALTS = 64
+#: Pieces of one length and salt, about, and the fewest salts.
+SALTED, SALTS = 1 << 20, 64
+#: Characters whose classes (letter, digit, space) no version of Unicode disputes, and controls that some call space.
+FOREIGN = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85]")
+#: Longest word and most white space beyond two characters a word that the fast encoder is given.
+LONG_WORD, MUCH_SPACE = 2000, 500
+#: The split of byte-level tokenizers that use their regular expression.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked(model):
+    """Bytes of each token and its id, if merges come in the order of ids, so that the ids say which merge is first; else None."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    vocabulary = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in merges]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or len(vocabulary) != 256 + len(ids) or not all(set(t) <= set(letters) for t in vocabulary):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes; words between single spaces are encoded once.
+    """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer never joins a single space with what stands before it, so a text may be parted there;
-    texts with other runs of white space are encoded whole.
+    A byte-level tokenizer whose ids rank its merges is run as ranks, which gives the same ids several
+    times faster. Texts with characters that the two may class differently, or with words or white space
+    of great length, are encoded by the tokenizer itself, and so is everything if it is of another kind.
     """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: one character each
-        for token, i in vocabulary.items():
-            self.size[i] = len(token)
-
-    def _ids(self, texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new):
-        """Adds words; those that begin and end with ink are encoded as one text and parted by their bytes."""
-        plain = [w for w in new if PLAIN.match(w)]
-        rest = [w for w in new if not PLAIN.match(w)]
-        self.words.update(zip(rest, self._ids(rest)))
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.size[ids])
-            cuts = np.cumsum([len(w.encode()) for w in part])
-            at = np.searchsorted(ends, cuts) + 1
-            body = ids.tobytes()
-            self.words.update(zip(part, [body[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist())]))
+        told = json.loads(self.tokenizer.to_str())
+        split, ranks = told["pre_tokenizer"] or {}, None
+        known = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if known and told["normalizer"] is None and told["model"]["type"] == "BPE":
+            ranks = ranked(told["model"])
+        self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def _plain(self, text):
+        if self.fast is None or FOREIGN.search(text):
+            return False
+        size = list(map(len, text.split()))
+        return max(size, default=0) <= LONG_WORD and len(text) - sum(size) <= 2 * len(size) + MUCH_SPACE
 
     def encode(self, texts):
-        if len(self.words) > CACHE:
-            self.words.clear()
-        out, new, odd = [None] * len(texts), {}, []
+        out, odd = [None] * len(texts), []
         for i, text in enumerate(texts):
-            if not text or "\0" in text or any(s in text for s in SPACES) or (not text.isascii() and UNSAFE.search(text)):
-                odd.append(i)
-                continue
-            parts = text.replace(" ", "\0 ").split("\0")
-            known = list(map(self.words.get, parts))
-            if None in known:
-                new[i] = parts
+            if text and self._plain(text):
+                out[i] = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
             else:
-                out[i] = b"".join(known)
-        self._learn({w for parts in new.values() for w in parts} - self.words.keys())
-        for i, parts in new.items():
-            out[i] = b"".join(map(self.words.__getitem__, parts))
-        for i, body in zip(odd, self._ids([texts[i] or "" for i in odd])):
-            out[i] = body
+                odd.append(i)
+        for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] or "" for i in odd], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -211,7 +208,8 @@ def pack_documents(docs, path, max_len=MAX_LEN, id_col="doc_id", text_col="text"
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids as 32-bit bytes)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = written(pieces(rows, path, max_len, with_ids), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-cut.count() // SALTED))  # counted from the files' footers
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     cells = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "cells")
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_len rows
     table = segments(best_two_fit(counts, max_len))
