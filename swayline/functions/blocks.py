@@ -112,6 +112,9 @@ def reporter(inverse_system, reference_pull, group_level):
                 "var_slope": pa.array(blocks.inverse[:, 1, 1] + np.sum(through * pull, axis=1)),
                 "cov_reference": pa.array(through @ reference_pull),
                 "place": pa.array(blocks.group[first], pa.int32()),
+                "own": pa.array(blocks.inverse.reshape(-1, 4)[:, [0, 1, 3]].tolist(), pa.list_(pa.float64())),
+                "pull_level": pa.array(blocks.pull[:, 0, :].tolist(), pa.list_(pa.float64())),
+                "pull_slope": pa.array(pull.tolist(), pa.list_(pa.float64())),
             })
 
     return run

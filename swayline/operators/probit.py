@@ -11,6 +11,8 @@ from swayline.scratch import materialise
 from swayline.skew import attach
 
 TOLERANCE = 1e-9
+#: Newton decrement of the whole-data model at convergence: estimates are then within 1e-7 standard errors.
+DECREMENT = 1e-14
 #: Newton steps after which a fit counts as not converged: a line is NULL then, the whole-data model an error.
 MAX_STEPS = 200
 #: (entity, group) pairs that a task packs, where there are more than a task for each core.
@@ -128,7 +130,7 @@ def probit_global(cells, weight="n_known", wins="wins"):
     Group dummies come first, so in every set of linked groups that lacks the reference entity
     the last entity's level is not identified: its estimate is NULL and the others are relative
     to it. Slopes and their contrasts do not depend on that. Returns (term_kind, term,
-    entity, reference_entity, estimate, std_error, statistic, p_value); levels carry no error.
+    entity, reference_entity, estimate, std_error, statistic, p_value).
     """
     spark = cells.sparkSession
     groups = [r[0] for r in cells.select("group_name").where("group_name is not null").distinct()
@@ -162,7 +164,7 @@ def probit_global(cells, weight="n_known", wins="wins"):
         right = sum(np.array(r["right"]) for r in parts)
         step = np.linalg.pinv(system, rcond=1e-10, hermitian=True) @ right
         decrement = sum(r["decrement"] for r in parts) + right @ step
-        if decrement < TOLERANCE:
+        if decrement < DECREMENT:
             break
         step = np.clip(step, -1.5, 1.5)
         gamma = gamma + step
@@ -175,6 +177,19 @@ def probit_global(cells, weight="n_known", wins="wins"):
     return _global_terms(packed, stats, groups, gamma, inverse, together)
 
 
+def _level_variance(inverse, pin_own, pin_pull):
+    """Variance of a level's distance from the one it is relative to, from columns own, pull and place."""
+    def numbers(values):
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+
+    apart = F.zip_with("pull", F.get(F.array(*[numbers(p) for p in pin_pull]), F.col("place")), lambda a, b: a - b)
+    through = F.transform(F.array(*[numbers(row) for row in inverse]), lambda row: dot(row, apart))
+    return F.col("own") + F.get(numbers(pin_own), F.col("place")) + dot(apart, through)
+
+
 def _linked(together):
     """Component number per group: groups that share entities, directly or through others."""
     G = len(together)
@@ -193,13 +208,18 @@ def _global_terms(packed, stats, groups, gamma, inverse, together):
     ref_pull = pull_of(packed.where(F.col("entity") == reference).first(), G)
     lines = packed.mapInArrow(
         reporter(inverse, ref_pull, gamma),
-        "entity string, level double, slope double, var_slope double, cov_reference double, place int",
+        "entity string, level double, slope double, var_slope double, cov_reference double, place int, "
+        "own array<double>, pull_level array<double>, pull_slope array<double>",
     )
+    shift, own = F.col("mean") / F.col("sd"), F.col("own")
     lines = attach(lines, stats.select("entity", "mean", "sd", "n"), ["entity"])
     lines = materialise(lines.select(
         "entity", "place", (F.col("level") - F.col("mean") / F.col("sd") * F.col("slope")).alias("level"),
         (F.col("slope") / F.col("sd")).alias("slope"), (F.col("var_slope") / (F.col("sd") * F.col("sd"))).alias("var_slope"),
         (F.col("cov_reference") / F.col("sd")).alias("cov_reference"),
+        # a level's variance is its own part and what the groups' pull on it adds
+        (own[0] - 2 * shift * own[1] + shift * shift * own[2]).alias("own"),
+        F.zip_with("pull_level", "pull_slope", lambda a, b: a - shift * b).alias("pull"),
     ), "lines")
     ref = lines.where(F.col("entity") == reference).first()
     ref_sd = stats.where(F.col("entity") == reference).first()["sd"]
@@ -211,12 +231,21 @@ def _global_terms(packed, stats, groups, gamma, inverse, together):
         pinned[c] = max(names) if names else None
     pinned[component[ref["place"]]] = reference
     names = [n for n in pinned.values() if n is not None]
-    level = {r["entity"]: r["level"] for r in lines.where(F.col("entity").isin(names)).collect()}
-    base = np.array([level.get(pinned[component[g]], np.nan) for g in range(G)])
-    value = gamma + base
-    rows = [("intercept", "(Intercept)", None, float(value[0]), None),
+    pins = {r["entity"]: r for r in lines.where(F.col("entity").isin(names)).collect()}  # one for each set of linked groups
+    pin = [pins.get(pinned[component[g]]) for g in range(G)]
+    base = np.array([p["level"] if p else np.nan for p in pin])
+    pin_own = np.array([p["own"] if p else np.nan for p in pin])
+    pin_pull = np.array([p["pull"] if p else [np.nan] * G for p in pin])
+    value, across = gamma + base, np.eye(G) - pin_pull
+
+    def error(direction, extra):
+        variance = direction @ inverse @ direction + extra
+        return float(np.sqrt(variance)) if np.isfinite(variance) and variance >= 0 else None
+
+    rows = [("intercept", "(Intercept)", None, float(value[0]), error(across[0], pin_own[0])),
             ("metric", "metric", reference, float(ref["slope"]), float(np.sqrt(ref["var_slope"])))]
-    rows += [("group", f"group_name{groups[g]}", None, float(value[g] - value[0]), None) for g in range(1, G)]
+    rows += [("group", f"group_name{groups[g]}", None, float(value[g] - value[0]),
+              error(across[g] - across[0], 0.0 if pin[g] is pin[0] else pin_own[g] + pin_own[0])) for g in range(1, G)]
     schema = "term_kind string, term string, entity string, estimate double, std_error double"
     head = spark.createDataFrame(rows, schema)
     others = lines.where(F.col("entity") != reference)
@@ -224,7 +253,7 @@ def _global_terms(packed, stats, groups, gamma, inverse, together):
     aliased = F.col("entity").isin([n for n in names if n != reference] or [""])
     main = others.select(
         F.lit("entity").alias("term_kind"), F.concat(F.lit("entity"), "entity").alias("term"), "entity",
-        F.when(~aliased, F.col("level") - offset).alias("estimate"), F.lit(None).cast("double").alias("std_error"))
+        F.when(~aliased, F.col("level") - offset).alias("estimate"), F.when(~aliased, F.sqrt(_level_variance(inverse, pin_own, pin_pull))).alias("std_error"))
     variance = F.col("var_slope") + F.lit(ref["var_slope"]) - 2 * F.col("cov_reference") / F.lit(ref_sd)
     inter = others.select(
         F.lit("interaction").alias("term_kind"), F.concat(F.lit("metric:entity"), "entity").alias("term"), "entity",

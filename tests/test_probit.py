@@ -101,7 +101,6 @@ def test_global_model_matches_dense(spark, movers):
     terms += [f"metric:entity{n}" for n in names[1:]]
     for i, t in enumerate(terms):
         assert got[t]["estimate"] == pytest.approx(b[i], abs=1e-6), t
-        if t == "metric" or ":" in t:
-            assert got[t]["std_error"] == pytest.approx(math.sqrt(cov[i, i]), rel=1e-5), t
+        assert got[t]["std_error"] == pytest.approx(math.sqrt(cov[i, i]), rel=1e-5), t
     for n in set(names[1:]) - set(kept):
-        assert got[f"entity{n}"]["estimate"] is None
+        assert got[f"entity{n}"]["estimate"] is None and got[f"entity{n}"]["std_error"] is None

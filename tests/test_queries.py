@@ -7,17 +7,16 @@ import pytest
 import __spark_entry__ as entry
 from compare import difference, oracle_connection
 from swayline.plans.catalog import QUERIES
-from swayline.plans.oracle import SQL
+from swayline.plans import model_sql, oracle
 
 SF = "/root/testdata/sf0.001"
+SQL = oracle.SQL | model_sql.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not present")
 
 ITERATIVE = {
-    "probit_interaction", "probit_top", "probit_global", "probit_global_top", "glmm_sensitivity", "sensitivity_top3",
-    "glmm_mvp", "mvp_top3", "glmm_entity", "glmm_group_fe", "glmm_group_fe_recent", "glmm_entity_recent",
-    "group_relative_effects", "plot_baseline_slope", "glmm_crossed_raw", "glmm_crossed_centred", "glmm_crossed_z",
+    "glmm_sensitivity", "sensitivity_top3", "glmm_mvp", "mvp_top3", "glmm_entity", "glmm_group_fe", "glmm_group_fe_recent",
+    "glmm_entity_recent", "group_relative_effects", "plot_baseline_slope", "glmm_crossed_raw", "glmm_crossed_centred", "glmm_crossed_z",
     "glmm_nested", "model_diagnostics", "plot_model_slopes", "plot_model_top3", "boot_slopes", "predict_grid",
-    "glm_controls",
 }
 
 
