@@ -23,6 +23,19 @@ def join_contests(observations, contests, keys=None):
     return observations.join(contests.drop(*clash), keys, "left")
 
 
+def join_audit(observations, contests, keys=None, names=("home_team", "away_team")):
+    """(side, *names, n): rows of either side that the other has no match for, counted by names.
+
+    Keys with a missing part match nothing. Both directions are anti-joins, so no row is repeated.
+    """
+    keys = CONTEST_KEYS if keys is None else keys
+    sides = []
+    for side, rows, others in (("observations", observations, contests), ("contests", contests, observations)):
+        left = rows.join(others.select(*keys), keys, "left_anti")
+        sides.append(left.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), *names, "n"))
+    return sides[0].unionByName(sides[1])
+
+
 def native_frame(observations, contests):
     """Cleaned observations joined to contests, in the column names the models use."""
     joined = join_contests(observations, contests)

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from swayline.operators import clean, effects, features, frame, linear, plotdata, ranking, summary
 from swayline.plans import inputs
-from swayline.scratch import materialise
-from swayline.sources import roles
+from swayline.scratch import materialise, new_path
+from swayline.sources import files, roles
 from swayline.sources.lookups import group_name_table
 
+#: Name that the audited map lacks; first season that is read, and the first that is stored with all columns.
+LACKING, FIRST_SEASON, DRIFT = "MIDDLE EAST", 1996, 1998
 TRIAL = ["Supplier#000000001", "Supplier#000000004", "Supplier#000000007"]
 
 
@@ -42,6 +44,30 @@ def join_contests(spark, sf_dir):
     return joined.select("date", "season", "game", "round_type", "winner", "entity", "group_name", "metric")
 
 
+def native_join(spark, sf_dir):
+    """The frame of observations joined to contests on date, sides and season, with names built from their parts."""
+    played = clean.recode(clean.with_winner(roles.native_contests(spark, sf_dir)), ["home_team", "away_team", "winner"], roles.REGION_NAMES)
+    return frame.native_frame(roles.native_observations(spark, sf_dir), played)
+
+
+def native_join_audit(spark, sf_dir):
+    """What that join misses on either side when the name map lacks one spelling."""
+    known = {k: v for k, v in roles.REGION_NAMES.items() if k != LACKING}
+    played = clean.recode(roles.native_contests(spark, sf_dir), ["home_team", "away_team"], known)
+    return frame.join_audit(roles.native_observations(spark, sf_dir), played)
+
+
+def season_store(spark, sf_dir):
+    """Contests stored by season, one season stored again with another schema, and a range of seasons read back."""
+    played, path = contest_winner(spark, sf_dir), new_path(spark, "seasons")
+    wide = materialise(played, "contests")
+    files.write_seasons(wide.where(F.col("season") < DRIFT).drop("round_type", "winner"), path)
+    files.write_seasons(wide.where(F.col("season") >= DRIFT), path)
+    files.write_seasons(wide.where(F.col("season") == FIRST_SEASON + 1).drop("winner"), path)
+    seasons = [files.read_seasons(spark, path, s, s, schema=wide.schema) for s in range(FIRST_SEASON, DRIFT + 2)]
+    return files.union_by_name([*seasons, wide.where(F.col("season") == DRIFT + 2).drop("round_number")]).select(*wide.columns)
+
+
 def named_summary(spark, sf_dir):
     """Five-statistic summary on normalised names."""
     return summary.entity_summary(
@@ -209,6 +235,12 @@ def line_group_table(spark, sf_dir):
     return rounded(effects.group_table(relative, "ASIA").select("entity", "group_name", "intercept_std", "total_slope", "total_effect"))
 
 
+def line_group_head(spark, sf_dir):
+    """The ten largest effects inside one group."""
+    relative = effects.group_relative(line_effects(spark, sf_dir).drop("total_effect"))
+    return rounded(effects.group_table(relative, "MIDDLE EAST", 10).select("entity", "total_slope", "total_effect"))
+
+
 def line_top3_subset(spark, sf_dir):
     """Entities that carry the top-3 flag."""
     flagged = ranking.flag_first_k(line_effects(spark, sf_dir), "group_name", "total_slope", 3)
@@ -227,9 +259,9 @@ def appearance_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    line_ranking, line_top3_slopes, line_top3_effects, line_group_relative, line_group_table, line_top3_subset,
+    line_ranking, line_top3_slopes, line_top3_effects, line_group_relative, line_group_table, line_group_head, line_top3_subset,
     line_predict_grid, appearance_join,
-    contest_winner, clean_observations, recode_groups, group_names, join_contests, entity_summary, name_audit,
+    contest_winner, season_store, native_join, native_join_audit, clean_observations, recode_groups, group_names, join_contests, entity_summary, name_audit,
     name_collisions, null_audit, appearance_number, primary_role, model_frame, centred_frame, entity_means_ranked,
     entity_checks, recent_frame_rowz, recent_frame_entityz, entity_groups, metric_by_outcome, ols_summary,
     ols_trial, ols_interaction, ols_top, plot_scatter_labels, plot_mean_sd, plot_density, plot_mean_density,

@@ -1,6 +1,6 @@
 """The same results as plain SQL text, for a second engine to check against."""
 
-from swayline.plans.descriptive import TRIAL
+from swayline.plans.descriptive import DRIFT, FIRST_SEASON, LACKING, TRIAL
 from swayline.plans.inputs import MIN_RECENT, MIN_ROWS, START_DATE
 
 GROUPS = """
@@ -48,6 +48,28 @@ rows AS (
   SELECT date, game, season, entity, group_name, metric, outcome FROM
     (SELECT *, count(*) OVER (PARTITION BY entity, group_name) AS n_pair FROM frame) WHERE n_pair >= {MIN_ROWS})"""
 
+def _renamed(column, lacking=""):
+    pairs = {"AMERICA": "AMERICAS", "ASIA": "ASIA PACIFIC", "MIDDLE EAST": "GULF"}
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items() if a != lacking)
+    return f"CASE {column} {cases} ELSE {column} END"
+
+
+NATIVE = CONTESTS + """,
+first_games AS (SELECT date, season, home_team, away_team, min(game) AS game FROM contests GROUP BY ALL),
+daily AS (
+  SELECT w.date, w.season, w.game, round_type, winner, {home} AS home_team, {away} AS away_team, {won} AS named_winner
+  FROM won w JOIN first_games f ON f.game = w.game),
+native AS (
+  SELECT won.date, won.season, won.round_number, replace(entity, '#', ' ') AS entity, group_name, metric, role_code,
+         {full_home} AS home_team, {full_away} AS away_team
+  FROM obs JOIN won ON obs.game = won.game)"""
+
+
+def _native(lacking=""):
+    return NATIVE.format(home=_renamed("w.home_team", lacking), away=_renamed("w.away_team", lacking), won=_renamed("winner", lacking),
+                         full_home=_renamed("home_team"), full_away=_renamed("away_team"))
+
+
 NAMED = """
 typed AS (
   SELECT CASE WHEN p_size % 2 = 1 THEN upper(p_name || '-' || p_brand) ELSE p_name || '-' || p_brand END AS raw_name,
@@ -195,6 +217,8 @@ SQL = {
         FROM relative""",
     "line_group_table": f"""WITH {LINES} SELECT entity, group_name, {_r('intercept_std')}, {_r('total_slope')},
         {_r('total_effect')} FROM relative WHERE group_name = 'ASIA'""",
+    "line_group_head": f"""WITH {LINES} SELECT entity, {_r('total_slope')}, {_r('total_effect')} FROM relative
+        WHERE group_name = 'MIDDLE EAST' ORDER BY relative.total_effect DESC, entity LIMIT 10""",
     "line_top3_subset": f"""WITH {LINES} SELECT group_name, entity, {_r('total_slope')} FROM lines
         WHERE entity IN (SELECT entity FROM placed_lines WHERE slope_place <= 3)""",
     "line_predict_grid": f"""WITH {LINES} SELECT entity, group_name, x::DOUBLE AS x,
@@ -205,6 +229,20 @@ SQL = {
         SELECT f.date, f.game, f.entity, f.group_name, f.metric, c.appearance
         FROM frame f LEFT JOIN counters c ON f.date = c.date AND f.entity = c.entity""",
     "contest_winner": f"WITH {CONTESTS} SELECT * FROM won",
+    "season_store": f"""WITH {CONTESTS}
+        SELECT game, date, season, CASE WHEN season <> {DRIFT + 2} THEN round_number END AS round_number,
+               CASE WHEN season >= {DRIFT} OR season = {FIRST_SEASON + 1} THEN round_type END AS round_type, home_team, away_team, home_points, away_points,
+               CASE WHEN season >= {DRIFT} THEN winner END AS winner
+        FROM won WHERE season BETWEEN {FIRST_SEASON} AND {DRIFT + 2}""",
+    "native_join": f"""WITH {_native()}
+        SELECT n.date, n.season, d.game, n.round_number, d.round_type, d.named_winner AS winner, n.entity, n.group_name, n.metric, n.role_code
+        FROM native n LEFT JOIN daily d ON n.date = d.date AND n.season = d.season AND n.home_team = d.home_team AND n.away_team = d.away_team
+        WHERE n.metric IS NOT NULL""",
+    "native_join_audit": f"""WITH {_native(LACKING)}
+        SELECT 'observations' AS side, home_team, away_team, count(*) AS n FROM native n ANTI JOIN daily d
+          ON n.date = d.date AND n.season = d.season AND n.home_team = d.home_team AND n.away_team = d.away_team GROUP BY ALL
+        UNION ALL SELECT 'contests', home_team, away_team, count(*) FROM daily d ANTI JOIN native n
+          ON n.date = d.date AND n.season = d.season AND n.home_team = d.home_team AND n.away_team = d.away_team GROUP BY ALL""",
     "clean_observations": f"WITH {CLEANED} SELECT * FROM cleaned WHERE rating_points IS NOT NULL",
     "recode_groups": f"""WITH {CONTESTS},
         names(contest_name, observation_name) AS (VALUES ('AMERICA', 'AMERICAS'), ('ASIA', 'ASIA PACIFIC'),

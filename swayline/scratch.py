@@ -29,10 +29,14 @@ def scratch_dir(spark):
     return _local_dirs[app]
 
 
+def new_path(spark, label="table"):
+    """A path in the scratch folder that nothing has used yet."""
+    return f"{scratch_dir(spark)}/swayline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df, label="table"):
     """Write ``df`` to the scratch folder and return the table read back from it."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_dir(spark)}/swayline/{app}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,12 @@ def read_seasons(spark, path, first, last=None, schema=None):
     return reader.parquet(path).where(F.col("season").between(first, last))
 
 
+def write_seasons(df, path):
+    """Write ``df`` as ``season=YYYY/`` folders; only the seasons it has are replaced, so a rerun of one leaves the rest."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+    return path
+
+
 def union_by_name(frames):
     """Stack frames by column name; columns a frame lacks become NULL."""
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

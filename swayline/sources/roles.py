@@ -8,6 +8,7 @@ line's quantity is the metric. See FIXTURES.md.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from swayline.operators.clean import recode
 from swayline.skew import join_lookup
 
 TABLES = (
@@ -140,6 +141,25 @@ def raw_observations(spark, sf_dir):
     )
 
 
+def native_contests(spark, sf_dir):
+    """One contest per date and pair of sides: the first order of that day with these sides."""
+    own = F.struct("game", "round_number", "round_type", "home_points", "away_points")
+    first = contests(spark, sf_dir).groupBy("date", "season", "home_team", "away_team").agg(F.min(own).alias("own"))
+    return first.select("date", "season", "home_team", "away_team", "own.*")
+
+
+def native_observations(spark, sf_dir):
+    """Cleaned observations without a contest number: date, sides in the observation feed's spelling, parts of a name."""
+    sides = contests(spark, sf_dir).select("game", "date", "season", "round_number", "home_team", "away_team")
+    named = recode(sides, ["home_team", "away_team"], REGION_NAMES)
+    lines = observations(spark, sf_dir, with_role=True).withColumnRenamed("game", "line_game")
+    return lines.join(named, F.col("line_game") == F.col("game")).select(
+        "date", "season", "round_number", F.substring_index("entity", "#", 1).alias("first_name"),
+        F.substring_index("entity", "#", -1).alias("surname"), F.col("group_name").alias("team_name"),
+        F.col("role_code").alias("player_position"), F.col("metric").alias("rating_points"), "home_team", "away_team",
+    )
+
+
 def messy_names(spark, sf_dir):
     """Lines with a hand-typed looking name: words, a hyphen, and mixed case."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").alias("metric"))

@@ -236,3 +236,26 @@ def test_nan_becomes_null(spark):
 def test_metric_by_outcome(observed):
     got = {r["outcome"]: r["mean_metric"] for r in summary.metric_by_outcome(frame.with_outcome(observed), "Sam Hall").collect()}
     assert got == {0.0: statistics.mean([3.0, 8.0]), None: 4.0, 1.0: 6.0}
+
+
+def test_season_store_replaces_one_season_and_prunes(spark, tmp_path):
+    path = str(tmp_path / "seasons")
+    first = spark.createDataFrame([(2010, "a", 1), (2011, "b", 2), (2012, "c", 3)], "season int, name string, n int")
+    files.write_seasons(first, path)
+    files.write_seasons(spark.createDataFrame([(2011, "new", 1.5)], "season int, name string, extra double"), path)
+    schema = "name string, n int, extra double, season int"
+    got = files.read_seasons(spark, path, 2010, 2011, schema=schema)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, None, 2010), ("new", None, 1.5, 2011)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2011" in plan
+    assert files.read_seasons(spark, path, 2010).count() == 3  # up to this year; schemas merged
+    stacked = files.union_by_name([first.where("season = 2010"), got.where("season = 2011").drop("n")])
+    assert sorted((r.season, r.n, r.extra) for r in stacked.collect()) == [(2010, 1, None), (2011, None, 1.5)]
+
+
+def test_join_audit_counts_both_sides(spark):
+    keys = "date string, season int, home_team string, away_team string"
+    observed = spark.createDataFrame([("d1", 1, "A", "B"), ("d1", 1, "A", "B"), ("d2", 1, "X", "B"), ("d3", 1, "A", None)], keys)
+    played = spark.createDataFrame([("d1", 1, "A", "B"), ("d2", 1, "Y", "B"), ("d3", 1, "A", None)], keys)
+    got = {(r.side, r.home_team, r.away_team): r.n for r in frame.join_audit(observed, played).collect()}
+    assert got == {("observations", "X", "B"): 1, ("observations", "A", None): 1, ("contests", "Y", "B"): 1, ("contests", "A", None): 1}
