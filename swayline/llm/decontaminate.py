@@ -1,44 +1,50 @@
 """Benchmark decontamination: random-walk embedding, bit sampling, exact edit verification.
 
 Texts become words (ASCII lower case; runs of ASCII letters, digits and all non-ASCII bytes), joined by
-a space. The CGK embedding walks over the characters of a window: at step ``j`` it writes the character
-under its pointer and moves on if bit ``j`` of that character's random bits is set. Two windows with few
-edits meet again after an edit, so their walks agree in most steps: edit distance becomes Hamming
-distance. A repetition samples three quarters of the steps; equal samples of a document window and an
-item window are a candidate. All word starts of a document are window starts, and so are those of an
-item. The length of a walk follows the size of the item (``WALKS``); the number of repetitions follows the
-target recall when a share ``edit_rate`` of the characters is edited, which is the share that the
-verification allows. Longer items need equal samples at two to five of their word starts (``HITS``).
-
-Candidates are verified in the task that found them: the item is aligned with the document around the
-candidate, and the exact edit distance in characters (of the words joined by a space) must be at most
-``max_edit`` of the item's length. The query set (the benchmark) is dealt with in blocks of a bounded
-size, each compared with all documents; documents are not shuffled.
+a space. The CGK embedding walks over the characters of a window as long as the item: at step ``j`` it
+writes the character under its pointer and moves on if bit ``j`` of that character's random bits is set.
+Two windows with few edits meet again after an edit, so their walks agree in many steps: edit distance
+becomes Hamming distance. A repetition samples a few steps of a walk; a document window and an item
+collide if they agree in all of them. ``repetitions`` are as many as reach the target recall at the
+agreement that windows with ``edit_rate`` of their characters edited have (``agreement``, simulated).
+
+Windows are placed by short runs of characters that a document shares with an item: they start where the
+item would, so that walks begin side by side. The run's length and how many blocks of the item must share
+a run on neighbouring diagonals follow the item's number of words (``RUNS``): of an item with a letter
+edited in every word, blocks of six to eight characters still stand. A place is looked at once, however
+many runs it has. What collides is verified: one piece of the item must have no more edits than its share,
+then the exact edit distance in characters (of the words joined by a space) must be at most ``max_edit``
+of the item's length. The query set (the benchmark) is dealt with in blocks of a bounded size, each
+compared with all documents; documents are not shuffled.
 
 Defined results: missing or empty texts, and items without words, match nothing; a missing id is
 reported as such; repeated rows give repeated results; other columns do not take part.
 """
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from swayline.llm import rolling
 from swayline.llm.common import LOWER, chunks, utf8
 
-#: (least words of an item, steps of the walk)
-WALKS = ((24, 20), (12, 20), (6, 12), (3, 8), (1, 1))
-#: (least words of an item, word starts of it that must hit); characters of a piece that is compared at first.
-HITS, PIECE = ((48, 5), (36, 4), (24, 3), (12, 2), (1, 1)), 64
+#: (least words of an item, characters of a shared run, blocks of the item that must share one)
+RUNS = ((48, 8, 6), (36, 8, 5), (24, 8, 3), (16, 7, 3), (12, 6, 4), (6, 5, 2), (3, 4, 1), (1, 2, 1))
+#: Characters of a piece that is compared at first; walks, and steps of one for each character; steps of a sample.
+PIECE, WALKS, STRIDE, SAMPLE = 64, 1, 2, 2
+#: Steps that the agreement of walks is simulated over; characters of a word and the space after it, about.
+STEPS, WORD_SIZE = 256, 6
 RECALL, MAX_EDIT = 0.95, 0.2
 EDIT_RATE = MAX_EDIT
-#: Characters of a word and the space after it, about.
-WORD_SIZE = 5
 #: Benchmark text that one pass over the documents compares.
 BLOCK_BYTES = 4 << 20
-CHUNK = 1 << 20
+CHUNK = 4 << 20
+#: Five bits of each character: letters and the space have their own, others share four.
+CLASS = (np.arange(256) % 4 + 28).astype(np.uint32)
+CLASS[97:123] = np.arange(1, 27)
+CLASS[32] = 0
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -65,41 +71,49 @@ def joined(low, first, last):
     return text, ends - size
 
 
-def hits_needed(n_words):
-    return next((hits for least, hits in HITS if n_words >= least), 1)
+def run_of(n_words):
+    """(characters of a shared run, blocks that must share one) for an item of so many words."""
+    return next((run, blocks) for least, run, blocks in RUNS if n_words >= least)
 
 
-def repetitions(least_words, steps, recall=RECALL, edit_rate=EDIT_RATE):
-    """Least number of samples that find an edited item with the target recall.
+@lru_cache(maxsize=4)
+def _walk(walk):
+    return np.random.default_rng([walk, 7]).integers(0, 2, (4096, 256), dtype=np.int64)
 
-    A walk goes over half as many characters as it has steps, up to five eighths at the usual spread,
-    and the windows of an item that do not overlap are independent tries. Where several hits are needed,
-    one more time so many samples are taken.
-    """
-    size = max(1, steps * 5 // 8)
-    found = (1 - edit_rate) ** size
-    tries = max(1.0, least_words * WORD_SIZE / size)
-    base = math.ceil(math.log(1 - recall) / math.log(1 - found) / tries)
-    return 1 if base <= 1 else base * (1 + hits_needed(least_words))
-
-
-def embed(text, starts, steps, repetition):
-    """Sampled steps of the walk from every start, as one 64-bit key each."""
-    rng = np.random.default_rng([steps, repetition])
-    kept = np.zeros(steps, bool)
-    kept[rng.choice(steps, max(1, steps * 3 // 4), replace=False)] = True
-    moves = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
-    # past the end the walk reads nothing
-    padded = np.concatenate((text, np.zeros(steps + 1, np.uint8)))
-    keys = np.full(len(starts), steps, np.uint64)
-    at = starts.astype(np.int64)
+
+def embed(text, starts, stops, steps, walk):
+    """The walk from every start, (starts, steps); behind its stop it reads nothing, so windows stay apart."""
+    out = np.zeros((len(starts), steps), np.uint8)
+    moves, at = _walk(walk), starts.astype(np.int64)
     for j in range(steps):
-        read = padded[at]
-        if kept[j]:
-            keys *= rolling.BASE
-            keys += read
-        at += moves[j][read]
-    return rolling.mix(keys)
+        inside = at < stops
+        read = np.where(inside, text[np.minimum(at, len(text) - 1)], 0)
+        out[:, j] = read
+        at = at + moves[j % len(moves), read]
+    return out
+
+
+@lru_cache(maxsize=64)
+def agreement(edit_rate, steps=STEPS, quantile=0.05, tries=300):
+    """Share of the steps in which walks over a random window and its edited copy agree, at a low quantile."""
+    rng, shares = np.random.default_rng(3), []
+    for _ in range(tries):
+        window = rng.integers(97, 123, steps).astype(np.uint8)
+        edited = []
+        for c in window.tolist():
+            kind = rng.integers(3) if rng.random() < edit_rate else 3
+            edited += [int(rng.integers(97, 123))] if kind == 0 else [] if kind == 1 else [c, int(rng.integers(97, 123))] if kind == 2 else [c]
+        pair = np.concatenate((window, np.array(edited, np.uint8)))
+        both = embed(pair, np.array([0, len(window)]), np.array([len(window), len(pair)]), steps, 0)
+        shares.append((both[0] == both[1]).mean())
+    return float(np.quantile(shares, quantile))
+
+
+def repetitions(least_words, steps, recall=RECALL, edit_rate=EDIT_RATE):
+    """Least number of samples of which one agrees altogether with the target recall, for walks over so many words."""
+    steps = min(steps, STRIDE * WORD_SIZE * least_words)
+    agreed = min(max(agreement(edit_rate, steps), 1 / steps), 1 - 1e-9)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreed**SAMPLE)))
 
 
 def edit_distance(pattern, text):
@@ -127,8 +141,41 @@ def edit_distance(pattern, text):
     return best, end
 
 
+def doubled(text, longest):
+    """Codes of runs of 1, 2, 4, ... characters, five bits each, up to ``longest``; the least type that holds them."""
+    out, size = {1: CLASS[text]}, 1
+    while 2 * size <= longest:
+        half = out[size]
+        size *= 2
+        if 5 * size > 32 and half.dtype == np.uint32:
+            half = half.astype(np.uint64)
+        kind = half.dtype.type
+        out[size] = half[: max(0, len(half) - size // 2)] << kind(5 * size // 2) | half[size // 2 :]
+    return out
+
+
+def runs_of(codes, length, total):
+    """One number for each run of ``length`` characters of a text of ``total``; at most twelve fit."""
+    n, width, out = max(0, total - length + 1), 0, None
+    for size in sorted(codes, reverse=True):
+        if length & size:
+            part = codes[size][width : width + n]
+            if out is None:
+                out = part if 5 * length <= 32 else part.astype(np.uint64)
+            else:
+                out = out << out.dtype.type(5 * size) | part
+            width += size
+    return out[:n]
+
+
+def slot(runs):
+    if runs.dtype == np.uint32:
+        return (runs * np.uint32(0x9E3779B1)) >> np.uint32(10)
+    return (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
 class Items:
-    """Keys and words of a block of benchmark items."""
+    """Runs and walks of a block of benchmark items."""
 
     def __init__(self, ids, texts, recall, edit_rate):
         self.ids, self.words, self.patterns = ids, [], []
@@ -139,37 +186,64 @@ class Items:
             body = low.tobytes()
             self.words.append([body[a:b] for a, b in zip(first.tolist(), last.tolist())])
             self.patterns.append(b" ".join(self.words[-1]))
-            arrays.append(joined(low, first, last))
+            arrays.append(np.frombuffer(self.patterns[-1], np.uint8))
         self.size = np.array([len(p) for p in self.patterns], np.int64)
-        self.least = np.array([hits_needed(len(w)) for w in self.words], np.int64)
+        self.text = np.concatenate([*arrays, np.zeros(1, np.uint8)])
+        self.begin = np.cumsum(self.size) - self.size
+        # a run is no longer than the item, and no more blocks are asked for than it has
+        told = [run_of(len(w)) if w else (1, 1) for w in self.words]
+        self.run = np.array([max(1, min(run, n)) for (run, _), n in zip(told, self.size.tolist())], np.int64)
+        self.least = np.array([max(1, min(blocks, n // r)) for (_, blocks), n, r in zip(told, self.size.tolist(), self.run.tolist())], np.int64)
+        self.repetitions = repetitions(RUNS[2][0], STEPS, recall, edit_rate)
         self.passes = []
-        upper = 1 << 60
-        for least, steps in WALKS:
-            mine = [i for i, w in enumerate(self.words) if least <= len(w) < upper]
-            upper = least
-            for r in range(repetitions(least, steps, recall, edit_rate)) if mine else ():
-                keys = np.concatenate([embed(*arrays[i], steps, r) for i in mine])
-                item = np.repeat(mine, [len(arrays[i][1]) for i in mine])
-                place = np.concatenate([arrays[i][1] for i in mine])
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-                self.passes.append((steps, r, keys[order], item[order], place[order], seen))
-
-    def candidates(self, text, starts):
-        """(document word, item, place in the item) of equal samples."""
+        for run in np.unique(self.run[self.size > 0]).tolist():
+            mine = np.flatnonzero((self.run == run) & (self.size > 0))
+            runs = [runs_of(doubled(arrays[i], run), run, len(arrays[i])) for i in mine]
+            item = np.repeat(mine, [len(r) for r in runs])
+            place = np.concatenate([np.arange(len(r)) for r in runs])
+            runs = np.concatenate(runs)
+            order = np.argsort(runs, kind="stable")
+            known, first = np.unique(runs[order], return_index=True)
+            seen = np.zeros(1 << 22, bool)
+            seen[slot(known)] = True
+            self.passes.append((run, known, np.append(first, len(runs)), item[order], place[order], seen))
+
+    def candidates(self, text):
+        """(place in the text, item, place in the item) of shared runs."""
         out = [(np.zeros(0, np.int64),) * 3]
-        known = None
-        for steps, r, keys, item, place, seen in sorted(self.passes, key=lambda p: p[:2]):
-            if known != (steps, r):  # items of several sizes share a walk
-                known, mine = (steps, r), embed(text, starts, steps, r)
-            at = np.flatnonzero(seen[(mine >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, mine[at], "left"), np.searchsorted(keys, mine[at], "right")
-            size = hi - lo
-            j = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        codes = doubled(text, int(self.run.max(initial=1)))
+        for run, known, first, item, place, seen in self.passes:
+            mine = runs_of(codes, run, len(text))
+            at = np.flatnonzero(seen[slot(mine)])
+            which = np.searchsorted(known, mine[at])
+            good = known[np.minimum(which, len(known) - 1)] == mine[at]
+            at, which = at[good], which[good]
+            size = first[which + 1] - first[which]
+            j = np.repeat(first[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             out.append((np.repeat(at, size), item[j], place[j]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def colliding(self, text, starts, stops, item):
+        """Which windows of the text agree with their item in all steps of one sample at least."""
+        out = np.zeros(len(item), bool)
+        each = -(-self.repetitions // WALKS)
+        for lo in range(0, len(item), 4096):
+            some = np.arange(lo, min(lo + 4096, len(item)))
+            for walk in range(WALKS):
+                some = some[~out[some]]
+                if not len(some):
+                    break
+                size = self.size[item[some]]
+                steps = int(STRIDE * size.max())
+                here = embed(text, starts[some], stops[some], steps, walk)
+                there = embed(self.text, self.begin[item[some]], self.begin[item[some]] + size, steps, walk)
+                same, row = here == there, np.arange(len(some))
+                rng = np.random.default_rng([walk, 11])
+                for _ in range(0, each, 32):  # samples of each window's own steps
+                    at = (rng.random((32, SAMPLE, 1)) * (STRIDE * size)).astype(np.int64)
+                    out[some] |= same[row, at].all(1).any(0)
+        return out
+
 
 def plausible(items, text, low, high, item, bounds, slack):
     """Which candidates have a piece of the item with no more edits than its share; no true place is lost.
@@ -222,31 +296,48 @@ def _leaks(items, data, starts, ends, max_edit):
         if not len(first):
             continue
         text, at_char = joined(low, first, last)
-        word, item, place = items.candidates(text, at_char)
-        if not len(word):
-            continue
         begin = np.searchsorted(doc, np.arange(j - i + 1), "left")
         bounds = np.append(at_char, len(text))[begin]
         slack = (max_edit * items.size).astype(np.int64)  # edits shift the item's start by so much at most
-        wide = np.maximum(slack, 8)
-        part = (at_char[word] - place) // wide[item]
-        order = np.lexsort((place, part, item, word_doc := doc[word]))
-        hits = np.stack([word_doc, item, part, place], 1)[order]
-        fresh = np.append(True, (hits[1:] != hits[:-1]).any(1))
-        hits = hits[fresh]
-        head = np.flatnonzero(np.append(True, (hits[1:, :3] != hits[:-1, :3]).any(1)))
-        count = np.diff(np.append(head, len(hits)))
-        d, k, part = hits[head, :3].T
-        beside = np.append((d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (part[1:] == part[:-1] + 1), False)
-        count = count + np.where(beside, np.roll(count, -1), 0) + np.where(np.roll(beside, 1), np.roll(count, 1), 0)
-        enough = count >= items.least[k]
-        d, k, part = d[enough], k[enough], part[enough]
+        wide = np.maximum(slack // 2, 8)  # two bands of diagonals side by side count together
+        at, item, place = items.candidates(text)
+        d = np.searchsorted(bounds, at, "right") - 1
+        inside = at + items.run[item] <= bounds[d + 1]  # a run does not cross documents
+        at, item, place, d = at[inside], item[inside], place[inside], d[inside]
+        if not len(at):
+            continue
+        shift = int(items.size.max())
+        most = len(text) + 2 * shift
+        part = (at - place + shift) // wide[item]
+        key = (d * len(items.ids) + item) * most + part
+        each = key  # of each shared run
+        hits = np.sort(key * 64 + place // items.run[item] % 64)
+        key = hits[np.append(True, hits[1:] != hits[:-1])] >> 6
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count, key = np.diff(np.append(head, len(key))), key[head]
+        pair, part = key // most, key % most
+        beside = np.append((key[1:] == key[:-1] + 1) & (pair[1:] == pair[:-1]), False)
+        count = count + np.maximum(np.where(beside, np.roll(count, -1), 0), np.where(np.roll(beside, 1), np.roll(count, 1), 0))
+        d, k = pair // len(items.ids), pair % len(items.ids)
+        # of neighbouring bands the one with most blocks stands for the place
+        less = np.where(beside, count < np.roll(count, -1), False) | np.where(np.roll(beside, 1), count <= np.roll(count, 1), False)
+        enough = (count >= items.least[k]) & ~less
+        d, k, part, key = d[enough], k[enough], part[enough], key[enough]
         if not len(d):
             continue
-        a = np.maximum(part * wide[k] - slack[k], bounds[d])
-        b = np.minimum((part + 1) * wide[k] + items.size[k] + slack[k], bounds[d + 1] - 1)  # without the last space
+        # the window starts where the item would by the first run that it shares
+        mine = np.flatnonzero(key[np.minimum(np.searchsorted(key, each), len(key) - 1)] == each)
+        mine = mine[np.lexsort((place[mine], each[mine]))]
+        mine = mine[np.append(True, each[mine[1:]] != each[mine[:-1]])]
+        start = at[mine] - place[mine]
+        low_start, high_start = (part - 1) * wide[k] - shift, (part + 2) * wide[k] - shift
+        a = np.maximum(low_start - slack[k], bounds[d])
+        b = np.minimum(high_start + items.size[k] + slack[k], bounds[d + 1] - 1)  # without the last space
+        start = np.clip(start, a, b)
+        near = items.colliding(text, start, np.minimum(b, start + items.size[k] + slack[k]), k)
+        d, k, low_start, high_start, a, b = d[near], k[near], low_start[near], high_start[near], a[near], b[near]
         body = text.tobytes()
-        ok = plausible(items, text, part * wide[k] - slack[k], (part + 1) * wide[k] + slack[k], k, (bounds[d], bounds[d + 1] - 1), slack[k])
+        ok = plausible(items, text, low_start - slack[k], high_start + slack[k], k, (bounds[d], bounds[d + 1] - 1), slack[k])
         past = None  # the last verified place: document, item, end, row; the least distance of those that overlap counts
         for d, k, a, b, most in np.stack([d, k, a, b, slack[k]], 1)[ok].tolist():
             pattern, region = items.patterns[k], body[a:b]

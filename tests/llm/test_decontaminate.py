@@ -111,3 +111,37 @@ def decontaminate_words(text):
     data = np.frombuffer(text.encode(), np.uint8)
     low, first, last, _ = decontaminate.words_in(data, np.zeros(1, np.int64), np.array([len(data)]))
     return [low[a:b].tobytes() for a, b in zip(first, last)]
+
+
+def test_recall_up_to_the_bound_at_every_size(spark):
+    """Items of 12 to 80 words with a letter edited in every word or in every second one: found as brute force finds them."""
+    given = [" ".join(decontaminate_words_text(r.text)) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rng = random.Random(12)
+    for n in (12, 16, 24, 36, 48, 80):
+        items = [(i, " ".join((t + " " + given[i - 1]).split()[:n])) for i, t in enumerate(given[:60])]
+        docs = [(i, "zq " * 20 + mistyped(t, rng, 1 + i % 2) + " zq" * 20, None, None, None) for i, t in items]
+        want = {i for (i, t), d in zip(items, docs) if edit_distance(t.encode(), d[1].encode())[0] <= int(0.2 * len(t.encode()))}
+        rows = find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+        got = {(r.id, r.item): r.distance for r in rows}
+        assert sum((i, i) in got for i in want) >= 0.95 * len(want), n
+        assert all(got[i, i] == edit_distance(items[i][1].encode(), docs[i][1].encode())[0] for i in want if (i, i) in got)
+
+
+def decontaminate_words_text(text):
+    return [w.decode() for w in decontaminate_words(text)]
+
+
+def test_walks_of_equal_windows_agree_and_of_edited_ones_mostly():
+    import numpy as np
+
+    text = np.frombuffer(b"the quick brown fox jumps over the lazy dog and the quick brown fax jumps over the lazy dog and", np.uint8)
+    walk = decontaminate.embed(text, np.array([0, 48, 0]), np.array([44, 92, 44]), 80, 0)
+    assert (walk[0] == walk[2]).all() and 0.2 < (walk[0] == walk[1]).mean() < 1
+    assert decontaminate.agreement(0.0) == 1.0 and decontaminate.agreement(0.05) > decontaminate.agreement(0.2)
+
+
+def test_one_long_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    text = "filler words go on " * 300_000 + item.replace("kappa", "kapa") + " more" * 1000
+    got = find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.id, r.item, r.distance) for r in got] == [(1, 7, 1)]
