@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,18 +276,6 @@ def familiar(docs, held, **columns):
     return Familiar(learned, against)
 
 
-def with_familiar(docs, model, text_col="text"):
-    """``docs`` with a column ``familiar``; a missing text is not."""
-    at = docs.columns.index(text_col)
-
-    def scan(batches):
-        for batch in batches:
-            known = model.known(*utf8(batch.column(at))) & np.array(batch.column(at).is_valid())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known)], [*batch.schema.names, "familiar"])
-
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("familiar", T.BooleanType())]))
-
-
 def training_rows(docs, id_col="doc_id", text_col="text", label_col="lang", per_language=PER_LANGUAGE):
     """At most ``per_language`` labelled rows of each language, by hash of the id."""
     known = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
@@ -300,25 +289,39 @@ def fit(docs, **columns):
     return train([r.text.encode() for r in rows], [r.label for r in rows])
 
 
-def predict(docs, net, text_col="text"):
-    """``docs`` with lang_pred and score (they replace columns of those names); rows keep their order."""
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = others.index(text_col)
+def predict(docs, net, text_col="text", model=None):
+    """``docs`` with lang_pred and score (they replace columns of those names); rows keep their order.
+
+    With a ``model`` (``Familiar``) also a column ``familiar``, from the same pass; a missing text is not. The
+    text may be a field of a struct column (``row.text``).
+    """
+    added = ["lang_pred", "score"] + ["familiar"] * (model is not None)
+    others = [c for c in docs.columns if c not in added]
+    name, *fields = text_col.split(".")
+    at = others.index(name)
 
     def scan(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            known = np.array([net is not None and t is not None and LETTER.search(t) is not None for t in texts], bool)
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            column = batch.column(at)
+            for field in fields:
+                column = pc.struct_field(column, field)
+            texts = utf8(column)
+            letters = np.fromiter((t is not None and LETTER.search(t) is not None for t in (s.as_py() for s in column)), bool, len(column))
+            known = letters if net is not None else np.zeros(len(column), bool)
+            names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
             if known.any():
-                p = document_probabilities(net, *utf8(batch.column(at)))
+                p = document_probabilities(net, *texts)
                 best = p.argmax(1)
                 names = [net.labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
                 scores = np.where(known, np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            new = [pa.array(names, pa.string()), pa.array(scores)]
+            if model is not None:
+                new.append(pa.array(model.known(*texts) & column.is_valid().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
     rows = docs.select(*others)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = [T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, kind) for n, kind in zip(added, kinds))])
     return rows.mapInArrow(scan, schema)
 
 
