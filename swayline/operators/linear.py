@@ -6,22 +6,26 @@ from swayline.functions.student import with_f_p_value, with_t_p_value
 from swayline.scratch import materialise
 
 
+#: What a model's rows carry of the model itself.
+MODEL_TESTS = ("df_residual", "r_squared", "adj_r_squared", "f_statistic", "f_p_value")
+
+
 def _with_tests(terms):
     return terms.withColumn("statistic", F.try_divide("estimate", "std_error"))
 
 
-def with_fit_tests(terms):
-    """Adds adjusted R2, the F statistic against the constant model and its p-value, and the terms' p-values.
+def with_fit_tests(models):
+    """Adds adjusted R2, the F statistic against the constant model and its p-value.
 
-    Needs r_squared, df_model (slopes and contrasts), df_residual and the t statistics.
+    Needs r_squared, df_model (slopes and contrasts) and df_residual, one row for each model.
     """
     left = 1 - F.col("r_squared")
     below = F.col("df_residual").cast("double")
-    tested = terms.withColumns({
+    tested = models.withColumns({
         "adj_r_squared": F.when(below > 0, 1 - left * (F.col("df_model") + below) / below),
         "f_statistic": F.try_divide(F.col("r_squared") / F.when(F.col("df_model") > 0, F.col("df_model")), F.try_divide(left, below)),
     })
-    return with_t_p_value(with_f_p_value(tested)).drop("df_model")
+    return with_f_p_value(tested).drop("df_model")
 
 
 def ols_summary(df, x, y):
@@ -45,12 +49,13 @@ def ols_summary(df, x, y):
         F.struct(F.lit(x).alias("term"), F.col("slope").alias("estimate"),
                  F.sqrt(F.try_divide("sigma2", "sxx")).alias("std_error")),
     )
+    s = with_fit_tests(s.withColumns({
+        "r_squared": F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")), "df_model": F.lit(1)}))
     long = s.select(
         F.inline(terms),
-        "n", "df_residual", F.sqrt("sigma2").alias("sigma"),
-        F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")).alias("r_squared"), F.lit(1).alias("df_model"),
+        "n", "df_residual", F.sqrt("sigma2").alias("sigma"), "r_squared", "adj_r_squared", "f_statistic", "f_p_value",
     )
-    return with_fit_tests(_with_tests(long))
+    return with_t_p_value(_with_tests(long))
 
 
 def entity_fits(frame, min_rows=1):
@@ -102,7 +107,7 @@ def interaction_terms(fits):
     )
     s2 = F.when(F.col("df_residual") > 0, F.try_divide(F.col("rss"), F.col("df_residual").cast("double")))
     groups = groups.withColumn("s2", s2).withColumn("r_squared", 1 - F.try_divide("rss", F.when(F.col("tss") > 0, F.col("tss"))))
-    joined = fits.drop("rss", "n_params").join(groups, "group_name")
+    joined = fits.drop("rss", "n_params").join(with_fit_tests(groups), "group_name")
 
     def variances(prefix):
         inv = F.try_divide(F.lit(1.0), f"{prefix}sxx")
@@ -110,8 +115,8 @@ def interaction_terms(fits):
         return F.col("s2") * inv, F.col("s2") * (F.try_divide(F.lit(1.0), f"{prefix}n") + at_zero)
 
     own, ref = variances(""), variances("ref.")
-    return with_fit_tests(contrast_terms(joined.select(
-        "group_name", "entity", "reference_entity", "df_residual", "r_squared", "df_model", "slope", "intercept",
+    return with_t_p_value(contrast_terms(joined.select(
+        "group_name", "entity", "reference_entity", *MODEL_TESTS, "slope", "intercept",
         own[0].alias("var_slope"), own[1].alias("var_intercept"),
         F.col("ref.slope").alias("ref_slope"), F.col("ref.intercept").alias("ref_intercept"),
         ref[0].alias("ref_var_slope"), ref[1].alias("ref_var_intercept"),
@@ -137,7 +142,7 @@ def contrast_terms(lines):
         term("interaction", F.concat(F.lit("metric:entity"), "entity"), slope - F.col("ref_slope"),
              F.col("var_slope") + F.col("ref_var_slope")),
     )
-    kept = [c for c in ("df_residual", "r_squared", "df_model", "separated") if c in lines.columns]
+    kept = [c for c in (*MODEL_TESTS, "separated") if c in lines.columns]
     terms = lines.where(F.col("reference_entity").isNotNull()).select(
         "group_name", "entity", "reference_entity", *kept,
         F.inline(F.when(F.col("entity") == F.col("reference_entity"), own).otherwise(others)),
