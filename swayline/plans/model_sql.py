@@ -1,7 +1,8 @@
 """Fitted models as plain SQL text: one recursive step per Newton step, written independently of the operators."""
 
 from swayline.plans.inputs import MIN_ROWS
-from swayline.plans.oracle import ELIGIBLE, FRAME
+from swayline.plans.models import GIVEN
+from swayline.plans.oracle import ELIGIBLE, FRAME, RECENT_ENTITY
 
 STEPS = 14
 
@@ -176,7 +177,84 @@ def _logit(predictors, scales):
 fitted AS ({out})"""
 
 
+def _penalised(columns, sd_slope, sd_intercept=None):
+    """Newton steps of a mixed logistic model at given spreads on ``design`` (entity, x, trials, wins and the columns' own).
+
+    A row of ``steps`` is an entity with its two terms (za, zb) and the coefficients b_j of all ``columns``. The entity's
+    terms are solved for first (v00, v01, v11 is the inverse of their information), then all entities' rests are added up.
+    """
+    n, slope = len(columns), 1 / sd_slope**2
+    level = 1 / sd_intercept**2 if sd_intercept else 0.0
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    now = "step, entity, za, zb, " + ", ".join(f"b_{i}" for i in range(n))
+    eta = " + ".join(f"b_{i} * ({c})" for i, c in enumerate(columns)) + " + za + zb * x"
+    sums = ["sum(wins * eta - trials * ln(1 + exp(eta))) AS ll", "sum(s) AS s0", "sum(s * x) AS s1", "sum(o) AS o0", "sum(o * x) AS o1", "sum(o * x * x) AS o2"]
+    for i, c in enumerate(columns):
+        sums += [f"sum(s * ({c})) AS y_{i}", f"sum(o * ({c})) AS p_{i}", f"sum(o * x * ({c})) AS q_{i}"]
+    sums += [f"sum(o * ({columns[i]}) * ({columns[j]})) AS k_{i}_{j}" for i, j in cells]
+    each = f"""SELECT {now}, {', '.join(sums)} FROM (
+      SELECT *, wins - trials * p AS s, trials * p * (1 - p) AS o FROM (
+        SELECT *, 1 / (1 + exp(-eta)) AS p FROM (
+          SELECT n.*, c.* EXCLUDE (entity), {eta} AS eta FROM steps n JOIN design c ON c.entity = n.entity WHERE n.step < {STEPS}))) GROUP BY {now}"""
+    if sd_intercept:
+        inverse = f"(o2 + {slope}) / d AS v00, -o1 / d AS v01, (o0 + {level}) / d AS v11, ln(d / {level * slope}) AS log_det"
+        inverse = f"SELECT *, {inverse} FROM (SELECT *, (o0 + {level}) * (o2 + {slope}) - o1 * o1 AS d FROM ({each}))"
+    else:
+        inverse = f"SELECT *, 0.0 AS v00, 0.0 AS v01, 1 / (o2 + {slope}) AS v11, ln((o2 + {slope}) / {slope}) AS log_det FROM ({each})"
+    own = f"""SELECT *, v00 * (s0 - {level} * za) + v01 * (s1 - {slope} * zb) AS e0, v01 * (s0 - {level} * za) + v11 * (s1 - {slope} * zb) AS e1,
+      ll - ({level} * za * za + {slope} * zb * zb + log_det) / 2 AS part FROM ({inverse})"""
+    rests = [f"sum(y_{i} - p_{i} * e0 - q_{i} * e1) OVER (PARTITION BY step) AS g_{i}" for i in range(n)]
+    rests += [f"sum(k_{i}_{j} - p_{i} * (v00 * p_{j} + v01 * q_{j}) - q_{i} * (v01 * p_{j} + v11 * q_{j})) OVER (PARTITION BY step) AS h_{i}_{j}" for i, j in cells]
+    keep = f"{now}, e0, e1, v00, v01, v11, lik, " + ", ".join(f"p_{i}, q_{i}" for i in range(n))
+    summed = f"SELECT {keep}, {', '.join(f'g_{i}' for i in range(n))}, {', '.join(f'h_{i}_{j}' if i < j else f'CASE WHEN h_{i}_{j} = 0 THEN 1 ELSE h_{i}_{j} END AS h_{i}_{j}' for i, j in cells)} FROM (" \
+             f"SELECT *, sum(part) OVER (PARTITION BY step) AS lik, {', '.join(rests)} FROM ({own}))"
+    pull = [" + ".join(f"({v} * p_{i} + {w} * q_{i}) * u_{i}" for i in range(n)) for v, w in (("v00", "v01"), ("v01", "v11"))]
+    start = ", ".join(f"0.0::DOUBLE AS b_{i}, 0.0::DOUBLE AS v_{i}" for i in range(n))
+    return f"""steps AS (
+  SELECT 0 AS step, entity, 0.0::DOUBLE AS za, 0.0::DOUBLE AS zb, 0.0::DOUBLE AS lik, {start} FROM (SELECT DISTINCT entity FROM design)
+  UNION ALL
+  SELECT step + 1, entity, za + e0 - ({pull[0]}), zb + e1 - ({pull[1]}), lik, {', '.join(f'b_{i} + u_{i}, v_{i}' for i in range(n))}
+  FROM ({_solved(columns, summed, keep)})),
+ended AS (SELECT * FROM steps WHERE step = {STEPS})"""
+
+
+# cells of the latest two seasons with both scores, numbered groups
+RECENT_DESIGN = RECENT_ENTITY + """,
+known AS (
+  SELECT r.entity, group_name, CAST(dense_rank() OVER (ORDER BY group_name) AS INTEGER) - 1 AS place, metric_mean_z AS m, (metric - s.m) / sd AS x, outcome
+  FROM recent r JOIN scaled s ON s.entity = r.entity WHERE outcome IS NOT NULL AND metric IS NOT NULL AND sd > 0 AND metric_mean_z IS NOT NULL),
+design AS (SELECT entity, group_name, place, m, x, count(*) AS trials, sum(outcome) AS wins FROM known GROUP BY ALL)"""
+MVP_COLUMNS = ["1.0", "x", "m"]
+GROUP_COLUMNS = MVP_COLUMNS + [f"(place = {k})::DOUBLE" for k in range(1, 5)]  # the sample tables have five regions
+GIVEN_MVP = f"{RECENT_DESIGN}, {_penalised(MVP_COLUMNS, GIVEN['mvp']['sd_slope'], GIVEN['mvp']['sd_intercept'])}"
+GIVEN_SENSITIVITY = f"{RECENT_DESIGN}, {_penalised(GROUP_COLUMNS, GIVEN['sensitivity']['sd_slope'])}"
+TEAMS = "teams AS (SELECT DISTINCT entity, group_name FROM recent)"
+
+
+def _given_table(with_cte, groups):
+    """Coefficients, the spreads' log-likelihood and sizes of the fit, as one long table."""
+    ends = "(SELECT * FROM ended LIMIT 1)"
+    terms = [f"SELECT '{name}' AS term, b_{i} AS estimate, sqrt(v_{i}) AS std_error FROM {ends}" for i, name in enumerate(("(Intercept)", "metric_c_z", "metric_mean_z"))]
+    terms += [f"SELECT 'group_name' || group_name, b_{k + 2}, sqrt(v_{k + 2}) FROM {ends}, (SELECT DISTINCT group_name FROM design WHERE place = {k})" for k in range(1, groups)]
+    return f"""WITH RECURSIVE {with_cte}, fitted AS ({' UNION ALL '.join(terms)})
+        SELECT 'fixed' AS part, term, {COLUMNS} FROM fitted
+        UNION ALL SELECT 'fit', 'log_lik', round(lik, 6) + 0.0, NULL, NULL, NULL FROM {ends}
+        UNION ALL SELECT 'fit', 'n_obs', (SELECT sum(trials) FROM design)::DOUBLE, NULL, NULL, NULL
+        UNION ALL SELECT 'fit', 'n_entities', (SELECT count(*) FROM ended)::DOUBLE, NULL, NULL, NULL"""
+
+
 SQL = {
+    "given_mvp": _given_table(GIVEN_MVP, 1),
+    "given_sensitivity": _given_table(GIVEN_SENSITIVITY, 5),
+    "given_top3": f"""WITH RECURSIVE {GIVEN_SENSITIVITY}, {TEAMS},
+        ranks AS (SELECT group_name, entity, zb AS slope, b_1 + zb AS total_slope,
+                         rank() OVER (PARTITION BY group_name ORDER BY b_1 + zb DESC) AS place FROM ended JOIN teams USING (entity))
+        SELECT group_name, entity, {_round('slope')}, {_round('total_slope')} FROM ranks WHERE place <= 3""",
+    "given_relative": f"""WITH RECURSIVE {GIVEN_MVP}, {TEAMS},
+        totals AS (SELECT group_name, entity, b_0 + za AS total_intercept, b_1 + zb AS total_slope FROM ended JOIN teams USING (entity)),
+        centred AS (SELECT *, total_intercept - avg(total_intercept) OVER (PARTITION BY group_name) AS intercept_std FROM totals)
+        SELECT group_name, c.entity, {_round('total_intercept')}, {_round('total_slope')}, {_round('intercept_std')},
+               {_round('total_effect', 'total_slope + intercept_std')}, n_games FROM centred c JOIN scaled s ON s.entity = c.entity""",
     "probit_interaction": f"WITH RECURSIVE {LINES}{CONTRASTS} SELECT group_name, entity, reference_entity, separated, term_kind, term, {COLUMNS} FROM terms",
     "probit_top": f"""WITH RECURSIVE {LINES}{CONTRASTS},
         placed_terms AS (SELECT *, rank() OVER (PARTITION BY group_name ORDER BY estimate DESC NULLS LAST) AS place FROM terms WHERE term_kind = 'interaction')

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from swayline.operators import bootstrap, controls, effects, features, frame, mixed, plotdata, probit, ranking
+from swayline.operators import bootstrap, controls, effects, features, frame, mixed, penalised, plotdata, probit, ranking
 from swayline.plans import inputs
 from swayline.plans.descriptive import rounded
 from swayline.scratch import materialise
@@ -11,6 +11,8 @@ Form = mixed.Form
 SENSITIVITY = Form(group_fixed=True, entity_intercept=False)
 MVP = Form()
 FULL = dict(x="metric_centred_z", m="metric_mean_z")
+#: Spreads of the fits that hold them.
+GIVEN = {"sensitivity": {"sd_slope": 0.3}, "mvp": {"sd_intercept": 0.25, "sd_slope": 0.3}}
 
 
 def recent_preferred(spark, sf_dir):
@@ -102,6 +104,41 @@ def mvp_top3(spark, sf_dir):
     return rounded(best.select("group_name", "entity", "total_intercept", "total_slope", "total_effect"), 4)
 
 
+def given_table(fit):
+    """Fixed effects, log-likelihood and sizes of a fit at given spreads."""
+    stats = fit.fit_stats.selectExpr(
+        "'fit' AS part", "stack(3, 'log_lik', log_lik, 'n_obs', double(n_obs), 'n_entities', double(n_entities)) AS (term, estimate)",
+        *[f"cast(NULL AS double) AS {c}" for c in ("std_error", "statistic", "p_value")])
+    return rounded(fit.coefficients.select(F.lit("fixed").alias("part"), "term", "estimate", "std_error", "statistic", "p_value").unionByName(stats))
+
+
+def given_sensitivity(spark, sf_dir):
+    """The slope model at given spreads."""
+    return given_table(penalised.fit_at_spreads(recent_preferred(spark, sf_dir), SENSITIVITY, GIVEN["sensitivity"]))
+
+
+def given_mvp(spark, sf_dir):
+    """Entity levels and slopes at given spreads."""
+    return given_table(penalised.fit_at_spreads(recent_preferred(spark, sf_dir), MVP, GIVEN["mvp"]))
+
+
+def given_top3(spark, sf_dir):
+    """Three largest total slopes per group, at given spreads."""
+    recent = recent_preferred(spark, sf_dir)
+    slopes = effects.entity_effects(penalised.fit_at_spreads(recent, SENSITIVITY, GIVEN["sensitivity"]), SENSITIVITY)
+    best = effects.top_slopes(effects.with_groups(slopes, recent), 3)
+    return rounded(best.select("group_name", "entity", "slope", "total_slope"))
+
+
+def given_relative(spark, sf_dir):
+    """Totals, effects inside the group and recent row counts of every entity, at given spreads."""
+    recent = recent_preferred(spark, sf_dir)
+    table = effects.entity_effects(penalised.fit_at_spreads(recent, MVP, GIVEN["mvp"]), MVP)
+    joined = materialise(effects.with_groups(table.drop("total_effect"), recent), "effects")
+    counted = effects.with_counts(effects.group_relative(joined), recent.select("entity", "n_games").distinct())
+    return rounded(counted.select("group_name", "entity", "total_intercept", "total_slope", "intercept_std", "total_effect", "n_games"))
+
+
 def glmm_entity(spark, sf_dir):
     """Entity intercepts and slopes, no group term; effects ranked by slope."""
     form = Form(**FULL)
@@ -225,7 +262,7 @@ def glm_controls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     probit_interaction, probit_top, probit_global, probit_global_top, glmm_sensitivity, sensitivity_top3, glmm_mvp,
-    mvp_top3, glmm_entity, glmm_group_fe, glmm_group_fe_recent, glmm_entity_recent, group_relative_effects,
+    mvp_top3, given_sensitivity, given_mvp, given_top3, given_relative, glmm_entity, glmm_group_fe, glmm_group_fe_recent, glmm_entity_recent, group_relative_effects,
     plot_baseline_slope, glmm_crossed_raw, glmm_crossed_centred, glmm_crossed_z, glmm_nested, model_diagnostics,
     plot_model_slopes, plot_model_top3, boot_slopes, predict_grid, glm_controls,
 )}
