@@ -44,6 +44,8 @@ class MixedFit:
     fit_stats: DataFrame
     fixed: dict
     spreads: dict
+    #: number of a fit -> (names of its fixed effects, their covariance)
+    covariance: dict
 
 
 @dataclass(frozen=True)
@@ -395,7 +397,7 @@ def _report(spark, form, layout, groups, scales, theta, values, hessians, state,
     fits = len(sizes)
     entities = {r["fit"]: r["n"] for r in state.groupBy("fit").agg(F.countDistinct("entity").alias("n")).collect()}
     coefficient_rows, spread_rows, stat_rows = [], [], []
-    fixed, spreads = {}, {"theta": theta}
+    fixed, spreads, covariances = {}, {"theta": theta}, {}
     p = len(fixed_names)
     for f in range(fits):
         hessian = hessians[f]
@@ -403,7 +405,9 @@ def _report(spark, form, layout, groups, scales, theta, values, hessians, state,
         free = list(range(p)) + [layout.at(n) for n in sds if sds[n] >= SINGULAR]
         covariance = np.linalg.pinv(-hessian[np.ix_(free, free)])[:p, :p]
         beta = back @ theta[f, :p]
-        errors = np.sqrt(np.maximum(np.diag(back @ covariance @ back.T), 0))
+        covariance = back @ covariance @ back.T
+        covariances[f] = [label[name] for name in fixed_names], covariance
+        errors = np.sqrt(np.maximum(np.diag(covariance), 0))
         for i, name in enumerate(fixed_names):
             coefficient_rows.append((f, label[name], float(beta[i]), float(errors[i])))
             fixed[(f, label[name])] = float(beta[i])
@@ -425,7 +429,7 @@ def _report(spark, form, layout, groups, scales, theta, values, hessians, state,
         stat_rows, "fit int, n_obs long, n_entities long, n_groups int, log_lik double, aic double, bic double, "
         "is_singular boolean, converged boolean, expansions int")
     return MixedFit(coefficients, _effects(spark, form, layout, groups, scales, state, theta, group_modes, fits),
-                    components, stats, fixed, spreads)
+                    components, stats, fixed, spreads, covariances)
 
 
 def _effects(spark, form, layout, groups, scales, state, theta, group_modes, fits):

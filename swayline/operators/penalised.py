@@ -182,7 +182,8 @@ def _report(spark, form, groups, scales, beta, inverse, log_lik, entities, sds,
         back[LEVEL] -= scales["m_mean"] * back[COVARIATE]
     if form.group_fixed:
         names.update({FIRST_GROUP + k: f"group_name{g}" for k, g in enumerate(groups) if k})
-    estimates, errors = back @ beta, np.sqrt(np.maximum(np.diag(back @ inverse @ back.T), 0))
+    covariance = back @ inverse @ back.T
+    estimates, errors = back @ beta, np.sqrt(np.maximum(np.diag(covariance), 0))
     rows = [(0, name, float(estimates[i]), float(errors[i])) for i, name in names.items()]
     coefficients = spark.createDataFrame(rows, "fit int, term string, estimate double, std_error double").withColumn(
         "statistic", F.try_divide("estimate", "std_error")).withColumn("p_value", F.expr(two_sided("statistic")))
@@ -208,4 +209,5 @@ def _report(spark, form, groups, scales, beta, inverse, log_lik, entities, sds,
     effects = modes[0]
     for more in modes[1:]:
         effects = effects.unionByName(more)
-    return MixedFit(coefficients, effects, components, stats, {(0, r[1]): r[2] for r in rows}, {(0, r[1], r[2]): r[3] for r in spread_rows})
+    return MixedFit(coefficients, effects, components, stats, {(0, r[1]): r[2] for r in rows}, {(0, r[1], r[2]): r[3] for r in spread_rows},
+                    {0: (list(names.values()), covariance[np.ix_(list(names), list(names))])})

@@ -142,8 +142,8 @@ terms AS (
   UNION ALL SELECT 'interaction', 'metric:entity' || entity, entity, NULL, NULL FROM told WHERE separated OR width = 0)"""
 
 
-def _solved(names, source, keep):
-    """SELECT of the solution u_0.. of the symmetric system h_i_j u = g_i, and of its inverse's diagonal v_0.., by elimination."""
+def _solved(names, source, keep, cross=()):
+    """SELECT of the solution u_0.. of the symmetric system h_i_j u = g_i, of its inverse's diagonal v_0.. and entries w_i_j, by elimination."""
     n = len(names)
     cells = {(i, j): f"h_{min(i, j)}_{max(i, j)}" for i in range(n) for j in range(n)}
     columns = [f"{cells[i, j]} AS m_{i}_{j}" for i in range(n) for j in range(n)]
@@ -153,7 +153,8 @@ def _solved(names, source, keep):
         columns = [f"m_{p}_{j} / m_{p}_{p} AS m_{p}_{j}" if i == p else f"m_{i}_{j} - m_{i}_{p} * m_{p}_{j} / m_{p}_{p} AS m_{i}_{j}"
                    for i in range(n) for j in range(2 * n + 1)]
         text = f"SELECT {keep}, {', '.join(columns)} FROM ({text})"
-    return f"SELECT {keep}, {', '.join([f'm_{i}_{n} AS u_{i}, m_{i}_{n + 1 + i} AS v_{i}' for i in range(n)])} FROM ({text})"
+    out = [f"m_{i}_{n} AS u_{i}, m_{i}_{n + 1 + i} AS v_{i}" for i in range(n)] + [f"m_{i}_{n + 1 + j} AS w_{i}_{j}" for i, j in cross]
+    return f"SELECT {keep}, {', '.join(out)} FROM ({text})"
 
 
 def _logit(predictors, scales):
@@ -186,6 +187,7 @@ def _penalised(columns, sd_slope, sd_intercept=None):
     n, slope = len(columns), 1 / sd_slope**2
     level = 1 / sd_intercept**2 if sd_intercept else 0.0
     cells = [(i, j) for i in range(n) for j in range(i, n)]
+    cross = [(i, j) for i, j in cells if i < j]
     now = "step, entity, za, zb, " + ", ".join(f"b_{i}" for i in range(n))
     eta = " + ".join(f"b_{i} * ({c})" for i, c in enumerate(columns)) + " + za + zb * x"
     sums = ["sum(wins * eta - trials * ln(1 + exp(eta))) AS ll", "sum(s) AS s0", "sum(s * x) AS s1", "sum(o) AS o0", "sum(o * x) AS o1", "sum(o * x * x) AS o2"]
@@ -209,12 +211,12 @@ def _penalised(columns, sd_slope, sd_intercept=None):
     summed = f"SELECT {keep}, {', '.join(f'g_{i}' for i in range(n))}, {', '.join(f'h_{i}_{j}' if i < j else f'CASE WHEN h_{i}_{j} = 0 THEN 1 ELSE h_{i}_{j} END AS h_{i}_{j}' for i, j in cells)} FROM (" \
              f"SELECT *, sum(part) OVER (PARTITION BY step) AS lik, {', '.join(rests)} FROM ({own}))"
     pull = [" + ".join(f"({v} * p_{i} + {w} * q_{i}) * u_{i}" for i in range(n)) for v, w in (("v00", "v01"), ("v01", "v11"))]
-    start = ", ".join(f"0.0::DOUBLE AS b_{i}, 0.0::DOUBLE AS v_{i}" for i in range(n))
+    start = ", ".join(f"0.0::DOUBLE AS b_{i}, 0.0::DOUBLE AS v_{i}" for i in range(n)) + "".join(f", 0.0::DOUBLE AS w_{i}_{j}" for i, j in cross)
     return f"""steps AS (
   SELECT 0 AS step, entity, 0.0::DOUBLE AS za, 0.0::DOUBLE AS zb, 0.0::DOUBLE AS lik, {start} FROM (SELECT DISTINCT entity FROM design)
   UNION ALL
-  SELECT step + 1, entity, za + e0 - ({pull[0]}), zb + e1 - ({pull[1]}), lik, {', '.join(f'b_{i} + u_{i}, v_{i}' for i in range(n))}
-  FROM ({_solved(columns, summed, keep)})),
+  SELECT step + 1, entity, za + e0 - ({pull[0]}), zb + e1 - ({pull[1]}), lik, {', '.join([*(f'b_{i} + u_{i}, v_{i}' for i in range(n)), *(f'w_{i}_{j}' for i, j in cross)])}
+  FROM ({_solved(columns, summed, keep, cross)})),
 ended AS (SELECT * FROM steps WHERE step = {STEPS})"""
 
 
@@ -250,6 +252,18 @@ SQL = {
         ranks AS (SELECT group_name, entity, zb AS slope, b_1 + zb AS total_slope,
                          rank() OVER (PARTITION BY group_name ORDER BY b_1 + zb DESC) AS place FROM ended JOIN teams USING (entity))
         SELECT group_name, entity, {_round('slope')}, {_round('total_slope')} FROM ranks WHERE place <= 3""",
+    "given_summary": f"""WITH RECURSIVE {GIVEN_MVP},
+        residuals AS (
+          SELECT CASE WHEN outcome = 1 THEN sqrt((1 - p) / p) ELSE -sqrt(p / (1 - p)) END AS residual
+          FROM (SELECT outcome, 1 / (1 + exp(-(b_0 + za + b_2 * m + (b_1 + zb) * x))) AS p FROM known JOIN ended USING (entity)))
+        SELECT 'residual' AS part, 'min' AS term, NULL AS other, {_round('value', 'min(residual)')} FROM residuals
+        UNION ALL SELECT 'residual', 'q1', NULL, {_round('value', 'quantile_cont(residual, 0.25)')} FROM residuals
+        UNION ALL SELECT 'residual', 'median', NULL, {_round('value', 'quantile_cont(residual, 0.5)')} FROM residuals
+        UNION ALL SELECT 'residual', 'q3', NULL, {_round('value', 'quantile_cont(residual, 0.75)')} FROM residuals
+        UNION ALL SELECT 'residual', 'max', NULL, {_round('value', 'max(residual)')} FROM residuals
+        UNION ALL SELECT 'correlation', 'metric_c_z', '(Intercept)', round(w_0_1 / sqrt(v_0 * v_1), 6) + 0.0 FROM (SELECT * FROM ended LIMIT 1)
+        UNION ALL SELECT 'correlation', 'metric_mean_z', '(Intercept)', round(w_0_2 / sqrt(v_0 * v_2), 6) + 0.0 FROM (SELECT * FROM ended LIMIT 1)
+        UNION ALL SELECT 'correlation', 'metric_mean_z', 'metric_c_z', round(w_1_2 / sqrt(v_1 * v_2), 6) + 0.0 FROM (SELECT * FROM ended LIMIT 1)""",
     "given_relative": f"""WITH RECURSIVE {GIVEN_MVP}, {TEAMS},
         totals AS (SELECT group_name, entity, b_0 + za AS total_intercept, b_1 + zb AS total_slope FROM ended JOIN teams USING (entity)),
         centred AS (SELECT *, total_intercept - avg(total_intercept) OVER (PARTITION BY group_name) AS intercept_std FROM totals)

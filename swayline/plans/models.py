@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from swayline.operators import bootstrap, controls, effects, features, frame, mixed, penalised, plotdata, probit, ranking
+from swayline.operators import bootstrap, controls, effects, features, fit_summary, frame, mixed, penalised, plotdata, probit, ranking
 from swayline.plans import inputs
 from swayline.plans.descriptive import rounded
 from swayline.scratch import materialise
@@ -229,6 +229,20 @@ def model_diagnostics(spark, sf_dir):
     return rounded(tables[0].unionByName(tables[1]), 4)
 
 
+def model_summary(spark, sf_dir):
+    """Correlations of the fixed effects and quantiles of the scaled residuals of both preferred models."""
+    recent = recent_preferred(spark, sf_dir)
+    tables = [fit_summary.fit_summary(recent, mixed.fit_mixed(recent, form), form).select(F.lit(name).alias("model"), "*")
+              for name, form in (("sensitivity", SENSITIVITY), ("mvp", MVP))]
+    return rounded(tables[0].unionByName(tables[1]), 4)
+
+
+def given_summary(spark, sf_dir):
+    """The same of entity levels and slopes at given spreads."""
+    recent = recent_preferred(spark, sf_dir)
+    return rounded(fit_summary.fit_summary(recent, penalised.fit_at_spreads(recent, MVP, GIVEN["mvp"]), MVP))
+
+
 def plot_model_slopes(spark, sf_dir):
     """Histogram of the slope model's total slopes."""
     _, _, slopes = sensitivity_effects(spark, sf_dir)
@@ -262,7 +276,7 @@ def glm_controls(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     probit_interaction, probit_top, probit_global, probit_global_top, glmm_sensitivity, sensitivity_top3, glmm_mvp,
-    mvp_top3, given_sensitivity, given_mvp, given_top3, given_relative, glmm_entity, glmm_group_fe, glmm_group_fe_recent, glmm_entity_recent, group_relative_effects,
+    mvp_top3, given_sensitivity, given_mvp, given_top3, given_relative, given_summary, model_summary, glmm_entity, glmm_group_fe, glmm_group_fe_recent, glmm_entity_recent, group_relative_effects,
     plot_baseline_slope, glmm_crossed_raw, glmm_crossed_centred, glmm_crossed_z, glmm_nested, model_diagnostics,
     plot_model_slopes, plot_model_top3, boot_slopes, predict_grid, glm_controls,
 )}

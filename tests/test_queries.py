@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not
 ITERATIVE = {
     "glmm_sensitivity", "sensitivity_top3", "glmm_mvp", "mvp_top3", "glmm_entity", "glmm_group_fe", "glmm_group_fe_recent",
     "glmm_entity_recent", "group_relative_effects", "plot_baseline_slope", "glmm_crossed_raw", "glmm_crossed_centred", "glmm_crossed_z",
-    "glmm_nested", "model_diagnostics", "plot_model_slopes", "plot_model_top3", "boot_slopes", "predict_grid",
+    "glmm_nested", "model_diagnostics", "model_summary", "plot_model_slopes", "plot_model_top3", "boot_slopes", "predict_grid",
 }
 
 
