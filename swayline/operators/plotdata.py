@@ -110,6 +110,42 @@ def histogram(df, column):
     )
 
 
+def rounded_step(lo, hi, bins):
+    """A step of 1, 2, 5 or 10 times a power of ten that cuts lo..hi into about ``bins`` parts.
+
+    A width counts as the next larger of these steps above 1.4, 2.8 and 7 of its power of ten (fixed values).
+    """
+    width = (hi - lo) / bins
+    power = 10.0 ** math.floor(math.log10(width))
+    share = width / power
+    return power * (1 if share <= 1.4 else 2 if share <= 2.8 else 5 if share <= 7 else 10)
+
+
+def rounded_histogram(df, column):
+    """Bins between multiples of a rounded step, open on the left; the first holds its lower end too.
+
+    About ceil(log2 n) + 1 bins; empty ones stay. Values that are all equal make one bin around them.
+    """
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(column))
+    ends = known.agg(F.count(column).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    if not ends["n"]:
+        return df.sparkSession.createDataFrame([], "bin int, bin_low double, bin_high double, n long")
+    lo, hi = float(ends["lo"]), float(ends["hi"])
+    if lo < hi:
+        step = rounded_step(lo, hi, math.ceil(math.log2(ends["n"])) + 1)
+        first, last = math.floor(lo / step + 1e-7), math.ceil(hi / step - 1e-7)
+    else:
+        step, first = 1.0, math.floor(lo)
+        last = first + 1
+    number = F.ceil(F.col(column) / F.lit(step) - F.lit(1e-7)) - first
+    placed = known.groupBy(F.greatest(F.lit(1), F.least(number, F.lit(last - first))).cast("int").alias("bin"))
+    edges = df.sparkSession.range(1, last - first + 1).select(F.col("id").cast("int").alias("bin"))
+    return edges.join(placed.agg(F.count(F.lit(1)).alias("n")), "bin", "left").select(
+        "bin", ((first + F.col("bin") - 1) * F.lit(step)).alias("bin_low"), ((first + F.col("bin")) * F.lit(step)).alias("bin_high"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
 def top3_points(entities, slopes, k=3):
     """Entities by group with their slope, the top-3 flag, the colour and the group's plot position."""
     joined = entities.join(slopes, "entity", "left")

@@ -202,6 +202,12 @@ def plot_slope_hist(spark, sf_dir):
     return rounded(plotdata.histogram(slopes, "total_slope"))
 
 
+def plot_slope_breaks(spark, sf_dir):
+    """The same slopes in bins with rounded breaks."""
+    slopes = materialise(line_slopes(spark, sf_dir), "slopes")
+    return rounded(plotdata.rounded_histogram(slopes, "total_slope"))
+
+
 def line_effects(spark, sf_dir):
     """Slope, intercept and their sum of every eligible entity's own line."""
     fits = linear.entity_fits(inputs.outcome_frame(spark, sf_dir), inputs.MIN_ROWS).where("slope is not null")
@@ -265,5 +271,5 @@ QUERIES = {f.__name__: f for f in (
     name_collisions, null_audit, appearance_number, primary_role, model_frame, centred_frame, entity_means_ranked,
     entity_checks, recent_frame_rowz, recent_frame_entityz, entity_groups, metric_by_outcome, ols_summary,
     ols_trial, ols_interaction, ols_top, plot_scatter_labels, plot_mean_sd, plot_density, plot_mean_density,
-    plot_group_density, plot_top3_flags, plot_slope_hist,
+    plot_group_density, plot_top3_flags, plot_slope_hist, plot_slope_breaks,
 )}

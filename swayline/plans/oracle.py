@@ -386,4 +386,13 @@ SQL = {
         SELECT CAST(i AS INTEGER) AS bin, {_r('bin_low', 'lo + (i - 1) * ((hi - lo) / b)')},
                {_r('bin_high', 'lo + i * ((hi - lo) / b)')}, coalesce(c.n, 0) AS n
         FROM e, range(1, 64) AS r(i) LEFT JOIN c ON c.bin = i WHERE i <= b""",
+    "plot_slope_breaks": f"""WITH {FITS.format(**BY_GROUP)},
+        e AS (SELECT min(slope) AS lo, max(slope) AS hi, (max(slope) - min(slope)) / (ceil(log2(count(slope))) + 1) AS w FROM fits),
+        p AS (SELECT *, power(10.0, floor(log10(w))) AS p FROM e),
+        u AS (SELECT *, p * CASE WHEN w <= 1.4 * p THEN 1 WHEN w <= 2.8 * p THEN 2 WHEN w <= 7 * p THEN 5 ELSE 10 END AS u FROM p),
+        b AS (SELECT u, CAST(floor(lo / u + 1e-7) AS BIGINT) AS first, CAST(ceil(hi / u - 1e-7) AS BIGINT) AS last FROM u),
+        edges AS (SELECT CAST(i AS INTEGER) AS bin, (first + i - 1) * u AS bin_low, (first + i) * u AS bin_high
+                  FROM b, range(1, 64) AS r(i) WHERE i <= last - first)
+        SELECT bin, {_r('bin_low')}, {_r('bin_high')}, count(slope) AS n
+        FROM edges LEFT JOIN fits ON slope <= bin_high AND (slope > bin_low OR bin = 1) GROUP BY bin, edges.bin_low, edges.bin_high""",
 }

@@ -88,30 +88,29 @@ def hot_keys(frame, key):
 
 
 def running_number(frame, key, order, name):
-    """1, 2, 3, ... per ``key`` in the order of ``order`` (its first column is the coarse step).
+    """1, 2, 3, ... per ``key`` in the order of the columns ``order``; full ties are numbered in any order.
 
-    Cold keys: one plain window. Hot keys are numbered inside each (key, first order
-    column) cell and shifted by the row counts of the earlier cells, so no task ever
-    sorts a whole hot key.
+    Cold keys: one plain window. Rows of hot keys are written with a number that tells ties apart, dealt by
+    Spark into ordered ranges of about ``HOT_ROWS`` rows, numbered inside their range and shifted by the row
+    counts of the key's earlier ranges. So no task sorts more than a range, however many rows share a key or all
+    of ``order``. The ranges are written before they are counted, so a repeated task finds the same ones.
     """
     hot = hot_keys(frame, key)
     if not hot:
         return frame.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    step = order[0]
     is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
     if None in hot:  # rows without a key are one partition of their own
         is_hot = is_hot | F.col(key).isNull()
-    cells = frame.where(is_hot).groupBy(key, step).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(key).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select(
-        F.col(key).alias("__key"), F.col(step).alias("__cell"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-    )
-    numbered = frame.withColumn("__part", F.when(is_hot, F.col(step))).withColumn(
-        "__local", F.row_number().over(W.partitionBy(key, "__part").orderBy(*order))
-    )
-    joined = numbered.join(
-        offsets, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__cell")) & is_hot, "left"
-    )
-    total = (F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))).cast("int")
-    return joined.withColumn(name, total).select(*frame.columns, name)
+    cold = frame.where(~is_hot).withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    rows = materialise(frame.where(is_hot).withColumn("__id", F.monotonically_increasing_id()), "hot")
+    ranges = 1 + rows.count() // HOT_ROWS
+    ranged = materialise(
+        rows.repartitionByRange(ranges, key, *order, "__id").withColumn("__range", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        F.col(key).alias("__key"), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = ranged.withColumn("__local", F.row_number().over(W.partitionBy(key, "__range").orderBy(*order, "__id")))
+    # at most a row for each range and hot key
+    joined = numbered.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    total = (F.col("__local") + F.col("__before")).cast("int").alias(name)
+    return cold.unionByName(joined.select(*frame.columns, total))

@@ -227,6 +227,25 @@ def test_density_integrates_to_one(spark):
     assert np.allclose(part.density, direct, atol=2e-3)
 
 
+@pytest.mark.parametrize("lo, hi, bins, step", [
+    (0.0, 10.0, 5, 2.0), (0.0, 1.0, 7, 0.2), (-3.0, 4.0, 8, 1.0), (0.0, 100.0, 8, 10.0), (0.0, 100.0, 6, 20.0), (0.013, 0.094, 6, 0.01), (0.0, 30.0, 10, 5.0)])
+def test_rounded_step(lo, hi, bins, step):
+    assert plotdata.rounded_step(lo, hi, bins) == pytest.approx(step)
+
+
+def test_rounded_histogram(spark):
+    values = [-3.0, -2.5, -2.0, 0.0, 0.1, 1.0, 1.0, 3.9, 4.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    bins = plotdata.rounded_histogram(df, "v").orderBy("bin").collect()
+    assert bins[0].bin_low <= -3.0 and bins[-1].bin_high >= 4.0
+    for b in bins:  # open on the left but for the first
+        assert b.n == sum(b.bin_low < v <= b.bin_high or (b.bin == 1 and v == b.bin_low) for v in values)
+    assert sum(b.n for b in bins) == len(values)
+    (one,) = plotdata.rounded_histogram(spark.createDataFrame([(2.5,)] * 3, "v double"), "v").collect()
+    assert (one.bin_low, one.bin_high, one.n) == (2.0, 3.0, 3)
+    assert plotdata.rounded_histogram(df.where("v > 100 and not isnan(v)"), "v").count() == 0
+
+
 def test_histogram_counts_everything(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 0, 1, 2, 3, 10)], "v double")
     bins = plotdata.histogram(df, "v").orderBy("bin").collect()

@@ -56,6 +56,31 @@ def test_running_number_of_a_hot_missing_key(spark, lowered):
         ((k, i, v) for k, rs in seen.items() for i, (_, v) in enumerate(rs, 1)), key=str)
 
 
+def test_running_number_inside_one_hot_cell(spark, lowered):
+    """One key holds all rows of one date, a third of them equal in every ordering column."""
+    data = [("hot", 1, float(max(i, 100))) for i in range(300)] + [("b", 1, 2.0)]
+    frame = spark.createDataFrame(data, "k string, g int, v double").repartition(4)
+    written = []
+    keep = skew.materialise
+
+    def spy(df, label="table"):
+        table = keep(df, label)
+        written.append((label, table))
+        return table
+
+    skew.materialise = spy
+    try:
+        got = skew.running_number(frame, "k", ["g", "v"], "at").collect()
+    finally:
+        skew.materialise = keep
+    hot = sorted((r for r in got if r.k == "hot"), key=lambda r: r["at"])
+    assert [r["at"] for r in hot] == list(range(1, 301))
+    assert [r.v for r in hot] == sorted(v for k, _, v in data if k == "hot")
+    assert [r["at"] for r in got if r.k == "b"] == [1]
+    ranges = dict(written)["ranges"].groupBy("__range").count().collect()
+    assert len(ranges) >= 12 and max(r["count"] for r in ranges) <= 4 * skew.HOT_ROWS
+
+
 def test_a_bound_on_bytes_as_well_as_rows(spark, monkeypatch):
     frame = rows(spark)
     monkeypatch.setattr(skew, "BROADCAST_BYTES", 64)
