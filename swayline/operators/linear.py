@@ -86,24 +86,37 @@ def entity_fits(frame, min_rows=1):
     )
 
 
-def interaction_terms(fits):
+def level_key(entity, reference=(), collate=None):
+    """Sort key of the levels of ``entity``: those listed in ``reference`` first, in its order, then by name.
+
+    ``collate`` maps the name column to what names are ordered by (their binary order else); equal ones go by name.
+    """
+    listed = [reference] if isinstance(reference, str) else list(reference)
+    place = F.array_position(F.array(*[F.lit(r) for r in listed]), entity) if listed else F.lit(0)
+    key = F.struct(
+        F.when(place > 0, place).otherwise(len(listed) + 1).cast("long").alias("place"),
+        (collate(entity) if collate else entity).alias("collated"), entity.alias("entity"))
+    return F.when(entity.isNotNull(), key)
+
+
+def interaction_terms(fits, reference=(), collate=None):
     """Coefficients of outcome ~ metric * entity inside every group.
 
     The model is saturated by entity, so each contrast is a difference of two lines; the
     residual variance is pooled over the group. The reference is the group's first entity
-    (by name) whose metric varies. Groups are reduced by an aggregate and joined back, so a
+    (see ``level_key``) whose metric varies. Groups are reduced by an aggregate and joined back, so a
     group with very many entities is never gathered in one task. The lines are written first,
     as both sides of that join need them and the rows behind them should be read once.
     """
     fits = materialise(fits, "fits")
-    usable = F.when(F.col("slope").isNotNull(), F.col("entity"))
+    usable = F.when(F.col("slope").isNotNull(), level_key(F.col("entity"), reference, collate))
     line = F.struct("slope", "intercept", "avgx", "sxx", "n")
     groups = fits.groupBy("group_name").agg(
         F.sum("rss").alias("rss"), (F.sum("n") - F.sum("n_params")).alias("df_residual"), (F.sum("n_params") - 1).alias("df_model"),
         # squares about the group's mean: inside the entities, and between them
         (F.sum("syy") + F.sum(F.col("n") * F.col("avgy") * F.col("avgy"))
          - F.sum(F.col("n") * F.col("avgy")) * F.sum(F.col("n") * F.col("avgy")) / F.sum("n")).alias("tss"),
-        F.min(usable).alias("reference_entity"), F.min_by(line, usable).alias("ref"),
+        F.min(usable)["entity"].alias("reference_entity"), F.min_by(line, usable).alias("ref"),
     )
     s2 = F.when(F.col("df_residual") > 0, F.try_divide(F.col("rss"), F.col("df_residual").cast("double")))
     groups = groups.withColumn("s2", s2).withColumn("r_squared", 1 - F.try_divide("rss", F.when(F.col("tss") > 0, F.col("tss"))))
@@ -157,12 +170,12 @@ def only_interactions(terms):
     )
 
 
-def ols_interaction(frame, min_rows=30):
+def ols_interaction(frame, min_rows=30, reference=(), collate=None):
     """All coefficients of outcome ~ metric * entity, per group."""
-    return interaction_terms(entity_fits(frame, min_rows))
+    return interaction_terms(entity_fits(frame, min_rows), reference, collate)
 
 
-def ols_trial(frame, entities, min_rows=1):
+def ols_trial(frame, entities, min_rows=1, reference=(), collate=None):
     """The interaction model on chosen entities as one group."""
     chosen = frame.where(F.col("entity").isin(list(entities))).withColumn("group_name", F.lit("all"))
-    return ols_interaction(chosen, min_rows)
+    return ols_interaction(chosen, min_rows, reference, collate)

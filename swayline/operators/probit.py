@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from swayline.functions import normal
 from swayline.functions.blocks import eliminator, pull_of, reporter, stepper
-from swayline.operators.linear import contrast_terms
+from swayline.operators.linear import contrast_terms, level_key
 from swayline.operators.moments import moments
 from swayline.scratch import materialise
 from swayline.skew import attach
@@ -108,12 +108,12 @@ def entity_probits(cells, weight="n_known", wins="wins"):
     )
 
 
-def probit_interaction(cells, weight="n_known", wins="wins"):
-    """Coefficients of a probit outcome ~ metric * entity inside every group."""
+def probit_interaction(cells, weight="n_known", wins="wins", reference=(), collate=None):
+    """Coefficients of a probit outcome ~ metric * entity inside every group; for the reference see ``level_key``."""
     lines = materialise(entity_probits(cells, weight, wins), "lines")
-    usable = F.when(F.col("slope").isNotNull(), F.col("entity"))
+    usable = F.when(F.col("slope").isNotNull(), level_key(F.col("entity"), reference, collate))
     line = F.struct("slope", "intercept", "var_slope", "var_intercept")
-    groups = lines.groupBy("group_name").agg(F.min(usable).alias("reference_entity"), F.min_by(line, usable).alias("ref"))
+    groups = lines.groupBy("group_name").agg(F.min(usable)["entity"].alias("reference_entity"), F.min_by(line, usable).alias("ref"))
     joined = lines.join(groups, "group_name").select(
         *lines.columns, "reference_entity", *[F.col(f"ref.{c}").alias(f"ref_{c}") for c in
                                               ("slope", "intercept", "var_slope", "var_intercept")])
@@ -124,8 +124,8 @@ def _with_z(terms):
     return terms.withColumn("p_value", F.expr(normal.two_sided("statistic")))
 
 
-def probit_global(cells, weight="n_known", wins="wins"):
-    """Whole-data probit outcome ~ group + metric * entity, with one reference entity for all.
+def probit_global(cells, weight="n_known", wins="wins", reference=(), collate=None):
+    """Whole-data probit outcome ~ group + metric * entity, with one reference entity for all (see ``level_key``).
 
     Group dummies come first, so in every set of linked groups that lacks the reference entity
     the last entity's level is not identified: its estimate is NULL and the others are relative
@@ -174,7 +174,7 @@ def probit_global(cells, weight="n_known", wins="wins"):
     together = sum(np.reshape(r["together"], (G, G)) for r in parts) > 0
     expected = sum(np.reshape(r["expected"], (G, G)) for r in parts)
     inverse = np.linalg.pinv(expected, rcond=1e-10, hermitian=True)
-    return _global_terms(packed, stats, groups, gamma, inverse, together)
+    return _global_terms(packed, stats, groups, gamma, inverse, together, level_key(F.col("entity"), reference, collate))
 
 
 def _level_variance(inverse, pin_own, pin_pull):
@@ -199,10 +199,10 @@ def _linked(together):
     return label
 
 
-def _global_terms(packed, stats, groups, gamma, inverse, together):
+def _global_terms(packed, stats, groups, gamma, inverse, together, key):
     G = len(groups)
     spark = packed.sparkSession
-    reference = packed.agg(F.min("entity")).first()[0]
+    reference = packed.agg(F.min(key)["entity"]).first()[0]
     if reference is None:
         raise ValueError("no entity can be fitted")
     ref_pull = pull_of(packed.where(F.col("entity") == reference).first(), G)
@@ -224,11 +224,11 @@ def _global_terms(packed, stats, groups, gamma, inverse, together):
     ref = lines.where(F.col("entity") == reference).first()
     ref_sd = stats.where(F.col("entity") == reference).first()["sd"]
     component = _linked(together)
-    last = {r["place"]: r["e"] for r in lines.groupBy("place").agg(F.max("entity").alias("e")).collect()}
+    last = {r["place"]: r["key"] for r in lines.groupBy("place").agg(F.max(key).alias("key")).collect()}
     pinned = {}
     for c in set(component):
         names = [last[g] for g in range(G) if component[g] == c and g in last]
-        pinned[c] = max(names) if names else None
+        pinned[c] = max(names)["entity"] if names else None
     pinned[component[ref["place"]]] = reference
     names = [n for n in pinned.values() if n is not None]
     pins = {r["entity"]: r for r in lines.where(F.col("entity").isin(names)).collect()}  # one for each set of linked groups

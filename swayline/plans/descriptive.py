@@ -10,6 +10,8 @@ from swayline.sources.lookups import group_name_table
 
 #: Name that the audited map lacks; first season that is read, and the first that is stored with all columns.
 LACKING, FIRST_SEASON, DRIFT = "MIDDLE EAST", 1996, 1998
+#: Entities that contrasts refer to in their groups, first choice first.
+CHOSEN = ["Supplier#000000009", "Supplier#000000008", "Supplier#000000007"]
 TRIAL = ["Supplier#000000001", "Supplier#000000004", "Supplier#000000007"]
 
 
@@ -147,6 +149,11 @@ def ols_interaction(spark, sf_dir):
     return rounded(linear.ols_interaction(inputs.outcome_frame(spark, sf_dir), inputs.MIN_ROWS))
 
 
+def ols_reference(spark, sf_dir):
+    """The same contrasts against chosen entities; groups without one keep their first."""
+    return rounded(linear.ols_interaction(inputs.outcome_frame(spark, sf_dir), inputs.MIN_ROWS, reference=CHOSEN))
+
+
 def ols_top(spark, sf_dir):
     terms = linear.ols_interaction(inputs.outcome_frame(spark, sf_dir), inputs.MIN_ROWS)
     best = ranking.top_with_ties(linear.only_interactions(terms), "group_name", "estimate", 1)
@@ -270,6 +277,6 @@ QUERIES = {f.__name__: f for f in (
     contest_winner, season_store, native_join, native_join_audit, clean_observations, recode_groups, group_names, join_contests, entity_summary, name_audit,
     name_collisions, null_audit, appearance_number, primary_role, model_frame, centred_frame, entity_means_ranked,
     entity_checks, recent_frame_rowz, recent_frame_entityz, entity_groups, metric_by_outcome, ols_summary,
-    ols_trial, ols_interaction, ols_top, plot_scatter_labels, plot_mean_sd, plot_density, plot_mean_density,
+    ols_trial, ols_interaction, ols_reference, ols_top, plot_scatter_labels, plot_mean_sd, plot_density, plot_mean_density,
     plot_group_density, plot_top3_flags, plot_slope_hist, plot_slope_breaks,
 )}

@@ -2,7 +2,7 @@
 
 from swayline.plans.inputs import MIN_ROWS
 from swayline.plans.models import GIVEN
-from swayline.plans.oracle import ELIGIBLE, FRAME, RECENT_ENTITY
+from swayline.plans.oracle import CHOSEN_FIRST, ELIGIBLE, FRAME, RECENT_ENTITY
 
 STEPS = 14
 
@@ -270,6 +270,8 @@ SQL = {
         SELECT group_name, c.entity, {_round('total_intercept')}, {_round('total_slope')}, {_round('intercept_std')},
                {_round('total_effect', 'total_slope + intercept_std')}, n_games FROM centred c JOIN scaled s ON s.entity = c.entity""",
     "probit_interaction": f"WITH RECURSIVE {LINES}{CONTRASTS} SELECT group_name, entity, reference_entity, separated, term_kind, term, {COLUMNS} FROM terms",
+    "probit_reference": f"""WITH RECURSIVE {LINES}{CONTRASTS.replace('min(entity) FILTER (slope IS NOT NULL)', CHOSEN_FIRST)}
+        SELECT group_name, entity, reference_entity, separated, term_kind, term, {COLUMNS} FROM terms""",
     "probit_top": f"""WITH RECURSIVE {LINES}{CONTRASTS},
         placed_terms AS (SELECT *, rank() OVER (PARTITION BY group_name ORDER BY estimate DESC NULLS LAST) AS place FROM terms WHERE term_kind = 'interaction')
         SELECT group_name, entity, reference_entity, separated, term_kind, term, {COLUMNS} FROM placed_terms WHERE place = 1""",

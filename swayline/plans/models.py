@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from swayline.operators import bootstrap, controls, effects, features, fit_summary, frame, mixed, penalised, plotdata, probit, ranking
 from swayline.plans import inputs
-from swayline.plans.descriptive import rounded
+from swayline.plans.descriptive import CHOSEN, rounded
 from swayline.scratch import materialise
 
 Form = mixed.Form
@@ -53,6 +53,11 @@ def probit_interaction(spark, sf_dir):
     return rounded(probit.probit_interaction(inputs.eligible_cells(spark, sf_dir)))
 
 
+def probit_reference(spark, sf_dir):
+    """The same contrasts against chosen entities; groups without one keep their first."""
+    return rounded(probit.probit_interaction(inputs.eligible_cells(spark, sf_dir), reference=CHOSEN))
+
+
 def probit_top(spark, sf_dir):
     terms = probit.probit_interaction(inputs.eligible_cells(spark, sf_dir))
     best = terms.where(F.col("term_kind") == "interaction")
@@ -275,7 +280,7 @@ def glm_controls(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    probit_interaction, probit_top, probit_global, probit_global_top, glmm_sensitivity, sensitivity_top3, glmm_mvp,
+    probit_interaction, probit_reference, probit_top, probit_global, probit_global_top, glmm_sensitivity, sensitivity_top3, glmm_mvp,
     mvp_top3, given_sensitivity, given_mvp, given_top3, given_relative, given_summary, model_summary, glmm_entity, glmm_group_fe, glmm_group_fe_recent, glmm_entity_recent, group_relative_effects,
     plot_baseline_slope, glmm_crossed_raw, glmm_crossed_centred, glmm_crossed_z, glmm_nested, model_diagnostics,
     plot_model_slopes, plot_model_top3, boot_slopes, predict_grid, glm_controls,

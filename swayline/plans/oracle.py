@@ -1,6 +1,6 @@
 """The same results as plain SQL text, for a second engine to check against."""
 
-from swayline.plans.descriptive import DRIFT, FIRST_SEASON, LACKING, TRIAL
+from swayline.plans.descriptive import CHOSEN, DRIFT, FIRST_SEASON, LACKING, TRIAL
 from swayline.plans.inputs import MIN_RECENT, MIN_ROWS, START_DATE
 
 GROUPS = """
@@ -117,7 +117,7 @@ fits AS (
   FROM frame {where} GROUP BY {group}, entity HAVING count(*) >= {min_rows} AND regr_sxx(outcome, metric) > 0)"""
 
 TERMS = FITS + """,
-first AS (SELECT group_name, min(entity) AS reference_entity, sum(rss) AS rss, CAST(sum(n) - 2 * count(*) AS BIGINT) AS df_residual,
+first AS (SELECT group_name, {reference} AS reference_entity, sum(rss) AS rss, CAST(sum(n) - 2 * count(*) AS BIGINT) AS df_residual,
                  2 * count(*) - 1 AS df_model, 1 - sum(rss) / (sum(squares) - sum(total) * sum(total) / sum(n)) AS r_squared
           FROM fits GROUP BY group_name),
 ref AS (SELECT first.*, first.rss / df_residual AS s2, slope AS r_slope, intercept AS r_intercept,
@@ -157,8 +157,11 @@ def _f_tail(f, above, below):
             f"lambda i: (CASE WHEN i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * exp({inner})))))")
 
 
-BY_GROUP = dict(group="group_name", where="", min_rows=MIN_ROWS)
+LISTED = ", ".join(f"'{c}'" for c in CHOSEN)
+CHOSEN_FIRST = f"coalesce(arg_min(entity, list_position([{LISTED}], entity)) FILTER (entity IN ({LISTED}) AND slope IS NOT NULL), min(entity) FILTER (slope IS NOT NULL))"
+BY_GROUP = dict(group="group_name", where="", min_rows=MIN_ROWS, reference="min(entity)")
 TRIAL_ONLY = dict(
+    reference="min(entity)",
     group="'all'", min_rows=1, where="WHERE entity IN (" + ", ".join(f"'{name}'" for name in TRIAL) + ")"
 )
 TERM_COLUMNS = (
@@ -343,6 +346,7 @@ SQL = {
                {_r('p_value', _f_tail('(t.estimate * t.estimate / t.std_error / t.std_error)', '1', 'df_residual'))} FROM t""",
     "ols_trial": f"WITH {TERMS.format(**TRIAL_ONLY)} SELECT {TERM_COLUMNS} FROM tested",
     "ols_interaction": f"WITH {TERMS.format(**BY_GROUP)} SELECT {TERM_COLUMNS} FROM tested",
+    "ols_reference": f"WITH {TERMS.format(**BY_GROUP | dict(reference=CHOSEN_FIRST))} SELECT {TERM_COLUMNS} FROM tested",
     "ols_top": f"""WITH {TERMS.format(**BY_GROUP)}, t AS (SELECT *, rank() OVER
         (PARTITION BY group_name ORDER BY estimate DESC) AS place FROM terms WHERE term_kind = 'interaction')
         SELECT group_name, entity, term, {_r('estimate')}, {_r('std_error')},

@@ -113,6 +113,35 @@ def test_trial_is_the_group_model_on_chosen_entities(spark):
     assert all(got[t] == pytest.approx(want[t][0], abs=1e-10) for t in want)
 
 
+def test_a_chosen_reference_leaves_contrasts_as_they_are(spark):
+    df = sample(spark)
+    first = {(r["group_name"], r["term"]): r["estimate"] for r in linear.ols_interaction(df, 30).collect()}
+    chosen = linear.ols_interaction(df, 30, reference=["nobody", "e2", "e1"]).collect()
+    for g in {r["group_name"] for r in chosen}:
+        mine = {r["term"]: r for r in chosen if r["group_name"] == g}
+        base = {r["reference_entity"] for r in mine.values()}
+        entities = {r["entity"] for r in mine.values()}
+        want = next((e for e in ("e2", "e1") if e in entities), min(entities))
+        assert base == {want}
+        was = lambda e: first.get((g, f"metric:entity{e}"), 0.0)
+        for e in entities - {want}:
+            assert mine[f"metric:entity{e}"]["estimate"] == pytest.approx(was(e) - was(want), abs=1e-10)
+        assert mine["metric"]["estimate"] == pytest.approx(first[g, "metric"] + was(want), abs=1e-10)
+
+
+def test_levels_by_collation(spark):
+    """Names are ordered by their lower-case form where asked to; a missing name is never the reference."""
+    rows = [(e, "g", float(i), float((i * i + k) % 2)) for k, e in enumerate(["B", "a", "A", None]) for i in range(8)]
+    df = spark.createDataFrame(rows, "entity string, group_name string, metric double, outcome double")
+
+    def reference(**how):
+        return {r["reference_entity"] for r in linear.ols_interaction(df, 1, **how).collect()}
+
+    assert reference() == {"A"}
+    assert reference(collate=lambda c: F.lower(F.translate(c, "A", "z"))) == {"a"}
+    assert reference(reference="B") == {"B"}
+
+
 def test_entity_without_spread_costs_one_parameter(spark):
     rows = [("a", "g", 2.0, float(i % 2)) for i in range(6)] + [
         (e, "g", float(i), float((i * i + k) % 2)) for k, e in enumerate("bc") for i in range(8)]

@@ -104,3 +104,28 @@ def test_global_model_matches_dense(spark, movers):
         assert got[t]["std_error"] == pytest.approx(math.sqrt(cov[i, i]), rel=1e-5), t
     for n in set(names[1:]) - set(kept):
         assert got[f"entity{n}"]["estimate"] is None and got[f"entity{n}"]["std_error"] is None
+
+
+@pytest.mark.parametrize("movers", [False, True])
+def test_a_chosen_reference_leaves_contrasts_as_they_are(spark, movers):
+    cells = cells_of(spark, rows_of(movers=movers))
+
+    def terms(fit, **how):
+        return {(r["term_kind"], r["entity"]): r for r in fit(cells, **how).collect()}
+
+    for fit in (probit.probit_global, probit.probit_interaction):
+        first = terms(fit)
+        base = next(iter(first.values()))["reference_entity"]
+        other = max(e for kind, e in first if kind == "interaction")
+        group = next((r["group_name"] for r in first.values() if r["entity"] == other and "group_name" in r), None)
+        chosen = terms(fit, reference=["nobody", other])
+        mine = {k: r for k, r in chosen.items() if "group_name" not in r or r["group_name"] == group}
+        assert {r["reference_entity"] for r in mine.values()} == {other}
+        shift = first["interaction", other]["estimate"]
+        for (kind, entity), r in mine.items():
+            if kind == "interaction":
+                was = first.get((kind, entity))
+                assert r["estimate"] == pytest.approx((was["estimate"] if was else 0.0) - shift, abs=1e-7)
+        back = mine.get(("interaction", base))
+        if back:
+            assert back["std_error"] == pytest.approx(first["interaction", other]["std_error"], abs=1e-7)
