@@ -51,16 +51,20 @@ def inverted(trials, p, u):
     return np.where(p > 0.5, trials - count, count)
 
 
-@F.pandas_udf(DoubleType())
-def binomial(trials: pd.Series, p: pd.Series, key: pd.Series) -> pd.Series:
-    """Binomial draws by inversion of uniforms hashed from the key, one for each ``TRIALS`` trials."""
-    n, q, k = trials.to_numpy().astype(np.int64), p.to_numpy(), key.to_numpy()
+def drawn(trials, p, key):
+    """Binomial draws by inversion of uniforms hashed from the 64-bit key, one for each ``TRIALS`` trials."""
+    n = trials.astype(np.int64)
     parts = -(-n // TRIALS)
     row = np.repeat(np.arange(len(n)), parts)
     part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
     size = np.minimum(TRIALS, n[row] - part * TRIALS)
-    drawn = inverted(size, q[row], hashed_uniform(k[row].view(np.uint64), part))
-    return pd.Series(np.bincount(row, drawn, len(n)))
+    return np.bincount(row, inverted(size, p[row], hashed_uniform(key[row].view(np.uint64), part)), len(n))
+
+
+@F.pandas_udf(DoubleType())
+def binomial(trials: pd.Series, p: pd.Series, key: pd.Series) -> pd.Series:
+    """``drawn`` as a column."""
+    return pd.Series(drawn(trials.to_numpy(), p.to_numpy(), key.to_numpy()))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -61,9 +61,9 @@ def _add(values, owner, count):
 
 
 class Batch:
-    """One batch at K parameter points: solves for the modes on construction."""
+    """One batch at K parameter points: solves for the modes on construction, from ``start`` (u0, u1) if given."""
 
-    def __init__(self, unpacked, fit_points, group_modes, layout, order):
+    def __init__(self, unpacked, fit_points, group_modes, layout, order, start=None):
         self.fit, self.m, self.owner, self.group, self.sums = unpacked
         self.count = len(self.fit)
         self.layout = layout
@@ -86,7 +86,8 @@ class Batch:
         self.c = [self.sums[:, 3 + i][:, None] for i in range(len(SUMS))]
         self.a0, self.b0 = self.sums[:, 1][:, None], self.sums[:, 2][:, None]
         shape = self.points.shape[:2]
-        self.u0, self.u1, self.w = np.zeros(shape), np.zeros(shape), np.zeros((len(rows), shape[1]))
+        self.u0, self.u1 = (np.zeros(shape), np.zeros(shape)) if start is None else start
+        self.w = np.zeros((len(rows), shape[1]))
         self.high = 0.0
         self.settled = self._solve()  # second order alone is concave: a safe start for the fourth-order solve
         if order > 2:

@@ -167,7 +167,7 @@ def expand(rows, state, size):
     return materialise(packed.repartition(tasks, "fit", "entity"), "pairs")
 
 
-def _summed(packed, function, fits, size):
+def summed(packed, function, fits, size):
     """Sums (F, size) and largest reach (F,) over all tasks, added up in Spark by (fit, place)."""
     parts = packed.mapInArrow(function, VALUES).groupBy("fit", "place").agg(F.sum("value").alias("sum"), F.max("value").alias("most"))
     table = parts.toArrow()
@@ -184,9 +184,9 @@ def _laplace(packed, points, modes, layout, order):
     fits, K, _ = points.shape
     G = layout.groups
     if modes is None:
-        return *_summed(packed, evaluator(points, None, layout, order), fits, K), None
+        return *summed(packed, evaluator(points, None, layout, order), fits, K), None
     for _ in range(20):
-        sums, reach = _summed(packed, evaluator(points, modes, layout, order), fits, K * (1 + G + G * G))
+        sums, reach = summed(packed, evaluator(points, modes, layout, order), fits, K * (1 + G + G * G))
         values, gradient = sums[:, :K], sums[:, K : K + K * G].reshape(fits, K, G) - modes
         hessian = sums[:, K + K * G :].reshape(fits, K, G, G) + np.eye(G)
         step = np.linalg.solve(hessian, gradient[..., None])[..., 0]
@@ -207,7 +207,7 @@ def _derive(packed, theta, modes, layout, order):
     """
     fits, P = theta.shape
     if layout.by_entity():
-        sums, reach = _summed(packed, deriver(theta, layout, order), fits, 1 + P + P * P)
+        sums, reach = summed(packed, deriver(theta, layout, order), fits, 1 + P + P * P)
         return sums[:, 0], sums[:, 1 : 1 + P], sums[:, 1 + P :].reshape(fits, P, P), reach, None
     points = theta[:, None, :] + _stencil(P)[None]
     wide = None if modes is None else np.repeat(modes, points.shape[1], axis=1)

@@ -117,3 +117,26 @@ def test_binomial_of_many_trials(spark):
     r = spark.range(4000).select(draws.binomial(F.lit(1000.0), F.lit(0.3), F.xxhash64("id")).alias("k")).agg(
         F.avg("k").alias("m"), F.stddev("k").alias("s"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
     assert r.m == pytest.approx(300, abs=1) and r.s == pytest.approx(math.sqrt(210), rel=0.06) and r.lo > 230 and r.hi < 370
+
+
+def test_bootstrap_writes_nothing_that_grows_with_the_replicates(spark, monkeypatch):
+    """Tables written are those of the cells; blocks of replicates change nothing."""
+    import os
+
+    from swayline.scratch import scratch_dir
+
+    def written():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(scratch_dir(spark).removeprefix("file:")) for f in files)
+
+    cells = cells_of(spark, dense.simulate(53, groups=2, entities=8, rows=40, movers=0.3)).cache()
+    fit = mixed.fit_mixed(cells, FORMS["slope"])
+    sizes, found = [written()], []
+    for replicates, bound in ((6, bootstrap.GROUP_CELLS), (150, bootstrap.GROUP_CELLS), (6, 40)):
+        monkeypatch.setattr(bootstrap, "GROUP_CELLS", bound)
+        found.append(bootstrap.bootstrap_slopes(cells, fit, FORMS["slope"], replicates=replicates).collect())
+        sizes.append(written())
+    assert sizes[2] - sizes[1] < 1.2 * (sizes[1] - sizes[0])
+    assert {r["n_boot"] for r in found[1]} == {150}
+    for r, s in zip(found[0], found[2]):
+        assert r["entity"] == s["entity"] and r["n_boot"] == s["n_boot"] == 6
+        assert r["mean_boot"] == pytest.approx(s["mean_boot"], abs=1e-9) and r["ci_upper"] == pytest.approx(s["ci_upper"], abs=1e-9)
