@@ -66,6 +66,9 @@ class Jet:
     def log(self):
         return self.of(np.log(self.v), 1 / self.v, -1 / self.v**2)
 
+    def __getitem__(self, at):
+        return Jet(self.v[at], self.g[at], self.h[at])
+
     def sum(self, axis):
         return Jet(self.v.sum(axis), self.g.sum(axis), self.h.sum(axis))
 

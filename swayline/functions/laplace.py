@@ -222,18 +222,59 @@ class Batch:
         """
         P = self.points.shape[2]
         out = np.zeros(self.count), np.zeros((self.count, P)), np.zeros((self.count, P, P))
+        for mine, at in self._alike():
+            value, *_ = self._jets(mine, at)
+            chain = self._chain(mine, at)[:, :, :P]
+            for part, made in zip(out, (value.v, np.einsum("edp,ed->ep", chain, value.g), np.swapaxes(chain, 1, 2) @ value.h @ chain)):
+                part[mine] = made
+        return out
+
+    def group_jets(self, fit):
+        """Sums over a fit's entities of their value, its gradient (G) and negative Hessian (pairs of groups) in the group levels.
+
+        Entities' modes follow. Each is given with first and second derivatives in the parameters and the group
+        levels (N of them), so rows are (1 + G + G(G + 1) / 2, 1 + N + N * N).
+        """
+        G, P = self.layout.groups, self.points.shape[2]
+        N, slot = P + G, group_slots(G)
+        out = np.zeros((1 + G + G * (G + 1) // 2, 1 + N + N * N))
+
+        def add(to, jet, chain):
+            each = np.concatenate((jet.v[:, None], np.einsum("edn,ed->en", chain, jet.g),
+                                   (np.swapaxes(chain, 1, 2) @ jet.h @ chain).reshape(len(jet.v), -1)), 1)
+            for k in np.unique(to):
+                out[k] += each[to == k].sum(0)
+
+        for mine, at in self._alike(self.fit == fit):
+            value, up, down, cross = self._jets(mine, at)
+            chain, group = self._chain(mine, at), self.group[at]
+            add(np.zeros(len(mine), int), value, chain)
+            h00, h01, h11, scale = cross["h00"], cross["h01"], cross["h11"], cross["scale"]
+            c0, c1, direct = down
+            for p in range(at.shape[1]):
+                add(1 + group[:, p], up[:, p], chain)
+                for q in range(p, at.shape[1]):
+                    left0, left1 = (h11 * c0[:, p] - h01 * c1[:, p]) * scale, (h00 * c1[:, p] - h01 * c0[:, p]) * scale
+                    both = -(left0 * c0[:, q] + left1 * c1[:, q])
+                    add(slot[group[:, p], group[:, q]], direct[:, p] + both if p == q else both, chain)
+        return out
+
+    def _alike(self, which=None):
+        """Entities with equally many pairs, and their pairs' rows (E, pairs)."""
         sizes = np.bincount(self.owner, minlength=self.count)
         starts = np.cumsum(sizes) - sizes
         for pairs in np.unique(sizes).tolist():
-            mine = np.flatnonzero(sizes == pairs)
-            for part, made in zip(out, self._derived(mine, starts[mine, None] + np.arange(pairs))):
-                part[mine] = made
-        return out
+            mine = np.flatnonzero(sizes == pairs if which is None else (sizes == pairs) & which)
+            if len(mine):
+                yield mine, starts[mine, None] + np.arange(pairs)
 
-    def _derived(self, mine, at):
-        """The same for entities with equally many pairs; ``at`` (E, pairs) are the pairs' rows."""
+    def _spreads(self):
+        return [name for name in ("sd_intercept", "sd_slope", "sd_nested") if self.layout.at(name) is not None]
+
+    def _jets(self, mine, at):
+        """Value of each entity as a jet in its numbers, and what the group levels need: gradient, coupling, curvature."""
         E, pairs = at.shape
-        spreads = [name for name in ("sd_intercept", "sd_slope") if self.layout.at(name) is not None]
+        spreads, nested = self._spreads(), self.layout.at("sd_nested") is not None
         d = pairs + 1 + len(spreads)
         A, B = (self.a - self.a0)[at, 0], (self.b - self.b0)[at, 0]
         high = np.broadcast_to(self.high, self.a.shape)[at, 0]
@@ -248,43 +289,83 @@ class Batch:
                             c = c * high if self.order > 2 else 0 * c
                         total = total + c * A**k * B**m / (math.factorial(k) * math.factorial(m))
                 table[i, j] = total
-        level = Jet.constant(A - (self.s0 * self.u0)[mine], d)  # less the entity's own part: added as a jet below
+        own = (self.s0 * self.u0)[mine] + self.sn[mine] * self.w[at, 0]
+        level = Jet.constant(A - own, d)  # less the entity's own part: added as a jet below
         level.g[:, np.arange(pairs), np.arange(pairs)] = 1.0
         slope = Jet.variable(B - (self.s1 * self.u1)[mine], pairs, d)
-        spread = [Jet.variable(s[mine, 0], pairs + 1 + spreads.index(n), d) if n in spreads else Jet.constant(np.zeros(E), d)
-                  for n, s in (("sd_intercept", self.s0), ("sd_slope", self.s1))]
-        u = [Jet.constant(x[mine, 0], d) for x in (self.u0, self.u1)]
+        s0, s1, sn = (Jet.variable(s[mine, 0], pairs + 1 + spreads.index(n), d) if n in spreads else Jet.constant(np.zeros(E), d)
+                      for n, s in (("sd_intercept", self.s0), ("sd_slope", self.s1), ("sd_nested", self.sn)))
+        u0, u1 = (Jet.constant(x[mine, 0], d) for x in (self.u0, self.u1))
+        w, sn = Jet.constant(self.w[at, 0], d), sn.spread()
 
         def placed():
-            return level + (spread[0] * u[0]).spread(), slope + (spread[1] * u[1]).spread()
+            a, b = level + (s0 * u0).spread(), slope + (s1 * u1).spread()
+            return (a + sn * w if nested else a), b
 
         def curvature(a, b):
-            h00, h01, h11 = (of_two(table, i, 2 - i, a, b).sum(1) for i in (2, 1, 0))
-            h00, h01, h11 = 1 - spread[0] * spread[0] * h00, -(spread[0] * spread[1] * h01), 1 - spread[1] * spread[1] * h11
-            return h00, h01, h11, h00 * h11 - h01 * h01
+            haa, hab, hbb = (of_two(table, i, 2 - i, a, b) for i in (2, 1, 0))
+            h = {"haa": haa, "hab": hab}
+            h00, h01, h11 = -(s0 * s0 * haa.sum(1)), -(s0 * s1 * hab.sum(1)), -(s1 * s1 * hbb.sum(1))
+            if nested:
+                hww = 1 - sn * sn * haa
+                h |= {"hww": hww, "over": hww.reciprocal(), "h0w": -(s0.spread() * sn * haa), "h1w": -(s1.spread() * sn * hab)}
+                h00 = h00 - (h["h0w"] * h["h0w"] * h["over"]).sum(1)
+                h01 = h01 - (h["h0w"] * h["h1w"] * h["over"]).sum(1)
+                h11 = h11 - (h["h1w"] * h["h1w"] * h["over"]).sum(1)
+            h["h00"], h["h01"], h["h11"] = 1 + h00, h01, 1 + h11
+            h["det"] = h["h00"] * h["h11"] - h01 * h01
+            h["scale"] = h["det"].reciprocal()
+            return h
 
         for _ in range(2):
             a, b = placed()
-            r0 = spread[0] * of_two(table, 1, 0, a, b).sum(1) - u[0]
-            r1 = spread[1] * of_two(table, 0, 1, a, b).sum(1) - u[1]
-            h00, h01, h11, det = curvature(a, b)
-            scale = det.reciprocal()
-            u = [u[0] + (h11 * r0 - h01 * r1) * scale, u[1] + (h00 * r1 - h01 * r0) * scale]
+            ga, gb, h = of_two(table, 1, 0, a, b), of_two(table, 0, 1, a, b), curvature(a, b)
+            r0, r1 = s0 * ga.sum(1) - u0, s1 * gb.sum(1) - u1
+            if nested:
+                rw = sn * ga - w
+                r0, r1 = r0 - (h["h0w"] * rw * h["over"]).sum(1), r1 - (h["h1w"] * rw * h["over"]).sum(1)
+            d0, d1 = (h["h11"] * r0 - h["h01"] * r1) * h["scale"], (h["h00"] * r1 - h["h01"] * r0) * h["scale"]
+            if nested:
+                w = w + (rw - h["h0w"] * d0.spread() - h["h1w"] * d1.spread()) * h["over"]
+            u0, u1 = u0 + d0, u1 + d1
         a, b = placed()
-        value = of_two(table, 0, 0, a, b).sum(1) - 0.5 * (u[0] * u[0] + u[1] * u[1]) - 0.5 * curvature(a, b)[3].log()
-        # the numbers' derivatives in the parameters
-        chain = np.zeros((E, d, self.points.shape[2]))
+        h = curvature(a, b)
+        value = of_two(table, 0, 0, a, b).sum(1) - 0.5 * (u0 * u0 + u1 * u1) - 0.5 * h["det"].log()
+        if nested:
+            value = value - 0.5 * (w * w + h["hww"].log()).sum(1)
+        if self.layout.at("sd_group") is None:
+            return value, None, None, None
+        c0, c1, direct = -(s0.spread() * h["haa"]), -(s1.spread() * h["hab"]), -h["haa"]
+        if nested:
+            hvw = -(sn * h["haa"])
+            c0, c1, direct = c0 - hvw * h["h0w"] * h["over"], c1 - hvw * h["h1w"] * h["over"], direct - hvw * hvw * h["over"]
+        return value, of_two(table, 1, 0, a, b), (c0, c1, direct), h
+
+    def _chain(self, mine, at):
+        """Derivatives of the entities' numbers (E, d, N) in the parameters and, behind them, the group levels."""
+        E, pairs = at.shape
+        P, spreads = self.points.shape[2], self._spreads()
+        chain = np.zeros((E, pairs + 1 + len(spreads), P + self.layout.groups))
         chain[:, :pairs, self.layout.at("intercept")] = 1.0
         if self.layout.at("m") is not None:
             chain[:, :pairs, self.layout.at("m")] = self.m[mine, None]
         for g, column in enumerate(self.layout.group_columns()):
+            of_group = self.group[at] == g
+            chain[:, :pairs, P + g] = of_group
             if column is not None:
-                chain[:, :pairs, column] = self.group[at] == g
+                chain[:, :pairs, column] = of_group
         chain[:, pairs, self.layout.at("x")] = 1.0
         for i, name in enumerate(spreads):
             chain[:, pairs + 1 + i, self.layout.at(name)] = 1.0
-        gradient = np.einsum("edp,ed->ep", chain, value.g)
-        return value.v, gradient, np.swapaxes(chain, 1, 2) @ value.h @ chain
+        return chain
+
+
+def group_slots(G):
+    """Rows (G, G) of ``Batch.group_jets`` that hold the curvature of two groups."""
+    slot = np.zeros((G, G), int)
+    upper = np.triu_indices(G)
+    slot[upper] = 1 + G + np.arange(len(upper[0]))
+    return np.maximum(slot, slot.T)
 
 
 def _sent(fits, sums, reach):
@@ -319,6 +400,27 @@ def deriver(theta, layout, order):
     return run
 
 
+def group_deriver(theta, modes, layout, order):
+    """mapInArrow function: per task and fit, ``Batch.group_jets`` at ``theta`` (fits, P) and the group modes (fits, 1, G)."""
+    fits, P = theta.shape
+    G = layout.groups
+    N = P + G
+    size = (1 + G + G * (G + 1) // 2) * (1 + N + N * N)
+
+    def run(batches):
+        sums, reach = np.full((fits, size), np.nan), np.zeros(fits)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            solved = Batch(_unpack(batch), theta[:, None, :], modes, layout, order)
+            for fit in np.unique(solved.fit).tolist():
+                sums[fit] = np.nan_to_num(sums[fit]) + solved.group_jets(fit).ravel()
+            np.maximum.at(reach, solved.fit, solved.reach())
+        yield _sent(np.arange(fits), sums, reach)
+
+    return run
+
+
 def evaluator(points, group_modes, layout, order):
     """mapInArrow function: per task and fit, the values at K points and, with group modes, their group blocks."""
     fits, K, _ = points.shape

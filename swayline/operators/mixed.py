@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swayline.functions.laplace import SUMS, Layout, deriver, evaluator, mode_emitter
+from swayline.functions.jets import Jet
+from swayline.functions.laplace import SUMS, Layout, deriver, evaluator, group_deriver, group_slots, mode_emitter
 from swayline.functions.normal import two_sided
 from swayline.scratch import materialise
 from swayline.skew import attach
@@ -202,18 +203,71 @@ def _laplace(packed, points, modes, layout, order):
 def _derive(packed, theta, modes, layout, order):
     """Value (F,), gradient (F, P) and Hessian (F, P, P) at ``theta``, reach (F,), group modes (F, 1, G) or None.
 
-    Where entities share parameters only, derivatives are exact. With group modes, which tie all entities
-    together, they are central differences; such models have no parameter per group, so their points are few.
+    Derivatives are exact, so each takes one point. Where entities share parameters only, theirs add up. Group modes
+    tie all entities together: near the modes the sums come with derivatives in parameters and group levels, and
+    ``_joined`` lets the modes follow the parameters.
     """
     fits, P = theta.shape
-    if layout.by_entity():
-        sums, reach = summed(packed, deriver(theta, layout, order), fits, 1 + P + P * P)
-        return sums[:, 0], sums[:, 1 : 1 + P], sums[:, 1 + P :].reshape(fits, P, P), reach, None
-    points = theta[:, None, :] + _stencil(P)[None]
-    wide = None if modes is None else np.repeat(modes, points.shape[1], axis=1)
-    values, reach, modes = _laplace(packed, points, wide, layout, order)
-    made = [_differences(v, P) for v in values]
-    return values[:, 0], np.array([g for g, _ in made]), np.array([h for _, h in made]), reach, None if modes is None else modes[:, :1]
+    if modes is None:
+        if layout.by_entity():
+            sums, reach = summed(packed, deriver(theta, layout, order), fits, 1 + P + P * P)
+            return sums[:, 0], sums[:, 1 : 1 + P], sums[:, 1 + P :].reshape(fits, P, P), reach, None
+        modes = np.zeros((fits, 1, layout.groups))
+    G, N = layout.groups, P + layout.groups
+    near = False
+    for last in [False] * 19 + [True]:
+        if not (near or last):  # plain sums suffice to come near the modes
+            sums, reach = summed(packed, evaluator(theta[:, None, :], modes, layout, order), fits, 1 + G + G * G)
+            step = np.linalg.solve(sums[:, 1 + G :].reshape(fits, G, G) + np.eye(G), (sums[:, 1 : 1 + G] - modes[:, 0])[..., None])[..., 0]
+            near = np.max(np.abs(step)) < 1e-3
+        else:
+            rows = 1 + G + G * (G + 1) // 2
+            sums, reach = summed(packed, group_deriver(theta, modes, layout, order), fits, rows * (1 + N + N * N))
+            found = [_joined(s.reshape(rows, -1), t, v[0], layout) for s, t, v in zip(sums, theta, modes)]
+            values, gradients, hessians, step = (np.array(x) for x in zip(*found))
+            done = np.max(np.abs(step)) < 1e-6
+            if done or last:  # group modes not found: no fit counts as converged
+                return values, gradients, hessians, reach if done else np.full(fits, np.inf), modes + np.clip(step, -2, 2)[:, None]
+        modes = modes + np.clip(step, -2, 2)[:, None]
+
+
+def _joined(rows, theta, v, layout):
+    """Laplace value of one fit, its gradient and Hessian in the parameters, and the Newton step of the group modes ``v``.
+
+    ``rows`` are the sums of ``Batch.group_jets``, in parameters and group levels; a group's level is its mode times the spread.
+    """
+    P, G = len(theta), len(v)
+    N, at = P + G, layout.at("sd_group")
+    spread = 0.0 if at is None else abs(theta[at])
+    sums = Jet(rows[:, 0], rows[:, 1 : 1 + N], rows[:, 1 + N :].reshape(-1, N, N))
+    inner = np.eye(N)  # levels and parameters in modes and parameters
+    inner[P:, P:] *= spread
+    h = np.swapaxes(inner, 0, 1) @ sums.h @ inner
+    if at is not None:
+        inner[P:, at] = v
+        h = np.swapaxes(inner, 0, 1) @ sums.h @ inner
+        for g in range(G):
+            h[:, at, P + g] += sums.g[:, P + g]
+            h[:, P + g, at] += sums.g[:, P + g]
+    sums = Jet(sums.v, sums.g @ inner, h)
+    s = Jet.constant(np.array(spread), N) if at is None else Jet.variable(np.array(spread), at, N)
+    own = [Jet.variable(np.array(x), P + g, N) for g, x in enumerate(v)]
+    score = [s * sums[1 + g] - own[g] for g in range(G)]
+    slot = group_slots(G)
+    curvature = [[s * s * sums[slot[g, k]] + float(g == k) for k in range(G)] for g in range(G)]
+    S, S1, S2 = (np.array([[getattr(c, part) for c in row] for row in curvature]) for part in "vgh")
+    inverse = np.linalg.inv(S)
+    turned = np.einsum("ij,jkn->ikn", inverse, S1)
+    logdet = Jet(np.linalg.slogdet(S)[1], np.einsum("iin->n", turned), np.einsum("ij,jinm->nm", inverse, S2) - np.einsum("ijn,jim->nm", turned, turned))
+    total = sums[0] - 0.5 * logdet
+    for x in own:
+        total = total - 0.5 * (x * x)
+    q, q1, q2 = (np.array([getattr(x, part) for x in score]) for part in "vgh")
+    step = np.linalg.solve(S, q)
+    path = np.concatenate((np.eye(P), -np.linalg.solve(q1[:, P:], q1[:, :P])))  # the modes follow the parameters
+    bend = -np.linalg.solve(q1[:, P:], (path.T @ q2 @ path).reshape(G, -1)).reshape(G, P, P)
+    hessian = path.T @ total.h @ path + np.einsum("g,gij->ij", total.g[P:], bend)
+    return total.v + q @ step / 2, total.g @ path, hessian, step
 
 
 def _stencil(P, h=2e-3):

@@ -177,3 +177,33 @@ def test_unfound_modes_are_not_converged(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         mixed.fit_mixed(cells, FORMS["slope"])
     assert not mixed.fit_mixed(cells, FORMS["slope"], partial=True).fit_stats.first()["converged"]
+
+
+@pytest.mark.parametrize("name", ["crossed", "crossed_no_m", "nested"])
+def test_analytic_derivatives_with_group_modes(spark, name, monkeypatch):
+    """The same where group modes tie the entities together; a fit takes no differences."""
+    form = FORMS[name]
+    cells = cells_of(spark, dense.simulate(72, groups=3, entities=5, rows=30, sd_intercept=0.5, movers=0.5))
+    rows, groups, *_ = mixed.prepare(cells, form)
+    layout = form.layout(len(groups))
+    P = len(layout.names)
+    theta = np.linspace(-0.3, 0.5, P)
+    theta[[i for i, n in enumerate(layout.names) if n.startswith("sd_")]] = np.linspace(0.3, 0.6, P)[:sum(n.startswith("sd_") for n in layout.names)]
+    state = mixed.start_state(rows, theta, layout, None)
+    packed = mixed.expand(rows, state, state.count())
+    modes = np.zeros((1, 1, len(groups)))
+    for order in (2, 2, 4, 4):
+        zero = modes
+        value, gradient, hessian, reach, modes = mixed._derive(packed, theta[None], zero, layout, order)
+        points = theta + mixed._stencil(P, 1e-3)
+        values, far, found = mixed._laplace(packed, points[None], np.repeat(zero, len(points), 1), layout, order)
+        g, h = mixed._differences(values[0], P, 1e-3)
+        assert value[0] == pytest.approx(values[0, 0], abs=1e-6) and reach[0] == pytest.approx(far[0], abs=1e-6)
+        assert np.allclose(modes[0, 0], found[0, 0], atol=1e-6)
+        if order == 2 or reach[0] < 0.3:
+            assert np.allclose(gradient[0], g, atol=2e-4) and np.allclose(hessian[0], h, atol=4e-3)
+        state = packed.mapInArrow(mixed.mode_emitter(theta[None, None], modes, layout, order), mixed.STATE)
+        packed = mixed.expand(rows, state, state.count())
+    assert reach[0] < 1e-3
+    monkeypatch.setattr(mixed, "_stencil", None)
+    assert mixed.fit_mixed(cells, form, partial=True).fit_stats.first()["converged"]
