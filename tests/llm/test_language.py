@@ -1,9 +1,13 @@
-"""Language ID: gradients, held-out accuracy, odd input."""
+"""Language ID: gradients, held-out accuracy, odd input, learning from all rows."""
+
+from functools import partial
 
 import numpy as np
 import pytest
 
-from swayline.llm.language_id import Network, document_probabilities, fit, op4_language_id, predict, train
+from swayline.llm import language_id
+from swayline.llm.common import LOWER
+from swayline.llm.language_id import Familiar, Network, document_probabilities, familiar, fit, fit_all, op4_language_id, predict, segments, train, training_rows
 
 DATA = "/root/testdata/sf0.01"
 
@@ -61,3 +65,55 @@ def test_odd_input(spark, two):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert fit(empty) is None
     assert predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), None).first().lang_pred == "und"
+    assert fit_all(empty) is None and familiar(empty, empty).levels is None
+
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def many(n):
+    """More rows of each language than the sample of ``fit`` holds, of many lengths; some without label or text."""
+    rng = np.random.default_rng(n)
+    rows = [(i, "".join(rng.choice(list(letters), int(rng.integers(1, 1500) if i % 9 == 0 else rng.integers(1, 90)))), k) for i in range(n) for k, letters in (("ab", "abAB \u00e9"), ("xy", "xyz zq"))]
+    return [(2 * i + (r[2] == "xy"), *r[1:]) for i, r in enumerate(rows)] + [(None, "no id", "ab"), (9, "", "ab"), (8, None, "xy"), (7, "what is this", None)]
+
+
+def test_byte_models_and_levels_come_from_all_rows(spark):
+    learned, held = many(700), many(801)
+    got = familiar(*(spark.createDataFrame(r, SCHEMA).repartition(5) for r in (learned, held)))
+    texts = [(np.frombuffer(t.encode(), np.uint8), k) for _, t, k in learned if t and k]
+    want = Familiar(sum(np.bincount(LOWER[t], minlength=256) for t, _ in texts))
+    for label in ("ab", "xy"):
+        codes = np.concatenate([want._codes(t, np.zeros(1, int)) for t, k in texts if k == label])
+        want.learn(*np.unique(codes, return_counts=True))
+    assert len(got.tables) == 2 and all((a == b).all() for a, b in zip(got.tables, want.tables))
+    parts, levels = [t.encode() for _, t, k in held if t and k], []
+    for n in language_id.LENGTHS:
+        cut = [b[: max(n, 8)] for b in parts if len(b) >= n]
+        ends = np.cumsum([len(b) for b in cut])
+        most = np.quantile(want.costs(np.frombuffer(b"".join(cut), np.uint8), np.concatenate(([0], ends[:-1])), ends), language_id.KEEPS)
+        levels.append(min(most + (8 - most) * 2 / 3, 8.0))
+    assert np.allclose(got.levels, levels)
+
+
+def test_network_learns_from_every_row(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", partial(train, steps=4))
+    monkeypatch.setattr(language_id, "PASS_BYTES", 40_000)
+    rows = many(700)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sampled = {r.text for r in training_rows(docs).collect()}
+    out = next(i for i, r in enumerate(rows) if r[1] and r[2] and r[0] is not None and r[1] not in sampled)
+    other = spark.createDataFrame([*rows[:out], (rows[out][0], "quite another text", rows[out][2]), *rows[out + 1 :]], SCHEMA)
+    assert (fit(docs).weights() == fit(other).weights()).all()
+    net = fit_all(docs).weights()
+    assert (net != fit(docs).weights()).any() and (net != fit_all(other).weights()).any()
+    assert (net == fit_all(docs.repartition(7)).weights()).all()  # wherever the rows lie
+
+
+def test_segments_hold_every_byte():
+    sizes = np.array([1, 0, 63, 64, 65, 700])
+    ends = np.cumsum(sizes)
+    data = np.arange(sizes.sum(), dtype=np.int64)
+    doc, parts = segments(data, ends - sizes, ends)
+    assert parts.shape[1] == 64 and (np.unique(parts) == data).all()
+    assert all(((p >= ends[d] - sizes[d]) & (p < ends[d])).all() for d, p in zip(doc, parts))
