@@ -43,12 +43,7 @@ LENGTHS, LEAST_HELD, KEEPS = (1, 16, 32, 64, 256, 1024), 50, 0.999
 
 
 def _sigmoid(x):
-    """In place; by the hyperbolic tangent, which does not overflow."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+    return 1 / (1 + np.exp(-x))
 
 
 class Direction:
@@ -64,6 +59,124 @@ class Direction:
         self.bias = np.zeros(3 * hidden, np.float32)
         self.hidden = hidden
 
+    def forward(self, text, keep=False, active=None):
+        """States after each step (steps, rows, hidden); ``text`` is (steps, rows).
+
+        Of rows sorted by length, ``active`` tells how many take part in a step; the others stand still.
+        """
+        n = self.hidden
+        table = self.inp + self.bias
+        state = whole = np.zeros((text.shape[1], n), np.float32)
+        states, inner = np.zeros((*text.shape, n), np.float32), []
+        for t in range(len(text)):
+            k = text.shape[1] if active is None else active[t]
+            state = whole[:k]
+            x = table[text[t, :k]]
+            gates = _sigmoid(x[:, : 2 * n] + state @ self.rec)
+            reset, update = gates[:, :n], gates[:, n:]
+            fresh = np.tanh(x[:, 2 * n :] + (reset * state) @ self.cand)
+            if keep:
+                inner.append((state, reset, update, fresh))
+            states[t, :k] = state + update * (fresh - state)
+            whole = np.concatenate((states[t, :k], whole[k:])) if k < len(whole) else states[t]
+        return (states, inner) if keep else states
+
+    def backward(self, text, inner, grad):
+        """Gradients of the parameters, from those of the states."""
+        n = self.hidden
+        out = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        carry = np.zeros_like(grad[0])
+        for t in reversed(range(len(text))):
+            state, reset, update, fresh = inner[t]
+            total = grad[t] + carry
+            d_fresh = total * update * (1 - fresh * fresh)
+            d_mixed = d_fresh @ self.cand.T
+            d_reset = d_mixed * state * reset * (1 - reset)
+            d_update = total * (fresh - state) * update * (1 - update)
+            d_gates = np.concatenate((d_reset, d_update), 1)
+            out["cand"] += (reset * state).T @ d_fresh
+            out["rec"] += state.T @ d_gates
+            d_x = np.concatenate((d_gates, d_fresh), 1)
+            out["bias"] += d_x.sum(0)
+            np.add.at(out["inp"], text[t], d_x)
+            carry = total * (1 - update) + d_mixed * reset + d_gates @ self.rec.T
+        return out
+
+
+class Network:
+    LAYER = Direction
+
+    def __init__(self, labels, hidden=HIDDEN, seed=7):
+        rng = np.random.default_rng(seed)
+        self.labels = list(labels)
+        self.ahead, self.back = self.LAYER(hidden, rng), self.LAYER(hidden, rng)
+        self.out = rng.normal(0, 0.3, (2 * hidden, len(self.labels))).astype(np.float32)
+        self.shift = np.zeros(len(self.labels), np.float32)
+
+    def _softmax(self, states):
+        logits = states @ self.out + self.shift
+        logits -= logits.max(-1, keepdims=True)
+        p = np.exp(logits)
+        return p / p.sum(-1, keepdims=True)
+
+    def probabilities(self, text, active=None):
+        """Language probabilities of each position of (steps, rows) bytes."""
+        ahead = self.ahead.forward(text, active=active)
+        back = self.back.forward(text[::-1], active=None if active is None else active[::-1])
+        return self._softmax(np.concatenate((ahead, back[::-1]), 2))
+
+    def gradients(self, text, target):
+        """(loss, gradients by parameter) of full segments; ``target`` is the label number of each row."""
+        a, kept_a = self.ahead.forward(text, True)
+        b, kept_b = self.back.forward(text[::-1], True)
+        states = np.concatenate((a, b[::-1]), 2)
+        p = self._softmax(states)
+        rows = np.arange(len(target))
+        loss = -np.log(np.maximum(p[:, rows, target], 1e-12)).mean()
+        p[:, rows, target] -= 1
+        p /= len(text) * len(target)
+        grads = {("self", "out"): np.einsum("trh,trc->hc", states, p), ("self", "shift"): p.sum((0, 1))}
+        d = p @ self.out.T
+        n = self.ahead.hidden
+        for name, layer, own, kept, grad in (("ahead", self.ahead, text, kept_a, d[:, :, :n]), ("back", self.back, text[::-1], kept_b, d[::-1, :, n:])):
+            grads |= {(name, k): g for k, g in layer.backward(own, kept, grad).items()}
+        return loss, grads
+
+    def parameter(self, key):
+        return getattr(self if key[0] == "self" else getattr(self, key[0]), key[1])
+
+    def keys(self):
+        return [*((side, k) for side in ("ahead", "back") for k in Direction.NAMES), ("self", "out"), ("self", "shift")]
+
+    def parameter(self, key):
+        return getattr(self if key[0] == "self" else getattr(self, key[0]), key[1])
+
+    def weights(self):
+        """All parameters as one array."""
+        return np.concatenate([self.parameter(k).ravel() for k in self.keys()])
+
+    def with_weights(self, weights):
+        """A network of the same labels with these parameters."""
+        net, at = type(self)(self.labels, self.ahead.hidden), 0
+        for key in net.keys():
+            p = net.parameter(key)
+            p[...] = weights[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return net
+
+
+def _squash(x):
+    """In place; by the hyperbolic tangent, which does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+class LongDirection(Direction):
+    """A layer whose states lie (steps, hidden, rows), so that each step works on long rows."""
+
     def forward(self, text, keep=False, active=None):
         """States after each step (steps, hidden, rows); ``text`` is (steps, rows).
 
@@ -80,7 +193,7 @@ class Direction:
             x = table.take(text[t, :k], axis=1, mode="clip")
             gates = rec @ old
             gates += x[: 2 * n]
-            gates = _sigmoid(gates)
+            gates = _squash(gates)
             fresh = cand @ (gates[:n] * old)
             fresh += x[2 * n :]
             np.tanh(fresh, out=fresh)
@@ -129,13 +242,10 @@ class Direction:
         return out
 
 
-class Network:
-    def __init__(self, labels, hidden=HIDDEN, seed=7):
-        rng = np.random.default_rng(seed)
-        self.labels = list(labels)
-        self.ahead, self.back = Direction(hidden, rng), Direction(hidden, rng)
-        self.out = rng.normal(0, 0.3, (2 * hidden, len(self.labels))).astype(np.float32)
-        self.shift = np.zeros(len(self.labels), np.float32)
+class LongNetwork(Network):
+    """The same network for large inputs, with states as in ``LongDirection``; equal but for rounding."""
+
+    LAYER = LongDirection
 
     def _softmax(self, ahead, back):
         """(steps, labels, rows) of the states of both directions."""
@@ -173,25 +283,6 @@ class Network:
             grads |= {(name, k): g for k, g in layer.backward(own, kept, grad).items()}
         return loss.mean(), grads
 
-    def keys(self):
-        return [*((side, k) for side in ("ahead", "back") for k in Direction.NAMES), ("self", "out"), ("self", "shift")]
-
-    def parameter(self, key):
-        return getattr(self if key[0] == "self" else getattr(self, key[0]), key[1])
-
-    def weights(self):
-        """All parameters as one array."""
-        return np.concatenate([self.parameter(k).ravel() for k in self.keys()])
-
-    def with_weights(self, weights):
-        """A network of the same labels with these parameters."""
-        net, at = Network(self.labels, self.ahead.hidden), 0
-        for key in net.keys():
-            p = net.parameter(key)
-            p[...] = weights[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return net
-
 
 class Adam:
     """The steps of the Adam rule for one network; gradients are cut to length one."""
@@ -465,6 +556,7 @@ def fit_all(docs, **columns):
     net = fit(docs, **columns)
     if net is None:
         return None
+    net = LongNetwork(net.labels).with_weights(net.weights())
     known = labelled(docs, **columns).where(F.col("label").isin(net.labels))
     size = {r.label: r.size for r in known.groupBy("label").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     total = sum(size.values())

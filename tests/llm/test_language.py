@@ -7,7 +7,7 @@ import pytest
 
 from swayline.llm import language_id
 from swayline.llm.common import LOWER
-from swayline.llm.language_id import Familiar, Network, document_probabilities, familiar, fit, fit_all, op4_language_id, predict, segments, train, training_rows
+from swayline.llm.language_id import Familiar, LongNetwork, Network, document_probabilities, familiar, fit, fit_all, op4_language_id, predict, segments, train, training_rows
 
 DATA = "/root/testdata/sf0.01"
 
@@ -110,6 +110,18 @@ def test_network_learns_from_every_row(spark, monkeypatch):
     assert (net == fit_all(docs.repartition(7)).weights()).all()  # wherever the rows lie
 
 
+def test_both_layouts_are_one_network():
+    net, rng = Network(["a", "b", "c"], hidden=4), np.random.default_rng(5)
+    long = LongNetwork(net.labels, hidden=4).with_weights(net.weights())
+    text, target = rng.integers(0, 256, (9, 6)), rng.integers(0, 3, 6)
+    active = [6, 6, 6, 5, 5, 3, 2, 2, 1]
+    inside = np.arange(6) < np.array(active)[:, None]
+    assert np.allclose(net.probabilities(text), long.probabilities(text), atol=1e-5)
+    assert np.allclose(net.probabilities(text, active)[inside], long.probabilities(text, active)[inside], atol=1e-5)
+    (loss, want), (other, got) = net.gradients(text, target), long.gradients(text, target)
+    assert abs(loss - other) < 1e-5 and all(np.allclose(want[k], got[k], atol=1e-5) for k in want)
+
+
 def test_segments_hold_every_byte():
     sizes = np.array([1, 0, 63, 64, 65, 700])
     ends = np.cumsum(sizes)
