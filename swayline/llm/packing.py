@@ -108,17 +108,16 @@ def pieces(docs, path, max_len, with_ids):
         coder = encoder(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
             rows = []
-            for lo in range(0, len(texts), 200):
-                for i, body in zip(ids[lo : lo + 200], coder.encode(texts[lo : lo + 200])):
+            for lo in range(0, batch.num_rows, 200):
+                ids, texts = (batch.column(c).slice(lo, 200).to_pylist() for c in (0, 1))
+                for i, body in zip(ids, coder.encode(texts)):
                     body += end
                     n = len(body) // 4
                     bounds = [0, *range(n % max_len or max_len, n + 1, max_len)]
                     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
                         part = body[4 * a : 4 * b]
-                        rows.append((i, k, a, b - a, zlib.crc32(part), part))
+                        rows.append((i, k, a, b - a, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]

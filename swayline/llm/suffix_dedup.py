@@ -27,7 +27,7 @@ RESULT = pa.schema([
     ("kept_sha256", pa.string()),
 ])
 #: Suffixes that are sorted at a time; a seed's suffixes are never parted.
-SORT_ROWS = 200_000
+SORT_ROWS = 50_000
 
 
 def _surroundings(symbols, sums, first, n, shape):

@@ -1,16 +1,18 @@
 """Packing: contract columns, whole documents, few sequences; encoding equal to the tokenizer's."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from fixtures import SCHEMA, tricky_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from swayline.llm.packing import Encoder, best_two_fit, pack_documents
+from swayline.llm.packing import Encoder, best_two_fit, pack_documents, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -102,3 +104,21 @@ def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     got = pack_documents(spark.createDataFrame([(1, None, "x")], "doc_id long, text string, salt string"), PATH).collect()
     assert [(r.length, r.offset) for r in got] == [(1, 0)]
+
+
+def test_a_batch_is_tokenised_in_parts():
+    class Rows:
+        def mapInArrow(self, scan, ddl):
+            return scan
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=800)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["id", "text"])
+    scan = pieces(Rows(), PATH, 2048, False)
+    next(scan([batch.slice(0, 1)]))  # the tokenizer itself
+    tracemalloc.start()
+    out = next(scan([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out.column(0).to_pylist()) == set(range(2000)) and peak < batch.nbytes / 2

@@ -119,3 +119,23 @@ def test_equal_windows_have_equal_seeds():
     own = rolling.owners(grams, 10)
     a, b = 0, bytes(data).rindex(b"the quick")
     assert [own[a + i] - a for i in range(15)] == [own[b + i] - b for i in range(15)]
+
+
+def test_a_bucket_of_suffixes_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from swayline.llm import seeds
+    from swayline.llm.suffix_dedup import cover
+
+    rng, shape, m = np.random.default_rng(1), seeds.Shape(False, 50, 24), 20_000
+    keys, n = np.sort(rng.integers(0, m // 5, m)).astype(np.uint64), np.full(m, 20, np.int64)
+    sizes = n + shape.window - 1
+    body = rng.integers(97, 123, (m // 5, sizes[0])).astype(np.uint8)[keys.astype(int)]
+    body[np.arange(m), rng.integers(0, sizes[0], m)] = 65
+    tracemalloc.start()
+    spans = cover(keys, np.arange(m), np.zeros(m, np.int32), n, sizes, body.ravel(), shape)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans[0]) and peak < 32e6
