@@ -24,6 +24,26 @@ def standard_normal(*key):
     return radius * F.cos(uniform(*key, F.lit("angle")) * F.lit(2 * math.pi))
 
 
+def _turned(h, bits):
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def hashed_on(seeds, values):
+    """What ``F.xxhash64`` makes of one more column: ``seeds`` is its value without it, ``values`` 32-bit integers or doubles."""
+    one, two, three, four, five = (np.uint64(k) for k in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    if values.dtype == np.int32:
+        h = (seeds + (five + np.uint64(4))) ^ (values.view(np.uint32).astype(np.uint64) * one)
+        h = _turned(h, 23) * two + three
+    else:
+        bits = (values + 0.0).view(np.uint64)  # without negative zeros
+        h = (seeds + (five + np.uint64(8))) ^ (_turned(bits * two, 31) * one)
+        h = _turned(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
 def hashed_uniform(key, part):
     """Uniforms in (0, 1) from 64-bit keys and the number of a part."""
     h = key.astype(np.uint64) + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -39,21 +59,24 @@ def inverted(trials, p, u):
     ratio = rare / (1 - rare)
     mass = (1 - rare) ** trials
     left, count = u - mass, np.zeros(len(u), np.int64)
-    open_ = np.flatnonzero(left > 0)
-    k = 0
+    open_, k = np.flatnonzero(left > 0), 0
+    n, ratio, mass, left = trials[open_], ratio[open_], mass[open_], left[open_]
     while len(open_) and k < TRIALS:
         k += 1
-        n = trials[open_]
-        mass[open_] *= np.maximum(n - k + 1, 0) / k * ratio[open_]
+        mass *= np.maximum(n - k + 1, 0) / k * ratio
         count[open_] += k <= n
-        left[open_] -= mass[open_]
-        open_ = open_[(left[open_] > 0) & (k < n)]
+        left -= mass
+        still = np.flatnonzero((left > 0) & (k < n))
+        if len(still) < len(n):
+            open_, n, ratio, mass, left = open_[still], n[still], ratio[still], mass[still], left[still]
     return np.where(p > 0.5, trials - count, count)
 
 
 def drawn(trials, p, key):
     """Binomial draws by inversion of uniforms hashed from the 64-bit key, one for each ``TRIALS`` trials."""
     n = trials.astype(np.int64)
+    if n.max(initial=0) <= TRIALS:  # a uniform each
+        return inverted(n, p, hashed_uniform(key.view(np.uint64), np.zeros(1, np.int64))).astype(np.float64)
     parts = -(-n // TRIALS)
     row = np.repeat(np.arange(len(n)), parts)
     part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)

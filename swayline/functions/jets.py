@@ -7,11 +7,11 @@ from pyspark import cloudpickle
 
 
 def _outer(x, y):
-    return x[..., :, None] * y[..., None, :]
+    return x[:, None] * y[None]
 
 
 class Jet:
-    """``v`` (...), gradient ``g`` (..., d) and Hessian ``h`` (..., d, d)."""
+    """``v`` (...), gradient ``g`` (d, ...) and Hessian ``h`` (d, d, ...): the many come last, so that numpy's loops are long."""
 
     __slots__ = ("v", "g", "h")
 
@@ -21,12 +21,12 @@ class Jet:
     @classmethod
     def constant(cls, v, d):
         v = np.asarray(v, float)
-        return cls(v, np.zeros((*v.shape, d)), np.zeros((*v.shape, d, d)))
+        return cls(v, np.zeros((d, *v.shape)), np.zeros((d, d, *v.shape)))
 
     @classmethod
     def variable(cls, v, at, d):
         out = cls.constant(v, d)
-        out.g[..., at] = 1.0
+        out.g[at] = 1.0
         return out
 
     def __add__(self, other):
@@ -48,17 +48,15 @@ class Jet:
     def __mul__(self, other):
         if isinstance(other, Jet):
             cross = _outer(self.g, other.g)
-            return Jet(
-                self.v * other.v, self.v[..., None] * other.g + other.v[..., None] * self.g,
-                self.v[..., None, None] * other.h + other.v[..., None, None] * self.h + cross + np.swapaxes(cross, -1, -2))
+            return Jet(self.v * other.v, self.v * other.g + other.v * self.g, self.v * other.h + other.v * self.h + cross + np.swapaxes(cross, 0, 1))
         other = np.asarray(other, float)
-        return Jet(self.v * other, self.g * other[..., None], self.h * other[..., None, None])
+        return Jet(self.v * other, self.g * other, self.h * other)
 
     __rmul__ = __mul__
 
     def of(self, value, first, second):
         """A function of this jet from its value and derivatives there."""
-        return Jet(value, first[..., None] * self.g, first[..., None, None] * self.h + second[..., None, None] * _outer(self.g, self.g))
+        return Jet(value, first * self.g, first * self.h + second * _outer(self.g, self.g))
 
     def reciprocal(self):
         return self.of(1 / self.v, -1 / self.v**2, 2 / self.v**3)
@@ -67,26 +65,27 @@ class Jet:
         return self.of(np.log(self.v), 1 / self.v, -1 / self.v**2)
 
     def __getitem__(self, at):
-        return Jet(self.v[at], self.g[at], self.h[at])
+        at = at if isinstance(at, tuple) else (at,)
+        return Jet(self.v[at], self.g[(slice(None), *at)], self.h[(slice(None), slice(None), *at)])
 
     def sum(self, axis):
-        return Jet(self.v.sum(axis), self.g.sum(axis), self.h.sum(axis))
+        return Jet(self.v.sum(axis), self.g.sum(axis + 1), self.h.sum(axis + 2))
 
     def spread(self):
         """With an axis of length one after the first, to meet several rows of an owner."""
-        return Jet(self.v[:, None], self.g[:, None], self.h[:, None])
+        return Jet(self.v[:, None], self.g[:, :, None], self.h[:, :, :, None])
 
 
 def of_two(table, i, j, a, b):
     """``table[i, j]`` as a function of the jets a and b; its partial derivatives are the entries behind it."""
     def at(k, m):
-        return table.get((i + k, j + m), np.zeros(()))[..., None]
+        return table.get((i + k, j + m), np.zeros(()))
 
     cross = _outer(a.g, b.g)
     return Jet(
         table[i, j] + 0 * a.v, at(1, 0) * a.g + at(0, 1) * b.g,
-        at(1, 0)[..., None] * a.h + at(0, 1)[..., None] * b.h + at(2, 0)[..., None] * _outer(a.g, a.g)
-        + at(1, 1)[..., None] * (cross + np.swapaxes(cross, -1, -2)) + at(0, 2)[..., None] * _outer(b.g, b.g))
+        at(1, 0) * a.h + at(0, 1) * b.h + at(2, 0) * _outer(a.g, a.g)
+        + at(1, 1) * (cross + np.swapaxes(cross, 0, 1)) + at(0, 2) * _outer(b.g, b.g))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

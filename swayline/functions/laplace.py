@@ -225,7 +225,7 @@ class Batch:
         for mine, at in self._alike():
             value, *_ = self._jets(mine, at)
             chain = self._chain(mine, at)[:, :, :P]
-            for part, made in zip(out, (value.v, np.einsum("edp,ed->ep", chain, value.g), np.swapaxes(chain, 1, 2) @ value.h @ chain)):
+            for part, made in zip(out, (value.v, np.einsum("edp,de->ep", chain, value.g), np.swapaxes(chain, 1, 2) @ np.moveaxis(value.h, -1, 0) @ chain)):
                 part[mine] = made
         return out
 
@@ -240,8 +240,8 @@ class Batch:
         out = np.zeros((1 + G + G * (G + 1) // 2, 1 + N + N * N))
 
         def add(to, jet, chain):
-            each = np.concatenate((jet.v[:, None], np.einsum("edn,ed->en", chain, jet.g),
-                                   (np.swapaxes(chain, 1, 2) @ jet.h @ chain).reshape(len(jet.v), -1)), 1)
+            each = np.concatenate((jet.v[:, None], np.einsum("edn,de->en", chain, jet.g),
+                                   (np.swapaxes(chain, 1, 2) @ np.moveaxis(jet.h, -1, 0) @ chain).reshape(len(jet.v), -1)), 1)
             for k in np.unique(to):
                 out[k] += each[to == k].sum(0)
 
@@ -271,12 +271,8 @@ class Batch:
     def _spreads(self):
         return [name for name in ("sd_intercept", "sd_slope", "sd_nested") if self.layout.at(name) is not None]
 
-    def _jets(self, mine, at):
-        """Value of each entity as a jet in its numbers, and what the group levels need: gradient, coupling, curvature."""
-        E, pairs = at.shape
-        spreads, nested = self._spreads(), self.layout.at("sd_nested") is not None
-        d = pairs + 1 + len(spreads)
-        A, B = (self.a - self.a0)[at, 0], (self.b - self.b0)[at, 0]
+    def _table(self, at, A, B):
+        """Derivatives of the expansions of pairs at the distance (A, B) from their centres, by order in a and b."""
         high = np.broadcast_to(self.high, self.a.shape)[at, 0]
         table = {}
         for i in range(5):
@@ -289,9 +285,18 @@ class Batch:
                             c = c * high if self.order > 2 else 0 * c
                         total = total + c * A**k * B**m / (math.factorial(k) * math.factorial(m))
                 table[i, j] = total
+        return table
+
+    def _jets(self, mine, at):
+        """Value of each entity as a jet in its numbers, and what the group levels need: gradient, coupling, curvature."""
+        E, pairs = at.shape
+        spreads, nested = self._spreads(), self.layout.at("sd_nested") is not None
+        d = pairs + 1 + len(spreads)
+        A, B = (self.a - self.a0)[at, 0], (self.b - self.b0)[at, 0]
+        table = self._table(at, A, B)
         own = (self.s0 * self.u0)[mine] + self.sn[mine] * self.w[at, 0]
         level = Jet.constant(A - own, d)  # less the entity's own part: added as a jet below
-        level.g[:, np.arange(pairs), np.arange(pairs)] = 1.0
+        level.g[np.arange(pairs), :, np.arange(pairs)] = 1.0
         slope = Jet.variable(B - (self.s1 * self.u1)[mine], pairs, d)
         s0, s1, sn = (Jet.variable(s[mine, 0], pairs + 1 + spreads.index(n), d) if n in spreads else Jet.constant(np.zeros(E), d)
                       for n, s in (("sd_intercept", self.s0), ("sd_slope", self.s1), ("sd_nested", self.sn)))

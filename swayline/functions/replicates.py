@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-from swayline.functions.draws import drawn
-from swayline.functions.laplace import SUMS, Batch, _sent
+from swayline.functions.draws import drawn, hashed_on
+from swayline.functions.jets import Jet, of_two
+from swayline.functions.laplace import Batch, _sent
 
-#: Columns of a cell that is ready for a pass: its entity's normal draws stand in the entity's first cell.
-COLUMNS = ("entity", "block", "blocks", "place", "m", "x", "n", "keys", "slope_draws", "level_draws")
+#: Columns of a cell that is ready for a pass: what an entity's draws start from stands in the entity's first cell.
+COLUMNS = ("entity", "block", "blocks", "place", "m", "x", "n", "seeds", "slope_draws", "level_draws")
 
 
 def whole_entities(batches):
@@ -36,8 +37,20 @@ def whole_entities(batches):
         yield pa.Table.from_batches(held)
 
 
+def _rates(eta):
+    """Chances of log odds, in their place."""
+    np.negative(eta, out=eta)
+    np.exp(eta, out=eta)
+    eta += 1
+    return np.reciprocal(eta, out=eta)
+
+
 class Drawn:
-    """One entity's drawn outcomes in some replicates (C, F), and their modes at the replicates' own parameters."""
+    """One entity's drawn outcomes in some replicates (C, F), and their modes at the replicates' own parameters.
+
+    The outcomes enter through their sums by place, with and without the predictor; the rest of the
+    log-likelihood is summed over the cells by matrix products.
+    """
 
     def __init__(self, table, numbers, truth, layout):
         def column(name):
@@ -47,17 +60,19 @@ class Drawn:
         self.fits, self.layout = numbers[numbers % blocks == block], layout
         F = len(self.fits)
         order = np.argsort(column("place"), kind="stable")
-        place, self.x, self.n = column("place")[order], column("x")[order, None], column("n")[order, None]
+        place, x, n = column("place")[order], column("x")[order], column("n")[order]
         self.places, self.first, self.which = np.unique(place, return_index=True, return_inverse=True)
-        self.m = float(column("m")[0])
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(order), F)[order]
-        self.draws = [next((np.array(v) for v in table.column(c).to_pylist() if v is not None), np.zeros(F)) for c in ("level_draws", "slope_draws")]
+        self.x, self.m = x[:, None], float(column("m")[0])
+        self.weights = n * x ** np.arange(5)[:, None]  # (powers of the predictor, C)
+        seeds, *draws = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("seeds", "level_draws", "slope_draws"))
+        self.draws = [d if len(d) else np.zeros(F) for d in draws]
+        keys = hashed_on(seeds.view(np.uint64), self.places.astype(np.int32)[:, None])
+        keys = hashed_on(keys[self.which], self.x)
         # the truth: the parameters that are simulated, with the entity's drawn level and slope
         fixed_a, fixed_b, s0, s1 = self.at(truth[None])
-        eta = (fixed_a + s0 * self.draws[0])[self.which] + (fixed_b + s1 * self.draws[1]) * self.x
-        p = 1 / (1 + np.exp(-eta))
-        trials = np.repeat(self.n[:, 0], F)
-        self.wins = drawn(trials, np.broadcast_to(p, (len(order), F)).ravel(), keys.ravel()).reshape(len(order), F)
+        p = _rates((fixed_a + s0 * self.draws[0])[self.which] + (fixed_b + s1 * self.draws[1]) * self.x)
+        wins = drawn(np.repeat(n, F), p.ravel(), keys.ravel()).reshape(p.shape)
+        self.wins, self.moved = self._total(wins), self._total(wins * self.x)
 
     def at(self, points):
         """Fixed part of the level of each place (places, F), slope (F,) and spreads (F,) at parameters (F, P)."""
@@ -72,38 +87,94 @@ class Drawn:
         return np.add.reduceat(values, self.first, axis=0)
 
     def solve(self, points):
-        """A ``Batch`` whose centre are the modes, and which replicates' modes are found."""
+        """``Modes`` at the points, and which replicates' modes are found."""
         fixed_a, fixed_b, s0, s1 = self.at(points)
         u0, u1 = (np.broadcast_to(d, fixed_b.shape) for d in self.draws)
         if self.layout.at("sd_intercept") is None:
             u0 = np.zeros_like(fixed_b)
         if self.layout.at("sd_slope") is None:
             u1 = np.zeros_like(fixed_b)
-        x, xx = self.x, self.x * self.x
+        wins, moved, weights = self.wins.sum(0), self.moved.sum(0), self.weights
         for _ in range(60):
-            p = 1 / (1 + np.exp(-((fixed_a + s0 * u0)[self.which] + (fixed_b + s1 * u1) * x)))
-            score, weight = self.wins - self.n * p, self.n * p * (1 - p)
-            r0, r1 = s0 * score.sum(0) - u0, s1 * (score * x).sum(0) - u1
-            h00, h01, h11 = 1 + s0 * s0 * weight.sum(0), s0 * s1 * (weight * x).sum(0), 1 + s1 * s1 * (weight * xx).sum(0)
+            p = _rates((fixed_a + s0 * u0)[self.which] + (fixed_b + s1 * u1) * self.x)
+            (n_p, nx_p), (w, wx, wxx) = weights[:2] @ p, weights[:3] @ (p * (1 - p))
+            r0, r1 = s0 * (wins - n_p) - u0, s1 * (moved - nx_p) - u1
+            h00, h01, h11 = 1 + s0 * s0 * w, s0 * s1 * wx, 1 + s1 * s1 * wxx
             det = h00 * h11 - h01 * h01
             d0, d1 = np.clip((h11 * r0 - h01 * r1) / det, -2, 2), np.clip((h00 * r1 - h01 * r0) / det, -2, 2)
             u0, u1 = u0 + d0, u1 + d1
             far = np.maximum(np.abs(d0), np.abs(d1))
-            if far.max() < 1e-9:
+            if far.max() < 1e-7:  # the next step would be of its square
                 break
-        k, F = fixed_a.shape
-        a, b = fixed_a + s0 * u0, np.broadcast_to(fixed_b + s1 * u1, (k, F))
-        eta = a[self.which] + b[0] * x
-        p = 1 / (1 + np.exp(-eta))
+        return Modes(self, points, (u0, u1), (s0, s1), fixed_a + s0 * u0, fixed_b + s1 * u1), far < 1e-7
+
+    def derivatives(self, a, b):
+        """Derivatives of the log-likelihood of each place (F, places) at levels (places, F) and slopes (F,), by order in both."""
+        eta = a[self.which] + b * self.x
+        odds = np.exp(-np.abs(eta))
+        p = np.where(eta > 0, 1, odds) / (1 + odds)
         w = p * (1 - p)
-        by_order = [self.wins * eta - self.n * (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta)))), self.wins - self.n * p,
-                    -self.n * w, -self.n * w * (1 - 2 * p), -self.n * w * (1 - 6 * w)]
-        sums = [self._total(by_order[int(d[0]) + int(d[1])] * x ** int(d[1])) for d in SUMS]
-        size = np.broadcast_to(self._total(self.n), (k, F))
-        packed = np.stack([size, a, b, *sums], 2).swapaxes(0, 1).reshape(F * k, -1)
-        owner = np.repeat(np.arange(F), k)
-        unpacked = np.arange(F), np.full(F, self.m), owner, np.tile(self.places, F), packed
-        return Batch(unpacked, points[:, None, :], None, self.layout, 4, (u0[:, None], u1[:, None])), far < 1e-7
+        by_order = [np.maximum(eta, 0) + np.log1p(odds), p, w, w * (1 - 2 * p), w * (1 - 6 * w)]
+        ends = [*self.first[1:].tolist(), len(eta)]
+        table = {}
+        for order, values in enumerate(by_order):
+            sums = np.stack([self.weights[: order + 1, lo:hi] @ values[lo:hi] for lo, hi in zip(self.first.tolist(), ends)], 2)
+            for j, total in enumerate(sums):
+                table[order - j, j] = -total
+        table[0, 0] += (a * self.wins + b * self.moved).T
+        table[1, 0] += self.wins.T
+        table[0, 1] += self.moved.T
+        return table
+
+
+class Modes(Batch):
+    """An entity's replicates at their modes, where its sums are exact: a ``Batch`` that needs no search."""
+
+    def __init__(self, entity, points, modes, spreads, a, b):
+        k, F = a.shape
+        self.entity, self.layout, self.order, self.high, self.count = entity, entity.layout, 4, 1.0, F
+        self.m, self.owner, self.group = np.full(F, entity.m), np.repeat(np.arange(F), k), np.tile(entity.places, F)
+        self.points = points[:, None, :]
+        self.u0, self.u1, self.s0, self.s1 = (v[:, None] for v in (*modes, *spreads))
+        self.sn, self.w = np.zeros((F, 1)), np.zeros((F * k, 1))
+        self.a, self.b = a.T.reshape(-1, 1), np.repeat(b, k)[:, None]
+        self.a0, self.b0 = self.a, self.b
+        self.table = entity.derivatives(a, b)
+
+    def _table(self, at, A, B):
+        return self.table
+
+    def _only(self, at, name, order):
+        """Value as a jet, as of ``_jets``, where the spread ``name`` alone is there: it moves the derivatives of ``order``."""
+        (F, k), slopes = at.shape, name == "sd_slope"
+        own = self.s1 * self.u1 if slopes else self.s0 * self.u0
+        level, slope = Jet.constant(np.zeros((F, k)) - (0 if slopes else own), k + 2), Jet.variable(np.zeros((F, 1)) - (own if slopes else 0), k, k + 2)
+        level.g[np.arange(k), :, np.arange(k)] = 1.0
+        s, u = Jet.variable((self.s1 if slopes else self.s0)[:, 0], k + 1, k + 2), Jet.constant((self.u1 if slopes else self.u0)[:, 0], k + 2)
+        i, j = order
+        squared = s * s
+
+        def at_mode():
+            moved = (s * u).spread()
+            a, b = (level, slope + moved) if slopes else (level + moved, slope)
+            return a, b, 1 - squared * of_two(self.table, 2 * i, 2 * j, a, b).sum(1)
+
+        for _ in range(2):
+            a, b, curvature = at_mode()
+            u = u + (s * of_two(self.table, i, j, a, b).sum(1) - u) * curvature.reciprocal()
+        a, b, curvature = at_mode()
+        return of_two(self.table, 0, 0, a, b).sum(1) - 0.5 * (u * u) - 0.5 * curvature.log()
+
+    def derivatives(self):
+        """As of a ``Batch``; the chain to the parameters is the same for all replicates."""
+        mine, at = next(self._alike())
+        spreads = self._spreads()
+        if len(spreads) == 1:
+            value = self._only(at, spreads[0], (0, 1) if spreads[0] == "sd_slope" else (1, 0))
+        else:
+            value, *_ = self._jets(mine, at)
+        chain = self._chain(mine[:1], at[:1])[0, :, : self.points.shape[2]]
+        return value.v, value.g.T @ chain, value.h.reshape(-1, self.count).T @ np.kron(chain, chain)
 
 
 def replicate_deriver(theta, numbers, truth, layout):
@@ -118,9 +189,8 @@ def replicate_deriver(theta, numbers, truth, layout):
                 continue
             solved, found = mine.solve(theta[mine.fits])
             value, gradient, hessian = solved.derivatives()
-            each = np.concatenate((value[:, None], gradient, hessian.reshape(len(value), -1)), axis=1)
-            sums[mine.fits] = np.nan_to_num(sums[mine.fits]) + each
-            reach[mine.fits] = np.maximum(reach[mine.fits], np.where(found, solved.reach(), np.inf))
+            sums[mine.fits] = np.nan_to_num(sums[mine.fits]) + np.concatenate((value[:, None], gradient, hessian), axis=1)
+            reach[mine.fits] = np.maximum(reach[mine.fits], np.where(found, 0.0, np.inf))
         yield _sent(np.arange(fits), sums, reach)
 
     return run
@@ -136,7 +206,7 @@ def replicate_slopes(theta, numbers, truth, layout, x_scale):
             if not len(mine.fits):
                 continue
             solved, _ = mine.solve(theta[mine.fits])
-            total = (solved.s1 * solved.u1)[:, 0] + theta[mine.fits, layout.at("x")]
+            total = solved.b.reshape(len(mine.fits), -1)[:, 0]
             yield pa.RecordBatch.from_arrays([table.column("entity").combine_chunks()[:1], pa.array([total / x_scale], pa.list_(pa.float64()))], schema=schema)
 
     return run

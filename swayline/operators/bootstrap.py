@@ -22,7 +22,7 @@ def normal(tag, term, fit):
 
 
 def cell_key(tag, fit):
-    """Key of the outcomes of a cell in a replicate."""
+    """Key of the outcomes of a cell in a replicate; tasks make it from the hash of its first three columns."""
     return F.xxhash64(tag, fit, "entity", "place", "x")
 
 
@@ -49,9 +49,9 @@ def drawer(theta, seed):
 
 
 def ready(cells, numbers, seed, layout, tasks):
-    """``COLUMNS`` of every cell, whole (entity, block) groups side by side, with the keys of the replicates ``numbers``.
+    """``COLUMNS`` of every cell, whole (entity, block) groups side by side, with what the draws of the replicates ``numbers`` start from.
 
-    Only the cells are shuffled. Keys and draws, which are as many as cells times replicates, are made in the task that uses them.
+    Only the cells are shuffled. Draws, which are as many as cells times replicates, are made in the task that uses them.
     """
     tag, entity = F.lit(seed), W.partitionBy("entity", "block").orderBy("place", "x")
     dealt = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "entity", "block")
@@ -64,8 +64,8 @@ def ready(cells, numbers, seed, layout, tasks):
             return F.lit(None).cast("array<double>")
         return F.when(F.col("first"), F.transform(fits, lambda f: normal(tag, term, f)))
 
-    return first.withColumn("keys", F.transform(fits, lambda f: cell_key(tag, f))).withColumns(
-        {f"{term}_draws": draws(term) for term in ("slope", "level")}).select(*COLUMNS)
+    seeds = F.when(F.col("first"), F.transform(fits, lambda f: F.xxhash64(tag, f, "entity")))
+    return first.withColumns({"seeds": seeds} | {f"{term}_draws": draws(term) for term in ("slope", "level")}).select(*COLUMNS)
 
 
 def bootstrap_slopes(cells, fit, form, replicates=1000, seed=123, levels=(0.025, 0.975)):
@@ -90,7 +90,8 @@ def bootstrap_slopes(cells, fit, form, replicates=1000, seed=123, levels=(0.025,
     size = rows.count()
 
     def tasks(fits):
-        return max(spark.sparkContext.defaultParallelism, size * fits // TASK_CELLS)
+        cores = spark.sparkContext.defaultParallelism
+        return cores * max(1, -(-size * fits // TASK_CELLS // cores))
 
     theta = np.tile(truth, (replicates, 1))
     climb = Climb(theta, [i for i, name in enumerate(layout.names) if name.startswith("sd_")])

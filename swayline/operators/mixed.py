@@ -239,17 +239,17 @@ def _joined(rows, theta, v, layout):
     P, G = len(theta), len(v)
     N, at = P + G, layout.at("sd_group")
     spread = 0.0 if at is None else abs(theta[at])
-    sums = Jet(rows[:, 0], rows[:, 1 : 1 + N], rows[:, 1 + N :].reshape(-1, N, N))
+    first, second = rows[:, 1 : 1 + N], rows[:, 1 + N :].reshape(-1, N, N)
     inner = np.eye(N)  # levels and parameters in modes and parameters
     inner[P:, P:] *= spread
-    h = np.swapaxes(inner, 0, 1) @ sums.h @ inner
+    h = np.swapaxes(inner, 0, 1) @ second @ inner
     if at is not None:
         inner[P:, at] = v
-        h = np.swapaxes(inner, 0, 1) @ sums.h @ inner
+        h = np.swapaxes(inner, 0, 1) @ second @ inner
         for g in range(G):
-            h[:, at, P + g] += sums.g[:, P + g]
-            h[:, P + g, at] += sums.g[:, P + g]
-    sums = Jet(sums.v, sums.g @ inner, h)
+            h[:, at, P + g] += first[:, P + g]
+            h[:, P + g, at] += first[:, P + g]
+    sums = Jet(rows[:, 0], (first @ inner).T, np.moveaxis(h, 0, -1))
     s = Jet.constant(np.array(spread), N) if at is None else Jet.variable(np.array(spread), at, N)
     own = [Jet.variable(np.array(x), P + g, N) for g, x in enumerate(v)]
     score = [s * sums[1 + g] - own[g] for g in range(G)]

@@ -140,3 +140,62 @@ def test_bootstrap_writes_nothing_that_grows_with_the_replicates(spark, monkeypa
     for r, s in zip(found[0], found[2]):
         assert r["entity"] == s["entity"] and r["n_boot"] == s["n_boot"] == 6
         assert r["mean_boot"] == pytest.approx(s["mean_boot"], abs=1e-9) and r["ci_upper"] == pytest.approx(s["ci_upper"], abs=1e-9)
+
+
+def test_a_pass_is_given_no_value_for_each_cell_and_replicate(spark):
+    """What reaches the tasks grows with cells and with entities times replicates; the keys made there are Spark's."""
+    cells = cells_of(spark, dense.simulate(54, groups=2, entities=4, rows=40, movers=0.3)).cache()
+    rows, groups, *_ = mixed.prepare(cells, FORMS["slope"])
+    rows, fits, seed = rows.withColumn("blocks", F.lit(1)), list(range(30)), 5
+    layout = FORMS["slope"].layout(len(groups))
+    given = bootstrap.ready(rows.select("entity", "place", "m", "x", "n", "blocks"), fits, seed, layout, 3)
+    arrays = [c for c, kind in given.dtypes if kind.startswith("array")]
+    sent = given.agg(*[F.sum(F.coalesce(F.size(F.col(c)), F.lit(0))).alias(c) for c in arrays]).first()
+    assert all(sent[c] is None or sent[c] <= 8 * len(fits) for c in arrays) and rows.count() > 100
+    tag = F.lit(seed)
+    keyed = rows.select("place", "x", *[F.xxhash64(tag, F.lit(f), "entity").alias(f"s{f}") for f in (0, 29)],
+                        *[bootstrap.cell_key(tag, F.lit(f)).alias(f"k{f}") for f in (0, 29)]).unionAll(
+        spark.range(1).select(F.lit(-3), F.lit(-0.0), F.lit(7), F.lit(8), F.xxhash64(F.lit(-3), F.lit(-0.0)), F.lit(0))).toPandas()
+    made = keyed[keyed.place >= 0]
+    for f in (0, 29):
+        start = draws.hashed_on(made[f"s{f}"].to_numpy().view(np.uint64), made.place.to_numpy().astype(np.int32))
+        assert (draws.hashed_on(start, made.x.to_numpy()).view(np.int64) == made[f"k{f}"].to_numpy()).all()
+    odd = draws.hashed_on(draws.hashed_on(np.array([42], np.uint64), np.array([-3], np.int32)), np.array([-0.0]))
+    assert odd.view(np.int64)[0] == keyed[keyed.place < 0].k0.iloc[0]
+
+
+@pytest.mark.parametrize("spreads", [("sd_intercept", "sd_slope"), ("sd_slope",), ("sd_intercept",)])
+def test_derivatives_of_drawn_replicates_by_differences(spreads):
+    """Value, gradient and Hessian of an entity in three places, in its replicates, against differences of the value."""
+    import pyarrow as pa
+
+    from swayline.functions.laplace import Layout
+    from swayline.functions.replicates import Drawn
+
+    rng, cells, fits = np.random.default_rng(4), 30, 6
+    layout = Layout(("intercept", "x", "m", "group1", "group2", *spreads), 3)
+    truth = np.array([-0.4, 0.2, 0.1, 0.3, -0.2, *[0.4, 0.3][: len(spreads)]])
+
+    def one(values):
+        return pa.array([None] * 3 + [values] + [None] * (cells - 4), pa.list_(pa.from_numpy_dtype(values.dtype)))
+
+    table = pa.table({
+        "entity": ["e"] * cells, "block": np.zeros(cells, np.int32), "blocks": np.ones(cells, np.int32), "place": rng.integers(0, 3, cells).astype(np.int32),
+        "m": np.full(cells, 0.5), "x": rng.normal(size=cells), "n": rng.integers(1, 90, cells).astype(float), "seeds": one(rng.integers(-2**62, 2**62, fits)),
+        "slope_draws": one(rng.normal(size=fits)), "level_draws": one(rng.normal(size=fits))})
+    drawn = Drawn(table, np.arange(fits), truth, layout)
+    points = truth + rng.normal(size=(fits, len(truth))) * 0.05
+
+    def found(at):
+        solved, good = drawn.solve(at)
+        assert good.all()
+        value, gradient, hessian = solved.derivatives()
+        return value, gradient, hessian.reshape(fits, len(truth), -1)
+
+    value, gradient, hessian = found(points)
+    for i in range(len(truth)):
+        step = 1e-4 * np.eye(len(truth))[i]
+        up, down = found(points + step), found(points - step)
+        assert np.allclose((up[0] - down[0]) / 2e-4, gradient[:, i], atol=1e-4, rtol=1e-5)
+        assert np.allclose((up[1] - down[1]) / 2e-4, hessian[:, i], atol=1e-3, rtol=1e-4)
+    assert value.shape == (fits,) and (drawn.wins.sum(0) <= table.column("n").to_numpy().sum()).all()
