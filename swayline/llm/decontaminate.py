@@ -388,10 +388,11 @@ def find_leaks(docs, benchmark, max_edit=MAX_EDIT, recall=RECALL, edit_rate=EDIT
     return out
 
 
-def without_leaks(docs, benchmark, **options):
+def without_leaks(docs, benchmark, id_col="doc_id", **options):
     """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    leaked = find_leaks(docs.where("doc_id is not null"), benchmark, **options).select(F.col("id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
+    named = docs.where(F.col(id_col).isNotNull())
+    leaked = find_leaks(named, benchmark, id_col=id_col, **options).select(F.col("id").alias("leaked_id")).distinct()
+    return docs.join(leaked, docs[id_col] == leaked["leaked_id"], "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir):

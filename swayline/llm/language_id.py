@@ -4,8 +4,8 @@ The network reads a text's UTF-8 bytes in segments, once forwards and once backw
 position give the language probabilities of that position, and a document's probabilities are the mean
 over all its positions. Training is backpropagation through time with the Adam rule. ``fit`` learns from
 segments of a bounded sample of labelled rows: at most ``per_language`` documents of each language, those
-with the smallest hash of their id, so the sample is the same wherever it is drawn. ``fit_all`` starts there
-and goes through every byte of all labelled rows in Spark tasks. Whole texts are predicted.
+with the smallest hash of their id, so the sample is the same wherever it is drawn. ``fit_all`` learns from
+every byte of all labelled rows, in Spark tasks. Whole texts are predicted.
 
 Defined results: a missing text, or one without a letter, is ``und`` with score 0.0; rows without a
 label are not learned from; a missing id is predicted like any other; repeated rows get equal results;
@@ -30,8 +30,8 @@ from swayline.llm.common import LOWER, chunks, fold, utf8
 #: Bounds and sizes of the training: documents of a language, segments of a document, segment length.
 PER_LANGUAGE, SEGMENTS, LENGTH = 600, 4, 64
 HIDDEN, STEPS, BATCH, RATE = 10, 350, 96, 0.02
-#: The pass over all labelled texts: bytes of a block, and that are shuffled at a time; segments of a step; rate; parts of a weight that sums count.
-PASS_BYTES, PASS_CHUNK, PASS_BATCH, PASS_RATE, WHOLE = 8 << 20, 2 << 20, 256, 0.002, 1 << 24
+#: Learning from all labelled texts: rounds, bytes of a block, segments of a step, least steps of a block in all rounds, parts of a weight that sums count.
+ROUNDS, PASS_BYTES, PASS_BATCH, PASS_STEPS, WHOLE = 8, 1 << 20, 256, 400, 1 << 24
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 19
@@ -547,42 +547,53 @@ def segments(data, starts, ends):
 
 
 def fit_all(docs, **columns):
-    """The network learned from all labelled ``docs``: ``fit`` is its start, then every byte of them is learned from once.
+    """The network learned from every byte of all labelled ``docs``; None when there is none.
 
-    Rows are dealt by hash to blocks of about ``PASS_BYTES``; each block moves the start by its own segments,
-    a task returns the sum of the weights it passed, and the result is their mean (averaged parallel gradient
-    descent). Sums are of whole numbers, so their order does not matter. Every language weighs the same.
+    Rows are dealt by hash to rounds, and within a round to blocks of about ``PASS_BYTES``. Each block moves the
+    round's weights by its own segments, and the next round starts from the mean of what the blocks came to (federated
+    averaging; a block counts by its steps). The rate falls to nothing with the last round. Few texts are gone through
+    as often as ``PASS_STEPS`` need. Sums are of whole numbers, so their order does not matter. Every language weighs the same.
     """
-    net = fit(docs, **columns)
-    if net is None:
-        return None
-    net = LongNetwork(net.labels).with_weights(net.weights())
-    known = labelled(docs, **columns).where(F.col("label").isin(net.labels))
+    known = labelled(docs, **columns)
     size = {r.label: r.size for r in known.groupBy("label").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
-    total = sum(size.values())
-    weight = np.array([total / len(net.labels) / size[k] for k in net.labels])
+    if not size:
+        return None
+    net, total = LongNetwork(sorted(size)), sum(size.values())
+    weight = np.array([total / len(size) / size[k] for k in net.labels])
+    rounds = min(ROUNDS, -(-total // PASS_BYTES))
+    blocks = -(-total // rounds // PASS_BYTES)
+    passes = -(-PASS_STEPS // max(rounds, total // (blocks * PASS_BATCH * LENGTH)))
+    known = known.withColumn("h", F.xxhash64("id", "text"))
+    for turn in range(rounds):
+        mine = known.where(F.pmod("h", F.lit(rounds)) == turn) if rounds > 1 else known
+        dealt = mine.repartition(blocks, "h").sortWithinPartitions("h", "id", "text", "label")
+        net = net.with_weights(net.weights() + _learned(dealt.select("label", "text"), net, weight, passes, turn / rounds, 1 / rounds))
+    return net
+
+
+def _learned(dealt, net, weight, passes, done, share):
+    """Mean move of the weights over the blocks (partitions) of a round, which is a ``share`` of all that is to be ``done``."""
     start = net.weights()
-    dealt = known.withColumn("h", F.xxhash64("id", "text")).repartition(-(-total // PASS_BYTES), "h").sortWithinPartitions("h", "id", "text", "label")
 
     def learn(batches):
-        mine, rng, steps = net.with_weights(start), np.random.default_rng(7), 0
-        rule, passed = Adam(mine), np.zeros(len(start))
-        for batch in batches:
-            texts, labels = utf8(batch.column(1)), np.array([net.labels.index(k) for k in batch.column(0).to_pylist()])
-            for i, j in chunks(*texts[1:], PASS_CHUNK):
-                doc, parts = segments(texts[0], texts[1][i:j], texts[2][i:j])
-                for some in np.array_split(rng.permutation(len(doc)), max(1, len(doc) // PASS_BATCH)):
-                    target = labels[i:j][doc[some]]
-                    rule.move(mine.gradients(np.ascontiguousarray(parts[some].T), target, weight[target])[1], PASS_RATE)
-                    passed += mine.weights() - start
-                    steps += 1
-        if steps:
-            whole = np.append(np.rint(passed * WHOLE), steps).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole))), pa.array(whole)], ["at", "moved"])
-
-    moved = dealt.select("label", "text").mapInArrow(learn, "at long, moved long").groupBy("at").agg(F.sum("moved").alias("moved")).collect()
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        labels = np.array([net.labels.index(k) for b in batches for k in b.column(0).to_pylist()])
+        doc, parts = segments(*utf8(pa.Table.from_batches(batches).column(1)))
+        mine, rng = net.with_weights(start), np.random.default_rng(7)
+        rule, each = Adam(mine), max(1, len(doc) // PASS_BATCH)
+        order = [some for _ in range(passes) for some in np.array_split(rng.permutation(len(doc)), each)]
+        for step, some in enumerate(order, 1):
+            target = labels[doc[some]]
+            rate = RATE * min(1.0, 2 * (1 - done - share * step / (len(order) + 1)))
+            rule.move(mine.gradients(np.ascontiguousarray(parts[some].T), target, weight[target])[1], rate)
+        whole = np.append(np.rint((mine.weights() - start).astype(np.float64) * WHOLE) * each, each).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole))), pa.array(whole)], ["at", "moved"])
+
+    moved = dealt.mapInArrow(learn, "at long, moved long").groupBy("at").agg(F.sum("moved").alias("moved")).collect()
     moved = np.array([float(r.moved) for r in sorted(moved, key=lambda r: r.at)])
-    return net.with_weights(start + moved[:-1] / WHOLE / moved[-1])
+    return moved[:-1] / WHOLE / moved[-1] if len(moved) else np.zeros(len(start))
 
 
 def predict(docs, net, text_col="text", model=None):

@@ -129,3 +129,23 @@ def test_segments_hold_every_byte():
     doc, parts = segments(data, ends - sizes, ends)
     assert parts.shape[1] == 64 and (np.unique(parts) == data).all()
     assert all(((p >= ends[d] - sizes[d]) & (p < ends[d])).all() for d, p in zip(doc, parts))
+
+
+def test_no_part_of_the_network_is_learned_from_a_sample(spark, monkeypatch):
+    """Languages with short texts only are learned too, and no bounded sample is drawn."""
+    rows = [(i, t, k) for i in range(80) for t, k in (("abba baab ", "ab"), ("xy", "xy"), ("q", "q"))]
+    rows = [(3 * i + j, *r[1:]) for i, r in enumerate(rows) for j in range(3)] + [(None, "ab ab", "ab"), (1, None, "none"), (2, "", "none")]
+
+    def sampled(*args, **options):
+        raise AssertionError("a sample is drawn")
+
+    for name in ("fit", "train", "training_rows"):
+        monkeypatch.setattr(language_id, name, sampled)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    net = fit_all(docs)
+    assert net.labels == ["ab", "q", "xy"]
+    got = predict(docs.where("lang is not null and text <> ''"), net).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.99
+    monkeypatch.setattr(language_id, "PASS_BYTES", 800)  # several rounds and blocks
+    got = predict(docs.where("lang is not null and text <> ''"), fit_all(docs)).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.99
